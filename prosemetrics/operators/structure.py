@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.functions.arrays import let
-from prosemetrics.functions.findings import FINDING, finding, flat, no_findings
+from prosemetrics.functions.findings import finding, flat, no_findings
 from prosemetrics.functions.units import with_units
 from prosemetrics.operators.markers import _template
 from prosemetrics.packs.base import Rules
@@ -138,8 +138,13 @@ def _titles(headings: Column) -> Column:
     return F.transform(headings, lambda h: F.lower(h["title"]))
 
 
-def missing_section_findings(headings: Column, sections: Column, rules: Rules) -> Column:
-    """Required sections none of whose spellings is a heading of the document."""
+def missing_section_findings(
+    headings: Column, sections: Column, rules: Rules, shares: bool = True
+) -> Column:
+    """Required sections none of whose spellings is a heading of the document.
+
+    ``shares`` adds how often the corpus has the section.
+    """
     absent = F.filter(
         sections,
         lambda s: s["required"] & ~F.arrays_overlap(s["variants"], _titles(headings)),
@@ -155,7 +160,7 @@ def missing_section_findings(headings: Column, sections: Column, rules: Rules) -
                 confidence=0.7,
                 message=_template(rules.messages["missing_section"], s["title"]),
                 suggestion=F.array_join(F.slice(s["variants"], 1, 3), "; "),
-                meta=F.create_map(F.lit("corpus_share"), s["corpus_share"]),
+                meta=F.create_map(F.lit("corpus_share"), s["corpus_share"]) if shares else None,
             ),
         ),
         no_findings(),
@@ -413,7 +418,3 @@ def skipped_analyzers(analyzers: Column, names: tuple[str, ...]) -> Column:
         F.array(*[F.lit(n) for n in names]),
         lambda n: ~F.coalesce(F.try_element_at(analyzers, n), F.lit(True)),
     )
-
-
-def empty_findings_type() -> str:
-    return f"array<{FINDING}>"
