@@ -44,26 +44,32 @@ def runs(items: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(items), count)
+    return let(F.sort_array(items), count)
 
 
 def numbered(items: Column) -> Column:
-    """Tag every copy of an item with its ordinal, so copies become distinct."""
+    """Tag every copy of a string with its ordinal, so copies become distinct.
+
+    Tagged items are strings, not structs: set functions hash strings but
+    compare structs pair by pair.
+    """
     return F.flatten(
         F.transform(
             runs(items),
             lambda r: F.transform(
                 F.sequence(F.lit(1), r["n"]),
-                lambda k: F.struct(r["value"].alias("value"), k.alias("copy")),
+                lambda k: F.concat(k.cast("string"), F.lit(":"), r["value"]),
             ),
         )
     )
 
 
 def multiset_except(left: Column, right: Column) -> Column:
-    """Distinct items of ``left`` that occur there more often than in ``right``."""
+    """Distinct strings of ``left`` that occur there more often than in ``right``."""
     lost = F.array_except(numbered(left), numbered(right))
-    return F.array_sort(F.array_distinct(F.transform(lost, lambda r: r["value"])))
+    return F.sort_array(
+        F.array_distinct(F.transform(lost, lambda t: F.regexp_replace(t, r"^\d+:", "")))
+    )
 
 
 def runs_by_key(pairs: Column) -> Column:
@@ -92,7 +98,7 @@ def runs_by_key(pairs: Column) -> Column:
                 lambda at, j: F.struct(
                     F.get(r, at)["value"]["key"].alias("key"),
                     F.transform(
-                        F.array_sort(
+                        F.sort_array(
                             F.transform(
                                 F.slice(
                                     r,

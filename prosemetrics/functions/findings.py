@@ -87,7 +87,7 @@ def ordered(findings: Column) -> Column:
             i.alias("pos"),
         ),
     )
-    return F.transform(F.array_sort(keys), lambda k: F.get(findings, k["pos"]))
+    return F.transform(F.sort_array(keys), lambda k: F.get(findings, k["pos"]))
 
 
 def compact_json(f: Column) -> Column:

@@ -26,45 +26,59 @@ def catalogue_table(spark, markers: tuple[Marker, ...]) -> DataFrame:
     )
 
 
-def line_hits(text: Column, lines: Column, pattern: str, build) -> Column:
-    """Findings for every match of a pattern, with its line.
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
-    Lines are searched only in documents where the pattern occurs at all.
-    """
-    per_line = F.transform(
-        lines,
-        lambda x, i: F.transform(
-            F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda hit: build(hit, i + 1)
-        ),
-    )
-    return F.when(text.rlike(pattern), F.flatten(per_line)).otherwise(no_findings())
 
+def line_hits(text: Column, lines: Column, patterns: list[str]) -> Column:
+    """``array<struct<rule, line, hit>>``: every match of every pattern.
 
-def marker_findings(text: Column, lines: Column, rules: Rules) -> Column:
-    """Every template-phrase hit of every marker, in catalogue order."""
+    Lines are searched only for the patterns that occur in the text at all.
+    Rules are referred to by position, so the expression stays small.
+    """
 
-    def one(m: Marker) -> Column:
-        severity, confidence = action_confidence_of(m.action)
-        return line_hits(
-            text,
+    def one(i: int, pattern: str) -> Column:
+        per_line = F.transform(
             lines,
-            m.pattern,
-            lambda hit, line: finding(
-                id=f"markers.{m.id}",
-                analyzer="markers",
-                category=m.action,
-                severity=severity,
-                confidence=confidence,
-                message=m.name,
-                evidence=hit,
-                suggestion=m.fix,
-                line=line,
+            lambda x, n: F.transform(
+                F.regexp_extract_all(x, F.lit(pattern), F.lit(0)),
+                lambda hit: F.struct(
+                    F.lit(i).alias("rule"), (n + 1).alias("line"), hit.alias("hit")
+                ),
             ),
         )
+        return F.when(text.rlike(pattern), F.flatten(per_line)).otherwise(
+            F.array().cast("array<struct<rule:int,line:int,hit:string>>")
+        )
+
+    return F.concat(*[one(i, p) for i, p in enumerate(patterns)])
 
+
+def marker_findings(text: Column, lines: Column, rules: Rules) -> Column:
+    """Every template-phrase hit of every marker, in catalogue order."""
     if not rules.markers:
         return no_findings()
-    return F.concat(*[one(m) for m in rules.markers])
+    levels = [action_confidence_of(m.action) for m in rules.markers]
+    ids = _strings([f"markers.{m.id}" for m in rules.markers])
+    actions = _strings([m.action for m in rules.markers])
+    names = _strings([m.name for m in rules.markers])
+    fixes = _strings([m.fix for m in rules.markers])
+    severities = _strings([severity for severity, _ in levels])
+    confidences = F.array(*[F.lit(confidence) for _, confidence in levels])
+    return F.transform(
+        line_hits(text, lines, [m.pattern for m in rules.markers]),
+        lambda h: finding(
+            id=F.get(ids, h["rule"]),
+            analyzer="markers",
+            category=F.get(actions, h["rule"]),
+            severity=F.get(severities, h["rule"]),
+            confidence=F.get(confidences, h["rule"]),
+            message=F.get(names, h["rule"]),
+            evidence=h["hit"],
+            suggestion=F.get(fixes, h["rule"]),
+            line=h["line"],
+        ),
+    )
 
 
 def markers(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -76,27 +90,29 @@ def markers(docs: DataFrame, rules: Rules) -> DataFrame:
 
 def term_findings(text: Column, lines: Column, rules: Rules) -> Column:
     """Occurrences of rule words; only auto_replace words carry a replacement."""
-
-    def one(t: Term) -> Column:
-        replacement = t.preferred if t.decision == "auto_replace" and t.preferred else ""
-        return line_hits(
-            text,
-            lines,
-            T.term_pattern(t.subject),
-            lambda hit, line: finding(
-                id=t.id,
-                analyzer="terms",
-                category=t.decision,
-                severity="likely" if replacement else "info",
-                confidence=0.8,
-                message=rules.messages["term"].format(t.subject),
-                evidence=hit,
-                suggestion=replacement,
-                line=line,
-            ),
-        )
-
-    return F.concat(*[one(t) for t in rules.terms]) if rules.terms else no_findings()
+    if not rules.terms:
+        return no_findings()
+    replacements = [
+        t.preferred if t.decision == "auto_replace" and t.preferred else "" for t in rules.terms
+    ]
+    ids = _strings([t.id for t in rules.terms])
+    decisions = _strings([t.decision for t in rules.terms])
+    messages = _strings([rules.messages["term"].format(t.subject) for t in rules.terms])
+    targets = _strings(replacements)
+    return F.transform(
+        line_hits(text, lines, [T.term_pattern(t.subject) for t in rules.terms]),
+        lambda h: finding(
+            id=F.get(ids, h["rule"]),
+            analyzer="terms",
+            category=F.get(decisions, h["rule"]),
+            severity=F.when(F.get(targets, h["rule"]) != "", "likely").otherwise("info"),
+            confidence=0.8,
+            message=F.get(messages, h["rule"]),
+            evidence=h["hit"],
+            suggestion=F.get(targets, h["rule"]),
+            line=h["line"],
+        ),
+    )
 
 
 def term_hits(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -106,29 +122,41 @@ def term_hits(docs: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def typography_findings(text: Column, rules: Rules) -> Column:
-    """One finding per unwanted typographic variant, with its count."""
+def _counted(text: Column, patterns: list[str]) -> Column:
+    """``array<struct<rule, n, first>>`` of the patterns that occur in the text."""
+    counted = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("rule"),
+                F.regexp_count(text, F.lit(p)).alias("n"),
+                F.regexp_substr(text, F.lit(p)).alias("first"),
+            )
+            for i, p in enumerate(patterns)
+        ]
+    )
+    return F.filter(counted, lambda c: c["n"] > 0)
 
-    def one(r: TypographyRule) -> Column:
-        n = F.regexp_count(text, F.lit(r.pattern))
-        return F.when(
-            n > 0,
-            F.array(
-                finding(
-                    id=f"typography.{r.rule}",
-                    analyzer="typography",
-                    category="typography",
-                    severity="likely",
-                    confidence=0.8,
-                    message=rules.messages["typography"].format(r.variant),
-                    evidence=F.regexp_substr(text, F.lit(r.pattern)),
-                    meta=F.create_map(F.lit("count"), n),
-                )
-            ),
-        ).otherwise(no_findings())
 
+def typography_findings(text: Column, rules: Rules) -> Column:
+    """One finding per unwanted typographic variant, with its count."""
     unwanted = [r for r in rules.typography if not r.wanted]
-    return F.concat(*[one(r) for r in unwanted]) if unwanted else no_findings()
+    if not unwanted:
+        return no_findings()
+    ids = _strings([f"typography.{r.rule}" for r in unwanted])
+    messages = _strings([rules.messages["typography"].format(r.variant) for r in unwanted])
+    return F.transform(
+        _counted(text, [r.pattern for r in unwanted]),
+        lambda c: finding(
+            id=F.get(ids, c["rule"]),
+            analyzer="typography",
+            category="typography",
+            severity="likely",
+            confidence=0.8,
+            message=F.get(messages, c["rule"]),
+            evidence=c["first"],
+            meta=F.create_map(F.lit("count"), c["n"]),
+        ),
+    )
 
 
 def typography_hits(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -146,27 +174,21 @@ def _template(message: str, *parts: Column) -> Column:
 
 def artifact_findings(text: Column, rules: Rules) -> Column:
     """One review signal per kind of extraction residue, with its count."""
-
-    def one(label: str, pattern: str) -> Column:
-        n = F.regexp_count(text, F.lit(pattern))
-        return F.when(
-            n > 0,
-            F.array(
-                finding(
-                    id="corpus.extraction-artifact",
-                    analyzer="corpus",
-                    category="data",
-                    severity="review",
-                    message=_template(rules.messages["artifact"], F.lit(label), n),
-                    evidence=label,
-                    meta=F.create_map(F.lit("count"), n),
-                )
-            ),
-        ).otherwise(no_findings())
-
     if not rules.artifacts:
         return no_findings()
-    return F.concat(*[one(label, pattern) for label, pattern in rules.artifacts])
+    labels = _strings([label for label, _ in rules.artifacts])
+    return F.transform(
+        _counted(text, [pattern for _, pattern in rules.artifacts]),
+        lambda c: finding(
+            id="corpus.extraction-artifact",
+            analyzer="corpus",
+            category="data",
+            severity="review",
+            message=_template(rules.messages["artifact"], F.get(labels, c["rule"]), c["n"]),
+            evidence=F.get(labels, c["rule"]),
+            meta=F.create_map(F.lit("count"), c["n"]),
+        ),
+    )
 
 
 def extraction_artifacts(docs: DataFrame, rules: Rules) -> DataFrame:

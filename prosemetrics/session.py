@@ -48,3 +48,15 @@ def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     if dim.limit(max_rows + 1).count() > max_rows:
         return dim
     return F.broadcast(dim)
+
+
+def spread(docs: DataFrame, key: str) -> DataFrame:
+    """Deal rows over all cores when the scan has fewer splits than cores.
+
+    Text work is bound by the processor, and a small file is one split.  A
+    corpus with many splits is left as it is: no shuffle is added there.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.isStreaming or docs.rdd.getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores, key)
