@@ -129,9 +129,17 @@ def checked(f: Column) -> Column:
 
 
 def flat(docs: DataFrame, findings: Column, *keys: str) -> DataFrame:
-    """One row per finding; ``keys`` (default ``doc_id``) stay beside it."""
+    """One row per finding; ``keys`` (default ``doc_id``) stay beside it.
+
+    The outer form with a later filter is deliberate: for a plain explode the
+    optimizer adds a size check under it, which evaluates the array twice.
+    """
     keys = keys or ("doc_id",)
-    return docs.select(*keys, F.explode(findings).alias("f")).select(*keys, "f.*")
+    return (
+        docs.select(*keys, F.explode_outer(findings).alias("f"))
+        .where(F.col("f").isNotNull())
+        .select(*keys, "f.*")
+    )
 
 
 def packed(findings: DataFrame) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.functions import text as T
+from prosemetrics.functions.findings import flat
 from prosemetrics.operators.markers import _template
 from prosemetrics.operators.measures import rhythm, voice, voice_total
 from prosemetrics.packs.base import SIGNALS, Rules
@@ -218,7 +219,7 @@ def validate_edits(pairs: DataFrame, rules: Rules) -> DataFrame:
 
 
 def violation_rows(verdicts: DataFrame, key: str = "pair_id") -> DataFrame:
-    return verdicts.select(key, F.explode("violations").alias("v")).select(key, "v.*")
+    return flat(verdicts, F.col("violations"), key)
 
 
 def select_attempt(
@@ -286,7 +287,7 @@ def gate_summary(verdicts: DataFrame) -> DataFrame:
     )
     total = F.array(F.struct(F.lit("*").alias("kind"), F.lit(None).cast("string").alias("signal")))
     counted = (
-        verdicts.select(F.explode(F.concat(total, reasons)).alias("v"))
+        verdicts.select(F.explode_outer(F.concat(total, reasons)).alias("v"))
         .groupBy("v.kind", "v.signal")
         .agg(F.count("*").alias("pairs"))
     )

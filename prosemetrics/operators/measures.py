@@ -179,7 +179,8 @@ def alarms(compared: DataFrame) -> DataFrame:
 
 
 def _clamped(value: Column) -> Column:
-    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), value))
+    """Cut to [0, 10]; a missing value stays missing."""
+    return F.when(value.isNotNull(), F.least(F.lit(10.0), F.greatest(F.lit(0.0), value)))
 
 
 def score_components(
@@ -217,17 +218,18 @@ def score_components(
     }
 
 
-def author_score(rows: DataFrame, weights: dict[str, float], **slopes) -> DataFrame:
+def author_score(rows: DataFrame, language: LanguagePack, **slopes) -> DataFrame:
     """Weighted 0-10 likeness score over the columns named in score_components.
 
-    No score where the norm is missing.
+    ``weights`` is the profile's map of weights.  There is no score where a
+    measure or its norm is missing.
     """
     names = (
         "voice_per_1k",
         "voice_norm",
         "rhythm_ratio",
         "rhythm_norm",
-        "sections",
+        "sections_found",
         "required",
         "entities",
         "entity_total",
@@ -236,12 +238,18 @@ def author_score(rows: DataFrame, weights: dict[str, float], **slopes) -> DataFr
         "variants",
     )
     parts = score_components(*[F.col(n) for n in names], **slopes)
-    total = None
-    for name, part in parts.items():
-        rows = rows.withColumn(f"score_{name}", part)
-        term = weights.get(name, 0.0) * F.col(f"score_{name}")
-        total = term if total is None else total + term
-    return rows.withColumn("score", total)
+    scored = rows.withColumns({f"score_{name}": part for name, part in parts.items()})
+
+    def weighted(name: str) -> Column:
+        label = language.score_labels.get(name, name)
+        weight = F.coalesce(F.try_element_at("weights", F.lit(label)), F.lit(0.0))
+        # an unweighted component may be missing without spoiling the score
+        return F.when(weight > 0, weight * F.col(f"score_{name}")).otherwise(0.0)
+
+    total = weighted("voice")
+    for name in list(parts)[1:]:
+        total = total + weighted(name)
+    return scored.withColumn("score", total)
 
 
 def tighten_hints(docs: DataFrame, language: LanguagePack) -> DataFrame:

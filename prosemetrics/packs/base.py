@@ -34,6 +34,7 @@ class LanguagePack:
     entities: tuple[str, ...] = ()
     entity_endings: str = ""
     entity_section: str = "matchups"
+    score_labels: dict[str, str] = field(default_factory=dict)
 
 
 # The five voice signals, in report order.

@@ -72,6 +72,14 @@ LANGUAGE = LanguagePack(
         "Охотник на демонов",
         "Рыцарь смерти",
     ),
+    score_labels={
+        "voice": "живое",
+        "rhythm": "ритм",
+        "purity": "чистота",
+        "names": "названия",
+        "consistency": "согласованность",
+        "structure": "структура",
+    },
     entity_endings="(?:ами|ями|ах|ях|ов|ев|ей|ом|ем|ам|ям|а|я|е|ы|и|у|ю|ь)?",
 )
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemetrics.functions.findings import finding, no_findings, ordered
+from prosemetrics.functions.findings import finding, flat, no_findings, ordered
 from prosemetrics.functions.text import evidence_trim, normalize_newlines
 from prosemetrics.functions.units import with_units
 from prosemetrics.operators import consistency, markers, measures, names as N, structure
@@ -349,4 +349,4 @@ def analyze(
 
 def findings_of(reports: DataFrame) -> DataFrame:
     """Flat findings table of a report frame."""
-    return reports.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    return flat(reports, F.col("findings"))

@@ -50,7 +50,7 @@ def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(dim)
 
 
-def spread(docs: DataFrame, key: str) -> DataFrame:
+def spread(docs: DataFrame) -> DataFrame:
     """Deal rows over all cores when the scan has fewer splits than cores.
 
     Text work is bound by the processor, and a small file is one split.  A
@@ -59,4 +59,4 @@ def spread(docs: DataFrame, key: str) -> DataFrame:
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if docs.isStreaming or docs.rdd.getNumPartitions() >= cores:
         return docs
-    return docs.repartition(cores, key)
+    return docs.repartition(cores)

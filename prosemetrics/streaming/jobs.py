@@ -73,6 +73,24 @@ def start_append(
     return writer.start()
 
 
+def start_summary(
+    counts: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Keep a small summary up to date: each batch replaces the stored table."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = (
+        counts.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def start_audit(
     stream: DataFrame,
     rules: Rules,

@@ -343,8 +343,7 @@ WHERE o.lemma NOT IN (SELECT lemma FROM c) GROUP BY 1, 2, 3
 """
 # prose words: headings and quotations blanked, sentence openings removed
 OPENING = r"(^|[.!?…]\s+)[^\p{L}\p{N}.!?…]*[\p{L}\p{N}][\p{L}\p{N}\-''’ʼ]*"
-PROSE = f"""
-ln AS ({LINES}), h AS ({HEADS}),
+PROSE_TAIL = f"""
 t AS (SELECT ln.doc_id, string_agg(CASE WHEN h.line IS NULL THEN ln.line
               ELSE repeat(' ', length(ln.line)) END, {NL} ORDER BY ln.line_no) AS text
       FROM ln LEFT JOIN h ON h.doc_id = ln.doc_id AND h.line = ln.line_no GROUP BY 1),
@@ -353,6 +352,7 @@ p AS (SELECT doc_id, unnest(a) AS piece, unnest(range(1, len(a) + 1)) AS k FROM
 m AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(piece, '^"[^"\\n]*"$')
         THEN repeat(' ', length(piece)) ELSE piece END, '' ORDER BY k) AS text FROM p GROUP BY 1)
 """
+PROSE = f"ln AS ({LINES}), h AS ({HEADS}), {PROSE_TAIL}"
 
 
 def _variants(strict: bool) -> str:
@@ -478,12 +478,12 @@ ENTITY_LIST = ["of", "of the", "de", "de la", "und"]
 COVERAGE = f"""
 o AS (SELECT b.doc_id, string_agg(body, chr(10) ORDER BY line) AS body FROM b JOIN pr USING (doc_id)
       WHERE section_id = 'opening' AND profile IN ('en-report', 'de-report') GROUP BY 1),
-t AS (SELECT doc_id, list_transform({tokens('body')}, lambda x: lower(x)) AS a FROM o),
+ct AS (SELECT doc_id, list_transform({tokens('body')}, lambda x: lower(x)) AS a FROM o),
 e AS (SELECT doc_id, len(list_filter(range(1, len(a) + 1), lambda i: a[i] = 'of' AND a[i+1] = 'the')) AS of_the,
         len(list_filter(range(1, len(a) + 1), lambda i: a[i] = 'of' AND coalesce(a[i+1], '') <> 'the')) AS of_,
         len(list_filter(range(1, len(a) + 1), lambda i: a[i] = 'de' AND a[i+1] = 'la')) AS de_la,
         len(list_filter(range(1, len(a) + 1), lambda i: a[i] = 'de' AND coalesce(a[i+1], '') <> 'la')) AS de_,
-        len(list_filter(a, lambda x: x = 'und')) AS und_ FROM t),
+        len(list_filter(a, lambda x: x = 'und')) AS und_ FROM ct),
 c AS (SELECT doc_id, concat_ws(', ', CASE WHEN of_ = 0 THEN 'of' END,
         CASE WHEN of_the = 0 THEN 'of the' END, CASE WHEN de_ = 0 THEN 'de' END,
         CASE WHEN de_la = 0 THEN 'de la' END, CASE WHEN und_ = 0 THEN 'und' END) AS evidence FROM e)
@@ -675,3 +675,526 @@ p AS (SELECT 0.0 AS share, id, 'calibration' AS part FROM r GROUP BY id
   UNION ALL SELECT 0.5, id, CASE WHEN bool_or(i % 2 = 0) THEN 'holdout' ELSE 'calibration' END FROM r GROUP BY id)
 SELECT part, count(*) AS ids, CAST(share AS DOUBLE) AS share FROM p GROUP BY part, share
 """
+
+# ------------------------------------------------------------- measures
+
+
+def dec(value: str, digits: int) -> str:
+    """Round half up on the decimal form of a double."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38, 16)), {digits}) AS DOUBLE)"
+
+
+MEASURED = f"""
+SELECT *, CASE WHEN n >= 2 AND s > 0 THEN sqrt(CAST(n * q - s * s AS DOUBLE)) / s END AS ratio,
+  CASE WHEN n >= 2 AND s > 0 THEN CAST(s AS DOUBLE) / n END AS mean,
+  CASE WHEN words > 0 THEN address * 1000.0::DOUBLE / words + imperative * 1000.0::DOUBLE / words
+    + concession * 1000.0::DOUBLE / words + short_sentence * 1000.0::DOUBLE / words
+    + parenthesis * 1000.0::DOUBLE / words END AS per1k,
+  address + imperative + concession + short_sentence + parenthesis AS voice_n
+FROM (SELECT *, CAST(len(lens) AS BIGINT) AS n, CAST(coalesce(list_sum(lens), 0) AS BIGINT) AS s,
+        CAST(coalesce(list_sum(list_transform(lens, lambda x: x * x)), 0) AS BIGINT) AS q
+      FROM ({VOICE}))
+"""
+DOCS_SRC = "src AS (SELECT doc_id, text, lang FROM documents)"
+ORACLES["rhythm"] = f"""
+WITH {DOCS_SRC}, v AS ({MEASURED})
+SELECT doc_id, words, n AS sentence_count, coalesce(ratio, -1) AS ratio, coalesce(mean, -1) AS mean
+FROM v
+"""
+ORACLES["voice"] = f"""
+WITH {DOCS_SRC}, v AS ({MEASURED})
+SELECT doc_id, address, imperative, concession, short_sentence, parenthesis, per1k AS voice_per_1k
+FROM v
+"""
+ORACLES["marker_density"] = f"""
+WITH dl AS ({DOC_LINES}), hits AS ({HITS}),
+c AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1),
+g AS (SELECT lang, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS hits, CAST(sum({wc('text')}) AS BIGINT) AS words
+      FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1)
+SELECT lang, hits, words, hits * 10000.0::DOUBLE / words AS per_10k FROM g
+"""
+GAME = "CASE lang WHEN 'en' THEN 'main' ELSE 'side' END"
+ORACLES["norm_comparison"] = f"""
+WITH {DOCS_SRC}, v AS ({MEASURED})
+SELECT {GAME} AS game, lang <> 'en' AS provisional, CAST(0.6 AS DOUBLE) AS norm_rhythm_ratio,
+  CAST(150 AS DOUBLE) AS norm_voice_per_1k, count(*) AS documents,
+  CAST(sum(CAST(ratio < 0.6::DOUBLE AS INT)) AS BIGINT) AS below_rhythm,
+  CAST(sum(CAST(per1k < 150 AS INT)) AS BIGINT) AS below_voice
+FROM v GROUP BY 1, 2
+"""
+ORACLES["alarms"] = f"""
+WITH {DOCS_SRC}, v AS ({MEASURED})
+SELECT doc_id, {GAME} AS game, coalesce(ratio < 0.45::DOUBLE, false) AS rhythm_alarm,
+       coalesce(per1k < 100, false) AS voice_alarm
+FROM v WHERE ratio < 0.45::DOUBLE OR per1k < 100
+"""
+LATIN_STEM = "'(es|en|er|s|e)$', ''"
+VARIANT_GROUPS = f"""
+vw AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{OPENING}', '\\1', 'g'),
+        '[\\p{{L}}\\p{{N}}]+(?:[''’ʼ\\-][\\p{{L}}\\p{{N}}]+)*')) AS w FROM m),
+vc AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(
+        regexp_replace(text, '{OPENING}', '\\1,', 'g'), '[.!?…]+', ' . ', 'g'),
+        '[^\\p{{L}}\\p{{N}}\\s.''’ʼ`\\-–—−]+', ' , ', 'g')), '\\s+'), lambda x: x <> '') AS a FROM m),
+vb AS (SELECT doc_id, unnest(a) AS x, unnest(list_concat(a[2:], [NULL])) AS y FROM vc),
+vf AS (SELECT doc_id, regexp_replace(lower(replace(w, '-', '')), {LATIN_STEM}) AS key,
+         regexp_replace(lower(w), {LATIN_STEM}) AS form FROM vw
+       UNION ALL
+       SELECT doc_id, regexp_replace(lower(x), {LATIN_STEM}) || ' ' || regexp_replace(lower(y), {LATIN_STEM}),
+         regexp_replace(x, {LATIN_STEM}) || ' ' || regexp_replace(y, {LATIN_STEM})
+       FROM vb WHERE regexp_matches(x, '^\\p{{Lu}}\\p{{Ll}}') AND regexp_matches(y, '^\\p{{L}}\\p{{Ll}}')),
+vg AS (SELECT doc_id, key FROM (SELECT doc_id, key, form, count(*) AS n FROM vf GROUP BY 1, 2, 3)
+       GROUP BY 1, 2 HAVING count(*) > 1 AND max(n) >= 2)
+"""
+WEIGHTS = "CASE profile WHEN 'brief' THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END"
+STRUCT_WEIGHT = "CASE profile WHEN 'brief' THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END"
+
+
+def clamp(x: str) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(10.0::DOUBLE, greatest(0.0::DOUBLE, {x})) END"
+
+
+SCORED = f"""
+{STRUCTURED}, {KNOWN}, {BODIES}, {COVERAGE.strip().rsplit("c AS (", 1)[0].rstrip().rstrip(",")},
+{PROSE_TAIL}, {VARIANT_GROUPS},
+dl AS (SELECT * FROM ln), hits AS ({HITS}), src AS (SELECT doc_id, text FROM hd), v AS ({MEASURED}),
+req AS (SELECT pr.doc_id, count(DISTINCT s.section_id) AS required,
+          count(DISTINCT s.section_id) FILTER (WHERE h.line IS NOT NULL) AS found
+        FROM pr JOIN s USING (profile)
+        LEFT JOIN h ON h.doc_id = pr.doc_id AND lower(h.title) = s.variant WHERE s.required GROUP BY 1),
+inp AS (SELECT pr.doc_id, pr.profile, v.words, v.per1k, v.ratio, v.voice_n,
+    coalesce(req.required, 0) AS required, coalesce(req.found, 0) AS found,
+    CASE WHEN pr.profile IN ('en-report', 'de-report') THEN 5 ELSE 0 END AS entity_total,
+    coalesce(CAST(of_ > 0 AS INT) + CAST(of_the > 0 AS INT) + CAST(de_ > 0 AS INT)
+      + CAST(de_la > 0 AS INT) + CAST(und_ > 0 AS INT), 0) AS entities,
+    coalesce(hh.n, 0) AS markers, coalesce(vv.n, 0) AS variants
+  FROM pr JOIN v USING (doc_id) LEFT JOIN req USING (doc_id) LEFT JOIN e USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1) hh USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM vg GROUP BY 1) vv USING (doc_id)),
+parts AS (SELECT *, {clamp("10.0::DOUBLE * (per1k - 5.0::DOUBLE) / (150.0::DOUBLE - 5.0::DOUBLE)")} AS c_voice,
+    {clamp("10.0::DOUBLE * (ratio - 0.2::DOUBLE) / (0.6::DOUBLE - 0.2::DOUBLE)")} AS c_rhythm,
+    {clamp("10.0::DOUBLE - markers * 1000.0::DOUBLE / words")} AS c_purity,
+    {clamp("10.0::DOUBLE - variants")} AS c_consistency,
+    {clamp("10.0::DOUBLE * (0.7::DOUBLE * (CASE WHEN required > 0 THEN found::DOUBLE / required ELSE 1 END) + 0.3::DOUBLE * (CASE WHEN entity_total > 0 THEN entities::DOUBLE / entity_total ELSE 1 END))")} AS c_structure
+  FROM inp),
+scored AS (SELECT *, {WEIGHTS} * c_voice + {WEIGHTS} * c_rhythm + {STRUCT_WEIGHT} * c_structure AS score
+  FROM parts)
+"""
+ORACLES["author_scores"] = f"""
+WITH {SCORED}
+SELECT doc_id, profile, round(coalesce(c_voice, -1), 6) AS voice, round(coalesce(c_rhythm, -1), 6) AS rhythm,
+  round(coalesce(c_purity, -1), 6) AS purity, round(coalesce(c_consistency, -1), 6) AS consistency,
+  round(coalesce(c_structure, -1), 6) AS structure, round(coalesce(score, -1), 6) AS score
+FROM scored
+"""
+ORACLES["score_calibration"] = f"""
+WITH {SCORED}, r AS (SELECT profile, {dec('score', 1)} AS score FROM scored WHERE score IS NOT NULL)
+SELECT profile, count(*) AS n, min(score) AS minimum, quantile_cont(score, 0.25) AS p25,
+       quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75
+FROM r GROUP BY 1
+"""
+ORACLES["corpus_regression"] = f"""
+WITH {SCORED}, g AS (
+  SELECT CAST(sum(markers) AS BIGINT) * 10000.0::DOUBLE / CAST(sum(words) AS BIGINT) AS a,
+    CAST(sum(voice_n) AS BIGINT) * 1000.0::DOUBLE / CAST(sum(words) AS BIGINT) AS b,
+    CAST(sum(CAST(found * 2 >= required AS INT)) AS BIGINT) * 100.0::DOUBLE / count(*) AS c,
+    CAST(sum(variants) AS DOUBLE) / count(*) AS d FROM inp)
+SELECT 'markers_per_10k' AS "check", a AS value, 20.0::DOUBLE AS threshold, a <= 20 AS ok FROM g
+UNION ALL SELECT 'voice_per_1k', b, 20.0::DOUBLE, b >= 20 FROM g
+UNION ALL SELECT 'structure_pct', c, 90.0::DOUBLE, c >= 90 FROM g
+UNION ALL SELECT 'variants_per_doc', d, 1.0::DOUBLE, d <= 1 FROM g
+"""
+ORACLES["tighten_hints"] = f"""
+WITH s AS ({unnested('documents', sents('text'), 'sentence', 'no')}),
+l AS (SELECT doc_id, sentence, no, {wc('sentence')} AS w FROM s),
+b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, no) = 1),
+dl AS ({DOC_LINES}),
+t AS (SELECT doc_id, line_no, tok, k FROM (
+  SELECT doc_id, line_no, unnest(a) AS tok, unnest(range(1, len(a) + 1)) AS k
+  FROM (SELECT doc_id, line_no, {tokens('line')} AS a FROM dl))
+  WHERE lower(tok) IN ('is', 'are', 'est', 'es')),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) = 1),
+c AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1)
+SELECT doc_id, b.w AS longest_words, b.no AS longest_sentence_no, coalesce(c.n, 0) AS impersonal_count,
+  md5(b.sentence) AS longest_sentence, coalesce(f.line_no, -1) AS impersonal_line,
+  coalesce(f.tok, '') AS impersonal_phrase
+FROM b LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+# ---------------------------------------------------------- aggregations
+
+SMALL_AUDIT = f"""
+{STRUCTURED}, dl AS (SELECT * FROM ln), hits AS ({HITS}), ms AS ({MISSING}),
+fx AS (
+  SELECT doc_id, 'markers.' || id AS id, CASE action WHEN 'review' THEN 'review' ELSE 'likely' END
+    AS severity, line_no AS line FROM hits
+  UNION ALL SELECT doc_id, 'corpus.extraction-artifact', 'review', 0
+    FROM ({artifact_counts('hd')}) WHERE n > 0
+  UNION ALL SELECT doc_id, 'structure.missing.' || section_id, 'likely', 0 FROM ms),
+cx AS (SELECT doc_id, count(*) FILTER (WHERE severity = 'likely') AS likely,
+         count(*) FILTER (WHERE severity = 'review') AS review FROM fx GROUP BY 1)
+"""
+ORACLES["severity_summary"] = f"""
+WITH {SMALL_AUDIT}
+SELECT doc_id, CAST(0 AS BIGINT) AS error, coalesce(likely, 0) AS likely, coalesce(review, 0) AS review,
+       CAST(0 AS BIGINT) AS info
+FROM documents LEFT JOIN cx USING (doc_id)
+"""
+ORACLES["worst_severity"] = f"""
+WITH {SMALL_AUDIT}
+SELECT doc_id, CASE WHEN likely > 0 THEN 'likely' WHEN review > 0 THEN 'review' ELSE '' END AS worst
+FROM documents LEFT JOIN cx USING (doc_id)
+"""
+ORACLES["quality_gate"] = f"""
+WITH {SMALL_AUDIT}, d AS (SELECT doc_id, coalesce(likely, 0) AS likely, coalesce(review, 0) AS review
+  FROM documents LEFT JOIN cx USING (doc_id))
+SELECT 'error' AS fail_on, doc_id, CAST(0 AS BIGINT) AS exit_code FROM d
+UNION ALL SELECT 'likely', doc_id, CAST(likely > 0 AS BIGINT) FROM d
+UNION ALL SELECT 'review', doc_id, CAST(likely + review > 0 AS BIGINT) FROM d
+"""
+ORACLES["ordered_findings"] = f"""
+WITH {SMALL_AUDIT}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY
+         CASE severity WHEN 'likely' THEN 1 ELSE 2 END, line, id) AS position, severity, id,
+       CAST(line AS BIGINT) AS line FROM fx
+"""
+ORACLES["archive_audit"] = f"""
+WITH a AS (SELECT 'name_apostrophes' AS kind, was, official, n, false AS art
+             FROM ({ORACLES['name_apostrophes']})
+  UNION ALL SELECT 'name_dashes', was, official, n, false FROM ({ORACLES['name_dashes']})
+  UNION ALL SELECT 'name_case', was, official, n, regexp_matches(was, '^[A-Z ]+$')
+    FROM ({ORACLES['name_case']})),
+p AS (SELECT kind, art, was, official, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY 1, 2, 3, 4)
+SELECT kind, art AS from_artifact, was, official, n, CAST(-1 AS BIGINT) AS pairs FROM p
+UNION ALL SELECT kind, false, '*', '*', CAST(sum(n) AS BIGINT), count(*) FROM p WHERE NOT art GROUP BY 1
+"""
+ORACLES["fitted_norms"] = f"""
+WITH {DOCS_SRC}, v AS ({MEASURED}),
+r AS (SELECT doc_id, md5(text) AS id, row_number() OVER (ORDER BY md5(text)) - 1 AS i FROM documents),
+sp AS (SELECT id, CASE WHEN bool_or(i % 5 = 0) THEN 'holdout' ELSE 'calibration' END AS part
+       FROM r GROUP BY id),
+x AS (SELECT part, unnest(['address', 'imperative', 'concession', 'short_sentence', 'parenthesis',
+          'voice_per_1k', 'rhythm_ratio', 'sentence_mean']) AS measure,
+        unnest([address * 1000.0::DOUBLE / words, imperative * 1000.0::DOUBLE / words,
+          concession * 1000.0::DOUBLE / words, short_sentence * 1000.0::DOUBLE / words,
+          parenthesis * 1000.0::DOUBLE / words, per1k, ratio, mean]) AS value
+      FROM v JOIN r USING (doc_id) JOIN sp USING (id)),
+y AS (SELECT part, measure, {dec('value', 3)} AS value FROM x WHERE value IS NOT NULL)
+SELECT part, measure, count(*) AS n, min(value) AS minimum,
+       round(quantile_cont(value, 0.5), 6) AS p50 FROM y GROUP BY 1, 2
+"""
+ORACLES["labelled_measures"] = f"""
+WITH {DOCS_SRC}, v AS ({MEASURED})
+SELECT quality, count(*) AS documents, CAST(sum(words) AS BIGINT) AS words,
+       CAST(sum(voice_n) AS BIGINT) AS voice_n
+FROM v JOIN labels USING (doc_id) GROUP BY 1
+"""
+ORACLES["section_share"] = f"""
+WITH {STRUCTURED},
+x AS (SELECT pr.doc_id, pr.profile, s.section_id, count(h.line) > 0 AS present
+      FROM pr JOIN s USING (profile)
+      LEFT JOIN h ON h.doc_id = pr.doc_id AND lower(h.title) = s.variant GROUP BY 1, 2, 3)
+SELECT profile, section_id, count(*) AS documents, CAST(sum(CAST(present AS INT)) AS BIGINT) AS present,
+       sum(CAST(present AS INT)) * 100.0::DOUBLE / count(*) AS share_pct FROM x GROUP BY 1, 2
+"""
+ORACLES["heading_variant_share"] = f"""
+WITH {STRUCTURED}
+SELECT pr.profile, s.section_id, s.variant, count(DISTINCT pr.doc_id) AS documents
+FROM pr JOIN h USING (doc_id) JOIN s ON s.profile = pr.profile AND s.variant = lower(h.title)
+GROUP BY 1, 2, 3
+"""
+OCCURRENCES = f"""
+s AS ({unnested('documents', sents('text'), 'sentence', 'no')}),
+o AS (SELECT doc_id, no, sentence, lower(unnest(regexp_extract_all(sentence,
+        '[\\p{{L}}\\p{{N}}\\-]+'))) AS word FROM s)
+"""
+ORACLES["precedent"] = f"""
+WITH {OCCURRENCES},
+q AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS word FROM benchmark),
+c AS (SELECT word, count(*) AS n, count(DISTINCT doc_id || '/' || no) AS sents FROM o
+      JOIN q USING (word) GROUP BY 1),
+e AS (SELECT word, doc_id, sentence FROM o JOIN q USING (word)
+      QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id, no) = 1)
+SELECT word, coalesce(c.n, 0) AS occurrences, coalesce(c.sents, 0) AS sentences,
+       coalesce(e.doc_id, -1) AS example_doc, coalesce(e.sentence, '') AS example,
+       CASE WHEN c.n IS NULL THEN 'absent' ELSE '' END AS note
+FROM q LEFT JOIN c USING (word) LEFT JOIN e USING (word)
+"""
+ORACLES["precedent_counts"] = f"""
+WITH {OCCURRENCES},
+q AS (SELECT DISTINCT word FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS word FROM part
+      UNION ALL SELECT lang FROM documents)),
+c AS (SELECT word, count(*) AS n FROM o JOIN q USING (word) GROUP BY 1)
+SELECT word, coalesce(n, 0) AS occurrences, CASE WHEN n IS NULL THEN 'absent' ELSE '' END AS note
+FROM q LEFT JOIN c USING (word)
+"""
+
+
+def echo_sql(drafts: str, keep: str) -> str:
+    def posting(source: str) -> str:
+        paragraphs = unnested(
+            source,
+            f"list_filter(string_split(text, {NL}), lambda x: regexp_matches(x, '\\S'))",
+            "par",
+            "no",
+        )
+        return (
+            "SELECT DISTINCT doc_id, no, word FROM (SELECT doc_id, no, "
+            f"regexp_replace(lower(unnest({tokens('par')})), {LATIN_STEM}) AS word "
+            f"FROM ({paragraphs})) WHERE length(word) >= 4"
+        )
+
+    return f"""
+WITH dr AS ({drafts}),
+a AS ({posting('documents')}),
+b AS ({posting('dr')}),
+rare AS (SELECT word FROM a GROUP BY 1 HAVING count(*) <= 3)
+SELECT b.doc_id AS draft_id, b.no AS draft_paragraph, a.no AS paragraph_no, a.doc_id,
+       count(*) AS shared {keep}
+FROM a JOIN rare USING (word) JOIN b USING (word) WHERE b.doc_id <> a.doc_id
+GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2
+"""
+
+
+ORACLES["echo"] = echo_sql(
+    "SELECT -1 - conv_id * 1000 - turn AS doc_id, text FROM conversations",
+    ", string_agg(word, ' ' ORDER BY word) AS words",
+)
+ORACLES["echo_within"] = echo_sql("SELECT doc_id, text FROM documents", "")
+ORACLES["resolved_rules"] = """
+SELECT CASE lang WHEN 'en' THEN 'main' ELSE 'side' END AS game,
+  CASE lang WHEN 'fr' THEN 'fr-report' ELSE 'brief' END AS profile, lang <> 'en' AS provisional,
+  CASE lang WHEN 'en' THEN 'token,License' ELSE 'token' END AS protected,
+  'thing>that,anthe>thering,that>thing' AS replace, 'queque,lichen,ciónado' AS keep,
+  CASE lang WHEN 'fr' THEN 'Opening,Middle' ELSE '' END AS sections, 'straight' AS quotes,
+  count(*) AS documents
+FROM documents GROUP BY 1, 2, 3, 4, 7
+"""
+SKIPPED = """CASE profile WHEN 'de-report' THEN 'markers' WHEN 'fr-report' THEN 'consistency'
+  WHEN 'brief' THEN 'structure,rhythm,soul' ELSE '' END"""
+ORACLES["skipped_analyzers"] = f"""
+WITH hd AS ({HEADED}), sc AS ({HINT_SCORES}), pr AS ({PROFILED})
+SELECT profile, {SKIPPED} AS skipped, count(*) AS documents FROM pr GROUP BY 1, 2
+"""
+
+# ------------------------------------------------------------- edit gate
+
+GATE = f"""
+pairs AS ({PAIRS}),
+src AS (SELECT DISTINCT text FROM (SELECT before AS text FROM pairs UNION ALL SELECT after FROM pairs)),
+v AS ({MEASURED}),
+items AS (
+  SELECT text, 1 AS k, 'numbers' AS kind, tok AS item FROM (SELECT text, unnest({tokens('text')}) AS tok
+    FROM src) WHERE regexp_matches(tok, '^[0-9]+$')
+  UNION ALL SELECT text, 2, 'codes', tok FROM (SELECT text, unnest({tokens('text')}) AS tok FROM src)
+    WHERE regexp_matches(tok, '^[0-9a-f]{{24,}}$')
+  UNION ALL SELECT text, 3, 'mails', unnest(regexp_extract_all(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+')) FROM src
+  UNION ALL SELECT text, 4, 'token', tok FROM (SELECT text, unnest({tokens('text')}) AS tok FROM src)
+    WHERE lower(tok) = 'token'
+  UNION ALL SELECT text, 5, 'License', tok FROM (SELECT text, unnest({tokens('text')}) AS tok FROM src)
+    WHERE lower(tok) = 'license'),
+ic AS (SELECT text, k, kind, item, count(*) AS n FROM items GROUP BY 1, 2, 3, 4),
+lost AS (SELECT pair_id, b.k, b.kind, b.item FROM pairs JOIN ic b ON b.text = before
+         LEFT JOIN ic a ON a.text = after AND a.kind = b.kind AND a.item = b.item
+         WHERE b.n > coalesce(a.n, 0)),
+lk AS (SELECT pair_id, k, kind, list(item ORDER BY item) AS items FROM lost GROUP BY 1, 2, 3),
+mm AS (SELECT pair_id, doc_id, edit, before, after, b AS bv, a AS av,
+         100.0::DOUBLE * (length(after) - length(before)) / greatest(length(before), 1) AS delta
+       FROM pairs JOIN v b ON b.text = before JOIN v a ON a.text = after),
+viol AS (
+  SELECT pair_id, 1 AS o, 'voice_lost' AS kind, 'address' AS signal, bv.address AS was, av.address AS now FROM mm WHERE av.address < bv.address
+  UNION ALL SELECT pair_id, 2, 'voice_lost', 'imperative', bv.imperative, av.imperative FROM mm WHERE av.imperative < bv.imperative
+  UNION ALL SELECT pair_id, 3, 'voice_lost', 'concession', bv.concession, av.concession FROM mm WHERE av.concession < bv.concession
+  UNION ALL SELECT pair_id, 4, 'voice_lost', 'short_sentence', bv.short_sentence, av.short_sentence FROM mm WHERE av.short_sentence < bv.short_sentence
+  UNION ALL SELECT pair_id, 5, 'voice_lost', 'parenthesis', bv.parenthesis, av.parenthesis FROM mm WHERE av.parenthesis < bv.parenthesis
+  UNION ALL SELECT pair_id, 10 + k, 'protected_lost', kind, NULL, NULL FROM lk
+  UNION ALL SELECT pair_id, 20, 'rhythm_flattened', NULL, NULL, NULL FROM mm WHERE av.ratio < bv.ratio - 0.03::DOUBLE
+  UNION ALL SELECT pair_id, 21, 'text_shrunk', NULL, NULL, NULL FROM mm WHERE delta < -5),
+vs AS (SELECT pair_id, string_agg(concat_ws('/', kind, signal, was, now), ';' ORDER BY o) AS violations
+       FROM viol GROUP BY 1)
+"""
+ORACLES["voice_lost"] = f"""
+WITH {GATE} SELECT pair_id, signal, was, now FROM viol WHERE kind = 'voice_lost'
+"""
+_STATE = (
+    "CASE WHEN av.{0} < bv.{0} THEN 'removed' WHEN least(bv.words, av.words) < 150 "
+    "THEN 'insufficient' ELSE 'kept' END"
+)
+_SIGNALS = ("address", "imperative", "concession", "short_sentence", "parenthesis")
+ORACLES["voice_states"] = (
+    f"WITH {GATE}, st AS ("
+    + " UNION ALL ".join(
+        f"SELECT edit, '{s}' AS signal, {_STATE.format(s)} AS state FROM mm" for s in _SIGNALS
+    )
+    + ") SELECT edit, signal, state, count(*) AS pairs FROM st GROUP BY 1, 2, 3"
+)
+ORACLES["protected_lost"] = f"""
+WITH {GATE} SELECT pair_id, kind AS signal, 'пропало защищённое (' || kind || '): '
+  || array_to_string(items[1:5], ', ') AS message FROM lk
+"""
+ORACLES["rhythm_flattened"] = f"""
+WITH {GATE} SELECT pair_id FROM viol WHERE kind = 'rhythm_flattened'
+"""
+ORACLES["text_shrunk"] = f"WITH {GATE} SELECT pair_id FROM viol WHERE kind = 'text_shrunk'"
+ORACLES["gate_verdicts"] = f"""
+WITH {GATE}
+SELECT pair_id, vs.pair_id IS NULL AS accepted, coalesce(violations, '') AS violations,
+  {dec('delta', 1)} AS length_change_pct, coalesce({dec('bv.ratio', 3)}, -1) AS rhythm_before,
+  coalesce({dec('av.ratio', 3)}, -1) AS rhythm_after, coalesce({dec('bv.per1k', 1)}, -1) AS voice_before,
+  coalesce({dec('av.per1k', 1)}, -1) AS voice_after
+FROM mm LEFT JOIN vs USING (pair_id)
+"""
+ORACLES["gate_summary"] = f"""
+WITH {GATE}, n AS (SELECT count(*) AS total FROM pairs)
+SELECT kind, coalesce(signal, '') AS signal, count(DISTINCT pair_id) AS pairs, any_value(total) AS pairs_total,
+       count(DISTINCT pair_id) * 100.0::DOUBLE / any_value(total) AS rate_pct
+FROM viol, n GROUP BY 1, 2
+"""
+ORACLES["selected_attempts"] = f"""
+WITH {GATE},
+tries AS (SELECT mm.doc_id, CASE edit WHEN 'articles' THEN 1 WHEN 'digits' THEN 2 ELSE 3 END AS n,
+            vs.pair_id IS NULL AS ok, after
+          FROM mm LEFT JOIN vs USING (pair_id) WHERE edit <> 'parentheses'),
+best AS (SELECT doc_id, min(n) FILTER (WHERE ok) AS n FROM tries GROUP BY 1)
+SELECT d.doc_id, best.n IS NOT NULL AS accepted, CAST(coalesce(best.n, 0) AS BIGINT) AS accepted_n,
+  md5(coalesce(trim(t.after, ' ' || chr(10)), d.text)) AS text,
+  CAST(coalesce(best.n, 3) AS BIGINT) AS attempts,
+  CASE WHEN best.n IS NULL THEN 'правка не прошла проверку за 3 — возвращён исходный текст' ELSE '' END
+    AS caveat
+FROM documents d JOIN best USING (doc_id) LEFT JOIN tries t ON t.doc_id = d.doc_id AND t.n = best.n
+"""
+ORACLES["edit_impact"] = f"""
+WITH {GATE}, mk AS (
+  SELECT text, len(regexp_extract_all(text, '!!+')) + len(regexp_extract_all(text,
+    '(?i)(?:licensed under|all rights reserved|released under)'))
+    + len(regexp_extract_all(text, 'token = "[0-9a-f]+"')) + len(regexp_extract_all(text, '[*#%&$]{{3,}}'))
+    + len(regexp_extract_all(text, '\\|')) + len(regexp_extract_all(text,
+    '[A-Za-z0-9.]+@[A-Za-z0-9.]+')) AS n FROM src),
+tp AS ({ORACLES["touched"]})
+SELECT pair_id, touched_pct, delta AS length_change_pct, b.n AS markers_before, a.n AS markers_after,
+  coalesce(bv.ratio, -1) AS rhythm_before, coalesce(av.ratio, -1) AS rhythm_after,
+  coalesce(bv.per1k, -1) AS voice_before, coalesce(av.per1k, -1) AS voice_after
+FROM mm JOIN mk b ON b.text = before JOIN mk a ON a.text = after JOIN tp USING (pair_id)
+"""
+
+# ------------------------------------------------------------------ jobs
+
+AUDIT_DOCS = """
+SELECT doc_id, lang, text || '. Keep the ' || o || '. Later drop the ' || o || ' and the ' || p_name
+  || '.' AS text
+FROM (SELECT *, p_name[1:2] || '''' || p_name[3:] AS o FROM part) JOIN (%s) ON doc_id = p_partkey
+""" % HEADED
+
+
+def audit_rows(docs: str, service: bool = False, names: bool = True) -> str:
+    """CTEs of an audit: ``fa`` holds all findings, ``pr`` the profiles."""
+    profiled = (
+        "SELECT *, CASE lang WHEN 'en' THEN 'en-report' ELSE 'fr-report' END AS profile FROM sc "
+        "JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"
+        if service
+        else PROFILED
+    )
+    structured = (
+        f"hd AS ({docs}), sc AS ({HINT_SCORES}), pr AS ({profiled}), ln AS ({LINES}), "
+        f"h AS ({HEADS}), s AS ({SECTIONS})"
+    )
+    parts = [
+        "SELECT doc_id, 'markers.' || id AS id, line_no AS line, CASE action WHEN 'review' THEN "
+        "'review' ELSE 'likely' END AS severity, 'markers' AS analyzer FROM hits JOIN pr USING "
+        "(doc_id) WHERE profile <> 'de-report'",
+        "SELECT doc_id, 'structure.missing.' || section_id, 0, 'likely', 'structure' FROM ms",
+        "SELECT doc_id, 'consistency.variants', 0, 'likely', 'consistency' FROM vg JOIN pr USING "
+        "(doc_id) WHERE profile <> 'fr-report'",
+    ]
+    if not service:
+        parts.append(
+            "SELECT doc_id, 'structure.matchups', 0, 'review', 'structure' FROM c "
+            "WHERE evidence <> ''"
+        )
+    if names:
+        only = "WHERE lang = 'en'" if service else ""
+        parts.append(
+            f"SELECT doc_id, 'cards.apostrophe', 0, 'error', 'cards' FROM (SELECT DISTINCT doc_id, "
+            f"was, official FROM nw JOIN nk ON nk.key = lower(regexp_replace(was, '[''’ʼ`]', '', "
+            f"'g')) WHERE lower(was) <> official) JOIN (SELECT doc_id FROM documents {only}) "
+            "USING (doc_id)"
+        )
+        if not service:
+            parts.append(
+                "SELECT doc_id, 'consistency.advice', 0, 'review', 'consistency' FROM pr "
+                "WHERE profile <> 'fr-report'"
+            )
+    return f"""
+{structured}, {KNOWN}, {BODIES}, {COVERAGE}, {PROSE_TAIL}, {VARIANT_GROUPS},
+dl AS (SELECT * FROM ln), hits AS ({HITS}), ms AS ({MISSING}),
+nk AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS key,
+         split_part(p_name, ' ', 1)[1:2] || '''' || split_part(p_name, ' ', 1)[3:] AS official FROM part),
+nw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_APOS}')) AS was FROM hd),
+fa AS ({' UNION ALL '.join(parts)})
+"""
+
+
+def report_sql(service: bool) -> str:
+    if service:
+        skipped = "CASE lang WHEN 'en' THEN '' ELSE 'cards,consistency' END"
+        notes = (
+            "CASE lang WHEN 'en' THEN '' ELSE 'нормы предварительные: borrowed from main. Оценки "
+            "ритма и живого — ориентир, а не эталон, пока не набран корпус текстов в этой игре' "
+            "|| chr(10) || 'сверка имён отключена: no dictionary' END"
+        )
+        extra = f", {GAME} AS game, lang <> 'en' AS norms_provisional"
+    else:
+        skipped = SKIPPED
+        notes = (
+            "'профиль определён автоматически: ' || profile || ' (уверенность ' || confidence || "
+            "'); указать явно — --profile' || CASE WHEN pr.words < "
+            f"{MIN_WORDS} THEN chr(10) || pr.words || ' of ' || {MIN_WORDS} || ' words' ELSE '' END"
+        )
+        extra = ""
+    on = "profile <> 'brief'"
+    return f"""
+WITH {audit_rows(AUDIT_DOCS, service)},
+src AS (SELECT doc_id, text FROM hd), v AS ({MEASURED}),
+g AS (SELECT doc_id, string_agg(severity || ':' || id || ':' || line, chr(10) ORDER BY
+        CASE severity WHEN 'error' THEN 0 WHEN 'likely' THEN 1 ELSE 2 END, line, id) AS findings,
+        count(*) FILTER (WHERE severity = 'error') AS error,
+        count(*) FILTER (WHERE severity = 'likely') AS likely,
+        count(*) FILTER (WHERE severity = 'review') AS review FROM fa GROUP BY 1)
+SELECT pr.doc_id, profile, pr.words, coalesce(g.findings, '') AS findings, coalesce(error, 0) AS error,
+  coalesce(likely, 0) AS likely, coalesce(review, 0) AS review, CAST(0 AS BIGINT) AS info,
+  coalesce(CASE WHEN {on} THEN {dec('ratio', 3)} END, -1) AS rhythm_ratio,
+  coalesce(CASE WHEN {on} THEN {dec('mean', 1)} END, -1) AS sentence_mean,
+  coalesce(CASE WHEN {on} THEN {dec('per1k', 1)} END, -1) AS voice_per_1k,
+  {skipped} AS skipped, {notes} AS notes {extra}
+FROM pr JOIN v USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES["audit"] = report_sql(False)
+ORACLES["analyze"] = report_sql(True)
+ORACLES["report_json"] = f"""
+WITH {audit_rows(AUDIT_DOCS)}
+SELECT '1.0' AS schema_version, pr.doc_id, profile, count(fa.id) FILTER (WHERE severity = 'likely') AS likely,
+  any_value(pr.words) AS words, count(fa.id) AS findings,
+  'schema_version,document,profile,summary,metrics,findings,analyzers_skipped,notes' AS keys
+FROM pr LEFT JOIN fa USING (doc_id) GROUP BY 2, 3
+"""
+ORACLES["findings_table"] = f"""
+WITH {audit_rows(AUDIT_DOCS)}
+SELECT analyzer, id, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents
+FROM fa GROUP BY 1, 2, 3
+"""
+ORACLES["audit_stream"] = f"""
+WITH {audit_rows(HEADED, names=False)}
+SELECT doc_id, id, severity, CAST(line AS BIGINT) AS line FROM fa
+"""
+ORACLES["verdict_stream"] = f"""
+WITH {GATE}
+SELECT edit, vs.pair_id IS NULL AS accepted, count(*) AS pairs
+FROM mm LEFT JOIN vs USING (pair_id) GROUP BY 1, 2
+"""
+ORACLES["severity_windows"] = f"""
+WITH dl AS ({DOC_LINES}), hits AS ({HITS})
+SELECT strftime(TIMESTAMP '1970-01-01' + to_hours(CAST(doc_id // 60 AS INT)), '%Y-%m-%d %H:%M') AS window_start,
+  CASE action WHEN 'review' THEN 'review' ELSE 'likely' END AS severity, count(*) AS findings
+FROM hits GROUP BY 1, 2
+"""

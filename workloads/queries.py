@@ -302,7 +302,7 @@ def norm_caveats(spark, sf):
 def short_documents(spark, sf):
     """The note about documents under the least length of their profile."""
     reports = A.audit(W.headed(spark, sf), RULES)
-    return reports.select("doc_id", F.explode("notes").alias("note")).where(
+    return reports.select("doc_id", F.explode_outer("notes").alias("note")).where(
         F.col("note").rlike(r"^\d+ of \d+ words$")
     )
 
@@ -647,3 +647,580 @@ def split_sizes(spark, sf):
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ------------------------------------------------------------- measures
+
+
+@query
+def rhythm(spark, sf):
+    out = measures.measure(W.documents(spark, sf), LANG)
+    return out.select(
+        "doc_id",
+        *_long("words", "sentence_count"),
+        F.coalesce("rhythm.ratio", F.lit(-1.0)).alias("ratio"),
+        F.coalesce("rhythm.mean", F.lit(-1.0)).alias("mean"),
+    )
+
+
+@query
+def voice(spark, sf):
+    out = measures.measure(W.documents(spark, sf), LANG)
+    return out.select(
+        "doc_id",
+        *[F.col(f"voice.{s}.n").cast("long").alias(s) for s in SIGNALS],
+        measures.voice_total(F.col("voice")).alias("voice_per_1k"),
+    )
+
+
+@query
+def marker_density(spark, sf):
+    """Marker hits per 10 000 words by language."""
+    docs = W.table(spark, sf, "documents")
+    hits = markers.markers(docs.select("doc_id", "text"), RULES)
+    words = docs.select("doc_id", "lang", T.word_count(F.col("text")).alias("words"))
+    return measures.marker_density(words, hits, "lang")
+
+
+def _games(spark, sf) -> DataFrame:
+    docs = W.table(spark, sf, "documents")
+    return docs.select(
+        "doc_id", "text", F.when(F.col("lang") == "en", "main").otherwise("side").alias("game")
+    )
+
+
+@query
+def norm_comparison(spark, sf):
+    """Mean measures of each game next to its norms."""
+    measured = measures.measure(_games(spark, sf), LANG)
+    out = measures.norm_compare(measured, RULES)
+    return out.groupBy("game", "provisional", "norm_rhythm_ratio", "norm_voice_per_1k").agg(
+        F.count("*").alias("documents"),
+        F.sum(
+            (F.col("rhythm.ratio") < F.col("norm_rhythm_ratio")).cast("long")
+        ).alias("below_rhythm"),
+        F.sum(
+            (measures.voice_total(F.col("voice")) < F.col("norm_voice_per_1k")).cast("long")
+        ).alias("below_voice"),
+    )
+
+
+@query
+def alarms(spark, sf):
+    measured = measures.measure(_games(spark, sf), LANG)
+    out = measures.alarms(measures.norm_compare(measured, RULES))
+    return out.select(
+        "doc_id", "game", F.coalesce("rhythm_alarm", F.lit(False)).alias("rhythm_alarm"),
+        F.coalesce("voice_alarm", F.lit(False)).alias("voice_alarm"),
+    )
+
+
+def _scores(spark, sf) -> DataFrame:
+    from prosemetrics.plans.scoring import scores
+
+    return scores(W.profiled(spark, sf), RULES)
+
+
+@query
+def author_scores(spark, sf):
+    """Six components and the weighted likeness score of every document."""
+    return _scores(spark, sf).select(
+        "doc_id",
+        "profile",
+        *[
+            F.round(F.coalesce(f"score_{p}", F.lit(-1.0)), 6).alias(p)
+            for p in ("voice", "rhythm", "purity", "consistency", "structure")
+        ],
+        F.round(F.coalesce("score", F.lit(-1.0)), 6).alias("score"),
+    )
+
+
+@query
+def score_calibration(spark, sf):
+    """Quartiles and minimum of the scores of each profile."""
+    scored = _scores(spark, sf).select("profile", "score")
+    return reporting.exact_percentiles(scored, "score", [0.25, 0.5, 0.75], 1, "profile")
+
+
+@query
+def corpus_regression(spark, sf):
+    from prosemetrics.plans.scoring import corpus_regression as run
+
+    return run(W.profiled(spark, sf), RULES)
+
+
+@query
+def tighten_hints(spark, sf):
+    out = measures.tighten_hints(W.documents(spark, sf), LANG)
+    return out.select(
+        "doc_id",
+        *_long("longest_words", "longest_sentence_no", "impersonal_count"),
+        F.md5("longest_sentence").alias("longest_sentence"),
+        F.coalesce(F.col("impersonal_line").cast("long"), F.lit(-1)).alias("impersonal_line"),
+        F.coalesce("impersonal_phrase", F.lit("")).alias("impersonal_phrase"),
+    )
+
+
+# ---------------------------------------------------------- aggregations
+
+
+def _small_audit(spark, sf) -> DataFrame:
+    """Marker, artifact and section findings in one table."""
+    profiled = W.profiled(spark, sf)
+    return (
+        markers.markers(profiled, RULES)
+        .unionByName(markers.extraction_artifacts(profiled, RULES))
+        .unionByName(structure.missing_sections(profiled, RULES))
+    )
+
+
+@query
+def severity_summary(spark, sf):
+    docs = W.documents(spark, sf)
+    return reporting.severity_summary(_small_audit(spark, sf), docs)
+
+
+@query
+def worst_severity(spark, sf):
+    docs = W.documents(spark, sf)
+    out = reporting.worst_severity(_small_audit(spark, sf), docs)
+    return out.select("doc_id", F.coalesce("worst", F.lit("")).alias("worst"))
+
+
+@query
+def quality_gate(spark, sf):
+    """Exit codes at three thresholds."""
+    docs, found = W.documents(spark, sf), _small_audit(spark, sf)
+    out = None
+    for level in ("error", "likely", "review"):
+        part = reporting.quality_gate(found, docs, level).select(
+            F.lit(level).alias("fail_on"), "doc_id", *_long("exit_code")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def ordered_findings(spark, sf):
+    """Report order: severity, line (missing first), id."""
+    out = reporting.order_findings(_small_audit(spark, sf))
+    return out.select(
+        "doc_id", *_long("position"), "severity", "id",
+        F.coalesce("line", F.lit(0)).cast("long").alias("line"),
+    )
+
+
+@query
+def archive_audit(spark, sf):
+    """Name errors of the whole corpus by kind and pair; some come from extraction."""
+    hits = None
+    for kind in ("name_apostrophes", "name_dashes", "name_case"):
+        part = QUERIES[kind](spark, sf).select(
+            F.lit(kind).alias("kind"), "was", "official", "n",
+            (F.lit(kind == "name_case") & F.col("was").rlike("^[A-Z ]+$")).alias("from_artifact"),
+        )
+        hits = part if hits is None else hits.unionByName(part)
+    out = reporting.archive_audit(hits)
+    return out.select(
+        "kind", "from_artifact", F.coalesce("was", F.lit("*")).alias("was"),
+        F.coalesce("official", F.lit("*")).alias("official"), "n",
+        F.coalesce("pairs", F.lit(-1)).alias("pairs"),
+    )
+
+
+@query
+def fitted_norms(spark, sf):
+    """Medians of every measure on the calibration and holdout sides."""
+    docs = W.documents(spark, sf).withColumn("id", F.md5("text"))
+    split = integrity.split_corpus(docs.select("id"))
+    measured = measures.measure(docs, LANG).join(split, "id")
+    return reporting.fit_norms(measured, "part").select(
+        "part", "measure", "n", "minimum", F.round("p50", 6).alias("p50")
+    )
+
+
+@query
+def labelled_measures(spark, sf):
+    """Measures of documents by their quality label."""
+    labels = W.table(spark, sf, "labels").select("doc_id", "quality")
+    measured = measures.measure(W.documents(spark, sf), LANG)
+    return measured.join(labels, "doc_id").groupBy("quality").agg(
+        F.count("*").alias("documents"),
+        F.sum("words").alias("words"),
+        F.sum(measures.voice_n(F.col("voice"))).alias("voice_n"),
+    )
+
+
+@query
+def section_share(spark, sf):
+    return structure.section_share(W.profiled(spark, sf), RULES)
+
+
+@query
+def heading_variant_share(spark, sf):
+    return structure.heading_variant_share(W.profiled(spark, sf), RULES)
+
+
+@query
+def precedent(spark, sf):
+    """How documents use the words of the benchmark items, with one example each."""
+    items = W.table(spark, sf, "benchmark")
+    asked = items.select(F.explode(F.split("text", " ")).alias("word"))
+    out = retrieval.precedent(W.documents(spark, sf), asked, 1, "absent")
+    return out.select(
+        "word", "occurrences", "sentences",
+        F.coalesce(F.get("examples", F.lit(0))["doc_id"], F.lit(-1)).alias("example_doc"),
+        F.coalesce(F.get("examples", F.lit(0))["sentence"], F.lit("")).alias("example"),
+        F.coalesce("note", F.lit("")).alias("note"),
+    )
+
+
+@query
+def precedent_counts(spark, sf):
+    """No examples asked: counts only, and absent words stay."""
+    names = W.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    asked = names.unionByName(W.table(spark, sf, "documents").select(F.col("lang").alias("word")))
+    out = retrieval.precedent(W.documents(spark, sf), asked, 0, "absent")
+    return out.select("word", "occurrences", F.coalesce("note", F.lit("")).alias("note"))
+
+
+def _lines_as_paragraphs(docs: DataFrame) -> DataFrame:
+    return U.paragraph_rows(docs, breaks="\n")
+
+
+@query
+def echo(spark, sf):
+    """Paragraphs of conversations that share rare words with document paragraphs."""
+    turns = W.table(spark, sf, "conversations").select(
+        (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text"
+    )
+    archive = _lines_as_paragraphs(W.documents(spark, sf))
+    out = retrieval.echo(_lines_as_paragraphs(turns), archive, RULES)
+    return out.select(
+        "draft_id", *_long("draft_paragraph", "paragraph_no"), "doc_id", "shared",
+        F.array_join("words", " ").alias("words"),
+    )
+
+
+@query
+def echo_within(spark, sf):
+    """The archive against itself: paragraphs of other documents with rare words in common."""
+    archive = _lines_as_paragraphs(W.documents(spark, sf))
+    out = retrieval.echo(archive, archive, RULES)
+    return out.select(
+        "draft_id", *_long("draft_paragraph", "paragraph_no"), "doc_id", "shared",
+    )
+
+
+@query
+def resolved_rules(spark, sf):
+    """Documents with the rule row of their game and profile."""
+    docs = W.table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.col("lang") == "en", "main").otherwise("side").alias("game"),
+        F.when(F.col("lang") == "fr", "fr-report").otherwise("brief").alias("profile"),
+    )
+    out = rulecheck.documents_with_rules(docs, RULES)
+    return out.groupBy(
+        "game", "profile", "provisional",
+        F.array_join("protected", ",").alias("protected"),
+        F.array_join(F.transform("replace", lambda r: F.concat_ws(">", r["from"], r["to"])), ",").alias("replace"),
+        F.array_join("keep", ",").alias("keep"),
+        F.array_join("sections_required", ",").alias("sections"),
+        F.element_at("typography", "quotes").alias("quotes"),
+    ).agg(F.count("*").alias("documents"))
+
+
+@query
+def skipped_analyzers(spark, sf):
+    """What each profile leaves out, over the documents that have it."""
+    docs = W.profiled(spark, sf)
+    skipped = structure.skipped_analyzers(F.col("analyzers"), A.SWITCHES)
+    return docs.groupBy("profile", F.array_join(skipped, ",").alias("skipped")).agg(
+        F.count("*").alias("documents")
+    )
+
+
+# ------------------------------------------------------------- edit gate
+
+
+def _verdicts(spark, sf) -> DataFrame:
+    return gate.validate_edits(W.edit_pairs(spark, sf), RULES)
+
+
+def _violations(spark, sf, kind: str) -> DataFrame:
+    return gate.violation_rows(_verdicts(spark, sf)).where(F.col("kind") == kind)
+
+
+@query
+def voice_lost(spark, sf):
+    return _violations(spark, sf, "voice_lost").select("pair_id", "signal", *_long("was", "now"))
+
+
+@query
+def voice_states(spark, sf):
+    """State of each signal under each edit: removed, insufficient or kept."""
+    rows = gate.measured(W.edit_pairs(spark, sf), RULES)
+    states = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("signal"),
+                gate.classify(
+                    F.coalesce(F.col(f"b_voice.{s}.n"), F.lit(0)),
+                    F.coalesce(F.col(f"a_voice.{s}.n"), F.lit(0)),
+                    F.col("b_words"),
+                    F.col("a_words"),
+                ).alias("state"),
+            )
+            for s in SIGNALS
+        ]
+    )
+    return rows.select("edit", F.inline(states)).groupBy("edit", "signal", "state").agg(
+        F.count("*").alias("pairs")
+    )
+
+
+@query
+def protected_lost(spark, sf):
+    return _violations(spark, sf, "protected_lost").select("pair_id", "signal", "message")
+
+
+@query
+def rhythm_flattened(spark, sf):
+    return _violations(spark, sf, "rhythm_flattened").select("pair_id")
+
+
+@query
+def text_shrunk(spark, sf):
+    return _violations(spark, sf, "text_shrunk").select("pair_id")
+
+
+@query
+def gate_verdicts(spark, sf):
+    return _verdicts(spark, sf).select(
+        "pair_id",
+        "accepted",
+        F.array_join(
+            F.transform(
+                "violations", lambda v: F.concat_ws("/", v["kind"], v["signal"], v["was"], v["now"])
+            ),
+            ";",
+        ).alias("violations"),
+        "length_change_pct",
+        *[
+            F.coalesce(c, F.lit(-1.0)).alias(c)
+            for c in ("rhythm_before", "rhythm_after", "voice_before", "voice_after")
+        ],
+    )
+
+
+@query
+def gate_summary(spark, sf):
+    out = gate.gate_summary(_verdicts(spark, sf))
+    return out.withColumn("signal", F.coalesce("signal", F.lit("")))
+
+
+@query
+def selected_attempts(spark, sf):
+    """First accepted of three edits, else the original with a caveat."""
+    out = gate.select_attempt(W.documents(spark, sf), W.attempts(spark, sf), RULES, 3)
+    return out.select(
+        "doc_id", "accepted",
+        F.coalesce("accepted_n", F.lit(0)).cast("long").alias("accepted_n"),
+        F.md5("text").alias("text"),
+        F.size("attempts").cast("long").alias("attempts"),
+        F.coalesce("caveat", F.lit("")).alias("caveat"),
+    )
+
+
+@query
+def edit_impact(spark, sf):
+    out = reporting.impact_report(gate.measured(W.edit_pairs(spark, sf), RULES))
+    return out.select(
+        "pair_id",
+        F.round("touched_pct", 6).alias("touched_pct"),
+        "length_change_pct",
+        *_long("markers_before", "markers_after"),
+        *[
+            F.coalesce(c, F.lit(-1.0)).alias(c)
+            for c in ("rhythm_before", "rhythm_after", "voice_before", "voice_after")
+        ],
+    )
+
+
+# ------------------------------------------------------------------ jobs
+
+
+def _audit_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Headed documents about a part, and part names with an apostrophe."""
+    official = F.concat(F.substring("p_name", 1, 2), F.lit("'"), F.substring("p_name", 3, 99))
+    part = W.table(spark, sf, "part").select("p_partkey", "p_name")
+    docs = (
+        W.headed(spark, sf)
+        .join(part, F.col("doc_id") == F.col("p_partkey"))
+        .select(
+            "doc_id",
+            F.concat(
+                "text", F.lit(". Keep the "), official, F.lit(". Later drop the "), official,
+                F.lit(" and the "), "p_name", F.lit("."),
+            ).alias("text"),
+        )
+    )
+    return docs, W.names(spark, sf, official)
+
+
+def _report_columns(reports: DataFrame, *extra) -> DataFrame:
+    digest = F.transform(
+        "findings",
+        lambda f: F.concat_ws(
+            ":", f["severity"], f["id"], F.coalesce(f["line"], F.lit(0)).cast("string")
+        ),
+    )
+    return reports.select(
+        "doc_id",
+        "profile",
+        *_long("words"),
+        F.array_join(digest, "\n").alias("findings"),
+        *[
+            F.try_element_at("summary", F.lit(s)).cast("long").alias(s)
+            for s in FN.SEVERITIES
+        ],
+        F.coalesce(F.try_element_at("metrics", F.lit("rhythm_ratio")), F.lit(-1.0)).alias("rhythm_ratio"),
+        F.coalesce(F.try_element_at("metrics", F.lit("sentence_mean")), F.lit(-1.0)).alias("sentence_mean"),
+        F.coalesce(F.try_element_at("metrics", F.lit("voice_per_1k")), F.lit(-1.0)).alias("voice_per_1k"),
+        F.array_join("analyzers_skipped", ",").alias("skipped"),
+        F.array_join("notes", "\n").alias("notes"),
+        *extra,
+    )
+
+
+@query
+def audit(spark, sf):
+    """The whole audit with a guessed profile: one report row per document."""
+    docs, names = _audit_inputs(spark, sf)
+    return _report_columns(A.audit(docs, RULES, names))
+
+
+@query
+def analyze(spark, sf):
+    """The service variant: a game sets norms, profile and dictionary."""
+    docs, names = _audit_inputs(spark, sf)
+    langs = W.table(spark, sf, "documents").select("doc_id", "lang")
+    docs = docs.join(langs, "doc_id").withColumn(
+        "game", F.when(F.col("lang") == "en", "main").otherwise("side")
+    )
+    return _report_columns(A.analyze(docs, RULES, names), "game", "norms_provisional")
+
+
+@query
+def report_json(spark, sf):
+    """Versioned JSON reports, written as text and read back."""
+    from prosemetrics.session import shared_folder
+    from prosemetrics.sources.sinks import write_reports
+    import uuid
+
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    docs, names = _audit_inputs(spark, sf)
+    write_reports(A.audit(docs, RULES, names), path)
+    r = F.col("value")
+    return spark.read.text(path).select(
+        F.get_json_object(r, "$.schema_version").alias("schema_version"),
+        F.get_json_object(r, "$.document").cast("long").alias("doc_id"),
+        F.get_json_object(r, "$.profile").alias("profile"),
+        F.get_json_object(r, "$.summary.likely").cast("long").alias("likely"),
+        F.get_json_object(r, "$.metrics.words").cast("long").alias("words"),
+        F.json_array_length(F.get_json_object(r, "$.findings")).cast("long").alias("findings"),
+        F.array_join(F.json_object_keys(r), ",").alias("keys"),
+    )
+
+
+@query
+def findings_table(spark, sf):
+    """Flat findings, written by analyzer and read back."""
+    from prosemetrics.session import shared_folder
+    from prosemetrics.sources.sinks import write_findings
+    import uuid
+
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    docs, names = _audit_inputs(spark, sf)
+    write_findings(A.findings_of(A.audit(docs, RULES, names)), path)
+    return spark.read.parquet(path).groupBy("analyzer", "id", "severity").agg(
+        F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents")
+    )
+
+
+def _stream(spark, sf) -> DataFrame:
+    from prosemetrics.streaming import jobs
+
+    schema = W.table(spark, sf, "documents").schema
+    arriving = jobs.document_stream(spark, f"{sf}/documents.parque[t]", schema)
+    return arriving.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _drained(spark, rows: DataFrame) -> DataFrame:
+    """Run a stream over everything that has arrived and read its sink."""
+    from prosemetrics.session import shared_folder
+    from prosemetrics.streaming import jobs
+    import uuid
+
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = jobs.start_append(rows, f"{path}/rows", f"{path}/state", available_now=True)
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+@query
+def audit_stream(spark, sf):
+    """Documents arriving as files: the same findings as the batch audit."""
+    from prosemetrics.streaming import jobs
+
+    text = F.replace(F.concat("text", F.lit("\n")), F.lit(".\n"), F.lit("\n"))
+    docs = _stream(spark, sf).select("doc_id", text.alias("text"))
+    found = _drained(spark, jobs.findings_stream(docs, RULES))
+    return found.select(
+        "doc_id", "id", "severity", F.coalesce("line", F.lit(0)).cast("long").alias("line")
+    )
+
+
+@query
+def verdict_stream(spark, sf):
+    """Edit pairs arriving as a stream: verdicts counted by edit."""
+    from prosemetrics.streaming import jobs
+
+    text = F.col("text")
+    edits = F.array(
+        *[
+            F.struct(F.lit(n).alias("edit"), edit(text).alias("after"))
+            for n, edit in W.EDITS.items()
+        ]
+    )
+    pairs = (
+        _stream(spark, sf)
+        .select("doc_id", text.alias("before"), F.explode(edits).alias("e"))
+        .select(
+            F.concat_ws("-", "doc_id", "e.edit").alias("pair_id"),
+            F.col("e.edit").alias("edit"), "before", F.col("e.after").alias("after"),
+        )
+    )
+    verdicts = _drained(spark, jobs.verdict_stream(pairs, RULES).drop("violations"))
+    return verdicts.groupBy("edit", "accepted").agg(F.count("*").alias("pairs"))
+
+
+@query
+def severity_windows(spark, sf):
+    """Findings per hour of arrival: tumbling windows under a watermark."""
+    from prosemetrics.session import shared_folder
+    from prosemetrics.streaming import jobs
+    import uuid
+
+    docs = _stream(spark, sf).select(
+        "doc_id", "text", F.timestamp_seconds(F.col("doc_id") * 60).alias("ts")
+    )
+    counts = jobs.severity_windows(docs, RULES)
+    path = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    jobs.start_summary(counts, f"{path}/rows", f"{path}/state", True).awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/rows").select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+        "severity",
+        "findings",
+    )

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The identifier is a digest of the text, so copies share it.
     """
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"))
 
     def field(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.cast("string").alias("value"))
