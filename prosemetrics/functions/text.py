@@ -101,12 +101,14 @@ def heading_title(line: Column, max_words: int, opening: str = r"\p{Lu}") -> Col
     A heading is short, starts with ``opening``, has no final punctuation and
     no sentence break inside; leading ``#`` marks are optional.
     """
-    title = F.trim(F.regexp_replace(line, r"^\s*#+\s*", ""))
-    return F.when(
-        title.rlike(rf"^{opening}")
-        & ~title.rlike(r"(?U)[.!?…:;,]$|[.!?…]\s")
-        & (word_count(title) <= max_words),
-        title,
+    return let(
+        F.trim(F.regexp_replace(line, r"^\s*#+\s*", "")),
+        lambda title: F.when(
+            title.rlike(rf"^{opening}")
+            & ~title.rlike(r"(?U)[.!?…:;,]$|[.!?…]\s")
+            & (word_count(title) <= max_words),
+            title,
+        ),
     )
 
 

@@ -15,25 +15,24 @@ from prosemetrics.packs.base import LanguagePack, Rules
 from prosemetrics.session import sized_broadcast
 
 
-def prose_words(text: Column, language: LanguagePack) -> Column:
-    """Words whose spelling the author chose.
+def prose(text: Column, language: LanguagePack) -> Column:
+    """The text whose spelling the author chose.
 
     Headings and quotations are masked; the first word of a sentence is
-    dropped, since its capital is set by the language.
+    replaced by a comma, since its capital is set by the language.
     """
     masked = T.mask_protected(text, language.heading_words, (), language.heading_opening)
-    no_openings = F.regexp_replace(
-        masked, r"(?U)(^|[.!?…]\s+)[^\p{L}\p{N}.!?…]*[\p{L}\p{N}][\p{L}\p{N}\-'’ʼ]*", "$1"
+    return F.regexp_replace(
+        masked, r"(?U)(^|[.!?…]\s+)[^\p{L}\p{N}.!?…]*[\p{L}\p{N}][\p{L}\p{N}\-'’ʼ]*", "$1,"
     )
-    return T.tokens(no_openings)
 
 
-def spelling_groups(text: Column, language: LanguagePack) -> Column:
+def spelling_groups(prose_text: Column, language: LanguagePack) -> Column:
     """``array<struct<key, forms: array<struct<form, n>>>>`` with two forms or more.
 
     Words agree when they differ only in hyphens; inflected forms of one
-    spelling are the same form.  Only words that share a key with a hyphenated
-    word are grouped, so a text without hyphens costs one pass.
+    spelling are the same form.  A text without hyphens has no groups and is not
+    split into words at all.
     """
 
     def pair(w: Column) -> Column:
@@ -43,25 +42,21 @@ def spelling_groups(text: Column, language: LanguagePack) -> Column:
         )
 
     grouped = F.filter(
-        runs_by_key(F.transform(prose_words(text, language), pair)),
+        runs_by_key(F.transform(T.tokens(prose_text), pair)),
         lambda g: F.size(g["forms"]) > 1,
     )
-    return F.when(text.contains("-"), grouped).otherwise(
+    return F.when(prose_text.contains("-"), grouped).otherwise(
         F.array().cast("array<struct<key:string,forms:array<struct<form:string,n:int>>>>")
     )
 
 
-def case_groups(text: Column, language: LanguagePack) -> Column:
+def case_groups(prose_text: Column, language: LanguagePack) -> Column:
     """Two-word names written with different capitals.
 
     Only pairs opened by a capital letter count: a single capital word or a
     sentence opening proves nothing.
     """
-    masked = T.mask_protected(text, language.heading_words, (), language.heading_opening)
-    no_openings = F.regexp_replace(
-        masked, r"(?U)(^|[.!?…]\s+)[^\p{L}\p{N}.!?…]*[\p{L}\p{N}][\p{L}\p{N}\-'’ʼ]*", "$1,"
-    )
-    words = name_words(no_openings)
+    words = name_words(prose_text)
 
     def pairs(w: Column) -> Column:
         both = F.transform(
@@ -101,8 +96,9 @@ def variant_findings(
     shows the weak cases, so it never shows less.
     """
     strict = strict if isinstance(strict, Column) else F.lit(strict)
-    groups = F.concat(
-        spelling_groups(text, rules.language), case_groups(text, rules.language)
+    groups = let(
+        prose(text, rules.language),
+        lambda p: F.concat(spelling_groups(p, rules.language), case_groups(p, rules.language)),
     )
     shown = F.filter(groups, lambda g: strict | (F.get(g["forms"], F.lit(0))["n"] >= min_count))
     return F.coalesce(

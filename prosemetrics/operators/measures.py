@@ -65,15 +65,22 @@ def voice(
 ) -> Column:
     """Struct of the five signals, each ``struct<n, per1k>``; null without words."""
     counts = voice_counts(text, sentences, sentence_words, language)
+    # each count feeds two fields: evaluate the patterns once, in an array
     return F.when(
         words > 0,
-        F.struct(
-            *[
-                F.struct(
-                    n.alias("n"), F.try_divide(n * 1000.0, words.cast("double")).alias("per1k")
-                ).alias(name)
-                for name, n in counts.items()
-            ]
+        let(
+            F.array(*counts.values()),
+            lambda c: F.struct(
+                *[
+                    F.struct(
+                        F.get(c, F.lit(i)).alias("n"),
+                        F.try_divide(
+                            F.get(c, F.lit(i)) * 1000.0, words.cast("double")
+                        ).alias("per1k"),
+                    ).alias(name)
+                    for i, name in enumerate(counts)
+                ]
+            ),
         ),
     )
 

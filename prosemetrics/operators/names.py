@@ -150,8 +150,11 @@ def dash_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
     width = _dictionary_width(dashed)
     # a spaced dash can only be an error where the window holds a dash at all
     holds_dash = F.array_join("window", " ").rlike(DASHES)
+    candidates = docs.where(F.col("text").rlike(DASHES))
     return (
-        _match_windows(docs, _dictionary(dashed, _folded_dash), width, _folded_dash, holds_dash)
+        _match_windows(
+            candidates, _dictionary(dashed, _folded_dash), width, _folded_dash, holds_dash
+        )
         .where(F.lower("was") != F.lower(F.array_join(_strip_marks(name_words(F.col("official"))), " ")))
         .groupBy("doc_id", "was", "official")
         .agg(F.count("*").alias("n"))

@@ -18,6 +18,9 @@ from prosemetrics.packs.base import (
     TypographyRule,
 )
 
+# starts only where a run of address characters starts, so it is linear
+MAIL = r"(?<![A-Za-z0-9.])[A-Za-z0-9.]++@[A-Za-z0-9.]+"
+
 LANGUAGE = LanguagePack(
     id="latin",
     address=r"(?iuU)\b(?:the|der|die|das|le|les|el|los)\b",
@@ -42,7 +45,7 @@ LANGUAGE = LanguagePack(
     protected_patterns=(
         ("numbers", r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])"),
         ("codes", r"(?<![\p{L}\p{N}])[0-9a-f]{24,}(?![\p{L}\p{N}])"),
-        ("mails", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+"),
+        ("mails", MAIL),
     ),
     announced_count=r"(\d+) items",
     entities=("of", "of the", "de", "de la", "und"),
@@ -56,7 +59,7 @@ MARKERS = (
     Marker("secret", "assigned token", "rewrite", r'token = "[0-9a-f]+"', "remove the secret"),
     Marker("markup-noise", "run of markup signs", "rewrite", r"[*#%&$]{3,}", "clean the text"),
     Marker("pipe", "table bar", "review", r"\|", ""),
-    Marker("contact", "mail address", "review", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", ""),
+    Marker("contact", "mail address", "review", MAIL, ""),
 )
 
 ARTIFACTS = (

@@ -137,24 +137,32 @@ def _narrow(profiled: DataFrame, rules: Rules, options: Options, keep: list[str]
 
 
 def _dictionary_hits(
-    profiled: DataFrame, names: DataFrame, rules: Rules, options: Options
+    docs: DataFrame, names: DataFrame, rules: Rules, options: Options
 ) -> DataFrame:
-    """(doc_id, hits): dictionary findings of a document, in a fixed order."""
-    cards = profiled.where(_on("cards")).select("doc_id", "text")
+    """(doc_id, hits): dictionary findings of a document, in a fixed order.
+
+    Profiles are not looked at here, so they are guessed in one place only;
+    what a profile switches off is dropped when the report is put together.
+    """
+    docs = docs.select("doc_id", "text")
     none = F.lit(None).cast("string")
     hits = None
     for kind, frame in (
-        ("apostrophe", N.apostrophe_errors(cards, names)),
-        ("dash", N.dash_errors(cards, names)),
+        ("apostrophe", N.apostrophe_errors(docs, names)),
+        ("dash", N.dash_errors(docs, names)),
     ):
         part = frame.select(
             "doc_id", F.lit(kind).alias("kind"), "was", "official", F.col("n").cast("int")
         )
         hits = part if hits is None else hits.unionByName(part)
     if options.advice:
-        docs = profiled.where(_on("consistency")).select("doc_id", "text")
+        lang = rules.language
+        # a conflict needs both stances somewhere in the text
+        stanced = docs.where(
+            F.col("text").rlike(lang.keep_stance) & F.col("text").rlike(lang.discard_stance)
+        )
         advice = (
-            consistency.advice_rows(docs, names, rules.language)
+            consistency.advice_rows(stanced, names, lang)
             .where(F.col("kept") & F.col("discarded"))
             .select(
                 "doc_id",
@@ -205,7 +213,10 @@ def _hit_findings(rules: Rules, names_kind: Column | None) -> Column:
             )
         )
 
-    return F.coalesce(F.transform("hits", build), no_findings())
+    wanted = F.filter(
+        "hits", lambda h: F.when(h["kind"] == "advice", _on("consistency")).otherwise(_on("cards"))
+    )
+    return F.coalesce(F.transform(wanted, build), no_findings())
 
 
 def _assemble(
@@ -282,7 +293,7 @@ def audit(
         )
         .withColumn("rhythm_norm", F.lit(None).cast("double"))
     )
-    hits = None if names is None else _dictionary_hits(profiled, names, rules, options)
+    hits = None if names is None else _dictionary_hits(clean, names, rules, options)
     guessed = F.when(
         F.col("profile_confidence").isNotNull(),
         _template(
@@ -337,7 +348,8 @@ def analyze(
     base = base.withColumn("analyzers_skipped", skipped)
     hits = None
     if names is not None:
-        hits = _dictionary_hits(profiled.where("has_names"), names, rules, options)
+        named = clean.join(games.select("game", "has_names"), "game").where("has_names")
+        hits = _dictionary_hits(named, names, rules, options)
     notes = [
         measures.norm_caveat(rules, F.col("norms_source"), F.col("norms_provisional")),
         F.when(

@@ -29,6 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Settings the jobs rely on.
+
+    Spark 4.1 may keep the partitioning of a union's inputs, and with adaptive
+    coalescing the inputs can then disagree on the number of partitions.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives executor loss."""
     spark = df.sparkSession

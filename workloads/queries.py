@@ -425,7 +425,7 @@ def case_variants(spark, sf):
             F.lit(" now."),
         ),
     )
-    groups = consistency.case_groups(F.col("text"), LANG)
+    groups = consistency.case_groups(consistency.prose(F.col("text"), LANG), LANG)
     return docs.select("doc_id", F.explode(groups).alias("g")).select(
         "doc_id",
         F.col("g.key").alias("key"),
