@@ -87,7 +87,7 @@ def echo(
     # Counted once and kept: the hot words and the rare words both come from it.
     df = cut_lineage(archived.groupBy("word").agg(F.count("*").alias("df")))
     rare = df.where(F.col("df") <= max_df).select("word")
-    frequent = df.where(F.col("df") > HOT_ROWS).select("word")
+    frequent = df.where(F.col("df") > max(HOT_ROWS, max_df)).select("word")
     # Frequent words cannot be rare: they leave before the shuffle.
     rare_archive = archived.join(sized_broadcast(frequent), "word", "left_anti").join(
         rare, "word", "left_semi"
