@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from prosemetrics.functions import text as T
 from prosemetrics.functions.arrays import let, runs_by_key
 from prosemetrics.functions.findings import finding, flat, no_findings
-from prosemetrics.functions.units import segment_rows
 from prosemetrics.operators.markers import _template
 from prosemetrics.operators.names import _strip_marks, name_words
 from prosemetrics.packs.base import LanguagePack, Rules
@@ -153,16 +152,36 @@ def advice_rows(docs: DataFrame, names: DataFrame, language: LanguagePack) -> Da
         .distinct()
     )
     width = int(dictionary.agg(F.max("_arity")).first()[0] or 2)
-    stance = segment_rows(docs, language).select(
-        "doc_id",
-        "sentence_no",
-        "segment_no",
-        "segment",
-        F.col("segment").rlike(language.keep_stance).alias("keep"),
-        F.col("segment").rlike(language.discard_stance).alias("drop"),
+    # only sentences with a stance are cut into clauses, and only clauses with
+    # a stance become rows
+    numbered = F.filter(
+        F.transform(
+            T.sentences(F.col("text")),
+            lambda s, i: F.struct((i + 1).alias("sentence_no"), s.alias("sentence")),
+        ),
+        lambda x: x["sentence"].rlike(language.keep_stance)
+        | x["sentence"].rlike(language.discard_stance),
+    )
+    clauses = F.flatten(
+        F.transform(
+            numbered,
+            lambda x: F.transform(
+                T.segments(x["sentence"], list(language.adversatives)),
+                lambda p, j: F.struct(
+                    x["sentence_no"].alias("sentence_no"),
+                    (j + 1).alias("segment_no"),
+                    p.alias("segment"),
+                    p.rlike(language.keep_stance).alias("keep"),
+                    p.rlike(language.discard_stance).alias("drop"),
+                ),
+            ),
+        )
     )
+    stance = docs.select(
+        "doc_id", F.explode(F.filter(clauses, lambda c: c["keep"] | c["drop"])).alias("c")
+    ).select("doc_id", "c.*")
     mentions = (
-        stance.where(F.col("keep") | F.col("drop"))
+        stance
         .withColumn("_s", stems(name_words(F.col("segment"))))
         .select(
             "doc_id",

@@ -243,7 +243,7 @@ def common_words(docs: DataFrame, language: LanguagePack, min_documents: int) ->
     """
     stems = F.array_distinct(
         F.transform(
-            F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
+            F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))),
             lambda w: T.stem(w, language.inflection),
         )
     )
