@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.functions.arrays import let
-from prosemetrics.functions import text as T
 from prosemetrics.functions.units import with_units
 from prosemetrics.packs.base import SIGNALS, LanguagePack, Rules
 
