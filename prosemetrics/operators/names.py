@@ -169,7 +169,7 @@ def case_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
     """
     width = _dictionary_width(names)
     plain = F.array_join(_strip_marks(name_words(F.col("official"))), " ")
-    tail_differs = F.substring("was", 2, 10_000) != F.substring(plain, 2, 10_000)
+    tail_differs = F.substr(F.col("was"), F.lit(2)) != F.substr(plain, F.lit(2))
     return (
         _match_windows(docs, _dictionary(names, F.lower, 2), width, F.lower, None)
         .where(
