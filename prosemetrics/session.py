@@ -32,8 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the jobs rely on.
 
-    Spark 4.1 may keep the partitioning of a union's inputs, and with adaptive
-    coalescing the inputs can then disagree on the number of partitions.
+    Spark 4.1 may keep the partitioning of a union's inputs.  Some unions then
+    failed because the inputs disagreed on the number of partitions.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
