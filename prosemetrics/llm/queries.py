@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prosemetrics.llm.mixing import Mixture, mixed_ids
 from prosemetrics.llm.sharding import shards
+from prosemetrics.llm.simhash import near_duplicates
 from prosemetrics.llm.token_counts import token_counts
 from prosemetrics.llm.topk import top_k
 from prosemetrics.llm.url_filter import ALLOW, BLOCK, Rule, UrlPolicy, url_verdicts
@@ -37,6 +38,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, 1024)
 
@@ -58,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
