@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemetrics.llm.mixing import Mixture, mixed_ids
+from prosemetrics.llm.packing import pack
 from prosemetrics.llm.quality_model import quality_scores
 from prosemetrics.llm.quality_rules import quality_rules
 from prosemetrics.llm.sharding import shards
@@ -68,6 +69,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), TOKENIZER, 2048)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_ids(_table(spark, sf_dir, "documents"), MIXTURE)
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op7_top_k": op7_top_k,
+    "op8_packing": op8_packing,
     "op10_mixing": op10_mixing,
 }
 

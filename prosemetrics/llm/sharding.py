@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemetrics.llm.shared import stored
+from prosemetrics.llm.shared import numbered
 
 # Fixed value of jump consistent hashing: the multiplier of its 64-bit generator.
 MULTIPLIER = 2862933555777941757
@@ -72,8 +72,7 @@ def shards(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: st
     one id stay together.  An id that is no whole number is hashed first.  ``size`` is the text's
     UTF-8 bytes and one more.  ``slot`` numbers the rows of a shard without a gap, from 0.
 
-    Places need no order of all rows: each task sorts its rows by shard and writes them once; a
-    small table (one row for a file and shard) has how many rows of a shard stand in earlier files.
+    Places need no order of all rows (:func:`.shared.numbered`); the text is read once.
 
     Defined cases: a null text counts as empty (size 1, checksum 0), a null id as id 0; repeated
     rows get places of their own; other columns are not read; an empty table gives no rows.
@@ -89,18 +88,6 @@ def shards(docs: DataFrame, count: int = 8, id_col: str = "doc_id", text_col: st
         at.alias("shard"),
         grown.alias("grown_shard"),
     )
-    kept = stored(slim.sortWithinPartitions("shard"), "shards").select(
-        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
-    )
-    runs = kept.groupBy("shard", "file").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("shard", "file", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return kept.join(runs, ["shard", "file"]).select(
-        id_col,
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("row") + F.col("shift")).alias("slot"),
-        "grown_shard",
+    return numbered(slim, "shard", "slot", "shards").select(
+        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )

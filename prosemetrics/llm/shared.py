@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from prosemetrics.session import shared_folder
 
@@ -25,6 +26,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: str, name: str, label: str) -> DataFrame:
+    """``df`` with the place of each row among the rows of its ``by``, from 0 and without a gap.
+
+    Places follow no order, so none has to be made: each task sorts its rows by ``by`` and writes
+    them once.  A small table (a row for each file and value) says how many rows of a value stand in
+    earlier files.  However many rows share one value, no task gets them all.
+    """
+    file, row, shift = (free_name(df.columns, c) for c in ("file", "row", "shift"))
+    kept = stored(df.sortWithinPartitions(by), label).select(
+        "*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row)
+    )
+    runs = kept.groupBy(by, file).agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy(by).orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")
+    placed = kept.join(runs.select(by, file, before.alias(shift)), [by, file])
+    return placed.withColumn(name, F.col(row) + F.col(shift)).select(*df.columns, name)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the stored steps of this process.  Frames that read them can't be used afterwards."""
     jvm = spark._jvm

@@ -138,7 +138,7 @@ class CountTransducer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        letters = _byte_letters()
+        letters = byte_letters()
         self.special = [t["content"].encode() for t in spec["added_tokens"] if t["special"]]
         skip = {t["content"] for t in spec["added_tokens"]}
         token_of = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in skip}
@@ -337,7 +337,7 @@ class CountTransducer:
         return data, np.concatenate([[0], ends[:-1]]), ends, np.array(owner), extra
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The bytes behind the printable letters in which a byte-level vocabulary is written."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
