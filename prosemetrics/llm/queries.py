@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prosemetrics.llm.mixing import Mixture, mixed_ids
 from prosemetrics.llm.packing import pack
+from prosemetrics.llm.pii import personal_data
 from prosemetrics.llm.quality_model import quality_scores
 from prosemetrics.llm.quality_rules import quality_rules
 from prosemetrics.llm.sharding import shards
@@ -73,6 +74,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), TOKENIZER, 2048)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_ids(_table(spark, sf_dir, "documents"), MIXTURE)
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_top_k": op7_top_k,
     "op8_packing": op8_packing,
+    "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
 }
 
