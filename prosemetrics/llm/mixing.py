@@ -127,7 +127,7 @@ def select_prefixes(rows: DataFrame, mixture: Mixture) -> DataFrame:
     parts = parts.withColumn("part_before", F.coalesce(F.sum("part_tokens").over(earlier), F.lit(0)))
     parts = parts.join(plan, leaf).filter("part_before < budget")
     wanted = ordered.join(parts, part)
-    whole = F.col("part_before") + F.col("part_tokens") <= F.col("budget")
+    whole = F.col("part_before") + F.col("part_tokens") < F.col("budget")
     inside = Window.partitionBy(*part).orderBy("place", "text_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
     sums = wanted.filter(~whole).withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     cut = sums.filter("part_before + inside < budget")

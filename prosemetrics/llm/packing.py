@@ -46,12 +46,16 @@ def encoder(path: str):
     extremely long words, are left to ``tokenizers``.
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(path)
-        by_library = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         with open(path, encoding="utf-8") as file:
             fast = _fast_encoder(json.load(file))
+        library = []
+
+        def by_library(text: str) -> np.ndarray:
+            if not library:  # loaded when it is first needed: it takes memory in every worker
+                from tokenizers import Tokenizer
+
+                library.append(Tokenizer.from_file(path))
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
         def encode(text: str) -> np.ndarray:
             if fast is None or (len(text) > LONG_WORD and max(map(len, text.split(" "))) > LONG_WORD):

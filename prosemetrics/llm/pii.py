@@ -36,7 +36,8 @@ class Generator:
 GENERATORS = (
     Generator(EMAIL, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@[A-Za-z0-9-]", True),
     Generator(IP, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True),
-    Generator(CARD, r"[0-9]++(?:[ -][0-9]++)*+", r"[0-9]", True),
+    # Only from where thirteen digits follow; shorter runs are no card numbers.
+    Generator(CARD, r"(?<![0-9])(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -][0-9]++)*+", r"(?:[0-9][ -]?){12}[0-9]", True),
     Generator(PHONE, r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", True),
     # Written around a filter: name [at] host [dot] org.
     Generator(
@@ -48,7 +49,7 @@ GENERATORS = (
     # Numbers without a plus: a 00 prefix, or an area code in brackets.
     Generator(
         PHONE,
-        r"(?<![0-9+.])(?:00[1-9][ ().0-9-]{6,18}[0-9]|\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4})(?![0-9])",
+        r"(?<![0-9+.])(?:00[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4})(?![0-9])",
         r"00[1-9]|\([0-9]{3}\)",
         False,
     ),
@@ -79,29 +80,36 @@ def running_sum(lengths: Column) -> Column:
             lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")),
         )["out"]
 
-    count = F.size(lengths)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(count / RUN).cast("int") - 1, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.slice(lengths, i * RUN + 1, RUN))
-    totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda acc, x: acc + x))
-    together = F.zip_with(runs, before(totals), lambda r, base: F.transform(before(r), lambda x: x + base))
-    return F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(together))
+    def sums(values: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(values) / RUN).cast("int") - 1, F.lit(0))
+        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * RUN + 1, RUN))
+
+        def joined(runs: Column) -> Column:
+            totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda acc, x: acc + x))
+            return F.flatten(F.zip_with(runs, before(totals), lambda r, base: F.transform(before(r), lambda x: x + base)))
+
+        return let(runs, joined)
+
+    return let(lengths, sums)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, value>>`` of a pattern's matches; offsets are code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
 
     def place(values: Column) -> Column:
-        sizes = F.zip_with(between, values, lambda gap, value: F.length(gap).cast("long") + F.coalesce(F.length(value), F.lit(0)))
-        ahead = F.zip_with(running_sum(sizes), between, lambda at, gap: at + F.length(gap))
-        return F.zip_with(
-            values,
-            F.slice(ahead, F.lit(1), F.size(values)),
-            lambda value, at: F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value")),
-        )
+        def among(gaps: Column) -> Column:
+            size = lambda gap, value: F.length(gap).cast("long") + F.coalesce(F.length(value), F.lit(0))
+            ahead = F.zip_with(running_sum(F.zip_with(gaps, values, size)), gaps, lambda at, gap: at + F.length(gap))
+            return F.zip_with(
+                values,
+                F.slice(ahead, F.lit(1), F.size(values)),
+                lambda value, at: F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value")),
+            )
+
+        return let(F.split(text, pattern, -1), among)
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     return let(found, lambda values: F.when(F.size(values) == 0, none).otherwise(place(values)))
 
 
@@ -118,8 +126,8 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda acc, x: acc + x) % 10 == 0
 
 
-def passes(kind: int, value: Column) -> Column:
-    """The test of a kind."""
+def passes(kind: int, value: Column, base: bool) -> Column:
+    """The test of a kind.  A prefix 00, for which a base phone number has no room, is no digit."""
     if kind == EMAIL:
         return value.isNotNull()
     if kind == IP:
@@ -129,7 +137,7 @@ def passes(kind: int, value: Column) -> Column:
     digits = digits_of(value)
     if kind == CARD:
         return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(F.lit(False))
-    return F.length(F.regexp_replace(digits, "^00", "")).between(9, 15)
+    return F.length(digits if base else F.regexp_replace(digits, "^00", "")).between(9, 15)
 
 
 CANDIDATE = "struct<kind:int,base:boolean,start:bigint,end:bigint,value:string,valid:boolean,before:string>"
@@ -138,7 +146,7 @@ CANDIDATE = "struct<kind:int,base:boolean,start:bigint,end:bigint,value:string,v
 def candidates(text: Column) -> Column:
     """``array<struct<kind, base, start, end, value, valid, before>>``: what the generators propose.
 
-    Spans of different generators may overlap.  Runs of fewer than seven digits propose no card.
+    Spans of different generators may overlap.
     """
 
     def described(g: Generator):
@@ -150,7 +158,7 @@ def candidates(text: Column) -> Column:
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 m["value"].alias("value"),
-                passes(g.kind, m["value"]).alias("valid"),
+                passes(g.kind, m["value"], g.base).alias("valid"),
                 F.substring(text, (begin + 1).cast("int"), (m["start"] - begin).cast("int")).alias("before"),
             )
 
@@ -159,8 +167,6 @@ def candidates(text: Column) -> Column:
     parts = []
     for g in GENERATORS:
         found = matches(text, g.pattern)
-        if g.kind == CARD:
-            found = F.filter(found, lambda m: F.length(digits_of(m["value"])) >= 7)
         none = F.array().cast(f"array<{CANDIDATE}>")
         parts.append(F.when(text.rlike(g.hint), F.transform(found, described(g))).otherwise(none))
     return F.concat(*parts)
@@ -240,8 +246,8 @@ def selected(found: Column, model: Trees, threshold: float) -> Column:
     )
     touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-    def choose(sure: Column) -> Column:
-        free = F.filter(F.transform(extra, bare), lambda e: ~F.exists(sure, lambda s: touches(s, e)))
+    def choose(sure: Column, more: Column) -> Column:
+        free = F.filter(more, lambda e: ~F.exists(sure, lambda s: touches(s, e)))
         alone = F.aggregate(
             free,
             F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"),
@@ -249,7 +255,10 @@ def selected(found: Column, model: Trees, threshold: float) -> Column:
         )
         return F.array_sort(F.concat(sure, alone))
 
-    return F.when(F.size(extra) == 0, F.array_sort(base)).otherwise(let(base, choose))
+    def with_extra(more: Column) -> Column:
+        return F.when(F.size(more) == 0, F.array_sort(base)).otherwise(let(base, lambda sure: choose(sure, more)))
+
+    return let(F.transform(extra, bare), with_extra)
 
 
 def written(spans: Column) -> Column:
@@ -291,19 +300,22 @@ def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the one
     that begins first counts, and the rest of the others is removed with it."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    cut = "struct<gap:bigint,start:bigint,kind:int>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{cut}>").alias("cuts"))
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def take(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.get(names, s["kind"]))).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        new = F.struct(acc["at"].alias("gap"), s["start"].alias("start"), s["kind"].alias("kind"))
+        fresh = F.struct(s["end"].alias("at"), F.concat(acc["cuts"], F.array(new)).alias("cuts"))
+        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["cuts"].alias("cuts"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(longer)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    def rewrite(done: Column) -> Column:
+        piece = lambda low, high: F.substring(text, (low + 1).cast("int"), (high - low).cast("int"))
+        parts = F.transform(done["cuts"], lambda c: F.concat(piece(c["gap"], c["start"]), F.get(names, c["kind"])))
+        return F.concat(F.array_join(parts, ""), piece(done["at"], F.length(text).cast("long")))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(by_place, start, take, finish))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(by_place, start, take), rewrite))
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

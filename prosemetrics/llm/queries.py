@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemetrics.llm.mixing import Mixture, mixed_ids
+from prosemetrics.llm.oracles import mixing_sql, top_k_sql, url_sql
 from prosemetrics.llm.packing import pack
 from prosemetrics.llm.pii import personal_data
 from prosemetrics.llm.quality_model import quality_scores
@@ -95,4 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+# The others have trained models, checksums or hashes that DuckDB lacks, or free numbers; tests/llm
+# compares them with brute force.
+ORACLES: dict[str, str] = {
+    "op5_url_filter": url_sql(URL_POLICY),
+    "op7_top_k": top_k_sql(10, 100),
+    "op10_mixing": mixing_sql(MIXTURE),
+}
