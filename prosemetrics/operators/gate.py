@@ -5,11 +5,14 @@ A pair is one row and every check stays inside it, so the gate has no shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.functions import text as T
 from prosemetrics.functions.findings import flat
+from prosemetrics.functions.numbers import rounded
 from prosemetrics.operators.markers import _template
 from prosemetrics.operators.measures import rhythm, voice, voice_total
 from prosemetrics.packs.base import SIGNALS, Rules
@@ -111,29 +114,39 @@ def voice_lost(rules: Rules) -> Column:
     return F.concat(*[one(name) for name in SIGNALS])
 
 
-def protected_kinds(rules: Rules, game: str | None = None) -> list[tuple[str, str]]:
-    """Patterns of what an edit must keep: shapes, then the game's fixed words."""
-    import re
-
-    words = rules.games[game or rules.default_game].protected
-    fixed = [
-        (w, rf"(?iuU)(?<![\p{{L}}\p{{N}}]){re.escape(w)}(?![\p{{L}}\p{{N}}])") for w in words
-    ]
-    return [*rules.language.protected_patterns, *fixed]
-
-
-def protected_losses(before: Column, after: Column, rules: Rules, game: str | None = None):
-    """``array<struct<kind, items>>`` of items that occur less often after."""
-    kinds = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), T.lost_items(before, after, p).alias("items"))
-            for kind, p in protected_kinds(rules, game)
-        ]
-    )
-    return F.filter(kinds, lambda k: F.size(k["items"]) > 0)
-
+def protected_losses(before: Column, after: Column, rules: Rules, game: Column | None = None):
+    """``array<struct<kind, items>>`` of items that occur less often after.
 
-def protected_lost(rules: Rules, game: str | None = None) -> Column:
+    An edit must keep shapes (numbers, codes) and the fixed words of its game.
+    Every word that some game protects is compared once, however many games
+    there are; ``game`` then says which of the words count.  A game that is
+    not in the rules has the default game's words.
+    """
+    words = list(dict.fromkeys(w for g in rules.games.values() for w in g.protected))
+    if game is None:
+        words = list(rules.games[rules.default_game].protected)
+    shapes = list(rules.language.protected_patterns)
+    fixed = [(w, rf"(?iuU)(?<![\p{{L}}\p{{N}}]){re.escape(w)}(?![\p{{L}}\p{{N}}])") for w in words]
+
+    def counts(word: str) -> Column:
+        having = [g.id for g in rules.games.values() if word in g.protected]
+        known = game.isin(having)
+        if rules.default_game in having:
+            known = known | game.isNull() | ~game.isin(list(rules.games))
+        return F.coalesce(known, F.lit(False))
+
+    def kind(name: str, pattern: str, wanted: Column | None) -> Column:
+        items = T.lost_items(before, after, pattern)
+        if wanted is not None:
+            items = F.when(wanted, items).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(name).alias("kind"), items.alias("items"))
+
+    kinds = [kind(n, p, None) for n, p in shapes]
+    kinds += [kind(w, p, None if game is None else counts(w)) for w, p in fixed]
+    return F.filter(F.array(*kinds), lambda k: F.size(k["items"]) > 0)
+
+
+def protected_lost(rules: Rules, game: Column | None = None) -> Column:
     return F.transform(
         protected_losses(F.col("before"), F.col("after"), rules, game),
         lambda k: _violation(
@@ -157,8 +170,8 @@ def rhythm_flattened(rules: Rules) -> Column:
                 "rhythm_flattened",
                 _template(
                     rules.messages["rhythm_flattened"],
-                    F.format_string("%.2f", was),
-                    F.format_string("%.2f", now),
+                    F.format_string("%.2f", rounded(was, 2)),
+                    F.format_string("%.2f", rounded(now, 2)),
                 ),
             )
         ),
@@ -172,13 +185,13 @@ def text_shrunk(rules: Rules) -> Column:
         F.array(
             _violation(
                 "text_shrunk",
-                _template(rules.messages["text_shrunk"], F.format_string("%.0f", F.abs(delta))),
+                _template(rules.messages["text_shrunk"], F.format_string("%.0f", rounded(F.abs(delta), 0))),
             )
         ),
     ).otherwise(_none())
 
 
-def violations(rules: Rules, game: str | None = None) -> Column:
+def violations(rules: Rules, game: Column | None = None) -> Column:
     return F.concat(
         voice_lost(rules), protected_lost(rules, game), rhythm_flattened(rules), text_shrunk(rules)
     )
@@ -191,29 +204,25 @@ def validate_edits(pairs: DataFrame, rules: Rules) -> DataFrame:
     """
     keep = [c for c in pairs.columns if c not in ("before", "after")]
     rows = measured(pairs, rules)
+    provisional = F.lit(rules.games[rules.default_game].provisional)
+    game = None
     if "game" in pairs.columns:
-        found = violations(rules)
-        provisional = F.lit(rules.games[rules.default_game].provisional)
+        game = F.col("game")
         for g in rules.games.values():
             if g.id != rules.default_game:
-                found = F.when(F.col("game") == g.id, violations(rules, g.id)).otherwise(found)
-                provisional = F.when(F.col("game") == g.id, F.lit(g.provisional)).otherwise(
-                    provisional
-                )
-    else:
-        found = violations(rules)
-        provisional = F.lit(rules.games[rules.default_game].provisional)
+                provisional = F.when(game == g.id, F.lit(g.provisional)).otherwise(provisional)
+    found = violations(rules, game)
     return rows.withColumn("violations", found).select(
         *keep,
         (F.size("violations") == 0).alias("accepted"),
         "violations",
-        F.round(T.length_change_pct(F.col("before"), F.col("after")), 1).alias(
+        rounded(T.length_change_pct(F.col("before"), F.col("after")), 1).alias(
             "length_change_pct"
         ),
-        F.round("b_rhythm.ratio", 3).alias("rhythm_before"),
-        F.round("a_rhythm.ratio", 3).alias("rhythm_after"),
-        F.round(voice_total(F.col("b_voice")), 1).alias("voice_before"),
-        F.round(voice_total(F.col("a_voice")), 1).alias("voice_after"),
+        rounded(F.col("b_rhythm.ratio"), 3).alias("rhythm_before"),
+        rounded(F.col("a_rhythm.ratio"), 3).alias("rhythm_after"),
+        rounded(voice_total(F.col("b_voice")), 1).alias("voice_before"),
+        rounded(voice_total(F.col("a_voice")), 1).alias("voice_after"),
         provisional.alias("norms_provisional"),
     )
 
@@ -233,34 +242,35 @@ def select_attempt(
     tries = attempts.where(F.col("n") <= max_attempts).select(
         "doc_id", "n", T.strip_fence(F.col("text")).alias("after")
     )
-    # one shuffle by document: the grouping below reuses the join's placement
     rows = docs.select("doc_id", F.col("text").alias("before")).join(tries, "doc_id", "left")
-    verdicts = measured(rows, rules).select(
-        "doc_id", "n", "before", "after", violations(rules).alias("violations")
-    )
+    verdicts = measured(rows, rules).select("doc_id", "n", violations(rules).alias("violations"))
     accepted = F.size("violations") == 0
     tried = F.col("n").isNotNull()
+    # Only numbers and reasons are grouped; the one text of each document is fetched at the end.
     best = verdicts.groupBy("doc_id").agg(
-        F.first("before").alias("text"),
-        F.min(F.when(tried & accepted, F.struct("n", "after"))).alias("_best"),
+        F.min(F.when(tried & accepted, F.col("n"))).alias("_n"),
         F.array_sort(
             F.collect_list(
                 F.when(tried, F.struct("n", accepted.alias("accepted"), "violations"))
             )
         ).alias("_history"),
     )
+    chosen = tries.select("doc_id", F.col("n").alias("_n"), "after")
+    best = (
+        docs.select("doc_id", "text").join(best, "doc_id").join(chosen, ["doc_id", "_n"], "left")
+    )
     before, after = rules.messages["original_returned"].split("{}")
-    return best.withColumn("accepted", F.col("_best").isNotNull()).select(
+    return best.withColumn("accepted", F.col("_n").isNotNull()).select(
         "doc_id",
         "accepted",
-        F.col("_best.n").alias("accepted_n"),
-        F.coalesce("_best.after", "text").alias("text"),
+        F.col("_n").alias("accepted_n"),
+        F.coalesce("after", "text").alias("text"),
         F.filter(
             "_history",
-            lambda h: F.col("_best").isNull() | (h["n"] <= F.col("_best.n")),
+            lambda h: F.col("_n").isNull() | (h["n"] <= F.col("_n")),
         ).alias("attempts"),
         F.when(
-            F.col("_best").isNull(),
+            F.col("_n").isNull(),
             F.concat(F.lit(before), F.lit(str(max_attempts)), F.lit(after)),
         ).alias("caveat"),
     )

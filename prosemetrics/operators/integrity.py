@@ -10,7 +10,7 @@ from prosemetrics.functions.findings import finding, flat, one_if
 from prosemetrics.functions.text import word_count
 from prosemetrics.operators.markers import _template, artifact_findings
 from prosemetrics.packs.base import Rules
-from prosemetrics.session import cut_lineage, sized_broadcast
+from prosemetrics.session import cut_lineage, sized_broadcast, stored
 
 # The metadata contract of a corpus document.
 REQUIRED_FIELDS = (
@@ -136,6 +136,7 @@ def duplicate_ids(docs: DataFrame, rules: Rules) -> DataFrame:
     ).where(F.col("id").isNotNull())
     # Only ids held more than once take part in the sort.
     repeated = holders.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+    repeated = stored(repeated, "repeated-ids")  # measured for the broadcast and joined
     sorted_rows = holders.join(sized_broadcast(repeated), "id", "left_semi")
     chained = previous_in_order(sorted_rows, "id", "path")
     before, middle, after = rules.messages["duplicate_id"].split("{}")

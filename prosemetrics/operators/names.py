@@ -1,9 +1,9 @@
 """Official-name checks against a dictionary table ``names(official)``.
 
-Documents probe the dictionary once per word.  A multi-word name is looked up
-by its first word and then compared with the words that follow, so the number
-of probes does not depend on how long names can be.  The dictionary is
-broadcast when its counted size allows and joined by shuffle otherwise.
+A document's distinct words, and its word sequences of the lengths that names
+have, are counted inside its row and probe the dictionary by the whole folded
+form, so neither a common first word nor a repeated word is met twice.  The
+dictionary is broadcast when its size allows and joined by shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.functions import text as T
+from prosemetrics.functions.arrays import let, runs
 from prosemetrics.functions.findings import finding
 from prosemetrics.functions.units import lemma_rows
 from prosemetrics.packs.base import LanguagePack, Rules
-from prosemetrics.session import sized_broadcast
+from prosemetrics.session import sized_broadcast, stored
 
 APOSTROPHES = "'’ʼ`"
 DASHES = r"[-–—−]"
@@ -58,187 +59,244 @@ def _folded_dash(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, DASHES, "-"))
 
 
-def windows(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """One row per word: the word, the ``width`` words from there, sentence start."""
-    words = docs.select(key, name_words(F.col("text")).alias("w"))
-    return words.select(
-        key,
-        F.explode(
-            F.filter(
-                F.transform(
-                    "w",
-                    lambda x, i: F.struct(
-                        x.alias("first"),
-                        F.slice("w", i + 1, F.lit(width)).alias("window"),
-                        (
-                            (i == 0) | (F.get("w", F.greatest(i - 1, F.lit(0))) == ".")
-                        ).alias("opening"),
-                    ),
-                ),
-                lambda s: _is_word(s["first"]),
-            )
-        ).alias("s"),
-    ).select(key, "s.*")
+def _folded_apostrophe(c: Column) -> Column:
+    return F.lower(F.translate(c, APOSTROPHES, ""))
 
 
-def _dictionary_width(names: DataFrame) -> int:
-    """Words in the longest name: one number, aggregated on the cluster."""
-    longest = names.select(F.max(F.size(_strip_marks(name_words(F.col("official")))))).first()[0]
-    return int(longest or 1)
+# Stands before a sequence of words that opens a sentence.
+OPENING = "^"
 
 
-def _match_windows(
-    docs: DataFrame, dictionary: DataFrame, width: int, fold, candidate, key: str = "doc_id"
-) -> DataFrame:
-    """Rows (key, was, official, opening) whose folded window equals a name."""
-    probe = windows(docs, width, key)
-    if candidate is not None:
-        probe = probe.where(candidate)
-    return (
-        probe.withColumn("_first", fold(F.col("first")))
-        .join(sized_broadcast(dictionary), "_first")
-        .withColumn("was", F.array_join(F.slice("window", F.lit(1), F.col("_arity")), " "))
-        .where(fold(F.col("was")) == F.col("_key"))
-        .select(key, "was", "official", "opening")
-    )
+def sequences(text: Column, arities: list[int], wanted: str | None = None) -> Column:
+    """``array<struct<value, n>>``: the distinct word sequences of the given lengths.
+
+    A sequence never runs over a punctuation mark.  One at a sentence start has
+    ``OPENING`` before it.  Equal sequences are counted inside the row.
+    """
+
+    def of(w: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            opens = (i == 0) | (F.get(w, F.greatest(i - 1, F.lit(0))) == ".")
+            mark = F.when(opens, F.lit(OPENING)).otherwise(F.lit(""))
+            return F.array(
+                *[
+                    F.when(
+                        F.size(w) >= i + a,
+                        F.concat(mark, F.array_join(F.slice(w, i + 1, F.lit(a)), " ")),
+                    )
+                    for a in arities
+                ]
+            )
+
+        return F.filter(
+            F.flatten(F.transform(w, at)),
+            lambda v: v.isNotNull() & ~v.rlike(r"(?:^|[ ^])[.,](?: |$)") & (F.lit(True) if wanted is None else v.rlike(wanted)),
+        )
+
+    return runs(let(name_words(text), of))
 
 
 def _dictionary(names: DataFrame, fold, min_words: int = 1) -> DataFrame:
+    """(official, _plain, _key, _arity) of names, without punctuation marks."""
     w = _strip_marks(name_words(F.col("official")))
     return (
         names.select("official", w.alias("_w"))
         .where(F.size("_w") >= min_words)
-        .select(
-            "official",
-            F.array_join("_w", " ").alias("_plain"),
-            fold(F.get("_w", F.lit(0))).alias("_first"),
-            fold(F.array_join("_w", " ")).alias("_key"),
-            F.size("_w").alias("_arity"),
-        )
+        .select("official", F.array_join("_w", " ").alias("_plain"), F.size("_w").alias("_arity"))
+        .withColumn("_key", fold(F.col("_plain")))
         .distinct()
     )
 
 
-def apostrophe_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n): names written without or with another apostrophe."""
+def _arities(dictionary: DataFrame) -> list[int]:
+    """The lengths names have, in words: a handful of numbers."""
+    return sorted(r[0] for r in dictionary.select("_arity").distinct().collect())
 
-    def fold(c: Column) -> Column:
-        return F.lower(F.translate(c, APOSTROPHES, ""))
 
-    official = (
-        names.select(F.explode(_strip_marks(name_words(F.col("official")))).alias("official"))
-        .where(F.col("official").rlike(f"[{APOSTROPHES}]"))
-        .groupBy(fold(F.col("official")).alias("_key"))
-        .agg(F.min("official").alias("official"))
-    )
-    words = docs.select(
-        "doc_id",
-        F.explode(F.regexp_extract_all("text", F.lit(NAME_WORD), F.lit(0))).alias("was"),
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "was", "official").agg(F.sum("n").alias("n"))
+
+
+def apostrophe_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, was, official, n) for each document row; see apostrophe_errors."""
+    parts = names.select(
+        F.explode(_strip_marks(name_words(F.col("official")))).alias("official")
+    ).distinct()
+    owners = parts.where(F.col("official").rlike(f"[{APOSTROPHES}]")).withColumn(
+        "_key", _folded_apostrophe(F.col("official"))
     )
+    right = parts.select(F.lower("official").alias("_low")).distinct()
+    found = runs(F.regexp_extract_all("text", F.lit(NAME_WORD), F.lit(0)))
     return (
-        words.withColumn("_key", fold(F.col("was")))
-        .join(sized_broadcast(official), "_key")
-        .where(F.lower("was") != F.lower("official"))
-        .groupBy("doc_id", "was", "official")
-        .agg(F.count("*").alias("n"))
+        docs.select("doc_id", F.explode(found).alias("r"))
+        .select("doc_id", F.col("r.value").alias("was"), F.col("r.n").cast("long").alias("n"))
+        .withColumn("_key", _folded_apostrophe(F.col("was")))
+        .join(sized_broadcast(owners), "_key")
+        .withColumn("_low", F.lower("was"))
+        .join(sized_broadcast(right), "_low", "left_anti")
+        .select("doc_id", "was", "official", "n")
     )
 
 
-def dash_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n): names whose dash is another sign."""
-    dashed = names.where(F.col("official").rlike(DASHES))
-    width = _dictionary_width(dashed)
-    # a spaced dash can only be an error where the window holds a dash at all
-    holds_dash = F.array_join("window", " ").rlike(DASHES)
-    candidates = docs.where(F.col("text").rlike(DASHES))
+def apostrophe_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, was, official, n): names written without or with another apostrophe.
+
+    A form that is itself part of an official name is right.  A wrong form is
+    reported with every official form it may stand for.
+    """
+    return _counted(apostrophe_rows(docs, names))
+
+
+def dash_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, was, official, n) for each document row; see dash_errors."""
+    listed = _dictionary(names, F.lower)
+    owners = _dictionary(names.where(F.col("official").rlike(DASHES)), _folded_dash)
+    found = sequences(F.col("text"), _arities(owners) or [1], DASHES)
     return (
-        _match_windows(
-            candidates, _dictionary(dashed, _folded_dash), width, _folded_dash, holds_dash
+        docs.where(F.col("text").rlike(DASHES))
+        .select("doc_id", F.explode(found).alias("r"))
+        .select(
+            "doc_id",
+            F.ltrim("r.value", F.lit(OPENING)).alias("was"),
+            F.col("r.n").cast("long").alias("n"),
         )
-        .where(F.lower("was") != F.lower(F.array_join(_strip_marks(name_words(F.col("official"))), " ")))
+        .withColumn("_key", _folded_dash(F.col("was")))
+        .join(sized_broadcast(owners), "_key")
+        .drop("_key")
+        .withColumn("_key", F.lower("was"))
+        .join(sized_broadcast(listed.select("_key").distinct()), "_key", "left_anti")
         .groupBy("doc_id", "was", "official")
-        .agg(F.count("*").alias("n"))
+        .agg(F.max("n").alias("n"))
     )
 
 
+def dash_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, was, official, n): names whose dash is another sign.
+
+    What is a listed name as written is right, whatever its dash.
+    """
+    return _counted(dash_rows(docs, names))
+
+
 def case_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, was, official, n): multi-word names written in another case.
 
-    At a sentence start the first letter is capital by the rules of the
-    language, so it is not compared there.
+    What is a listed name as written is right.  At a sentence start the first
+    letter is capital by the rules of the language, so it is not compared there.
     """
-    width = _dictionary_width(names)
-    plain = F.array_join(_strip_marks(name_words(F.col("official"))), " ")
-    tail_differs = F.substr(F.col("was"), F.lit(2)) != F.substr(plain, F.lit(2))
-    return (
-        _match_windows(docs, _dictionary(names, F.lower, 2), width, F.lower, None)
-        .where(
-            (F.col("was") != plain)
-            & (~F.col("opening") | tail_differs | F.col("was").rlike(r"^\p{Ll}"))
+    owners = _dictionary(names, F.lower, 2)
+    right = owners.select(F.col("_plain").alias("was")).distinct()
+    as_opening = F.concat(F.upper(F.substring("was", 1, 1)), F.substr("was", F.lit(2)))
+    right = right.select("was", F.lit(False).alias("opening")).unionByName(
+        right.select(F.explode(F.array("was", as_opening)).alias("was"), F.lit(True).alias("opening"))
+    )
+    found = sequences(F.col("text"), _arities(owners) or [2])
+    return _counted(
+        docs.select("doc_id", F.explode(found).alias("r"))
+        .select(
+            "doc_id",
+            F.ltrim("r.value", F.lit(OPENING)).alias("was"),
+            F.startswith("r.value", F.lit(OPENING)).alias("opening"),
+            F.col("r.n").cast("long").alias("n"),
         )
-        .groupBy("doc_id", "was", "official")
-        .agg(F.count("*").alias("n"))
+        .withColumn("_key", F.lower("was"))
+        .join(sized_broadcast(owners), "_key")
+        .join(sized_broadcast(right.distinct()), ["was", "opening"], "left_anti")
     )
 
 
+def _letters_removed(word: Column, most: Column) -> Column:
+    """A word and what is left of it without one or two of its letters."""
+
+    def without_one(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substr(w, i + 1)),
+        )
+
+    once = F.when(most >= 1, without_one(word)).otherwise(F.array())
+    twice = F.when(most >= 2, F.flatten(F.transform(without_one(word), without_one))).otherwise(F.array())
+    return F.array_distinct(F.concat(F.array(word), once, twice))
+
+
 def typo_candidates(
     docs: DataFrame,
     names: DataFrame,
     language: LanguagePack,
     max_edits: int = 2,
-    root: int = 3,
-    min_length: int = 5,
+    letters_per_edit: int = 4,
 ) -> DataFrame:
     """(doc_id, was, official, edits, n): near misses of name words.
 
-    A candidate shares the first ``root`` letters and the length within
-    ``max_edits``; inflected forms of a known word are not typos.  The root is
-    the join key, so only words with a common root are ever compared.
+    One edit (a letter put in, left out or replaced) is allowed for every
+    ``letters_per_edit`` letters of the longer word, ``max_edits`` (one or two)
+    at most, so that most of the word is common; where the edits sit does not
+    matter.  Inflected forms of a known word are not typos.
+
+    Words within d edits share what is left when up to d letters are removed
+    from each: that is the join key, so no block of similar words is compared
+    pair by pair.  Every distinct word of the corpus is matched once.
     """
+    if max_edits not in (1, 2):
+        raise ValueError("max_edits must be 1 or 2")
     inflection = language.inflection
     vocabulary = (
         names.select(F.explode(_strip_marks(name_words(F.col("official")))).alias("word"))
-        .select(F.lower(F.translate("word", APOSTROPHES, "")).alias("word"))
-        .where(F.length("word") >= min_length)
+        .select(_folded_apostrophe(F.col("word")).alias("word"))
+        .where(F.col("word").rlike(r"[\p{L}\p{N}]"))
         .distinct()
     )
     stems = vocabulary.select(T.stem(F.col("word"), inflection).alias("_stem")).distinct()
-    blocks = vocabulary.withColumn("_root", F.substring("word", 1, root))
+
+    def allowed(length: Column) -> Column:
+        return F.least(F.lit(max_edits), F.floor(length / letters_per_edit).cast("int"))
+
+    def keyed(words: DataFrame, column: str) -> DataFrame:
+        most = allowed(F.length(column) + max_edits)
+        return words.select(column, F.explode(_letters_removed(F.col(column), most)).alias("_key"))
+
+    found = runs(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     words = (
-        docs.select(
-            "doc_id",
-            F.explode(
-                F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-            ).alias("was"),
-        )
-        .where(F.length("was") >= min_length)
+        docs.select("doc_id", F.explode(found).alias("r"))
+        .select("doc_id", F.col("r.value").alias("was"), F.col("r.n").cast("long").alias("n"))
         .withColumn("_low", F.lower("was"))
     )
-    matched = (
-        words.withColumn("_root", F.substring("_low", 1, root))
-        .join(sized_broadcast(blocks), "_root")
-        .where(F.abs(F.length("_low") - F.length("word")) <= max_edits)
+    # Words much longer than any name word can match none; their length is data, not a setting.
+    longest = vocabulary.agg((F.max(F.length("word")) + max_edits).alias("_longest"))
+    distinct = (
+        words.select("_low")
+        .distinct()
+        .join(F.broadcast(longest), F.length("_low") <= F.col("_longest"))
+        .select("_low")
+    )
+    near = (
+        keyed(distinct, "_low")
+        .join(sized_broadcast(keyed(vocabulary, "word")), "_key")
+        .select("_low", "word")
+        .distinct()
         .withColumn("edits", F.levenshtein("_low", "word", max_edits))
-        .where(F.col("edits") >= 1)
+        .where((F.col("edits") >= 1) & (F.col("edits") <= allowed(F.greatest(F.length("_low"), F.length("word")))))
         .withColumn("_stem", T.stem(F.col("_low"), inflection))
         .join(sized_broadcast(stems), "_stem", "left_anti")
-    )
-    return (
-        matched.groupBy("doc_id", "was", "word")
-        .agg(F.first("edits").alias("edits"), F.count("*").alias("n"))
-        .groupBy("doc_id", "was")
+        .groupBy("_low")
         .agg(
             F.min_by("word", F.struct("edits", "word")).alias("official"),
             F.min("edits").alias("edits"),
-            F.first("n").alias("n"),
         )
     )
+    return (
+        words.join(near, "_low")
+        .groupBy("doc_id", "was", "official", "edits")
+        .agg(F.sum("n").alias("n"))
+        .select("doc_id", "was", "official", "edits", "n")
+    )
 
 
-def common_words(docs: DataFrame, language: LanguagePack, min_documents: int) -> DataFrame:
+def common_words(docs: DataFrame, language: LanguagePack, min_share: float) -> DataFrame:
     """(lemma, documents): words in so many documents that they name nothing.
 
-    Each document contributes a word once, so this is a plain count with
+    ``min_share`` is the share of all documents, so the result means the same
+    at every size.  Each document contributes a word once: a plain count with
     map-side combination and no distinct.
     """
     stems = F.array_distinct(
@@ -247,11 +305,13 @@ def common_words(docs: DataFrame, language: LanguagePack, min_documents: int) ->
             lambda w: T.stem(w, language.inflection),
         )
     )
+    total = docs.agg(F.count("*").alias("_all"))
     return (
         docs.select(F.explode(stems).alias("lemma"))
         .groupBy("lemma")
         .agg(F.count("*").alias("documents"))
-        .where(F.col("documents") >= min_documents)
+        .join(F.broadcast(total), F.col("documents") >= F.col("_all") * min_share)
+        .select("lemma", "documents")
     )
 
 
@@ -280,6 +340,7 @@ def short_names(
         .select("lemma", "official")
         .join(common.select("lemma"), "lemma", "left_anti")
     )
+    keys = stored(keys, "short-names")  # measured for the broadcast and joined: computed once
     words = docs.select(
         "doc_id",
         F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token"),

@@ -163,12 +163,13 @@ def regression(per_doc: DataFrame, limits: dict[str, float]) -> DataFrame:
     return total.select(F.inline(F.array(*rows)))
 
 
-def exact_percentiles(
+def rounded_percentiles(
     values: DataFrame, column: str, points: list[float], digits: int, *group: str
 ) -> DataFrame:
-    """Exact percentiles of a rounded measure: (*group, n, minimum, p..).
+    """Percentiles of a measure rounded to ``digits``: (*group, n, minimum, p..).
 
-    Values are rounded and counted first.  The percentile then runs over the
+    They are exact for the rounded values, and so within half a unit of the
+    last digit for the measure itself.  Values are rounded and counted first.  The percentile then runs over the
     histogram, whose size is bounded by the rounding and not by the corpus.
     """
     histogram = (
@@ -188,7 +189,7 @@ def exact_percentiles(
 
 def calibration(scores: DataFrame, column: str = "score", digits: int = 1) -> DataFrame:
     """Median, quartiles and minimum of the scores."""
-    return exact_percentiles(scores, column, [0.25, 0.5, 0.75], digits)
+    return rounded_percentiles(scores, column, [0.25, 0.5, 0.75], digits)
 
 
 def fit_norms(metrics: DataFrame, *group: str) -> DataFrame:
@@ -223,7 +224,7 @@ def fit_norms(metrics: DataFrame, *group: str) -> DataFrame:
             )
         ),
     )
-    return exact_percentiles(stacked, "value", [0.5], 3, *group, "measure")
+    return rounded_percentiles(stacked, "value", [0.5], 3, *group, "measure")
 
 
 def impact_report(pairs: DataFrame) -> DataFrame:

@@ -9,21 +9,18 @@ from prosemetrics.functions import text as T
 from prosemetrics.functions.arrays import runs
 from prosemetrics.functions.units import sentence_rows
 from prosemetrics.packs.base import Rules
-from prosemetrics.session import cut_lineage, sized_broadcast
+from prosemetrics.session import sized_broadcast, stored
 
 # A word with more occurrences than this is treated as a hot join key.
 HOT_ROWS = 200_000
 
 
-def paragraph_words(paragraph: Column, inflection: str, min_length: int) -> Column:
-    """Distinct stems of a paragraph, short words left out."""
+def paragraph_words(paragraph: Column, inflection: str) -> Column:
+    """Distinct stems of a paragraph."""
     return F.array_distinct(
-        F.filter(
-            F.transform(
-                F.regexp_extract_all(paragraph, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
-                lambda w: T.stem(w, inflection),
-            ),
-            lambda w: F.length(w) >= min_length,
+        F.transform(
+            F.regexp_extract_all(paragraph, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
+            lambda w: T.stem(w, inflection),
         )
     )
 
@@ -62,15 +59,17 @@ def echo(
     drafts: DataFrame,
     archive: DataFrame,
     rules: Rules,
-    max_df: int = 3,
+    max_df: int,
     min_shared: int = 2,
-    min_length: int = 4,
 ) -> DataFrame:
     """Archive paragraphs that share rare words with draft paragraphs.
 
-    Both sides are (doc_id, paragraph_no, paragraph).  A word is rare when at
-    most ``max_df`` archive paragraphs hold it, which also bounds the partners
-    of one draft word; one shared word is chance, so ``min_shared`` are asked.
+    Both sides are (doc_id, paragraph_no, paragraph).  ``max_df`` defines rare,
+    as a number of archive paragraphs, whatever the archive's size: a word that
+    more of them hold says nothing about where it comes from.  It also bounds
+    the partners of one draft word; one shared word is chance, so
+    ``min_shared`` are asked.  The archive's text is read once: its postings
+    are stored, and counts and both kinds of words come from them.
     Result: (draft_id, draft_paragraph, doc_id, paragraph_no, shared, words).
     """
     inflection = rules.language.inflection
@@ -79,13 +78,13 @@ def echo(
         return side.select(
             F.col("doc_id").alias(doc),
             F.col("paragraph_no").alias(par),
-            F.explode(paragraph_words(F.col("paragraph"), inflection, min_length)).alias("word"),
+            F.explode(paragraph_words(F.col("paragraph"), inflection)).alias("word"),
         )
 
-    archived = postings(archive, "doc_id", "paragraph_no")
-    drafted = postings(drafts, "draft_id", "draft_paragraph")
+    archived = stored(postings(archive, "doc_id", "paragraph_no"), "postings")
+    drafted = stored(postings(drafts, "draft_id", "draft_paragraph"), "postings")
     # Counted once and kept: the hot words and the rare words both come from it.
-    df = cut_lineage(archived.groupBy("word").agg(F.count("*").alias("df")))
+    df = stored(archived.groupBy("word").agg(F.count("*").alias("df")), "words")
     rare = df.where(F.col("df") <= max_df).select("word")
     frequent = df.where(F.col("df") > max(HOT_ROWS, max_df)).select("word")
     # Frequent words cannot be rare: they leave before the shuffle.

@@ -174,7 +174,8 @@ def rule_conflicts(
             F.concat_ws(" > ", F.col("_slang"), F.col("_preferred")).alias("detail"),
         )
     )
-    decision = F.col("decision")
+    # An absent decision is outside every domain, so it must not turn the test into null.
+    decision = F.coalesce("decision", F.lit(""))
     bad_domain = F.when(
         (F.col("rule") == "yo") & ~decision.isin("remove", "keep", "as_written"), "unknown-decision"
     ).when(
@@ -187,7 +188,7 @@ def rule_conflicts(
     domains = typography.select(
         bad_domain.alias("problem"),
         F.concat(F.lit("typography."), "rule").alias("subject"),
-        decision.alias("detail"),
+        F.col("decision").alias("detail"),
     ).where(F.col("problem").isNotNull()).distinct()
     hyphen = typography.agg(
         F.max(F.when((F.col("rule") == "range") & (decision == "hyphen"), 1)).alias("_range"),

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemetrics.functions.numbers import rounded
 from prosemetrics.functions.arrays import let
 from prosemetrics.functions.findings import finding, flat, no_findings
 from prosemetrics.functions.units import with_units
@@ -82,7 +83,7 @@ def detected(text: Column, rules: Rules) -> Column:
             F.when(best["hits"] > 0, best["profile"])
             .otherwise(rules.default_profile)
             .alias("profile"),
-            F.when(best["hits"] > 0, F.round(best["hits"] / total, 2))
+            F.when(best["hits"] > 0, rounded(best["hits"] / total, 2))
             .otherwise(0.0)
             .alias("confidence"),
         )

@@ -149,6 +149,7 @@ MESSAGES = {
     "variants": "mixed spelling: {}",
     "missing_section": "no section {}",
     "short_document": "{} of {} words",
+    "unknown_profile": "unknown profile {}",
 }
 
 RULES = Rules(

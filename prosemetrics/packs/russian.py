@@ -431,6 +431,7 @@ MESSAGES = {
     "частотные метрики шумят, категоричных выводов не будет",
     "detected_profile": "профиль определён автоматически: {} (уверенность {}); "
     "указать явно — --profile",
+    "unknown_profile": "профиль «{}» неизвестен: его разделы и пороги не проверены",
     "norm_caveat": "нормы предварительные: {}. Оценки ритма и живого — ориентир, "
     "а не эталон, пока не набран корпус текстов в этой игре",
     "names_skipped": "сверка имён отключена: {}",

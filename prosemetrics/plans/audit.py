@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.functions.findings import finding, flat, no_findings, ordered
+from prosemetrics.functions.numbers import rounded
 from prosemetrics.functions.text import evidence_trim, normalize_newlines
 from prosemetrics.functions.units import with_units
 from prosemetrics.operators import consistency, markers, measures, names as N, structure
@@ -110,7 +111,7 @@ def _on(analyzer: str) -> Column:
     return F.coalesce(F.try_element_at("analyzers", F.lit(analyzer)), F.lit(True))
 
 
-def _narrow(profiled: DataFrame, rules: Rules, options: Options, keep: list[str]) -> DataFrame:
+def _narrow(profiled: DataFrame, rules: Rules, options: Options, keep: list) -> DataFrame:
     """The one pass over the text: row findings and metrics per document."""
     lang = rules.language
     units = with_units(profiled, lang)
@@ -136,20 +137,25 @@ def _narrow(profiled: DataFrame, rules: Rules, options: Options, keep: list[str]
     )
 
 
+def _row_key() -> Column:
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("hash"))
+
+
 def _dictionary_hits(
     docs: DataFrame, names: DataFrame, rules: Rules, options: Options
 ) -> DataFrame:
-    """(doc_id, hits): dictionary findings of a document, in a fixed order.
+    """(_row, hits): dictionary findings of a document, in a fixed order.
 
-    Profiles are not looked at here, so they are guessed in one place only;
+    ``_row`` is the id and the text's hash: documents that share an id keep
+    their own findings, and equal documents have equal ones.  Profiles are not looked at here, so they are guessed in one place only;
     what a profile switches off is dropped when the report is put together.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(_row_key().alias("doc_id"), "text")
     none = F.lit(None).cast("string")
     hits = None
     for kind, frame in (
-        ("apostrophe", N.apostrophe_errors(docs, names)),
-        ("dash", N.dash_errors(docs, names)),
+        ("apostrophe", N.apostrophe_rows(docs, names)),
+        ("dash", N.dash_rows(docs, names)),
     ):
         part = frame.select(
             "doc_id", F.lit(kind).alias("kind"), "was", "official", F.col("n").cast("int")
@@ -173,8 +179,8 @@ def _dictionary_hits(
             )
         )
         hits = hits.unionByName(advice)
-    return hits.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "was", "official", "n"))).alias("hits")
+    return hits.groupBy(F.col("doc_id").alias("_row")).agg(
+        F.array_sort(F.collect_set(F.struct("kind", "was", "official", "n"))).alias("hits")
     )
 
 
@@ -228,12 +234,17 @@ def _assemble(
     kind: Column | None = None,
 ) -> DataFrame:
     if hits is not None:
-        base = base.join(hits, "doc_id", "left")
+        base = base.join(hits, "_row", "left")
         found = F.concat("row_findings", _hit_findings(rules, kind))
     else:
         found = F.col("row_findings")
     stamped = F.transform(found, lambda f: f.withField("profile", F.col("profile")))
     rows = base.withColumn("_found", stamped)
+    unknown = F.when(
+        F.col("analyzers").isNull(),
+        _template(rules.messages["unknown_profile"], F.coalesce("profile", F.lit("null"))),
+    )
+    notes = [*notes, unknown]
     if options.short_note:
         short = F.when(
             F.col("words") < F.col("min_words"),
@@ -249,11 +260,11 @@ def _assemble(
         F.map_filter(
             F.create_map(
                 F.lit("rhythm_ratio"),
-                F.round("rhythm.ratio", 3),
+                rounded(F.col("rhythm.ratio"), 3),
                 F.lit("sentence_mean"),
-                F.round("rhythm.mean", 1),
+                rounded(F.col("rhythm.mean"), 1),
                 F.lit("voice_per_1k"),
-                F.round(measures.voice_total(F.col("voice")), 1),
+                rounded(measures.voice_total(F.col("voice")), 1),
                 F.lit("voice_norm"),
                 F.when(F.col("voice").isNotNull(), F.col("voice_norm")),
                 F.lit("rhythm_norm"),
@@ -279,12 +290,14 @@ def audit(
     """One report row per document of ``docs(doc_id, text[, explicit])``.
 
     ``explicit`` names a column with the chosen profile; where it is null the
-    profile is guessed and a note says so.  Without ``names`` the dictionary
+    profile is guessed and a note says so.  A note also says where the chosen
+    profile does not exist, so that nothing of it was checked.  Without ``names`` the dictionary
     checks are left out.
     """
     clean = docs.withColumn("text", normalize_newlines(F.col("text")))
     profiled = structure.with_profile(clean, rules, explicit)
     keep = ["doc_id", "profile", "profile_confidence", "min_words", "analyzers"]
+    keep.append(_row_key().alias("_row"))
     base = (
         _narrow(profiled, rules, options, keep)
         .withColumn("analyzers_skipped", structure.skipped_analyzers(F.col("analyzers"), SWITCHES))
@@ -332,6 +345,7 @@ def analyze(
         F.col("provisional").alias("norms_provisional"),
         F.col("norm_voice_per_1k").alias("voice_norm"),
         F.col("norm_rhythm_ratio").alias("rhythm_norm"),
+        _row_key().alias("_row"),
     ]
     base = _narrow(profiled, rules, options, keep)
     skipped = structure.skipped_analyzers(

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dictionary side with at most this many rows is broadcast.  At ~200 bytes a
-# row that is about 100 MB on each executor; anything larger is joined by
-# shuffle instead.
-BROADCAST_ROWS = 500_000
+# A side of at most so many bytes (as JSON) is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="spark-prosemetrics-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -48,16 +50,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``dim`` is small enough.
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder, and read it back.
+
+    This cuts the lineage and survives a lost executor, and the step is
+    computed once, where ``checkpoint()`` would compute it twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stored steps of this process.  Frames that read them can't be used afterwards."""
+    jvm = spark._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``dim`` is small enough.
 
-    The count stops at ``max_rows + 1``.  Beyond the bound the frame is
+    Its rows are measured where they are.  Beyond the bound the frame is
     returned without a hint, so the join is shuffled and adaptive execution
     splits skewed partitions.
     """
-    if dim.limit(max_rows + 1).count() > max_rows:
-        return dim
-    return F.broadcast(dim)
+    size = dim.agg(F.sum(F.length(F.to_json(F.struct(*[dim[c] for c in dim.columns]))))).first()[0]
+    return F.broadcast(dim) if (size or 0) <= max_bytes else dim
 
 
 def spread(docs: DataFrame) -> DataFrame:

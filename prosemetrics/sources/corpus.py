@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,14 +68,21 @@ def parse_documents(raw: DataFrame, content: str = "content", path: str = "path"
 
 
 def read_corpus(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """Read text files with optional front matter, one document per file."""
+    """Read text files with optional front matter, one document per file.
+
+    ``path`` is a file's place below ``path``, folders included, so files of
+    equal names in two folders stay two documents.
+    """
+    root = re.escape(re.sub(r"^[a-z][a-z0-9+.-]*:/+", "/", path).rstrip("/"))
     raw = (
         spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
         .select(
             F.col("value").alias("content"),
-            F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("path"),
+            F.regexp_replace(
+                F.url_decode("_metadata.file_path"), rf"^(?:[a-z][a-z0-9+.-]*:/*)?{root}/+|^.*{root}/+", ""
+            ).alias("path"),
         )
     )
     return parse_documents(raw)

@@ -75,7 +75,7 @@ def test_case_errors_spare_sentence_openings(docs, names):
 
 def test_short_names_skip_common_words(spark, docs, names):
     texts = docs("Монетку тратьте рано. Щит и портал.", "Портал там.", "Порталы тут.")
-    common = N.common_words(texts, LANG, 3)
+    common = N.common_words(texts, LANG, 1.0)
     got = N.short_names(texts, names, common, LANG).collect()
     assert {(r.was, r.official) for r in got} == {
         ("Монетку", "Медная монетка"),

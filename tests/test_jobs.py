@@ -168,7 +168,7 @@ def test_echo_matches_brute_force_with_and_without_salting(spark, monkeypatch, h
     from dataclasses import replace
 
     rules = replace(RULES, language=replace(RULES.language, inflection="$^"))
-    got = retrieval.echo(frame(drafts), frame(archive), rules, max_df=3, min_shared=2, min_length=3)
+    got = retrieval.echo(frame(drafts), frame(archive), rules, max_df=3, min_shared=2)
     assert {
         ((r.draft_id, r.draft_paragraph), (r.doc_id, r.paragraph_no)): r.shared for r in got.collect()
     } == brute_echo(drafts, archive, 3, 2)

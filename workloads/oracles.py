@@ -32,6 +32,14 @@ def sents(text: str) -> str:
     )
 
 
+def even(value: str, digits: int) -> str:
+    """Ties to even on the exact binary value of a double."""
+    s, k = f"{10**digits}.0::DOUBLE", "134217729.0::DOUBLE"
+    low = f"(v * {s} - floor(v * {s})) + (((v * {k} - (v * {k} - v)) * {s} - v * {s}) + (v - (v * {k} - (v * {k} - v))) * {s})"
+    up = f"CASE WHEN {low} > 0.5 OR ({low} = 0.5 AND floor(v * {s}) % 2 <> 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return f"list_transform([CAST({value} AS DOUBLE)], lambda v: (floor(v * {s}) + {up}) / {s})[1]"
+
+
 def unnested(source: str, array: str, item: str, number: str, keep: str = "doc_id") -> str:
     """Rows (keep, number, item) of an array expression over ``source``."""
     return (
@@ -136,8 +144,9 @@ FROM part GROUP BY p_size
 """
 ORACLES["word_count"] = f"SELECT doc_id, {wc('text')} AS words FROM documents"
 ORACLES["line_of"] = f"""
-SELECT doc_id, CAST(len(string_split(split_part(text, ',', 1), {NL})) AS BIGINT) AS line
-FROM documents WHERE contains(text, ',')
+SELECT doc_id, CASE WHEN contains(text, ',')
+         THEN CAST(len(string_split(split_part(text, ',', 1), {NL})) AS BIGINT) END AS line
+FROM documents
 """
 ORACLES["lines"] = DOC_LINES
 ORACLES["sentences"] = f"""
@@ -268,10 +277,11 @@ SELECT *, CASE WHEN en + de + fr + br = 0 THEN 'brief' WHEN en >= greatest(de, f
        WHEN de >= greatest(fr, br) THEN 'de-report' WHEN fr >= br THEN 'fr-report' ELSE 'brief' END
        AS profile,
        CASE WHEN en + de + fr + br = 0 THEN 0.0::DOUBLE
-       ELSE round(greatest(en, de, fr, br) / (en + de + fr + br), 2) END AS confidence
+       ELSE %s END AS confidence
 FROM sc
 """
 MIN_WORDS = "CASE profile WHEN 'brief' THEN 80 WHEN 'fr-report' THEN 200 ELSE 300 END"
+PROFILED = PROFILED % even("greatest(en, de, fr, br) / (en + de + fr + br)", 2)
 ORACLES["short_documents"] = f"""
 WITH hd AS ({HEADED}), sc AS ({HINT_SCORES}), pr AS ({PROFILED})
 SELECT doc_id, words || ' of ' || {MIN_WORDS} || ' words' AS note FROM pr
@@ -284,14 +294,15 @@ ORACLES["evidence"] = "SELECT doc_id, substr(text, 1, 90) AS evidence FROM docum
 TOKEN_APOS = r"[\p{L}\p{N}]+(?:[''’ʼ`\-–—−][\p{L}\p{N}]+)*"
 ORACLES["name_apostrophes"] = f"""
 WITH n AS (SELECT DISTINCT p_name, p_name[1:2] || '''' || p_name[3:] AS official FROM part),
-d AS (SELECT doc_id, text || chr(10) || 'A ' || p_name || ', a ' || p_name[1:2] || '’' || p_name[3:]
-        || ' and a ' || p_name[1:2] || '''' || p_name[3:] || '. One ' || p_name || ' more.' AS text
-      FROM documents JOIN part ON doc_id = p_partkey),
+d AS (SELECT doc_id, text || coalesce(chr(10) || 'A ' || p_name || ', a ' || p_name[1:2] || '’' || p_name[3:]
+        || ' and a ' || p_name[1:2] || '''' || p_name[3:] || '. One ' || p_name || ' more.', '') AS text
+      FROM documents LEFT JOIN part ON doc_id = p_partkey),
+official_words AS (SELECT DISTINCT lower(unnest(string_split(official, ' '))) AS word FROM n),
 w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_APOS}')) AS was FROM d),
 k AS (SELECT DISTINCT split_part(official, ' ', 1) AS official FROM n)
 SELECT doc_id, was, official, count(*) AS n
 FROM w JOIN k ON replace(k.official, '''', '') = lower(regexp_replace(was, '[''’ʼ`]', '', 'g'))
-WHERE lower(was) <> official GROUP BY 1, 2, 3
+WHERE lower(was) NOT IN (SELECT word FROM official_words) GROUP BY 1, 2, 3
 """
 ORACLES["name_dashes"] = """
 SELECT doc_id, replace(p_name, ' ', ' ' || unnest(['-', '—']) || ' ') AS was,
@@ -307,25 +318,25 @@ SELECT doc_id, unnest([p_name, opening, upper(p_name)]) AS was, official, CAST(1
 FROM q
 """
 ORACLES["name_typos"] = f"""
-WITH d AS (SELECT doc_id, text || chr(10) || 'Use '
-        || regexp_replace(p_name, '([a-z]{{4}})([a-z])', '\\1x\\2', 'g') || '.' AS text
-      FROM documents JOIN part ON doc_id = p_partkey),
-v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
-vv AS (SELECT word FROM v WHERE length(word) >= 5),
+WITH d AS (SELECT doc_id, text || coalesce(chr(10) || 'Use '
+        || regexp_replace(p_name, '([a-z]{{4}})([a-z])', '\\1x\\2', 'g') || ' or z' || p_name[2:] || '.', '') AS text
+      FROM documents LEFT JOIN part ON doc_id = p_partkey),
+vv AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
 t AS (SELECT doc_id, was, count(*) AS n FROM (
-        SELECT doc_id, unnest({tokens('text')}) AS was FROM d) WHERE length(was) >= 5 GROUP BY 1, 2),
-m AS (SELECT doc_id, was, word, n, levenshtein(regexp_replace(lower(was), '[^a-z0-9]', '?', 'g'), word) AS edits
-      FROM t JOIN vv ON lower(was)[1:3] = word[1:3]
-      WHERE levenshtein(regexp_replace(lower(was), '[^a-z0-9]', '?', 'g'), word) BETWEEN 1 AND 2
-        AND regexp_replace(lower(was), '(es|en|er|s|e)$', '') NOT IN
-            (SELECT regexp_replace(word, '(es|en|er|s|e)$', '') FROM vv))
-SELECT doc_id, was, n, arg_min(word, (edits, word)) AS official, CAST(min(edits) AS BIGINT) AS edits
-FROM m GROUP BY 1, 2, 3
+        SELECT doc_id, unnest({tokens('text')}) AS was FROM d) GROUP BY 1, 2),
+low AS (SELECT DISTINCT lower(was) AS low, regexp_replace(lower(was), '[^a-z0-9]', '?', 'g') AS plain FROM t),
+near AS (SELECT low, word, levenshtein(plain, word) AS edits FROM low JOIN vv
+           ON abs(length(plain) - length(word)) <= 2
+         WHERE levenshtein(plain, word) BETWEEN 1 AND least(2, greatest(length(plain), length(word)) // 4)
+           AND regexp_replace(low, '(es|en|er|s|e)$', '') NOT IN
+               (SELECT regexp_replace(word, '(es|en|er|s|e)$', '') FROM vv)),
+m AS (SELECT low, arg_min(word, (edits, word)) AS official, CAST(min(edits) AS BIGINT) AS edits FROM near GROUP BY 1)
+SELECT doc_id, was, n, official, edits FROM t JOIN m ON m.low = lower(was)
 """
 COMMON = f"""
 SELECT lemma, count(DISTINCT doc_id) AS documents FROM (
   SELECT doc_id, regexp_replace(lower(unnest({tokens('text')})), '(es|en|er|s|e)$', '') AS lemma
-  FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 50
+  FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) >= (SELECT count(*) FROM documents) * 0.05
 """
 ORACLES["common_words"] = COMMON
 ORACLES["short_names"] = f"""
@@ -334,8 +345,8 @@ n AS (SELECT p_name || ' k' || p_partkey AS official FROM part),
 o AS (SELECT regexp_replace(lower(w), '(es|en|er|s|e)$', '') AS lemma, min(official) AS official
       FROM (SELECT official, unnest(string_split(official, ' ')) AS w FROM n)
       GROUP BY 1 HAVING count(DISTINCT official) = 1),
-d AS (SELECT doc_id, text || chr(10) || 'The k' || p_partkey || ' and ' || p_name AS text
-      FROM documents JOIN part ON doc_id = p_partkey),
+d AS (SELECT doc_id, text || coalesce(chr(10) || 'The k' || p_partkey || ' and ' || p_name, '') AS text
+      FROM documents LEFT JOIN part ON doc_id = p_partkey),
 t AS (SELECT doc_id, unnest({tokens('text')}) AS was FROM d)
 SELECT doc_id, was, official, count(*) AS n
 FROM t JOIN o ON o.lemma = regexp_replace(lower(was), '(es|en|er|s|e)$', '')
@@ -355,22 +366,39 @@ m AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(piece, '^"[^"\\n]*"$')
 PROSE = f"ln AS ({LINES}), h AS ({HEADS}), {PROSE_TAIL}"
 
 
+# Two-word names of prose (CTE m) that differ in capitals, as (doc_id, key, form, n).
+CASE_FORMS = """
+cw AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(
+        regexp_replace(text, '%s', '\\1,', 'g'), '[.!?…]+', ' . ', 'g'),
+        '[^\\p{L}\\p{N}\\s.\'\'’ʼ`\\-–—−]+', ' , ', 'g')), '\\s+'), lambda x: x <> '') AS a FROM m),
+cb AS (SELECT doc_id, unnest(a) AS x, unnest(list_concat(a[2:], [NULL])) AS y FROM cw),
+cf AS (SELECT doc_id, regexp_replace(lower(x), '(es|en|er|s|e)$', '') || ' '
+               || regexp_replace(lower(y), '(es|en|er|s|e)$', '') AS key,
+             regexp_replace(x, '(es|en|er|s|e)$', '') || ' '
+               || regexp_replace(y, '(es|en|er|s|e)$', '') AS form, count(*) AS n
+      FROM cb WHERE regexp_matches(x, '^\\p{Lu}\\p{Ll}') AND regexp_matches(y, '^\\p{L}\\p{Ll}')
+      GROUP BY 1, 2, 3)
+""" % OPENING
+
+
 def _variants(strict: bool) -> str:
     return f"""
 WITH hd AS (SELECT doc_id, regexp_replace(text, '([a-z]{{3}})(tion|ing|ment) (of|the|la|de) ',
               '\\1-\\2 \\3 ', 'g') AS text FROM documents), {PROSE},
 w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{OPENING}', '\\1', 'g'),
         '[\\p{{L}}\\p{{N}}]+(?:[''’ʼ\\-][\\p{{L}}\\p{{N}}]+)*')) AS w FROM m),
-f AS (SELECT doc_id, regexp_replace(lower(replace(w, '-', '')), '(es|en|er|s|e)$', '') AS key,
+hf AS (SELECT doc_id, regexp_replace(lower(replace(w, '-', '')), '(es|en|er|s|e)$', '') AS key,
              regexp_replace(lower(w), '(es|en|er|s|e)$', '') AS form, count(*) AS n
       FROM w GROUP BY 1, 2, 3),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY n DESC, form) AS r,
-             max(n) OVER (PARTITION BY doc_id, key) AS top,
-             count(*) OVER (PARTITION BY doc_id, key) AS forms FROM f)
+{CASE_FORMS},
+f AS (SELECT 'hyphen' AS kind, * FROM hf UNION ALL SELECT 'case', * FROM cf),
+g AS (SELECT *, row_number() OVER (PARTITION BY kind, doc_id, key ORDER BY n DESC, form) AS r,
+             max(n) OVER (PARTITION BY kind, doc_id, key) AS top,
+             count(*) OVER (PARTITION BY kind, doc_id, key) AS forms FROM f)
 SELECT doc_id, 'mixed spelling: ' || key AS message,
        string_agg(form || ' ×' || n, ', ' ORDER BY r) FILTER (WHERE r <= 4) AS evidence
        {"" if strict else ", 'likely' AS severity, CAST(0.85 AS DOUBLE) AS confidence"}
-FROM g WHERE forms > 1 AND top >= {1 if strict else 2} GROUP BY doc_id, key
+FROM g WHERE forms > 1 AND top >= {1 if strict else 2} GROUP BY kind, doc_id, key
 """
 
 
@@ -605,12 +633,13 @@ FROM s WHERE id IN ('term.the', 'term.ring', 'term.andnd') AND a > b
 
 FILED = """
 SELECT printf('doc-%09d.md', doc_id) AS path, doc_id, md5(text) AS id, n_chars,
-  CASE WHEN n_chars < 60 THEN '' ELSE text END AS text,
+  text,
   CASE source WHEN 'src0' THEN 'standard' WHEN 'src1' THEN 'wild' WHEN 'src2' THEN 'unknown'
     ELSE source END AS game_mode,
   CASE lang WHEN 'es' THEN 'essay' ELSE lang || '-report' END AS genre,
   CASE lang WHEN 'de' THEN 'washed' ELSE 'cleaned' END AS clean_status
-FROM documents
+FROM (SELECT doc_id, text, lang, source, n_chars FROM documents
+      UNION ALL SELECT -1 - doc_id, '', lang, source, 0 FROM documents WHERE doc_id % 50 = 0)
 """
 ORACLES["empty_documents"] = f"""
 SELECT path, 'error' AS severity, 'файл без текста' AS message FROM ({FILED}) WHERE text = ''
@@ -940,7 +969,7 @@ def echo_sql(drafts: str, keep: str) -> str:
         return (
             "SELECT DISTINCT doc_id, no, word FROM (SELECT doc_id, no, "
             f"regexp_replace(lower(unnest({tokens('par')})), {LATIN_STEM}) AS word "
-            f"FROM ({paragraphs})) WHERE length(word) >= 4"
+            f"FROM ({paragraphs}))"
         )
 
     return f"""
@@ -1038,9 +1067,9 @@ ORACLES["text_shrunk"] = f"WITH {GATE} SELECT pair_id FROM viol WHERE kind = 'te
 ORACLES["gate_verdicts"] = f"""
 WITH {GATE}
 SELECT pair_id, vs.pair_id IS NULL AS accepted, coalesce(violations, '') AS violations,
-  {dec('delta', 1)} AS length_change_pct, coalesce({dec('bv.ratio', 3)}, -1) AS rhythm_before,
-  coalesce({dec('av.ratio', 3)}, -1) AS rhythm_after, coalesce({dec('bv.per1k', 1)}, -1) AS voice_before,
-  coalesce({dec('av.per1k', 1)}, -1) AS voice_after
+  {even('delta', 1)} AS length_change_pct, coalesce({even('bv.ratio', 3)}, -1) AS rhythm_before,
+  coalesce({even('av.ratio', 3)}, -1) AS rhythm_after, coalesce({even('bv.per1k', 1)}, -1) AS voice_before,
+  coalesce({even('av.per1k', 1)}, -1) AS voice_after
 FROM mm LEFT JOIN vs USING (pair_id)
 """
 ORACLES["gate_summary"] = f"""
@@ -1079,9 +1108,9 @@ FROM mm JOIN mk b ON b.text = before JOIN mk a ON a.text = after JOIN tp USING (
 # ------------------------------------------------------------------ jobs
 
 AUDIT_DOCS = """
-SELECT doc_id, lang, text || '. Keep the ' || o || '. Later drop the ' || o || ' and the ' || p_name
-  || '.' AS text
-FROM (SELECT *, p_name[1:2] || '''' || p_name[3:] AS o FROM part) JOIN (%s) ON doc_id = p_partkey
+SELECT doc_id, lang, text || coalesce('. Keep the ' || o || '. Later drop the ' || o || ' and the ' || p_name
+  || '.', '') AS text
+FROM (SELECT *, p_name[1:2] || '''' || p_name[3:] AS o FROM part) RIGHT JOIN (%s) ON doc_id = p_partkey
 """ % HEADED
 
 
@@ -1115,7 +1144,7 @@ def audit_rows(docs: str, service: bool = False, names: bool = True) -> str:
         parts.append(
             f"SELECT doc_id, 'cards.apostrophe', 0, 'error', 'cards' FROM (SELECT DISTINCT doc_id, "
             f"was, official FROM nw JOIN nk ON nk.key = lower(regexp_replace(was, '[''’ʼ`]', '', "
-            f"'g')) WHERE lower(was) <> official) JOIN (SELECT doc_id FROM documents {only}) "
+            f"'g')) WHERE lower(was) NOT IN (SELECT word FROM ow)) JOIN (SELECT doc_id FROM documents {only}) "
             "USING (doc_id)"
         )
         if not service:
@@ -1129,6 +1158,7 @@ dl AS (SELECT * FROM ln), hits AS ({HITS}), ms AS ({MISSING}),
 nk AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS key,
          split_part(p_name, ' ', 1)[1:2] || '''' || split_part(p_name, ' ', 1)[3:] AS official FROM part),
 nw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_APOS}')) AS was FROM hd),
+ow AS (SELECT official AS word FROM nk UNION SELECT unnest(string_split(p_name, ' ')[2:]) FROM part),
 fa AS ({' UNION ALL '.join(parts)})
 """
 
@@ -1161,9 +1191,9 @@ g AS (SELECT doc_id, string_agg(severity || ':' || id || ':' || line, chr(10) OR
         count(*) FILTER (WHERE severity = 'review') AS review FROM fa GROUP BY 1)
 SELECT pr.doc_id, profile, pr.words, coalesce(g.findings, '') AS findings, coalesce(error, 0) AS error,
   coalesce(likely, 0) AS likely, coalesce(review, 0) AS review, CAST(0 AS BIGINT) AS info,
-  coalesce(CASE WHEN {on} THEN {dec('ratio', 3)} END, -1) AS rhythm_ratio,
-  coalesce(CASE WHEN {on} THEN {dec('mean', 1)} END, -1) AS sentence_mean,
-  coalesce(CASE WHEN {on} THEN {dec('per1k', 1)} END, -1) AS voice_per_1k,
+  coalesce(CASE WHEN {on} THEN {even('ratio', 3)} END, -1) AS rhythm_ratio,
+  coalesce(CASE WHEN {on} THEN {even('mean', 1)} END, -1) AS sentence_mean,
+  coalesce(CASE WHEN {on} THEN {even('per1k', 1)} END, -1) AS voice_per_1k,
   {skipped} AS skipped, {notes} AS notes {extra}
 FROM pr JOIN v USING (doc_id) LEFT JOIN g USING (doc_id)
 """

@@ -131,12 +131,10 @@ def word_count(spark, sf):
 
 @query
 def line_of(spark, sf):
-    """Line of the first comma of each document."""
-    docs = W.documents(spark, sf).where(F.instr("text", ",") > 0)
-    return docs.select(
-        "doc_id",
-        T.line_of(F.col("text"), F.instr("text", ",") - 1).cast("long").alias("line"),
-    )
+    """Line of the first comma of each document; null without a comma."""
+    at = F.instr("text", ",")
+    line = F.when(at > 0, T.line_of(F.col("text"), at - 1))
+    return W.documents(spark, sf).select("doc_id", line.cast("long").alias("line"))
 
 
 @query
@@ -372,12 +370,13 @@ def name_case(spark, sf):
 
 @query
 def name_typos(spark, sf):
-    """Part names with one letter too many, found by a shared root."""
+    """Part names with one letter too many, or with a wrong first letter."""
     docs = W.mentions(
         spark,
         sf,
         F.concat(
-            F.lit("Use "), F.regexp_replace("p_name", "([a-z]{4})([a-z])", "$1x$2"), F.lit(".")
+            F.lit("Use "), F.regexp_replace("p_name", "([a-z]{4})([a-z])", "$1x$2"),
+            F.lit(" or z"), F.substring("p_name", 2, 99), F.lit("."),
         ),
     )
     out = N.typo_candidates(docs, W.names(spark, sf, F.col("p_name")), LANG)
@@ -386,7 +385,7 @@ def name_typos(spark, sf):
 
 @query
 def common_words(spark, sf):
-    return N.common_words(W.documents(spark, sf), LANG, 50)
+    return N.common_words(W.documents(spark, sf), LANG, 0.05)
 
 
 @query
@@ -394,23 +393,21 @@ def short_names(spark, sf):
     """One word of a name stands for the whole; common and shared words do not."""
     official = F.concat("p_name", F.lit(" k"), "p_partkey")
     docs = W.mentions(spark, sf, F.concat(F.lit("The k"), "p_partkey", F.lit(" and "), "p_name"))
-    common = N.common_words(W.documents(spark, sf), LANG, 50)
+    common = N.common_words(W.documents(spark, sf), LANG, 0.05)
     return N.short_names(docs, W.names(spark, sf, official), common, LANG)
 
 
 @query
 def spelling_variants(spark, sf):
-    """Words spelled with and without a hyphen."""
+    """Words spelled with and without a hyphen, two-word names in several cases."""
     found = consistency.spelling_variants(W.hyphenated(spark, sf), RULES)
-    hyphens = found.where(~F.col("message").rlike("mixed spelling: .* "))
-    return hyphens.select("doc_id", "message", "evidence", "severity", "confidence")
+    return found.select("doc_id", "message", "evidence", "severity", "confidence")
 
 
 @query
 def spelling_variants_strict(spark, sf):
     found = consistency.spelling_variants(W.hyphenated(spark, sf), RULES, True)
-    hyphens = found.where(~F.col("message").rlike("mixed spelling: .* "))
-    return hyphens.select("doc_id", "message", "evidence")
+    return found.select("doc_id", "message", "evidence")
 
 
 @query
@@ -739,7 +736,7 @@ def author_scores(spark, sf):
 def score_calibration(spark, sf):
     """Quartiles and minimum of the scores of each profile."""
     scored = _scores(spark, sf).select("profile", "score")
-    return reporting.exact_percentiles(scored, "score", [0.25, 0.5, 0.75], 1, "profile")
+    return reporting.rounded_percentiles(scored, "score", [0.25, 0.5, 0.75], 1, "profile")
 
 
 @query
@@ -895,7 +892,7 @@ def echo(spark, sf):
         (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text"
     )
     archive = _lines_as_paragraphs(W.documents(spark, sf))
-    out = retrieval.echo(_lines_as_paragraphs(turns), archive, RULES)
+    out = retrieval.echo(_lines_as_paragraphs(turns), archive, RULES, max_df=3)
     return out.select(
         "draft_id", *_long("draft_paragraph", "paragraph_no"), "doc_id", "shared",
         F.array_join("words", " ").alias("words"),
@@ -906,7 +903,7 @@ def echo(spark, sf):
 def echo_within(spark, sf):
     """The archive against itself: paragraphs of other documents with rare words in common."""
     archive = _lines_as_paragraphs(W.documents(spark, sf))
-    out = retrieval.echo(archive, archive, RULES)
+    out = retrieval.echo(archive, archive, RULES, max_df=3)
     return out.select(
         "draft_id", *_long("draft_paragraph", "paragraph_no"), "doc_id", "shared",
     )
@@ -1055,16 +1052,14 @@ def _audit_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Headed documents about a part, and part names with an apostrophe."""
     official = F.concat(F.substring("p_name", 1, 2), F.lit("'"), F.substring("p_name", 3, 99))
     part = W.table(spark, sf, "part").select("p_partkey", "p_name")
+    advice = F.concat(
+        F.lit(". Keep the "), official, F.lit(". Later drop the "), official,
+        F.lit(" and the "), "p_name", F.lit("."),
+    )
     docs = (
         W.headed(spark, sf)
-        .join(part, F.col("doc_id") == F.col("p_partkey"))
-        .select(
-            "doc_id",
-            F.concat(
-                "text", F.lit(". Keep the "), official, F.lit(". Later drop the "), official,
-                F.lit(" and the "), "p_name", F.lit("."),
-            ).alias("text"),
-        )
+        .join(part, F.col("doc_id") == F.col("p_partkey"), "left")
+        .select("doc_id", F.concat("text", F.coalesce(advice, F.lit(""))).alias("text"))
     )
     return docs, W.names(spark, sf, official)
 

@@ -34,11 +34,11 @@ def hyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str, sentence: Column) -> DataFrame:
-    """Documents closed by a line about the part with the same number."""
+    """Documents closed by a line about the part with the same number, if there is one."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return documents(spark, sf_dir).join(part, F.col("doc_id") == F.col("p_partkey")).select(
-        "doc_id", F.concat("text", F.lit("\n"), sentence).alias("text")
-    )
+    joined = documents(spark, sf_dir).join(part, F.col("doc_id") == F.col("p_partkey"), "left")
+    line = F.when(F.col("p_name").isNotNull(), F.concat(F.lit("\n"), sentence)).otherwise("")
+    return joined.select("doc_id", F.concat("text", line).alias("text"))
 
 
 def names(spark: SparkSession, sf_dir: str, official: Column) -> DataFrame:
@@ -97,9 +97,14 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as corpus files with metadata, some of it missing or unknown.
 
-    The identifier is a digest of the text, so copies share it.
+    The identifier is a digest of the text, so copies share it.  Every 50th
+    document is filed once more with a negative number and an empty text.
     """
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    blank = docs.where("doc_id % 50 = 0").withColumns(
+        {"doc_id": -1 - F.col("doc_id"), "text": F.lit(""), "n_chars": F.lit(0).cast("long")}
+    )
+    docs = spread(docs.unionByName(blank))
 
     def field(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.cast("string").alias("value"))
@@ -132,7 +137,7 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("doc_id"),
         F.format_string("doc-%09d.md", "doc_id").alias("path"),
         F.map_from_entries(present).alias("meta"),
-        F.when(F.col("n_chars") < 60, "").otherwise(F.col("text")).alias("text"),
+        "text",
     )
 
 
