@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prosemetrics.functions.arrays import let
 from prosemetrics.functions.units import with_units
-from prosemetrics.packs.base import SIGNALS, LanguagePack, Rules
+from prosemetrics.packs.base import NORMS, SIGNALS, LanguagePack, Rules
 
 
 def rhythm(sentence_words: Column, min_sentences: int = 2) -> Column:
@@ -138,22 +138,12 @@ def marker_density(docs_words: DataFrame, hits: DataFrame, *group: str) -> DataF
 
 def norms_table(spark, rules: Rules) -> DataFrame:
     """One row per game with nullable norms."""
-    fields = (
-        "rhythm_ratio",
-        "rhythm_alarm",
-        "sentence_mean",
-        "paragraph_sentences",
-        "voice_per_1k",
-        "voice_low",
-        "markers_per_10k",
-        "author_median",
-    )
     schema = (
         "game string, norms_source string, provisional boolean, "
-        + ", ".join(f"norm_{f} double" for f in fields)
+        + ", ".join(f"norm_{f} double" for f in NORMS)
     )
     rows = [
-        (g.id, g.norms_source, g.provisional, *[g.norms.get(f) for f in fields])
+        (g.id, g.norms_source, g.provisional, *[g.norms.get(f) for f in NORMS])
         for g in rules.games.values()
     ]
     return spark.createDataFrame(rows, schema)

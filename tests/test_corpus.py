@@ -204,6 +204,8 @@ def test_rule_records_are_checked():
         rule_source.terms_from_records([{"decision": "allowed"}])
     with pytest.raises(ValueError, match="decision must be"):
         rule_source.terms_from_records([{"id": "x", "decision": "sometimes"}])
+    with pytest.raises(ValueError, match="number 1 is without an id.*x: word has the wrong type"):
+        rule_source.terms_from_records([{"decision": "allowed"}, {"id": "x", "decision": "allowed", "word": 3}])
 
 
 def test_yaml_rules(tmp_path):
@@ -213,7 +215,7 @@ def test_yaml_rules(tmp_path):
     (tmp_path / "profiles" / "note.yaml").write_text(
         "id: note\nmin_words: 5\nsections:\n  required:\n    - {id: a, title: Альфа}\n"
         "  optional:\n    - {id: b, title: Бета, variants: [Бета, Вторая]}\n"
-        "analyzers: {rhythm: false}\n", encoding="utf-8",
+        "analyzers: {rhythm: false}\nhints: ['\\bноты\\b']\n", encoding="utf-8",
     )
     (tmp_path / "games" / "chess.yaml").write_text(
         "id: chess\nnames: {asset: null, note: нет списка}\nprofiles: [note]\n", encoding="utf-8"
@@ -221,9 +223,41 @@ def test_yaml_rules(tmp_path):
     (tmp_path / "terminology.yaml").write_text(
         "rules:\n  - {id: t, decision: allowed, word: ход}\n", encoding="utf-8"
     )
+    (tmp_path / "typography.yaml").write_text(
+        "yo: {decision: keep, corpus: {with: 3}}\nnumbers:\n  range: {decision: hyphen}\n"
+        "dashes: {keep_hyphen_in: [матч-ап]}\n", encoding="utf-8"
+    )
     got = rule_source.read_yaml_rules(str(tmp_path), RULES)
     note = got.profiles["note"]
     assert note.sections[0].variants == ("альфа",) and note.sections[1].variants == ("бета", "вторая")
-    assert not note.enabled("rhythm") and note.enabled("cards")
+    assert note.analyzers == {"rhythm": False}
+    assert got.hints == {"note": (r"\bноты\b",)}
+    assert got.typography_decisions == {"yo": "keep", "range": "hyphen", "keep_hyphen_in": "матч-ап"}
     assert got.games["chess"].provisional and not got.games["chess"].has_names
     assert [t.subject for t in got.terms] == ["ход"]
+
+
+def test_absent_decisions_are_reported(spark):
+    assert ("unknown-decision", "typography.yo") in conflicts(spark, yo=None)
+    assert ("unknown-decision", "typography.quotes") in conflicts(spark, quotes=None)
+
+
+def test_equal_file_names_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.md").write_text(f"Текст {folder}", encoding="utf-8")
+    rows = {r.doc_id: (r.path, r.text) for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
+    assert rows == {"a/x": ("a/x.md", "Текст a"), "b c/x": ("b c/x.md", "Текст b c")}
+
+
+@pytest.mark.parametrize(
+    ("value", "digits", "want"),
+    [(5 / 8, 2, 0.62), (-6.25, 1, -6.2), (6.35, 1, 6.3), (12.5, 0, 12.0), (13.5, 0, 14.0), (2.675, 2, 2.67), (2.45, 1, 2.5)],
+)
+def test_rounding_judges_the_binary_value(spark, value, digits, want):
+    from pyspark.sql import functions as F
+
+    from prosemetrics.functions.numbers import rounded
+
+    assert round(value, digits) == want
+    assert spark.range(1).select(rounded(F.lit(value), digits)).first()[0] == want

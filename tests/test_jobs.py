@@ -186,3 +186,24 @@ def test_precedent_is_neutral_about_absent_words(spark, docs):
     assert rows["криптовалюта"].occurrences == 0
     assert rows["криптовалюта"].note == "в корпусе не встречается"
     assert retrieval.precedent(texts, words, 0, "-").count() == 2
+
+
+def test_documents_with_one_id_keep_their_own_findings(spark, names):
+    from prosemetrics.packs.russian import RULES as RUSSIAN
+    from prosemetrics.plans.audit import audit
+
+    docs = spark.createDataFrame(
+        [("d", "Видим АлАкир сегодня."), ("d", "Видим Ал'Акир сегодня."), ("e", "Видим АлАкир."), ("e", "Видим АлАкир.")],
+        "doc_id string, text string",
+    )
+    got = sorted((r.doc_id, [f.meta["count"] for f in r.findings if f.id == "cards.apostrophe"]) for r in audit(docs, RUSSIAN, names).collect())
+    assert got == [("d", []), ("d", [1]), ("e", [1]), ("e", [1])]
+
+
+def test_unknown_profile_is_said(spark):
+    from prosemetrics.packs.russian import RULES as RUSSIAN
+    from prosemetrics.plans.audit import audit
+
+    docs = spark.createDataFrame([("d", "Текст.", "нет-такого")], "doc_id string, text string, p string")
+    notes = audit(docs, RUSSIAN, explicit="p").first().notes
+    assert any("нет-такого" in n for n in notes)
