@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from prosemetrics.functions.findings import flat
 from prosemetrics.operators import gate
@@ -40,7 +41,10 @@ def severity_windows(
     lateness: str = "10 minutes",
     options: Options = Options(),
 ) -> DataFrame:
-    """Findings per tumbling window and severity; ``stream`` also carries ``ts``."""
+    """Findings per tumbling window and severity; ``stream`` also carries ``ts``.
+
+    In update mode a window leaves the state once the watermark has passed it.
+    """
     from prosemetrics.operators import markers
     from prosemetrics.functions.text import lines
 
@@ -76,13 +80,17 @@ def start_append(
 def start_summary(
     counts: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Keep a small summary up to date: each batch replaces the stored table."""
+    """Write the rows that a batch changed into a folder of their own.
+
+    A replayed batch replaces only its own folder; ``read_summary`` gives the
+    latest value of every row.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )
@@ -91,6 +99,15 @@ def start_summary(
     return writer.start()
 
 
+def read_summary(counts: DataFrame, path: str, *key: str) -> DataFrame:
+    """What ``start_summary`` has written: the latest row for each ``key``."""
+    values = [c for c in counts.columns if c not in key]
+    schema = StructType([*counts.schema.fields, StructField("batch_id", LongType())])
+    rows = counts.sparkSession.read.schema(schema).parquet(path)
+    latest = F.max_by(F.struct(*values), "batch_id").alias("v")
+    return rows.groupBy(*key).agg(latest).select(*[F.col(c if c in key else f"v.{c}") for c in counts.columns])
+
+
 def start_audit(
     stream: DataFrame,
     rules: Rules,

@@ -207,3 +207,19 @@ def test_unknown_profile_is_said(spark):
     docs = spark.createDataFrame([("d", "Текст.", "нет-такого")], "doc_id string, text string, p string")
     notes = audit(docs, RUSSIAN, explicit="p").first().notes
     assert any("нет-такого" in n for n in notes)
+
+
+def test_windows_leave_the_state(spark, tmp_path):
+    """Once the watermark has passed a window, it is no longer kept; its last count stays on disk."""
+    schema = "doc_id string, text string, ts timestamp"
+    for hour, name in ((0, "a"), (1, "b"), (40, "c"), (80, "d")):
+        rows = spark.createDataFrame([(name, "Надеюсь, это поможет.", None)], schema).withColumn("ts", F.timestamp_seconds(F.lit(hour * 3600)))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.document_stream(spark, str(tmp_path / "in"), schema, 1)
+    counts = jobs.severity_windows(stream, RULES)
+    run = jobs.start_summary(counts, str(tmp_path / "o"), str(tmp_path / "c"), True)
+    run.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    got = jobs.read_summary(counts, str(tmp_path / "o"), "window_start", "severity")
+    assert got.count() >= 4
+    assert kept[-1] < got.count()

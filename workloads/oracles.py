@@ -304,6 +304,19 @@ SELECT doc_id, was, official, count(*) AS n
 FROM w JOIN k ON replace(k.official, '''', '') = lower(regexp_replace(was, '[''’ʼ`]', '', 'g'))
 WHERE lower(was) NOT IN (SELECT word FROM official_words) GROUP BY 1, 2, 3
 """
+ORACLES["name_twins"] = f"""
+WITH p AS (SELECT *, p_name[1:2] || '''' || p_name[3:] AS two, p_name[1:3] || '''' || p_name[4:] AS three,
+             p_name[1:1] || '''' || p_name[2:] AS one FROM part),
+n AS (SELECT two AS official FROM p UNION SELECT three FROM p UNION SELECT p_name FROM p WHERE p_partkey % 2 = 0),
+w AS (SELECT DISTINCT unnest(string_split(official, ' ')) AS word FROM n),
+k AS (SELECT word AS official FROM w WHERE contains(word, '''')),
+d AS (SELECT doc_id, text || coalesce(chr(10) || 'A ' || two || ' and a ' || three || ' or ' || one || ' or ' || p_name || '.', '') AS text
+      FROM documents LEFT JOIN p ON doc_id = p_partkey),
+t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN_APOS}')) AS was FROM d)
+SELECT doc_id, was, official, count(*) AS n
+FROM t JOIN k ON replace(k.official, '''', '') = lower(regexp_replace(was, '[''’ʼ`]', '', 'g'))
+WHERE lower(was) NOT IN (SELECT word FROM w) GROUP BY 1, 2, 3
+"""
 ORACLES["name_dashes"] = """
 SELECT doc_id, replace(p_name, ' ', ' ' || unnest(['-', '—']) || ' ') AS was,
        replace(p_name, ' ', ' – ') AS official, CAST(1 AS BIGINT) AS n
@@ -1213,6 +1226,16 @@ WITH {audit_rows(AUDIT_DOCS)}
 SELECT analyzer, id, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents
 FROM fa GROUP BY 1, 2, 3
 """
+ORACLES["audit_stream_names"] = f"""
+WITH {audit_rows(AUDIT_DOCS)}
+SELECT doc_id, id, severity, CAST(line AS BIGINT) AS line FROM fa
+"""
+ORACLES["audit_repeated_ids"] = f"""
+WITH {audit_rows(AUDIT_DOCS)}
+SELECT pr.doc_id - pr.doc_id % 2 AS doc_id, any_value(pr.words) AS words,
+       count(fa.id) FILTER (WHERE analyzer = 'cards') AS names, count(fa.id) AS findings
+FROM pr LEFT JOIN fa USING (doc_id) GROUP BY pr.doc_id
+"""
 ORACLES["audit_stream"] = f"""
 WITH {audit_rows(HEADED, names=False)}
 SELECT doc_id, id, severity, CAST(line AS BIGINT) AS line FROM fa

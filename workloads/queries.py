@@ -335,6 +335,34 @@ def name_apostrophes(spark, sf):
     return N.apostrophe_errors(docs, W.names(spark, sf, official))
 
 
+@query
+def name_twins(spark, sf):
+    """Official names that differ in an apostrophe only, or lack one: none of them is an error."""
+    at = lambda k: F.concat(F.substring("p_name", 1, k), F.lit("'"), F.substring("p_name", k + 1, 99))
+    plain = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))
+    forms = F.array_compact(F.array(at(2), at(3), plain))
+    names = W.table(spark, sf, "part").select(F.explode(forms).alias("official")).distinct()
+    docs = W.mentions(
+        spark,
+        sf,
+        F.concat(F.lit("A "), at(2), F.lit(" and a "), at(3), F.lit(" or "), at(1), F.lit(" or "), F.col("p_name"), F.lit(".")),
+    )
+    return N.apostrophe_errors(docs, names)
+
+
+@query
+def audit_repeated_ids(spark, sf):
+    """An audit of documents that share ids in pairs: each keeps its own findings."""
+    docs, names = _audit_inputs(spark, sf)
+    docs = docs.select((F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), "text")
+    return A.audit(docs, RULES, names).select(
+        "doc_id",
+        "words",
+        F.size(F.filter("findings", lambda f: f["analyzer"] == "cards")).cast("long").alias("names"),
+        F.size("findings").cast("long").alias("findings"),
+    )
+
+
 @query
 def name_dashes(spark, sf):
     """Part names with a spaced dash, written with three kinds of dash."""
@@ -1048,7 +1076,7 @@ def edit_impact(spark, sf):
 # ------------------------------------------------------------------ jobs
 
 
-def _audit_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _audit_inputs(spark, sf, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Headed documents about a part, and part names with an apostrophe."""
     official = F.concat(F.substring("p_name", 1, 2), F.lit("'"), F.substring("p_name", 3, 99))
     part = W.table(spark, sf, "part").select("p_partkey", "p_name")
@@ -1057,7 +1085,7 @@ def _audit_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
         F.lit(" and the "), "p_name", F.lit("."),
     )
     docs = (
-        W.headed(spark, sf)
+        (W.headed(spark, sf) if docs is None else docs)
         .join(part, F.col("doc_id") == F.col("p_partkey"), "left")
         .select("doc_id", F.concat("text", F.coalesce(advice, F.lit(""))).alias("text"))
     )
@@ -1177,6 +1205,23 @@ def audit_stream(spark, sf):
     )
 
 
+@query
+def audit_stream_names(spark, sf):
+    """Documents arriving as files, with the dictionary: the whole batch audit."""
+    from prosemetrics.session import shared_folder
+    from prosemetrics.streaming import jobs
+    import uuid
+
+    text = F.replace(F.concat("text", F.lit("\n")), F.lit(".\n"), F.lit("\n"))
+    docs, names = _audit_inputs(spark, sf, _stream(spark, sf).select("doc_id", text.alias("text")))
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = jobs.start_audit(docs, RULES, names, f"{path}/rows", f"{path}/state", available_now=True)
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(
+        "doc_id", "id", "severity", F.coalesce("line", F.lit(0)).cast("long").alias("line")
+    )
+
+
 @query
 def verdict_stream(spark, sf):
     """Edit pairs arriving as a stream: verdicts counted by edit."""
@@ -1214,7 +1259,8 @@ def severity_windows(spark, sf):
     counts = jobs.severity_windows(docs, RULES)
     path = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     jobs.start_summary(counts, f"{path}/rows", f"{path}/state", True).awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{path}/rows").select(
+    latest = jobs.read_summary(counts, f"{path}/rows", "window_start", "severity")
+    return latest.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
         "severity",
         "findings",
