@@ -108,101 +108,117 @@ def _dictionary(names: DataFrame, fold, min_words: int = 1) -> DataFrame:
     )
 
 
-def _arities(dictionary: DataFrame) -> list[int]:
-    """The lengths names have, in words: a handful of numbers."""
-    return sorted(r[0] for r in dictionary.select("_arity").distinct().collect())
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "was", "official").agg(F.sum("n").alias("n"))
-
-
-def apostrophe_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n) for each document row; see apostrophe_errors."""
-    parts = names.select(
-        F.explode(_strip_marks(name_words(F.col("official")))).alias("official")
-    ).distinct()
-    owners = parts.where(F.col("official").rlike(f"[{APOSTROPHES}]")).withColumn(
-        "_key", _folded_apostrophe(F.col("official"))
+def _owners(names: DataFrame, kind: str) -> DataFrame:
+    """(kind, _key, official): the forms that a folded written form may stand for."""
+    if kind == "apostrophe":
+        parts = names.select(F.explode(_strip_marks(name_words(F.col("official")))).alias("official"))
+        owners = parts.distinct().where(F.col("official").rlike(f"[{APOSTROPHES}]"))
+        owners = owners.withColumn("_key", _folded_apostrophe(F.col("official")))
+    elif kind == "dash":
+        owners = _dictionary(names.where(F.col("official").rlike(DASHES)), _folded_dash)
+    else:
+        owners = _dictionary(names, F.lower, 2)
+    return owners.select(F.lit(kind).alias("kind"), "_key", "official")
+
+
+def _right_forms(names: DataFrame, kind: str) -> DataFrame:
+    """(kind, _form): written forms that are official as they stand."""
+    if kind == "apostrophe":
+        forms = names.select(F.explode(_strip_marks(name_words(F.col("official")))).alias("w")).select(F.lower("w").alias("_form"))
+    elif kind == "dash":
+        forms = _dictionary(names, F.lower).select(F.col("_key").alias("_form"))
+    else:
+        plain = _dictionary(names, F.lower, 2).select("_plain")
+        opened = F.concat(F.lit(OPENING), F.upper(F.substring("_plain", 1, 1)), F.substr("_plain", F.lit(2)))
+        as_is = F.concat(F.lit(OPENING), F.col("_plain"))
+        forms = plain.select(F.explode(F.array("_plain", opened, as_is)).alias("_form"))
+    return forms.select(F.lit(kind).alias("kind"), "_form").distinct()
+
+
+def name_hits(
+    docs: DataFrame, names: DataFrame, kinds: tuple[str, ...], copies: bool = False
+) -> DataFrame:
+    """(doc_id, kind, was, official, n) for each document row: names written wrong.
+
+    ``kinds`` are of apostrophe, dash and case.  The text is read once: a row's
+    words and word sequences become candidates of their kinds, counted in the
+    row, and all of them probe one dictionary by kind and folded form.  A form
+    that is official as written is right, whatever else it resembles, and a
+    wrong one is reported with every name it may stand for.  At a sentence
+    start the first letter is capital by the rules of the language, so the
+    check of capitals does not compare it there.
+
+    Rows that share a ``doc_id`` are counted together, or once if they are
+    known to be ``copies`` of each other.
+    """
+    lengths = names.select(
+        F.size(_strip_marks(name_words(F.col("official")))).alias("n"),
+        F.col("official").rlike(DASHES).alias("dashed"),
+    ).where("n > 0").distinct().collect()
+    text = F.col("text")
+    dashed = sorted({r.n for r in lengths if r.dashed}) or [1]
+    several = sorted({r.n for r in lengths if r.n >= 2}) or [2]
+    none = F.array().cast("array<struct<value:string,n:int>>")
+    found = {
+        "apostrophe": runs(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))),
+        "dash": F.when(text.rlike(DASHES), sequences(text, dashed, DASHES)).otherwise(none),
+        "case": sequences(text, several),
+    }
+    fold = {"apostrophe": _folded_apostrophe, "dash": _folded_dash, "case": F.lower}
+    exact = {"apostrophe": F.lower, "dash": F.lower, "case": lambda c: c}
+
+    def of_kind(functions: dict, column: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind in kinds:
+            out = F.when(F.col("kind") == kind, functions[kind](column)).otherwise(out)
+        return out
+
+    def union(build) -> DataFrame:
+        out = build(names, kinds[0])
+        for kind in kinds[1:]:
+            out = out.unionByName(build(names, kind))
+        return out
+
+    candidates = F.concat(*[F.transform(found[kind], _tagged(kind)) for kind in kinds])
+    probe = docs.select("doc_id", F.explode(candidates).alias("c")).select(
+        "doc_id",
+        "c.kind",
+        F.col("c.value").alias("_written"),
+        F.ltrim("c.value", F.lit(OPENING)).alias("was"),
+        F.col("c.n").cast("long").alias("n"),
     )
-    right = parts.select(F.lower("official").alias("_low")).distinct()
-    found = runs(F.regexp_extract_all("text", F.lit(NAME_WORD), F.lit(0)))
-    return (
-        docs.select("doc_id", F.explode(found).alias("r"))
-        .select("doc_id", F.col("r.value").alias("was"), F.col("r.n").cast("long").alias("n"))
-        .withColumn("_key", _folded_apostrophe(F.col("was")))
-        .join(sized_broadcast(owners), "_key")
-        .withColumn("_low", F.lower("was"))
-        .join(sized_broadcast(right), "_low", "left_anti")
-        .select("doc_id", "was", "official", "n")
+    written = F.when(F.col("kind") == "case", F.col("_written")).otherwise(F.col("was"))
+    wrong = (
+        probe.withColumn("_key", of_kind(fold, F.col("was")))
+        .join(sized_broadcast(union(_owners)), ["kind", "_key"])
+        .withColumn("_form", of_kind(exact, written))
+        .join(sized_broadcast(union(_right_forms)), ["kind", "_form"], "left_anti")
     )
+    if copies:
+        wrong = wrong.groupBy("doc_id", "kind", "_written", "was", "official").agg(F.max("n").alias("n"))
+    return wrong.groupBy("doc_id", "kind", "was", "official").agg(F.sum("n").alias("n"))
 
 
-def apostrophe_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n): names written without or with another apostrophe.
+def _tagged(kind: str):
+    def tag(r: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), r["value"].alias("value"), r["n"].alias("n"))
 
-    A form that is itself part of an official name is right.  A wrong form is
-    reported with every official form it may stand for.
-    """
-    return _counted(apostrophe_rows(docs, names))
+    return tag
 
 
-def dash_rows(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n) for each document row; see dash_errors."""
-    listed = _dictionary(names, F.lower)
-    owners = _dictionary(names.where(F.col("official").rlike(DASHES)), _folded_dash)
-    found = sequences(F.col("text"), _arities(owners) or [1], DASHES)
-    return (
-        docs.where(F.col("text").rlike(DASHES))
-        .select("doc_id", F.explode(found).alias("r"))
-        .select(
-            "doc_id",
-            F.ltrim("r.value", F.lit(OPENING)).alias("was"),
-            F.col("r.n").cast("long").alias("n"),
-        )
-        .withColumn("_key", _folded_dash(F.col("was")))
-        .join(sized_broadcast(owners), "_key")
-        .drop("_key")
-        .withColumn("_key", F.lower("was"))
-        .join(sized_broadcast(listed.select("_key").distinct()), "_key", "left_anti")
-        .groupBy("doc_id", "was", "official")
-        .agg(F.max("n").alias("n"))
-    )
+def apostrophe_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, was, official, n): names written without or with another apostrophe."""
+    return name_hits(docs, names, ("apostrophe",)).drop("kind")
 
 
 def dash_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n): names whose dash is another sign.
-
-    What is a listed name as written is right, whatever its dash.
-    """
-    return _counted(dash_rows(docs, names))
+    """(doc_id, was, official, n): names whose dash is another sign."""
+    return name_hits(docs, names, ("dash",)).drop("kind")
 
 
 def case_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, was, official, n): multi-word names written in another case.
-
-    What is a listed name as written is right.  At a sentence start the first
-    letter is capital by the rules of the language, so it is not compared there.
-    """
-    owners = _dictionary(names, F.lower, 2)
-    right = owners.select(F.col("_plain").alias("was")).distinct()
-    as_opening = F.concat(F.upper(F.substring("was", 1, 1)), F.substr("was", F.lit(2)))
-    right = right.select("was", F.lit(False).alias("opening")).unionByName(
-        right.select(F.explode(F.array("was", as_opening)).alias("was"), F.lit(True).alias("opening"))
-    )
-    found = sequences(F.col("text"), _arities(owners) or [2])
-    return _counted(
-        docs.select("doc_id", F.explode(found).alias("r"))
-        .select(
-            "doc_id",
-            F.ltrim("r.value", F.lit(OPENING)).alias("was"),
-            F.startswith("r.value", F.lit(OPENING)).alias("opening"),
-            F.col("r.n").cast("long").alias("n"),
-        )
-        .withColumn("_key", F.lower("was"))
-        .join(sized_broadcast(owners), "_key")
-        .join(sized_broadcast(right.distinct()), ["was", "opening"], "left_anti")
-    )
+    """(doc_id, was, official, n): multi-word names written in another case."""
+    return name_hits(docs, names, ("case",)).drop("kind")
 
 
 def _letters_removed(word: Column, most: Column) -> Column:

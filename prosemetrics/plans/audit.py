@@ -34,6 +34,10 @@ class Options:
     shares: bool = True
     short_note: bool = True
     extra: tuple[str, ...] = ()
+    # Dictionary checks: of apostrophe, dash, case, typo and short.
+    name_checks: tuple[str, ...] = ("apostrophe", "dash")
+    # A word in this share of the documents or more names nothing (short).
+    common_share: float = 0.05
 
 
 # The service neither judges advice and coverage nor warns about short texts.
@@ -143,23 +147,28 @@ def _row_key() -> Column:
 
 def _dictionary_hits(
     docs: DataFrame, names: DataFrame, rules: Rules, options: Options
-) -> DataFrame:
+) -> DataFrame | None:
     """(_row, hits): dictionary findings of a document, in a fixed order.
 
     ``_row`` is the id and the text's hash: documents that share an id keep
-    their own findings, and equal documents have equal ones.  Profiles are not looked at here, so they are guessed in one place only;
-    what a profile switches off is dropped when the report is put together.
+    their own findings, and equal documents have equal ones.  Profiles are not
+    looked at here, so they are guessed in one place only; what a profile
+    switches off is dropped when the report is put together.
     """
     docs = docs.select(_row_key().alias("doc_id"), "text")
-    none = F.lit(None).cast("string")
+    kinds = tuple(k for k in options.name_checks if k in ("apostrophe", "dash", "case"))
+    parts = [N.name_hits(docs, names, kinds, copies=True)] if kinds else []
+    once = docs.dropDuplicates(["doc_id"])
+    if "typo" in options.name_checks:
+        parts.append(N.typo_candidates(once, names, rules.language).withColumn("kind", F.lit("typo")))
+    if "short" in options.name_checks:
+        common = N.common_words(docs, rules.language, options.common_share)
+        short = N.short_names(once, names, common, rules.language)
+        parts.append(short.withColumn("kind", F.lit("short")))
+    columns = ["doc_id", "kind", "was", "official", F.col("n").cast("int").alias("n")]
     hits = None
-    for kind, frame in (
-        ("apostrophe", N.apostrophe_rows(docs, names)),
-        ("dash", N.dash_rows(docs, names)),
-    ):
-        part = frame.select(
-            "doc_id", F.lit(kind).alias("kind"), "was", "official", F.col("n").cast("int")
-        )
+    for part in parts:
+        part = part.select(*columns)
         hits = part if hits is None else hits.unionByName(part)
     if options.advice:
         lang = rules.language
@@ -175,10 +184,12 @@ def _dictionary_hits(
                 F.lit("advice").alias("kind"),
                 evidence_trim(F.col("keep_clause")).alias("was"),
                 "official",
-                none.cast("int").alias("n"),
+                F.lit(None).cast("int").alias("n"),
             )
         )
-        hits = hits.unionByName(advice)
+        hits = advice if hits is None else hits.unionByName(advice)
+    if hits is None:
+        return None
     return hits.groupBy(F.col("doc_id").alias("_row")).agg(
         F.array_sort(F.collect_set(F.struct("kind", "was", "official", "n"))).alias("hits")
     )
@@ -187,9 +198,10 @@ def _dictionary_hits(
 def _hit_findings(rules: Rules, names_kind: Column | None) -> Column:
     def build(h: Column) -> Column:
         advice = h["kind"] == "advice"
-        message = F.when(h["kind"] == "dash", rules.messages["dash"]).otherwise(
-            rules.messages["apostrophe"]
-        )
+        message = F.lit(rules.messages["apostrophe"])
+        for kind in ("dash", "case", "typo", "short"):
+            message = F.when(h["kind"] == kind, rules.messages[kind]).otherwise(message)
+        heuristic = h["kind"].isin("typo", "short")
         if names_kind is not None:
             message = F.concat(
                 F.regexp_replace(message, r" карты$", ""), F.lit(" ("), names_kind, F.lit(")")
@@ -211,7 +223,8 @@ def _hit_findings(rules: Rules, names_kind: Column | None) -> Column:
                 id=F.concat(F.lit("cards."), h["kind"]),
                 analyzer="cards",
                 category="localization",
-                severity="error",
+                severity=F.when(h["kind"] == "typo", "likely").when(h["kind"] == "short", "info").otherwise("error"),
+                confidence=F.when(heuristic, 0.5).otherwise(1.0),
                 message=message,
                 evidence=h["was"],
                 suggestion=h["official"],

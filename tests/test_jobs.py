@@ -223,3 +223,21 @@ def test_windows_leave_the_state(spark, tmp_path):
     got = jobs.read_summary(counts, str(tmp_path / "o"), "window_start", "severity")
     assert got.count() >= 4
     assert kept[-1] < got.count()
+
+
+def test_all_name_checks_can_be_chosen(spark, docs, names):
+    checks = ("apostrophe", "dash", "case", "typo", "short")
+    text = docs("Берём железный щит и АлАкир. Наш Громоверджец и Монетка тут.", "Другой текст.")
+    options = A.Options(name_checks=checks, common_share=1.0)
+    found = {f.id: f.severity for r in A.audit(text, RULES, names, None, options).collect() for f in r.findings if f.analyzer == "cards"}
+    assert found == {"cards.apostrophe": "error", "cards.case": "error", "cards.typo": "likely", "cards.short": "info"}
+
+
+def test_the_audit_reads_the_text_three_times_at_most(spark, docs, names, tmp_path):
+    """The row pass, the name candidates and the advice; the latter two only with a dictionary."""
+    docs(CLEAN).write.parquet(str(tmp_path / "d"))
+    frame = spark.read.parquet(str(tmp_path / "d"))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert scans(A.audit(frame, RULES)) == 1
+    assert scans(A.audit(frame, RULES, names, options=A.Options(advice=False))) == 2
+    assert scans(A.audit(frame, RULES, names)) == 3
