@@ -249,7 +249,9 @@ def author_score(rows: DataFrame, language: LanguagePack, **slopes) -> DataFrame
 
 
 def tighten_hints(docs: DataFrame, language: LanguagePack) -> DataFrame:
-    """Where to look: the longest sentence and the first impersonal phrase.
+    """Where to look: the longest sentence, the first impersonal phrase and,
+    for documents that carry their profile's sections, the first required
+    section that is missing.
 
     Every hint has an address in the text; documents without one get nulls.
     """
@@ -282,8 +284,14 @@ def tighten_hints(docs: DataFrame, language: LanguagePack) -> DataFrame:
             F.lit(0),
         ),
     )
+    absent = []
+    if "sections" in docs.columns:
+        titles = F.transform("headings", lambda h: F.lower(h["title"]))
+        missing = F.filter("sections", lambda s: s["required"] & ~F.arrays_overlap(s["variants"], titles))
+        absent = [F.get(missing, F.lit(0))["title"].alias("missing_section")]
     return with_line.select(
         "doc_id",
+        *absent,
         F.col("_longest.words").alias("longest_words"),
         (1 - F.col("_longest.minus_no")).alias("longest_sentence_no"),
         F.col("_longest.sentence").alias("longest_sentence"),

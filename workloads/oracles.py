@@ -862,6 +862,19 @@ SELECT doc_id, b.w AS longest_words, b.no AS longest_sentence_no, coalesce(c.n,
 FROM b LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+ORACLES["section_hints"] = f"""
+WITH {STRUCTURED}, ms AS ({MISSING}),
+o AS (SELECT DISTINCT profile, section_id, idx FROM s)
+SELECT pr.doc_id, coalesce(arg_min(ms.title, o.idx), '') AS missing_section
+FROM pr LEFT JOIN ms ON ms.doc_id = pr.doc_id
+LEFT JOIN o ON o.profile = ms.profile AND o.section_id = ms.section_id GROUP BY 1
+"""
+ORACLES["name_scores"] = f"""
+WITH e AS (SELECT doc_id, sum(n) AS n FROM ({ORACLES["name_apostrophes"]}) GROUP BY 1)
+SELECT doc_id, CAST(greatest(0, 10 - coalesce(e.n, 0)) AS DOUBLE) AS score_names
+FROM documents LEFT JOIN e USING (doc_id)
+"""
+
 # ---------------------------------------------------------- aggregations
 
 SMALL_AUDIT = f"""

@@ -319,8 +319,7 @@ def _meta(name: str):
     return F.try_element_at("meta", F.lit(name)).cast("long")
 
 
-@query
-def name_apostrophes(spark, sf):
+def _apostrophes(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Part names with an apostrophe, written right, wrong and without it."""
     official = F.concat(F.substring("p_name", 1, 2), F.lit("'"), F.substring("p_name", 3, 99))
     curly = F.replace(official, F.lit("'"), F.lit("’"))
@@ -332,7 +331,12 @@ def name_apostrophes(spark, sf):
             F.lit(". One "), F.col("p_name"), F.lit(" more."),
         ),
     )
-    return N.apostrophe_errors(docs, W.names(spark, sf, official))
+    return docs, W.names(spark, sf, official)
+
+
+@query
+def name_apostrophes(spark, sf):
+    return N.apostrophe_errors(*_apostrophes(spark, sf))
 
 
 @query
@@ -786,6 +790,24 @@ def tighten_hints(spark, sf):
     )
 
 
+@query
+def section_hints(spark, sf):
+    """The first required section that a document of its profile lacks."""
+    out = measures.tighten_hints(W.profiled(spark, sf), LANG)
+    return out.select("doc_id", F.coalesce("missing_section", F.lit("")).alias("missing_section"))
+
+
+@query
+def name_scores(spark, sf):
+    """The part of the score that names have: a point less for each wrong one."""
+    from prosemetrics.operators.structure import with_profile
+    from prosemetrics.plans.scoring import scores
+
+    docs, names = _apostrophes(spark, sf)
+    scored = scores(with_profile(docs, RULES), RULES, N.apostrophe_errors(docs, names))
+    return scored.select("doc_id", "score_names")
+
+
 # ---------------------------------------------------------- aggregations
 
 
