@@ -148,3 +148,22 @@ def test_document_without_attempts_keeps_its_text(choices):
 def test_gate_has_no_shuffle(spark):
     frame = gate.validate_edits(pairs(spark, x=(LIVE, DRY)), RULES)
     assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_games_share_one_set_of_checks(spark):
+    """The plan hardly grows with the number of games, and each game keeps its own words."""
+    from dataclasses import replace
+
+    base = RULES.games[RULES.default_game]
+    more = {f"g{i}": replace(base, id=f"g{i}", protected=("щит",) if i % 2 else ()) for i in range(20)}
+    rows = [(g, "Наш щит.", "Наш меч.", g) for g in ("g0", "g1", RULES.default_game, "other", None)]
+    pairs = spark.createDataFrame(rows, "pair_id string, before string, after string, game string")
+
+    def verdicts(games):
+        return gate.validate_edits(pairs, replace(RULES, games=games))
+
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    few, many = {**RULES.games, "g1": more["g1"]}, {**RULES.games, **more}
+    assert size(verdicts(many)) < 1.5 * size(verdicts(few))
+    lost = {r.pair_id for r in verdicts(many).collect() if any(v.signal == "щит" for v in r.violations)}
+    assert lost == {"g1"}
