@@ -63,12 +63,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the stored steps of this process.  Frames that read them can't be used afterwards."""
-    jvm = spark._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def steps_stored() -> int:
+    """How many steps this process has stored; a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the steps stored since a mark, but for the last ``keep``.
+
+    Frames that read a deleted step can't be used afterwards.
+    """
+    stop = len(_written) - keep
+    for name in filter(None, _written[since:stop]):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:stop] = [""] * max(0, stop - since)
 
 
 def sized_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
