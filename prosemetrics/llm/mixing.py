@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemetrics.llm.shared import free_name, stored
+from prosemetrics.llm.shared import identified, stored
 
 LEVELS = ("domain", "lang", "source")
 # Parts of a leaf's order, by the first three hexadecimal digits of the hash.
@@ -192,8 +192,8 @@ def mix(
 
     Cases are defined as in :func:`mixed_ids`.
     """
-    row = free_name(docs.columns, "row_number")
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix")
-    slim = described(numbered, mixture, F.col(row), id_col, text_col, lang_col, source_col)
-    chosen = select_prefixes(stored(slim, "mixing"), mixture).select(F.col("row").alias(row))
-    return numbered.join(chosen, row).select(*docs.columns)
+    marked, row = identified(docs, "mix")
+    slim = described(marked, mixture, F.struct(*row), id_col, text_col, lang_col, source_col)
+    chosen = select_prefixes(stored(slim, "mixing"), mixture).select(*[F.col(f"row.{c}").alias(c) for c in row])
+    # The same join at every size; a row has one partner for each epoch that reads it.
+    return marked.join(stored(chosen, "chosen").hint("shuffle_hash"), row).select(*docs.columns)

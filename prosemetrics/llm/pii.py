@@ -322,8 +322,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     """``docs`` with personal data in its texts replaced; a column ``n_chars``, if there is one, gets
     the new length.  Null texts stay null.  Cases are defined as in :func:`personal_data`."""
     found, chosen = free_name(docs.columns, "found"), free_name(docs.columns, "chosen")
-    marked = stored(docs.withColumn(found, candidates(F.coalesce(F.col(text_col), F.lit("")))), "redact")
-    model, threshold = train(marked, found)
+    marked = docs.withColumn(found, candidates(F.coalesce(F.col(text_col), F.lit(""))))
+    # Stored without the texts to train on, and found again in the pass that rewrites them.
+    model, threshold = train(stored(marked.select(found), "redact"), found)
     out = marked.withColumn(chosen, selected(F.col(found), model, threshold))
     out = out.withColumn(text_col, redacted(F.col(text_col), F.col(chosen)))
     if length_col in docs.columns:

@@ -114,10 +114,9 @@ def keep_good(
     for name in NAMES:
         names.append(free_name([*docs.columns, *names], name))
     score = free_name([*docs.columns, *names], "score")
+    # Statistics are counted twice, to train and to judge: texts are neither stored nor moved.
     slim = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    wanted = labels.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("wanted_id")).distinct()
-    labelled = slim.join(wanted, F.col(id_col) == F.col("wanted_id"), "left_semi")
-    stats = stored(with_stats(labelled, list(NAMES), drop_text=True), "quality")
+    stats = stored(with_stats(slim, list(NAMES), drop_text=True), "quality")
     model = train(stats, labels.select(F.col(id_col), F.col(label_col)), id_col, label_col)
     if not len(model.roots):
         return docs

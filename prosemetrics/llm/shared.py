@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemetrics.session import shared_folder
+from prosemetrics.session import release, stored
 
-_written: list[str] = []
+__all__ = ["free_name", "identified", "numbered", "release", "stored"]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the folder all executors share, and read it back.
+def identified(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with new columns that tell its rows apart and stay the same when it is read again.
 
-    This cuts the lineage, and a lost executor costs only the tasks it ran.  The step is computed
-    once, where ``checkpoint()`` would compute it twice.
+    A table as it stands in Parquet files has them already: the file and the row's place in it.
+    Any other frame is stored with numbers.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    file, row = free_name(df.columns, "file"), free_name(df.columns, "row_number")
+    query = df._jdf.queryExecution()
+    if query.analyzed().nodeName() == "LogicalRelation" and "parquet" in query.sparkPlan().toString().lower():
+        return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), [file, row]
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), label), [row]
 
 
 def numbered(df: DataFrame, by: str, name: str, label: str) -> DataFrame:
@@ -44,14 +43,6 @@ def numbered(df: DataFrame, by: str, name: str, label: str) -> DataFrame:
     return placed.withColumn(name, F.col(row) + F.col(shift)).select(*df.columns, name)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the stored steps of this process.  Frames that read them can't be used afterwards."""
-    jvm = spark._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores before it until no column of ``taken`` has that name."""
     lower = {name.lower() for name in taken}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.llm.components import components
-from prosemetrics.llm.shared import free_name, stored
+from prosemetrics.llm.shared import identified, stored
 
 SEED = 42
 # Keys of one trie that go to one task together.  A larger trie is dealt out in parts, and every two
@@ -215,11 +215,11 @@ def near_duplicates(
 def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, one for each component: that with the smallest
     id (of repeated ids, one of their rows).  Cases are defined as in :func:`near_duplicates`."""
-    fp = free_name(docs.columns, "fp")
-    row = free_name([*docs.columns, fp], "row_number")
-    marked = stored(with_fingerprint(docs, fp, words, text_col).withColumn(row, F.monotonically_increasing_id()), "near")
-    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    marked, row = identified(docs, "near")
+    slim = marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*row).alias("row"))
+    prints = stored(with_fingerprint(slim, "fp", words).select("id", "fp", "row"), "fingerprints")
     prints = prints.join(classes(prints, max_bits), "fp")
     first = prints.groupBy("smallest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    kept = first.select(F.col("first.row").alias(row))
-    return marked.join(kept, row, "left_semi").select(*docs.columns)
+    kept = stored(first.select(*[F.col(f"first.row.{c}").alias(c) for c in row]), "kept")
+    # The same join at every size; row numbers are all different, so no task gets more than its share.
+    return marked.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
