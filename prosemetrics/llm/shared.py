@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemetrics.session import release, stored
+from prosemetrics.session import release, steps_stored, stored
 
-__all__ = ["free_name", "identified", "numbered", "release", "stored"]
+__all__ = ["free_name", "identified", "numbered", "release", "steps_stored", "stored"]
 
 
 def identified(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:

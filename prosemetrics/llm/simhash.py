@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemetrics.llm.components import components
 from prosemetrics.llm.shared import identified, stored
+from prosemetrics.session import sized_broadcast
 
 SEED = 42
 # Keys of one trie that go to one task together.  A larger trie is dealt out in parts, and every two
@@ -59,17 +62,56 @@ def with_fingerprint(docs: DataFrame, name: str, words: int = 4, text_col: str =
     return docs.mapInArrow(add, schema)
 
 
-def blocks(max_bits: int) -> list[tuple[int, int]]:
-    """``max_bits + 1`` runs of the 64 bits as (first bit, width): two keys within ``max_bits``
-    differing bits agree in one of them."""
-    edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+@dataclass(frozen=True)
+class Turn:
+    """An order of the bits of a key: some runs of bits come to the top, the others follow.
 
+    ``moves`` has each run's first bit, width and new first bit, counted from the left.
+    """
 
-def _join_tries(max_bits: int):
-    widths = [w for _, w in blocks(max_bits)]
-    shifts = [s for s, _ in blocks(max_bits)]
-
+    moves: tuple[tuple[int, int, int], ...]
+    top: int
+
+    def turned(self, key: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for start, width, to in self.moves:
+            run = F.shiftrightunsigned(key, 64 - start - width).bitwiseAND(2**width - 1)
+            out = out.bitwiseOR(F.shiftleft(run, 64 - to - width))
+        return out
+
+    def restored(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(keys)
+        for start, width, to in self.moves:
+            run = (keys >> np.uint64(64 - to - width)) & np.uint64(2**width - 1)
+            out |= run << np.uint64(64 - start - width)
+        return out
+
+
+def turns(max_bits: int, runs: int) -> list[Turn]:
+    """Cut 64 bits into ``runs`` runs.  Two keys within ``max_bits`` differing bits agree in
+    ``runs - max_bits`` of them at least, so each choice of so many runs comes to the top once."""
+    edges = [64 * i // runs for i in range(runs + 1)]
+    spans = [(a, b - a) for a, b in zip(edges, edges[1:])]
+    out = []
+    for chosen in itertools.combinations(range(runs), runs - max_bits):
+        moves, at = [], 0
+        for i in [*chosen, *(i for i in range(runs) if i not in chosen)]:
+            moves.append((*spans[i], at))
+            at += spans[i][1]
+        out.append(Turn(tuple(moves), sum(spans[i][1] for i in chosen)))
+    return out
+
+
+def runs_for(keys: int, max_bits: int) -> int:
+    """How many runs to cut keys into, so that a trie below one top value has ``TRIE_KEYS`` keys or
+    fewer if keys are spread evenly.  The links found do not depend on it."""
+    runs = max_bits + 1
+    while runs < max_bits + 4 and keys > TRIE_KEYS * 2 ** min(t.top for t in turns(max_bits, runs)):
+        runs += 1
+    return runs
+
+
+def _join_tries(orders: list[Turn], max_bits: int):
     def solve(turn: int, rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Links among the tries of one rotation; rows: group number, side, key."""
         group, side, key = rows
@@ -86,11 +128,10 @@ def _join_tries(max_bits: int):
         first = first[(first + 1 < len(low))]
         first = first[(sided[first + 1] == 2) & (group[low[first]] == group[low[first + 1]])]
         pairs.append(np.stack([low[first], high[first], low[first + 1], high[first + 1], np.zeros(len(first), dtype=np.int64)]))
-        found = list(linked_places(key, np.concatenate(pairs, axis=1), widths[turn], max_bits))
+        found = list(linked_places(key, np.concatenate(pairs, axis=1), orders[turn].top, max_bits))
         if not found:
             return []
-        back = np.uint64(shifts[turn])
-        whole = (key >> back) | (key << (np.uint64(64) - back)) if shifts[turn] else key
+        whole = orders[turn].restored(key)
         at = np.array(found, dtype=np.int64)
         return [(whole[at[:, 0]].view(np.int64), whole[at[:, 1]].view(np.int64))]
 
@@ -132,33 +173,35 @@ def _join_tries(max_bits: int):
     return run
 
 
-def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 4, runs: int | None = None) -> DataFrame:
     """``a, b``: pairs of distinct fingerprints (column ``fp``) that span all linked sets.
 
-    Keys within ``max_bits`` bits agree in one of ``max_bits + 1`` runs of bits.  So every key goes
-    into as many tries, each with another run at the top, and pairs are sought below one value of
-    that run: both nodes of a pair are followed down together, and a pair is dropped when its bits
-    exceed the budget.  Each trie gives a star for each linked set, not all pairs.
+    Keys within ``max_bits`` bits agree in some runs of bits (:func:`turns`).  So every key goes
+    into several tries, each with other runs at the top, and pairs are sought below one value of
+    the top: both nodes of a pair are followed down together, and a pair is dropped when its bits
+    exceed the budget.  Each trie gives a star for each linked set, not all pairs.  Up to 2^24 keys
+    one run of five is at the top; with more keys there are more runs (15 choices of two of six, 35
+    of three of seven), so that tries stay small.
 
-    The table of tries is bounded (2^13 values for each of five runs), so it is broadcast.  Tries
-    of more than ``TRIE_KEYS`` keys are dealt into parts by a hash; each two parts, and each part
-    with itself, are one tile.
+    Tries that still have more than ``TRIE_KEYS`` keys are dealt into parts by a hash; each two
+    parts, and each part with itself, are one tile.
     """
+    orders = turns(max_bits, runs or runs_for(prints.count(), max_bits))
     turned = F.explode(
         F.array(
             *[
                 F.struct(
-                    F.lit(turn).alias("turn"),
-                    _rotate(F.col("fp"), shift).alias("key"),
-                    F.shiftrightunsigned(_rotate(F.col("fp"), shift), 64 - width).alias("top"),
+                    F.lit(i).alias("turn"),
+                    order.turned(F.col("fp")).alias("key"),
+                    F.shiftrightunsigned(order.turned(F.col("fp")), 64 - order.top).alias("top"),
                 )
-                for turn, (shift, width) in enumerate(blocks(max_bits))
+                for i, order in enumerate(orders)
             ]
         )
     ).alias("t")
     rows = prints.select(turned).select("t.turn", "t.top", "t.key")
     sizes = rows.groupBy("turn", "top").agg(F.ceil(F.count(F.lit(1)) / TRIE_KEYS).alias("parts")).filter("parts > 1")
-    sized = rows.join(F.broadcast(sizes), ["turn", "top"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    sized = rows.join(sized_broadcast(stored(sizes, "large-tries")), ["turn", "top"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     own = F.pmod(F.xxhash64("key"), F.col("parts"))
     others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     sized = sized.withColumn("own", own).select("turn", "top", "key", "parts", "own", F.explode(others).alias("other"))
@@ -166,14 +209,7 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     tiles = sized.select("turn", "top", (small * F.col("parts") + large).alias("tile"), side.alias("side"), "key")
     dealt = tiles.repartition("turn", "top", "tile").sortWithinPartitions("turn", "top", "tile")
-    return dealt.mapInArrow(_join_tries(max_bits), "a long, b long")
-
-
-def _rotate(key, shift: int):
-    """The key with bit ``shift`` (from the left) moved to the top."""
-    if not shift:
-        return key
-    return F.shiftleft(key, shift).bitwiseOR(F.shiftrightunsigned(key, 64 - shift))
+    return dealt.mapInArrow(_join_tries(orders, max_bits), "a long, b long")
 
 
 def classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -70,6 +71,31 @@ def test_rotations_and_tiles(spark, monkeypatch):
     assert [got[k] for k in keys] == classes(keys)
 
 
+@pytest.mark.parametrize("runs", [5, 6, 7])
+def test_any_number_of_runs_finds_all_links(spark, runs):
+    rng = np.random.default_rng(runs)
+    keys = {int(x) for x in rng.integers(-(2**63), 2**63, 60)}
+    for k in list(keys):
+        flips = [int(b) for b in rng.choice(63, rng.integers(1, 7), replace=False)]
+        keys.add(k ^ sum(1 << b for b in flips))
+    ordered = sorted(keys)
+    frame = spark.createDataFrame([(k,) for k in ordered], "fp long")
+    label = {k: i for i, k in enumerate(ordered)}
+    pairs = [(r.a, r.b) for r in simhash.links(frame, 4, runs).collect()]
+    for _ in ordered:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert [label[k] for k in ordered] == classes([k % 2**64 for k in ordered])
+
+
+def test_more_keys_get_more_runs():
+    assert [simhash.runs_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**13)] == [5, 5, 6, 7, 8]
+    for order in simhash.turns(4, 7):
+        keys = np.array([1, 2**63, 0x0123456789ABCDEF], dtype=np.uint64)
+        assert sorted(to for _, _, to in order.moves)[0] == 0 and sum(w for _, w, _ in order.moves) == 64
+        assert order.restored(keys).dtype == np.uint64
+
+
 def test_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
