@@ -323,11 +323,11 @@ SELECT doc_id, replace(p_name, ' ', ' ' || unnest(['-', '—']) || ' ') AS was,
 FROM documents JOIN part ON doc_id = p_partkey
 """
 ORACLES["name_case"] = """
-WITH p AS (SELECT doc_id, p_name, string_split(p_name, ' ') AS w FROM documents
-           JOIN part ON doc_id = p_partkey),
-q AS (SELECT doc_id, p_name, upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:]
-        AS official, upper(p_name[1]) || p_name[2:] AS opening FROM p)
-SELECT doc_id, unnest([p_name, opening, upper(p_name)]) AS was, official, CAST(1 AS BIGINT) AS n
+WITH p AS (SELECT doc_id, p_name || ' k' || p_partkey AS name, string_split(p_name, ' ') AS w, p_partkey
+           FROM documents JOIN part ON doc_id = p_partkey),
+q AS (SELECT doc_id, name, upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:] || ' K' || p_partkey
+        AS official, upper(name[1]) || name[2:] AS opening FROM p)
+SELECT doc_id, unnest([name, opening, upper(name)]) AS was, official, CAST(1 AS BIGINT) AS n
 FROM q
 """
 ORACLES["name_typos"] = f"""

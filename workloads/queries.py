@@ -385,16 +385,17 @@ def name_dashes(spark, sf):
 
 @query
 def name_case(spark, sf):
-    """Two-word part names with wrong capitals, inside and at a sentence start."""
-    official = F.initcap("p_name")
+    """Names of three words, one for each part, with wrong capitals inside and at a sentence start."""
+    name = F.concat("p_name", F.lit(" k"), "p_partkey")
+    official = F.initcap(name)
     docs = W.mentions(
         spark,
         sf,
         F.concat(
-            F.lit("We use "), F.col("p_name"), F.lit(" here. "),
-            F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 99),
-            F.lit(" opens. "), F.initcap("p_name"), F.lit(" is right, "),
-            F.upper("p_name"), F.lit(" is loud."),
+            F.lit("We use "), name, F.lit(" here. "),
+            F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 99),
+            F.lit(" opens. "), F.initcap(name), F.lit(" is right, "),
+            F.upper(name), F.lit(" is loud."),
         ),
     )
     return N.case_errors(docs, W.names(spark, sf, official))
