@@ -128,6 +128,20 @@ def spelling_variants(docs: DataFrame, rules: Rules, strict: bool = False) -> Da
     return flat(docs, variant_findings(F.col("text"), rules, strict))
 
 
+def _sequences(words: Column, lengths: list[int]) -> Column:
+    """The distinct word sequences of the given lengths, joined by spaces."""
+
+    def begin(x: Column, i: Column) -> Column:
+        return F.array(
+            *[
+                F.when(F.size(words) >= i + n, F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+                for n in lengths
+            ]
+        )
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(words, begin))))
+
+
 def advice_rows(docs: DataFrame, names: DataFrame, language: LanguagePack) -> DataFrame:
     """(doc_id, official, kept, discarded, first keep clause) per multi-word name.
 
@@ -143,15 +157,10 @@ def advice_rows(docs: DataFrame, names: DataFrame, language: LanguagePack) -> Da
     dictionary = (
         names.select("official", stems(_strip_marks(name_words(F.col("official")))).alias("_w"))
         .where(F.size("_w") >= 2)
-        .select(
-            "official",
-            F.get("_w", F.lit(0)).alias("_first"),
-            F.array_join("_w", " ").alias("_key"),
-            F.size("_w").alias("_arity"),
-        )
+        .select("official", F.array_join("_w", " ").alias("_key"), F.size("_w").alias("_arity"))
         .distinct()
     )
-    width = int(dictionary.agg(F.max("_arity")).first()[0] or 2)
+    lengths = sorted(r[0] for r in dictionary.select("_arity").distinct().collect()) or [2]
     # only sentences with a stance are cut into clauses, and only clauses with
     # a stance become rows
     numbered = F.filter(
@@ -190,18 +199,9 @@ def advice_rows(docs: DataFrame, names: DataFrame, language: LanguagePack) -> Da
             "segment",
             "keep",
             "drop",
-            F.explode(
-                F.transform(
-                    "_s",
-                    lambda x, i: F.struct(
-                        x.alias("_first"), F.slice("_s", i + 1, F.lit(width)).alias("window")
-                    ),
-                )
-            ).alias("m"),
+            F.explode(_sequences(F.col("_s"), lengths)).alias("_key"),
         )
-        .select("doc_id", "sentence_no", "segment_no", "segment", "keep", "drop", "m.*")
-        .join(sized_broadcast(dictionary), "_first")
-        .where(F.array_join(F.slice("window", F.lit(1), F.col("_arity")), " ") == F.col("_key"))
+        .join(sized_broadcast(dictionary.drop("_arity")), "_key")
     )
     return mentions.groupBy("doc_id", "official").agg(
         F.bool_or("keep").alias("kept"),
