@@ -1,8 +1,8 @@
 """Official-name checks against a dictionary table ``names(official)``.
 
-A document's distinct words, and its word sequences of the lengths that names
-have, are counted inside its row and probe the dictionary by the whole folded
-form, so neither a common first word nor a repeated word is met twice.  The
+A document's words, and its word sequences of the lengths that names have,
+probe the dictionary by the whole folded form, so a common first word is no
+hot key.  The
 dictionary is broadcast when its size allows and joined by shuffle otherwise.
 """
 
@@ -68,10 +68,10 @@ OPENING = "^"
 
 
 def sequences(text: Column, arities: list[int], wanted: str | None = None) -> Column:
-    """``array<struct<value, n>>``: the distinct word sequences of the given lengths.
+    """``array<string>``: the word sequences of the given lengths.
 
     A sequence never runs over a punctuation mark.  One at a sentence start has
-    ``OPENING`` before it.  Equal sequences are counted inside the row.
+    ``OPENING`` before it.
     """
 
     def of(w: Column) -> Column:
@@ -93,7 +93,7 @@ def sequences(text: Column, arities: list[int], wanted: str | None = None) -> Co
             lambda v: v.isNotNull() & ~v.rlike(r"(?:^|[ ^])[.,](?: |$)") & (F.lit(True) if wanted is None else v.rlike(wanted)),
         )
 
-    return runs(let(name_words(text), of))
+    return let(name_words(text), of)
 
 
 def _dictionary(names: DataFrame, fold, min_words: int = 1) -> DataFrame:
@@ -141,8 +141,8 @@ def name_hits(
     """(doc_id, kind, was, official, n) for each document row: names written wrong.
 
     ``kinds`` are of apostrophe, dash and case.  The text is read once: a row's
-    words and word sequences become candidates of their kinds, counted in the
-    row, and all of them probe one dictionary by kind and folded form.  A form
+    words and word sequences become candidates of their kinds, and all of them
+    probe one dictionary by kind and folded form; only the few hits are counted.  A form
     that is official as written is right, whatever else it resembles, and a
     wrong one is reported with every name it may stand for.  At a sentence
     start the first letter is capital by the rules of the language, so the
@@ -158,9 +158,9 @@ def name_hits(
     text = F.col("text")
     dashed = sorted({r.n for r in lengths if r.dashed}) or [1]
     several = sorted({r.n for r in lengths if r.n >= 2}) or [2]
-    none = F.array().cast("array<struct<value:string,n:int>>")
+    none = F.array().cast("array<string>")
     found = {
-        "apostrophe": runs(F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))),
+        "apostrophe": F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0)),
         "dash": F.when(text.rlike(DASHES), sequences(text, dashed, DASHES)).otherwise(none),
         "case": sequences(text, several),
     }
@@ -180,12 +180,12 @@ def name_hits(
         return out
 
     candidates = F.concat(*[F.transform(found[kind], _tagged(kind)) for kind in kinds])
-    probe = docs.select("doc_id", F.explode(candidates).alias("c")).select(
+    probe = docs.select("doc_id", F.posexplode(candidates).alias("_place", "c")).select(
         "doc_id",
+        "_place",
         "c.kind",
         F.col("c.value").alias("_written"),
         F.ltrim("c.value", F.lit(OPENING)).alias("was"),
-        F.col("c.n").cast("long").alias("n"),
     )
     written = F.when(F.col("kind") == "case", F.col("_written")).otherwise(F.col("was"))
     wrong = (
@@ -195,13 +195,13 @@ def name_hits(
         .join(sized_broadcast(union(_right_forms)), ["kind", "_form"], "left_anti")
     )
     if copies:
-        wrong = wrong.groupBy("doc_id", "kind", "_written", "was", "official").agg(F.max("n").alias("n"))
-    return wrong.groupBy("doc_id", "kind", "was", "official").agg(F.sum("n").alias("n"))
+        wrong = wrong.select("doc_id", "_place", "kind", "was", "official").distinct()
+    return wrong.groupBy("doc_id", "kind", "was", "official").agg(F.count("*").alias("n"))
 
 
 def _tagged(kind: str):
-    def tag(r: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), r["value"].alias("value"), r["n"].alias("n"))
+    def tag(value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
     return tag
 
