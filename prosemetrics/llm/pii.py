@@ -1,5 +1,8 @@
 """Personal data: candidates from generous patterns, boosted trees over format and context, a
-calibrated threshold, spans and redaction.  Column functions only.
+calibrated threshold for each kind, spans and redaction.  Column functions only.
+
+Labels are results of checksums and of tests of digit counts and ends of names; the trees see
+neither, only what stands before a candidate and how it is cut into groups.
 
 Patterns are written so that they run in linear time and without recursion on any text: repeats are
 possessive, and a pattern begins only where a run of its first characters does, or where the match
@@ -25,12 +28,14 @@ EMAIL, IP, CARD, PHONE = range(4)
 @dataclass(frozen=True)
 class Generator:
     """Proposes spans of one kind.  ``hint`` is a cheap condition that any match implies; matches of
-    a ``base`` generator that pass the kind's test are always redacted."""
+    a ``base`` generator that pass the kind's test are always redacted, those of a ``wide`` one
+    never: they only teach."""
 
     kind: int
     pattern: str
     hint: str
     base: bool
+    wide: bool = False
 
 
 GENERATORS = (
@@ -55,12 +60,34 @@ GENERATORS = (
     ),
     # Four groups of four with another separator.
     Generator(CARD, r"(?<![0-9._])[0-9]{4}([._])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])", r"[0-9]{4}[._][0-9]{4}", False),
+    # Groups of digits like those of phone numbers, but too few or too many of them for one.
+    Generator(
+        PHONE,
+        r"(?<![0-9+.])(?<![0-9)][ -])[0-9]{2,5}(?:[ -][0-9]{2,4}){3,7}(?![0-9])",
+        r"[0-9]{2}[ -][0-9]{2,4}[ -][0-9]{2}",
+        False,
+        True,
+    ),
 )
 
 CONTEXT = 24
-CUES = r"(?iu)\b(?:e-?mail|mail|contact|kontakt|correo|courriel|tel|phone|telefon|t[eé]l[eé]fono?|call|fax|card|karte|carte|tarjeta|visa|ip|host|addr)"
+CUES_OF = {
+    EMAIL: "e-?mail|mail|contact|kontakt|correo|courriel|addr",
+    IP: "ip|host|addr",
+    CARD: "card|karte|carte|tarjeta|visa",
+    PHONE: "contact|kontakt|tel|phone|telefon|t[eé]l[eé]fono?|call|fax",
+}
+CUES = rf"\b(?:{'|'.join(CUES_OF.values())})"
+# What has numbers that are no personal data; counts where no cue follows it.
+OTHERS = (
+    r"\b(?:version|release|build|rev(?:ision)?|serial(?:number)?|serien?-?(?:nummer|nr)|s[eé]rie|sku|isbn|issn|ean|part|model|modell?o|mod[eè]le"
+    r"|article|artikel|art[ií]culo|order|bestell(?:ung|nummer)|commande|pedido|invoice|rechnung|factur[ea]|tracking|ticket|ref(?:erence|erenz)?)\b"
+)
 
-FEATURES = ("kind", "valid", "digits", "letters", "marks", "plus", "brackets", "cue", "joined")
+FEATURES = ("groups", "letters", "cue", "other", "joined")
+# A labelled candidate also stands for so many (at most) wrong ones in a context of ``other`` things
+# or joined to a word, so that a table without such cases does not allow them.
+DOUBT = 4.0
 TREES, DEPTH, RATE = 24, 3, 0.3
 # What share of the labelled candidates above the threshold must be right.
 PRECISION = 0.995
@@ -127,9 +154,10 @@ def luhn(digits: Column) -> Column:
 
 
 def passes(kind: int, value: Column, base: bool) -> Column:
-    """The test of a kind.  A prefix 00, for which a base phone number has no room, is no digit."""
+    """The test of a kind.  A prefix 00, for which a base phone number has no room, is no digit; an
+    address written around filters must end like a host name."""
     if kind == EMAIL:
-        return value.isNotNull()
+        return value.isNotNull() if base else value.rlike("[^A-Za-z][A-Za-z]{2,}$")
     if kind == IP:
         number = lambda part: F.ltrim(part, F.lit("0"))
         small = lambda n: (F.length(n) <= 2) | ((F.length(n) == 3) & (n <= "255"))
@@ -140,25 +168,35 @@ def passes(kind: int, value: Column, base: bool) -> Column:
     return F.length(digits if base else F.regexp_replace(digits, "^00", "")).between(9, 15)
 
 
-CANDIDATE = "struct<kind:int,base:boolean,start:bigint,end:bigint,value:string,valid:boolean,before:string>"
+CANDIDATE = "struct<kind:int,base:boolean,start:bigint,end:bigint,value:string,valid:boolean,label:int,before:string>"
 
 
 def candidates(text: Column) -> Column:
-    """``array<struct<kind, base, start, end, value, valid, before>>``: what the generators propose.
+    """``array<struct<kind, base, start, end, value, valid, label, before>>``: what the generators
+    propose.  Spans of different generators may overlap.
 
-    Spans of different generators may overlap.
+    ``label``: the test's result on base spans and on card numbers, whose checksum decides.  Other
+    added spans are labelled wrong when they fail and are open when they pass, and so are wide ones,
+    but that lengths of card numbers (13 to 19) stay open, and that they are never ``valid``.
     """
 
+    def label(g: Generator, value: Column, valid: Column) -> Column:
+        if g.wide:
+            return F.when(~F.length(digits_of(value)).between(9, 19), F.lit(0))
+        return valid.cast("int") if g.base or g.kind == CARD else F.when(~valid, F.lit(0))
+
     def described(g: Generator):
         def describe(m: Column) -> Column:
             begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
+            valid = F.lit(False) if g.wide else passes(g.kind, m["value"], g.base)
             return F.struct(
                 F.lit(g.kind).alias("kind"),
                 F.lit(g.base).alias("base"),
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 m["value"].alias("value"),
-                passes(g.kind, m["value"], g.base).alias("valid"),
+                valid.alias("valid"),
+                label(g, m["value"], valid).alias("label"),
                 F.substring(text, (begin + 1).cast("int"), (m["start"] - begin).cast("int")).alias("before"),
             )
 
@@ -173,36 +211,67 @@ def candidates(text: Column) -> Column:
 
 
 def features(c: Column) -> list[Column]:
-    """Small whole numbers that describe a candidate: its format and what stands before it."""
+    """Small whole numbers that describe a candidate: its groups and what stands before it.  No
+    label follows from them."""
     value, before = c["value"], c["before"]
     length_of = lambda pattern: F.length(F.regexp_replace(value, pattern, ""))
+    own = F.lit(False)
+    for kind, words in CUES_OF.items():
+        own = F.when(c["kind"] == kind, before.rlike(rf"(?iu)\b(?:{words})")).otherwise(own)
     return [
-        c["kind"],
-        c["valid"].cast("int"),
-        F.least(length_of("[^0-9]"), F.lit(20)),
+        F.least(F.length(F.regexp_replace(F.regexp_replace(value, "[^0-9]+", "."), "[0-9]+", "")), F.lit(6)),
         F.least(length_of("[^A-Za-z]"), F.lit(4)),
-        F.least(length_of("[A-Za-z0-9]"), F.lit(6)),
-        F.startswith(value, F.lit("+")).cast("int"),
-        F.contains(value, F.lit("(")).cast("int"),
-        before.rlike(CUES).cast("int"),
+        own.cast("int"),
+        before.rlike(f"(?ius){OTHERS}(?!.*{CUES})").cast("int"),
         before.rlike("[A-Za-z0-9]$").cast("int"),
     ]
 
 
-def train(found: DataFrame, column: str) -> tuple[Trees, float]:
-    """Trees and the threshold on their margin, from the candidates of all documents.
+def doubted(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each combination again, once among ``other`` things and once joined to a word, with its
+    weight or ``DOUBT``: rows that are taken for wrong."""
+    rows = []
+    for name in ("other", "joined"):
+        again = x.copy()
+        again[:, FEATURES.index(name)] = 1
+        rows.append(again)
+    return np.concatenate(rows), np.tile(np.minimum(weight, DOUBT), len(rows))
+
 
-    Labels come from the kinds' tests on what the base patterns find; other candidates have none and
-    are what the trees are for.  Features have few values each, so the candidates are counted for
-    each combination; that table's size is bounded, and only it comes to the driver.
+Models = dict[int, tuple[Trees, float]]
+
+
+def train(found: DataFrame, column: str) -> Models:
+    """Trees and the threshold on their margin for each kind, from the labelled candidates of all
+    documents.
+
+    Features have few values each, so the candidates are counted for each combination; that table's
+    size is bounded, and only it comes to the driver.  The threshold rests on labelled candidates
+    alone; a kind that has none that are right has no model.
     """
-    each = found.select(F.explode(column).alias("c")).filter("c.base")
-    described = each.select(*[f.alias(n) for n, f in zip(FEATURES, features(F.col("c")))], F.col("c.valid").cast("int").alias("label"))
-    counted = described.groupBy(*FEATURES, "label").agg(F.count(F.lit(1)).alias("n")).collect()
-    table = np.array(sorted(tuple(r) for r in counted), dtype=np.float64).reshape(-1, len(FEATURES) + 2)
-    x, y, weight = table[:, :-2], table[:, -2], table[:, -1]
-    model = fit(x, y, trees=TREES, depth=DEPTH, rate=RATE, bins=32, least_weight=2.0, weight=weight)
-    return model, calibrate(model.margin(x), y, weight)
+    each = found.select(F.explode(column).alias("c")).filter("c.label IS NOT NULL")
+    described = each.select("c.kind", *[f.alias(n) for n, f in zip(FEATURES, features(F.col("c")))], "c.label")
+    counted = described.groupBy("kind", *FEATURES, "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    table = np.array(sorted(tuple(r) for r in counted), dtype=np.float64).reshape(-1, len(FEATURES) + 3)
+    models = {}
+    for kind in sorted({g.kind for g in GENERATORS if not (g.base or g.wide)}):
+        rows = table[table[:, 0] == kind, 1:]
+        x, y, weight = rows[:, :-2], rows[:, -2], rows[:, -1]
+        if not y.any():
+            continue
+        more, share = doubted(x, weight)
+        model = fit(
+            np.concatenate([x, more]),
+            np.concatenate([y, np.zeros(len(more))]),
+            trees=TREES,
+            depth=DEPTH,
+            rate=RATE,
+            bins=32,
+            least_weight=2.0,
+            weight=np.concatenate([weight, share]),
+        )
+        models[kind] = (model, calibrate(model.margin(x), y, weight))
+    return models
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -231,19 +300,23 @@ def margin_of(model: Trees, values: list[Column]) -> Column:
     return total
 
 
-def selected(found: Column, model: Trees, threshold: float) -> Column:
-    """``array<struct<kind, start, end>>``, sorted: the base spans that pass, and of the others those
-    above the threshold that overlap no base span and no earlier chosen one."""
+def selected(found: Column, models: Models) -> Column:
+    """``array<struct<kind, start, end>>``, sorted: the base spans that pass, and of the added ones that
+    pass those above their kind's threshold that overlap no base span and no earlier chosen one."""
     bare = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     base = F.transform(F.filter(found, lambda c: c["base"] & c["valid"]), bare)
-    if not np.isfinite(threshold):
+    models = {kind: m for kind, m in models.items() if np.isfinite(m[1])}
+    if not models:
         return F.array_sort(base)
-    extra = F.filter(
-        found,
-        lambda c: ~c["base"]
-        & c["valid"]
-        & let(F.array(*features(c)), lambda f: margin_of(model, [f[i] for i in range(len(FEATURES))]) >= F.lit(threshold)),
-    )
+
+    def judged(c: Column, f: Column) -> Column:
+        out = F.lit(False)
+        for kind, (model, threshold) in models.items():
+            above = margin_of(model, [f[i] for i in range(len(FEATURES))]) >= F.lit(threshold)
+            out = F.when(c["kind"] == kind, above).otherwise(out)
+        return out
+
+    extra = F.filter(found, lambda c: ~c["base"] & c["valid"] & let(F.array(*features(c)), lambda f: judged(c, f)))
     touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
 
     def choose(sure: Column, more: Column) -> Column:
@@ -273,14 +346,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Counts and the checksum are of the base spans, ``spans`` has all.  The text is read once: what
     the generators find is stored (without the text), the trees are fitted on it and applied to it.
+    The base patterns' spans that pass their tests are always there; added spans must also stand in
+    a context that the trees accept.
 
     Defined cases: a null text is an empty one; a document without a match has zeros, the checksum
-    of the empty string and an empty ``spans``; null and repeated ids stay as they are; other
+    of the empty string and an empty ``spans``; in a table without a labelled candidate of a kind that
+    is right, that kind has base spans only; null and repeated ids stay as they are; other
     columns are not read; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = stored(docs.select(F.col(id_col).alias("id"), candidates(text).alias("found")), "pii")
-    model, threshold = train(found, "found")
+    models = train(found, "found")
     base = F.array_sort(
         F.transform(
             F.filter("found", lambda c: c["base"] & c["valid"]),
@@ -288,7 +364,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
     )
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.withColumns({"base": base, "chosen": selected(F.col("found"), model, threshold)}).select(
+    return found.withColumns({"base": base, "chosen": selected(F.col("found"), models)}).select(
         F.col("id").alias(id_col),
         *[count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
@@ -324,8 +400,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     found, chosen = free_name(docs.columns, "found"), free_name(docs.columns, "chosen")
     marked = docs.withColumn(found, candidates(F.coalesce(F.col(text_col), F.lit(""))))
     # Stored without the texts to train on, and found again in the pass that rewrites them.
-    model, threshold = train(stored(marked.select(found), "redact"), found)
-    out = marked.withColumn(chosen, selected(F.col(found), model, threshold))
+    models = train(stored(marked.select(found), "redact"), found)
+    out = marked.withColumn(chosen, selected(F.col(found), models))
     out = out.withColumn(text_col, redacted(F.col(text_col), F.col(chosen)))
     if length_col in docs.columns:
         changed = F.size(chosen) > 0
