@@ -2,8 +2,9 @@
 
 Statistics are transformed to a vector for each document.  For each language and source the
 minimum covariance determinant gives a centre and a covariance that junk cannot pull: start from
-medians and quartiles, then concentrate a few times on the ``SUPPORT`` share of documents that are
-nearest by Mahalanobis distance.  A document far from its group's centre is rejected.
+medians with two measures of spread, concentrate a few times on the nearer half of the documents by
+Mahalanobis distance, and take the start that ends with the smaller determinant.  Equal vectors,
+such as copies have, count once.  A document far from its group's centre is rejected.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from prosemetrics.llm.shared import stored
 from prosemetrics.llm.textstats import NAMES, with_stats
 from prosemetrics.session import sized_broadcast
 
-# The share of a group's documents that its estimates rest on; up to a quarter may be junk.
-SUPPORT = 0.75
 CONCENTRATIONS = 4
+# The last estimates rest on documents within this quantile of the distance, taken so often.
+WITHIN, REWEIGHTS = 0.975, 2
 # Groups with fewer documents are pooled: sources within their language, then languages.
 GROUP_ROWS = 200
 # A typical document lies beyond the cutoff once in so many.
@@ -117,41 +118,48 @@ def distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-MODEL = "group_lang string, group_source string, centre array<double>, inverse array<double>"
+MODEL = "group_lang string, group_source string, centre array<double>, inverse array<double>, volume double"
+COLUMNS = ["group_lang", "group_source", "centre", "inverse", "volume"]
 
 
 def _model(keys, centre: np.ndarray, covariance: np.ndarray):
     floor = np.diag(np.array(list(SPREAD.values())) ** 2)
-    return (*keys, centre.tolist(), np.linalg.inv(covariance + floor).ravel().tolist())
+    whole = covariance + floor
+    return (*keys, centre.tolist(), np.linalg.inv(whole).ravel().tolist(), float(np.linalg.slogdet(whole)[1]))
 
 
 def _start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A model of medians and quartiles for each group."""
+    """A model for each group from its medians and spreads."""
     for frame in batches:
-        out = []
-        for lang, source, *quartiles in frame.itertuples(index=False):
-            q = np.array([list(x) for x in quartiles])
-            out.append(_model((lang, source), q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2)))
-        yield pd.DataFrame(out, columns=["group_lang", "group_source", "centre", "inverse"])
+        out = [
+            _model((lang, source), np.array(middle), np.diag(np.array(spread) ** 2))
+            for lang, source, middle, spread in frame.itertuples(index=False)
+        ]
+        yield pd.DataFrame(out, columns=COLUMNS)
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean and covariance of each group from its counts and sums."""
-    for frame in batches:
-        out = []
-        for lang, source, chosen, rows, sums, products in frame.itertuples(index=False):
-            mean = np.array(sums) / chosen
-            upper = np.zeros((DIMS, DIMS))
-            upper[np.triu_indices(DIMS)] = np.array(products) / chosen
-            second = upper + np.triu(upper, 1).T
-            covariance = (second - np.outer(mean, mean)) * consistency(chosen / rows)
-            out.append(_model((lang, source), mean, covariance))
-        yield pd.DataFrame(out, columns=["group_lang", "group_source", "centre", "inverse"])
+def _estimate(share: float | None):
+    """Mean and covariance of each group from its counts and sums; they rest on the nearest ``share``
+    of typical documents, by default on the share of rows that is summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for lang, source, chosen, rows, sums, products in frame.itertuples(index=False):
+                mean = np.array(sums) / chosen
+                upper = np.zeros((DIMS, DIMS))
+                upper[np.triu_indices(DIMS)] = np.array(products) / chosen
+                second = upper + np.triu(upper, 1).T
+                covariance = (second - np.outer(mean, mean)) * consistency(share or chosen / rows)
+                out.append(_model((lang, source), mean, covariance))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return run
 
 
-def _concentrate(rows: DataFrame, models: DataFrame, within: float | None) -> DataFrame:
-    """New models from the nearest rows of each group: the ``SUPPORT`` share of them, or those up
-    to the squared distance ``within``.
+def _concentrate(rows: DataFrame, models: DataFrame, share: float | None) -> DataFrame:
+    """New models from the nearest rows of each group: the nearer half of them, or those within the
+    quantile ``share`` of the distance.
 
     Sums are made for each group and bin of distances, before the shuffle; bins are taken from the
     nearest on until the share is reached, so no group is sorted and none comes together.
@@ -166,9 +174,10 @@ def _concentrate(rows: DataFrame, models: DataFrame, within: float | None) -> Da
     nearest = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*KEY)
     bins = bins.withColumn("nearer", F.coalesce(F.sum("n").over(nearest), F.lit(0))).withColumn("rows", F.sum("n").over(whole))
-    if within is None:
-        bins = bins.filter(F.col("nearer") < F.ceil(F.col("rows") * SUPPORT))
+    if share is None:
+        bins = bins.filter(F.col("nearer") < F.least("rows", F.floor((F.col("rows") + DIMS + 1) / 2)))
     else:
+        within = chi2_quantile(share, DIMS)
         bins = bins.filter((F.col("bin") <= math.floor(math.log2(within) * BINS)) | (F.col("nearer") == 0))
     summed = bins.groupBy(*KEY).agg(
         F.sum("n").alias("chosen"),
@@ -176,7 +185,7 @@ def _concentrate(rows: DataFrame, models: DataFrame, within: float | None) -> Da
         F.array(*[F.sum(f"s{i}") for i in range(DIMS)]).alias("sums"),
         F.array(*[F.sum(f"p{i}_{j}") for i, j in pairs]).alias("products"),
     )
-    return stored(summed.mapInPandas(_estimate, MODEL), "mcd")
+    return stored(summed.mapInPandas(_estimate(share), MODEL), "mcd")
 
 
 def mcd_models(rows: DataFrame) -> DataFrame:
@@ -184,12 +193,27 @@ def mcd_models(rows: DataFrame) -> DataFrame:
 
     The number of documents, not of groups, is what grows; groups have one small row each.
     """
-    fine = [F.round(F.col("x")[i] * 1024) / 1024 for i in range(DIMS)]
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(fine)]
-    models = stored(rows.groupBy(*KEY).agg(*quartiles).mapInPandas(_start, MODEL), "mcd")
-    for _ in range(CONCENTRATIONS):
-        models = _concentrate(rows, models, None)
-    return _concentrate(rows, models, chi2_quantile(0.975, DIMS))
+    rows = stored(rows.select(*KEY, "x").distinct(), "distinct")
+    fine = lambda c: F.round(c * 1024) / 1024
+    quartiles = [F.percentile(fine(F.col("x")[i]), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}") for i in range(DIMS)]
+    marks = stored(rows.groupBy(*KEY).agg(*quartiles), "quartiles")
+    middle = F.array(*[F.col(f"q{i}")[1] for i in range(DIMS)])
+    between = F.array(*[(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIMS)])
+    centres = marks.select(*KEY, middle.alias("centre"), between.alias("inverse"))
+    off = [F.percentile(fine(F.abs(F.col("x")[i] - F.col("centre")[i])), F.lit(0.5)) * 1.4826 for i in range(DIMS)]
+    spreads = _matched(rows, centres).groupBy(*KEY, "centre").agg(F.array(*off).alias("spread"))
+    starts = [spreads.select(*KEY, "centre", "spread"), centres.select(*KEY, "centre", "inverse")]
+    ends = []
+    for start in starts:
+        models = stored(start.mapInPandas(_start, MODEL), "mcd")
+        for _ in range(CONCENTRATIONS):
+            models = _concentrate(rows, models, None)
+        ends.append(models)
+    both = ends[0].unionByName(ends[1]).groupBy(*KEY)
+    models = stored(both.agg(F.min_by(F.struct(*COLUMNS[2:]), "volume").alias("m")).select(*KEY, "m.*"), "mcd")
+    for _ in range(REWEIGHTS):
+        models = _concentrate(rows, models, WITHIN)
+    return models
 
 
 def quality_rules(

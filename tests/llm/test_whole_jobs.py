@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from prosemetrics.llm import pii
+import numpy as np
+import pytest
+
+from prosemetrics.llm import pii, quality_rules as rules
 
 
 def test_context_refuses_valid_formats(spark):
@@ -45,3 +48,16 @@ def test_no_host_no_address(spark):
 def test_no_label_no_added_span(spark):
     frame = spark.createDataFrame([(1, "call 0044 20 7946 0958"), (2, "jo [at] host [dot] org")], "doc_id long, text string")
     assert {r.spans for r in pii.personal_data(frame).collect()} == {""}
+
+
+@pytest.mark.parametrize(("share", "spread"), [(0.35, 0.3), (0.45, 0.3), (1 / 3, 0.0)])
+def test_much_junk_and_copies_do_not_move_estimates(spark, share, spread):
+    rng = np.random.default_rng(7)
+    n = int(2000 * share)
+    x = np.concatenate([rng.normal(0, 0.3, (2000 - n, rules.DIMS)), 5 + rng.normal(0, 1, (n, rules.DIMS)) * spread])
+    frame = spark.createDataFrame([("en", "s", r.tolist()) for r in x], "group_lang string, group_source string, x array<double>")
+    model = rules.mcd_models(frame).collect()[0]
+    off = x - np.array(model.centre)
+    d2 = np.einsum("ij,jk,ik->i", off, np.array(model.inverse).reshape(rules.DIMS, -1), off)
+    cutoff = rules.chi2_quantile(1 - 1 / rules.CUTOFF_ODDS, rules.DIMS)
+    assert (d2[-n:] > cutoff).all() and (d2[:-n] <= cutoff).mean() > 0.99
