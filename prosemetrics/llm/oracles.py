@@ -105,3 +105,39 @@ SELECT s.doc_id, s.domain, s.lang, s.source, CAST(s.tokens AS BIGINT) AS tokens,
        CAST(b.supply AS BIGINT) AS leaf_supply, CAST(b.budget AS BIGINT) AS leaf_budget
 FROM summed s JOIN b{len(LEVELS)} b ON s.domain = b.domain AND s.lang = b.lang AND s.source = b.source
 WHERE s.before < b.budget"""
+
+
+def exact_duplicates_sql() -> str:
+    return r"""
+WITH digests AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM digests
+WINDOW same AS (PARTITION BY text_sha256)"""
+
+
+def hard_negatives_sql(positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90, scale: int = 256, every: int = 100) -> str:
+    """A DuckDB twin for tables without repeated ids, over vectors of equal dimension; labels move where ids divide by 7."""
+    return f"""
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v)
+  WHERE a.vec_id % {every} = 0),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {positives})
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND {least} * positive_score <= 100 * score AND 100 * score <= {most} * positive_score
+QUALIFY rank <= {negatives}"""

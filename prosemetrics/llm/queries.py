@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemetrics.llm.alignment import alignments
+from prosemetrics.llm.exact_dedup import exact_duplicates, text_stream
+from prosemetrics.llm.hard_negatives import hard_negatives
 from prosemetrics.llm.mixing import Mixture, mixed_ids
-from prosemetrics.llm.oracles import mixing_sql, top_k_sql, url_sql
+from prosemetrics.llm.oracles import exact_duplicates_sql, hard_negatives_sql, mixing_sql, top_k_sql, url_sql
 from prosemetrics.llm.packing import pack
 from prosemetrics.llm.pii import personal_data
 from prosemetrics.llm.quality_model import quality_scores
@@ -20,6 +23,7 @@ from prosemetrics.llm.topk import top_k
 from prosemetrics.llm.url_filter import ALLOW, BLOCK, Rule, UrlPolicy, url_verdicts
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 URL_POLICY = UrlPolicy(
     rules=(
         Rule(BLOCK, "net", "/"),
@@ -83,6 +87,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_ids(_table(spark, sf_dir, "documents"), MIXTURE)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # As a glob the path may also name a single file.
+    return exact_duplicates(docs, text_stream(spark, f"{sf_dir}/documents.parque[t]", docs.schema))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(_table(spark, sf_dir, "documents"), TOKENIZER, PIECE_TOKENIZER)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_personal_data": op9_personal_data,
     "op10_mixing": op10_mixing,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # The others have trained models, checksums or hashes that DuckDB lacks, or free numbers; tests/llm
@@ -102,4 +124,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": url_sql(URL_POLICY),
     "op7_top_k": top_k_sql(10, 100),
     "op10_mixing": mixing_sql(MIXTURE),
+    "op11_exact_dedup": exact_duplicates_sql(),
+    "op13_hard_negatives": hard_negatives_sql(),
 }
