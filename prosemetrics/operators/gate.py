@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prosemetrics.functions import text as T
 from prosemetrics.functions.findings import flat
 from prosemetrics.functions.numbers import rounded
-from prosemetrics.operators.markers import _template
+from prosemetrics.operators.markers import _template, hit_count
 from prosemetrics.operators.measures import rhythm, voice, voice_total
 from prosemetrics.packs.base import SIGNALS, Rules
 
@@ -44,12 +44,7 @@ def measured(pairs: DataFrame, rules: Rules) -> DataFrame:
                     lang,
                 ),
             )
-            .withColumn(
-                f"{side}_markers",
-                sum(
-                    (F.regexp_count(text, F.lit(m.pattern)) for m in rules.markers), F.lit(0)
-                ),
-            )
+            .withColumn(f"{side}_markers", hit_count(text, T.lines(text), [m.pattern for m in rules.markers]))
         )
     return out.drop("b_sentences", "a_sentences", "b_lens", "a_lens")
 
@@ -234,31 +229,34 @@ def violation_rows(verdicts: DataFrame, key: str = "pair_id") -> DataFrame:
 def select_attempt(
     docs: DataFrame, attempts: DataFrame, rules: Rules, max_attempts: int = 3
 ) -> DataFrame:
-    """First accepted attempt within the cap, else the original text.
+    """First accepted attempt within the cap, else the original text: a row for each of ``docs``.
 
     ``docs(doc_id, text)``, ``attempts(doc_id, n, text)``.  Attempts after the
     first accepted one were never made, so the history ends there.
+
+    Documents that share an id are told apart by their texts: each is judged against all attempts
+    of the id.  A null id is an id like any other.
     """
     tries = attempts.where(F.col("n") <= max_attempts).select(
-        "doc_id", "n", T.strip_fence(F.col("text")).alias("after")
+        F.col("doc_id").alias("_id"), "n", T.strip_fence(F.col("text")).alias("after")
     )
-    rows = docs.select("doc_id", F.col("text").alias("before")).join(tries, "doc_id", "left")
-    verdicts = measured(rows, rules).select("doc_id", "n", violations(rules).alias("violations"))
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    rows = marked.withColumnRenamed("text", "before").join(tries, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    verdicts = measured(rows, rules).select("doc_id", "_text", "n", violations(rules).alias("violations"))
     accepted = F.size("violations") == 0
     tried = F.col("n").isNotNull()
     # Only numbers and reasons are grouped; the one text of each document is fetched at the end.
-    best = verdicts.groupBy("doc_id").agg(
+    best = verdicts.groupBy(F.col("doc_id").alias("_of"), F.col("_text").alias("_of_text")).agg(
         F.min(F.when(tried & accepted, F.col("n"))).alias("_n"),
+        # a set: copies of a document have the same history
         F.array_sort(
-            F.collect_list(
+            F.collect_set(
                 F.when(tried, F.struct("n", accepted.alias("accepted"), "violations"))
             )
         ).alias("_history"),
     )
-    chosen = tries.select("doc_id", F.col("n").alias("_n"), "after")
-    best = (
-        docs.select("doc_id", "text").join(best, "doc_id").join(chosen, ["doc_id", "_n"], "left")
-    )
+    best = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_of")) & F.col("_text").eqNullSafe(F.col("_of_text")))
+    best = best.join(tries, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("n")), "left")
     before, after = rules.messages["original_returned"].split("{}")
     return best.withColumn("accepted", F.col("_n").isNotNull()).select(
         "doc_id",

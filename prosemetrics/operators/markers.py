@@ -54,6 +54,16 @@ def line_hits(text: Column, lines: Column, patterns: list[str]) -> Column:
     return F.concat(*[one(i, p) for i, p in enumerate(patterns)])
 
 
+def hit_count(text: Column, lines: Column, patterns: list[str]) -> Column:
+    """How many hits :func:`line_hits` finds; a match never runs over a line break."""
+
+    def one(pattern: str) -> Column:
+        per_line = F.aggregate(lines, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(pattern)))
+        return F.when(text.rlike(pattern), per_line).otherwise(F.lit(0))
+
+    return sum((one(p) for p in patterns), F.lit(0))
+
+
 def marker_findings(text: Column, lines: Column, rules: Rules) -> Column:
     """Every template-phrase hit of every marker, in catalogue order."""
     if not rules.markers:

@@ -221,18 +221,54 @@ def case_errors(docs: DataFrame, names: DataFrame) -> DataFrame:
     return name_hits(docs, names, ("case",)).drop("kind")
 
 
-def _letters_removed(word: Column, most: Column) -> Column:
-    """A word and what is left of it without one or two of its letters."""
+def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of ``edits + 1`` nearly equal ones."""
 
-    def without_one(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substr(w, i + 1)),
-        )
+    def size(j: int) -> Column:
+        return F.floor((length + j) / (edits + 1)).cast("int")
+
+    start = F.lit(0)
+    for j in range(i):
+        start = start + size(j)
+    return start, size(i)
+
+
+def _segment_key(edits: int, length: Column, i: int, segment: Column) -> Column:
+    return F.concat(F.lit(f"{edits}:"), length.cast("string"), F.lit(f":{i}:"), segment)
+
+
+def name_segments(word: Column, max_edits: int) -> Column:
+    """The keys of a dictionary word: its segments, for each number of edits."""
+    length, keys = F.length(word), []
+    for edits in range(1, max_edits + 1):
+        for i in range(edits + 1):
+            start, size = _segment(length, edits, i)
+            key = _segment_key(edits, length, i, F.substr(word, start + 1, size))
+            keys.append(F.when(length > edits, key))
+    return F.array_compact(F.array(*keys))
 
-    once = F.when(most >= 1, without_one(word)).otherwise(F.array())
-    twice = F.when(most >= 2, F.flatten(F.transform(without_one(word), without_one))).otherwise(F.array())
-    return F.array_distinct(F.concat(F.array(word), once, twice))
+
+def probe_segments(word: Column, max_edits: int, allowed) -> Column:
+    """The keys under which a written word finds every dictionary word within its edits.
+
+    A word with at most ``edits`` edits keeps one of ``edits + 1`` segments whole.  Take the first
+    segment before which there is one edit for each segment and not one more: it is shifted by as many letters at most,
+    seen from the front, and by as many as there are segments behind it, seen from the end.  So a
+    word has ``(edits^2 - d^2) / 2 + edits + 1`` keys or fewer for each difference of lengths d,
+    however long it is.
+    """
+    own, keys = F.length(word), []
+    for edits in range(1, max_edits + 1):
+        for more in range(-edits, edits + 1):  # letters that the written word has more
+            length = own - more
+            fits = (length > edits) & (allowed(F.greatest(own, length)) == edits)
+            for i in range(edits + 1):
+                start, size = _segment(length, edits, i)
+                for shift in range(max(-i, more - edits + i), min(i, more + edits - i) + 1):
+                    at = start + shift
+                    key = _segment_key(edits, length, i, F.substr(word, at + 1, size))
+                    keys.append(F.when(fits & (at >= 0) & (at + size <= own), key))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def typo_candidates(
@@ -249,9 +285,10 @@ def typo_candidates(
     at most, so that most of the word is common; where the edits sit does not
     matter.  Inflected forms of a known word are not typos.
 
-    Words within d edits share what is left when up to d letters are removed
-    from each: that is the join key, so no block of similar words is compared
-    pair by pair.  Every distinct word of the corpus is matched once.
+    A name word is cut into one segment more than it may have edits; a word within those edits holds
+    one of the segments unchanged, at nearly the same place.  Segment, place and length are the join
+    key, so a word has a fixed number of keys, however long it is.  Every distinct word of the corpus
+    is matched once.
     """
     if max_edits not in (1, 2):
         raise ValueError("max_edits must be 1 or 2")
@@ -267,27 +304,17 @@ def typo_candidates(
     def allowed(length: Column) -> Column:
         return F.least(F.lit(max_edits), F.floor(length / letters_per_edit).cast("int"))
 
-    def keyed(words: DataFrame, column: str) -> DataFrame:
-        most = allowed(F.length(column) + max_edits)
-        return words.select(column, F.explode(_letters_removed(F.col(column), most)).alias("_key"))
-
     found = runs(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     words = (
         docs.select("doc_id", F.explode(found).alias("r"))
         .select("doc_id", F.col("r.value").alias("was"), F.col("r.n").cast("long").alias("n"))
         .withColumn("_low", F.lower("was"))
     )
-    # Words much longer than any name word can match none; their length is data, not a setting.
-    longest = vocabulary.agg((F.max(F.length("word")) + max_edits).alias("_longest"))
-    distinct = (
-        words.select("_low")
-        .distinct()
-        .join(F.broadcast(longest), F.length("_low") <= F.col("_longest"))
-        .select("_low")
-    )
+    segments = vocabulary.select("word", F.explode(name_segments(F.col("word"), max_edits)).alias("_key"))
+    probe = words.select("_low").distinct()
+    probe = probe.select("_low", F.explode(probe_segments(F.col("_low"), max_edits, allowed)).alias("_key"))
     near = (
-        keyed(distinct, "_low")
-        .join(sized_broadcast(keyed(vocabulary, "word")), "_key")
+        probe.join(sized_broadcast(stored(segments, "name-segments")), "_key")
         .select("_low", "word")
         .distinct()
         .withColumn("edits", F.levenshtein("_low", "word", max_edits))
@@ -300,8 +327,9 @@ def typo_candidates(
             F.min("edits").alias("edits"),
         )
     )
+    near = stored(near, "near-misses")  # measured for the broadcast and joined: computed once
     return (
-        words.join(near, "_low")
+        words.join(sized_broadcast(near), "_low")
         .groupBy("doc_id", "was", "official", "edits")
         .agg(F.sum("n").alias("n"))
         .select("doc_id", "was", "official", "edits", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemetrics.functions.findings import (
@@ -11,6 +11,7 @@ from prosemetrics.functions.findings import (
     compact_json,
     severity_rank,
 )
+from prosemetrics.session import sized_broadcast, stored
 
 
 def severity_summary(findings: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -50,6 +51,27 @@ def worst_of(findings: Column) -> Column:
     )["severity"]
 
 
+def quality_gates(
+    findings: DataFrame, docs: DataFrame, levels: tuple[str, ...] = ("error",), key: str = "doc_id"
+) -> DataFrame:
+    """(key, fail_on, exit_code) for each of ``levels``: 1 when any finding is at or above it.
+
+    A document's gravest rank answers for all levels, so findings are grouped once.
+    """
+    if unknown := set(levels) - set(SEVERITIES):
+        raise ValueError(f"levels must be of {SEVERITIES}, not {sorted(unknown)}")
+    worst = findings.groupBy(F.col(key).alias("_key")).agg(F.min(severity_rank(F.col("severity"))).alias("_worst"))
+    joined = docs.select(key).join(worst, F.col(key).eqNullSafe(F.col("_key")), "left")
+    code = [
+        F.struct(
+            F.lit(level).alias("fail_on"),
+            F.coalesce(F.col("_worst") <= SEVERITIES.index(level), F.lit(False)).cast("int").alias("exit_code"),
+        )
+        for level in levels
+    ]
+    return joined.select(key, F.inline(F.array(*code)))
+
+
 def quality_gate(
     findings: DataFrame, docs: DataFrame, fail_on: str = "error", key: str = "doc_id"
 ) -> DataFrame:
@@ -57,12 +79,7 @@ def quality_gate(
 
     The default fails on errors only, so editorial signals never fail a run.
     """
-    if fail_on not in SEVERITIES:
-        raise ValueError(f"fail_on must be one of {SEVERITIES}")
-    bad = findings.where(
-        severity_rank(F.col("severity")) <= SEVERITIES.index(fail_on)
-    ).groupBy(key).agg(F.lit(1).alias("exit_code"))
-    return docs.select(key).join(bad, key, "left").fillna(0, subset=["exit_code"])
+    return quality_gates(findings, docs, (fail_on,), key).drop("fail_on")
 
 
 def order_findings(findings: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -70,8 +87,6 @@ def order_findings(findings: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Sorting is per document, never global.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(
         severity_rank(F.col("severity")), F.coalesce("line", F.lit(0)), "id", "evidence"
     )
@@ -163,40 +178,94 @@ def regression(per_doc: DataFrame, limits: dict[str, float]) -> DataFrame:
     return total.select(F.inline(F.array(*rows)))
 
 
-def rounded_percentiles(
-    values: DataFrame, column: str, points: list[float], digits: int, *group: str
-) -> DataFrame:
-    """Percentiles of a measure rounded to ``digits``: (*group, n, minimum, p..).
+def ordered_bits(value: Column) -> Column:
+    """A double as a long of the same order; both zeros are one value, not-a-number is the greatest."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("long")
+    return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(2**63 - 1))
 
-    They are exact for the rounded values, and so within half a unit of the
-    last digit for the measure itself.  Values are rounded and counted first.  The percentile then runs over the
-    histogram, whose size is bounded by the rounding and not by the corpus.
+
+def _value_of(bits: Column) -> Column:
+    plain = bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(2**63 - 1))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), plain).cast("double")
+
+
+# Bits that one pass over the values decides.
+PASS_BITS = 16
+
+
+def percentiles(values: DataFrame, column: str, points: list[float], *group: str) -> DataFrame:
+    """Exact percentiles of a measure: (*group, n, minimum, p..), interpolated between neighbours.
+
+    Nothing is sorted and no group is collected.  The values' ordered bits are counted by their
+    first 16; the bucket that holds a wanted rank is known from the counts, and the next pass counts
+    only that bucket's values, by their next 16 bits.  After four passes the bits of the wanted values are
+    whole.  A pass shuffles at most 65536 counts for each group, rank and task.
+
+    Nulls are left out, and a group without values gives no row; a group key may be null.
     """
-    histogram = (
-        values.where(F.col(column).isNotNull())
-        .groupBy(*group, F.round(column, digits).alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
-    return histogram.groupBy(*group).agg(
-        F.sum("n").alias("n"),
-        F.min("value").alias("minimum"),
-        *[
-            F.percentile("value", p, F.col("n")).alias(f"p{round(p * 100)}")
-            for p in points
-        ],
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    g = [f"_g{i}" for i in range(len(group))]
+    slim = values.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    slim = stored(slim.select(*g, "_v", ordered_bits(F.col("_v")).alias("_bits")), "percentiles")
+    sizes = slim.groupBy(*g).agg(F.count("*").alias("n"), F.min("_bits").alias("_least")).where("n > 0")
+    sizes = stored(sizes, "percentile-sizes")
+
+    def same(left: DataFrame, right: DataFrame, *more: str) -> Column:
+        out = F.lit(True)
+        for c in (*g, *more):
+            out = out & left[c].eqNullSafe(right[c])
+        return out
+
+    def ranks(point: float) -> Column:
+        exact = (F.col("n") - 1) * F.lit(float(point))
+        return F.array(F.floor(exact), F.ceil(exact))
+
+    wanted = F.array_distinct(F.concat(*[ranks(p) for p in points]))
+    targets = sizes.select(*g, F.explode(wanted).alias("_rank")).select("*", F.col("_rank").alias("_left"), F.lit(0).cast("long").alias("_prefix"))
+    for shift in range(64 - PASS_BITS, -1, -PASS_BITS):
+        # Values that share the decided bits with a target, counted by the next ones.
+        decided = shift + PASS_BITS
+        rows = slim.withColumn("_prefix", F.shiftright("_bits", decided) if decided < 64 else F.lit(0).cast("long"))
+        rows = rows.withColumn("_next", F.shiftright("_bits", shift))
+        buckets = targets.select(*g, "_prefix").distinct()
+        rows = rows.join(sized_broadcast(buckets), same(rows, buckets, "_prefix"), "left_semi")
+        counts = rows.groupBy(*g, "_prefix", "_next").agg(F.count("*").alias("_n"))
+        upto = Window.partitionBy(*g, "_prefix").orderBy("_next")
+        counts = counts.withColumn("_upto", F.sum("_n").over(upto))
+        hit = same(targets, counts, "_prefix") & (targets["_left"] < counts["_upto"]) & (targets["_left"] >= counts["_upto"] - counts["_n"])
+        found = targets.join(counts, hit).select(
+            *[targets[c] for c in (*g, "_rank")],
+            (targets["_left"] - counts["_upto"] + counts["_n"]).alias("_left"),
+            counts["_next"].alias("_prefix"),
+        )
+        targets = stored(found, "percentile-targets")
+    values_at = targets.select(*g, "_rank", _value_of(F.col("_prefix")).alias("_value"))
+    known = values_at.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+
+    def percentile(point: float) -> Column:
+        exact = (F.col("n") - 1) * F.lit(float(point))
+        low, share = F.floor(exact), exact - F.floor(exact)
+        return F.element_at("_at", low) * (F.lit(1.0) - share) + F.element_at("_at", F.ceil(exact)) * share
+
+    joined = sizes.join(known, same(sizes, known))
+    return joined.select(
+        *[sizes[c].alias(name) for c, name in zip(g, group)],
+        "n",
+        _value_of(F.col("_least")).alias("minimum"),
+        *[percentile(p).alias(f"p{round(p * 100)}") for p in points],
     )
 
 
-def calibration(scores: DataFrame, column: str = "score", digits: int = 1) -> DataFrame:
+def calibration(scores: DataFrame, column: str = "score") -> DataFrame:
     """Median, quartiles and minimum of the scores."""
-    return rounded_percentiles(scores, column, [0.25, 0.5, 0.75], digits)
+    return percentiles(scores, column, [0.25, 0.5, 0.75])
 
 
 def fit_norms(metrics: DataFrame, *group: str) -> DataFrame:
     """Norms from measured documents: medians of every signal and of rhythm.
 
     ``metrics`` has rhythm and voice structs (see measures.measure).  Signals
-    are stacked into rows, so one histogram serves all of them.
+    are stacked into rows, so the same passes serve all of them.
     """
     from prosemetrics.operators.measures import voice_total
     from prosemetrics.packs.base import SIGNALS
@@ -224,7 +293,7 @@ def fit_norms(metrics: DataFrame, *group: str) -> DataFrame:
             )
         ),
     )
-    return rounded_percentiles(stacked, "value", [0.5], 3, *group, "measure")
+    return percentiles(stacked, "value", [0.5], *group, "measure")
 
 
 def impact_report(pairs: DataFrame) -> DataFrame:

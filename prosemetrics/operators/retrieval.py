@@ -73,18 +73,23 @@ def echo(
     Result: (draft_id, draft_paragraph, doc_id, paragraph_no, shared, words).
     """
     inflection = rules.language.inflection
-
-    def postings(side: DataFrame, doc: str, par: str) -> DataFrame:
-        return side.select(
-            F.col("doc_id").alias(doc),
-            F.col("paragraph_no").alias(par),
-            F.explode(paragraph_words(F.col("paragraph"), inflection)).alias("word"),
-        )
-
-    archived = stored(postings(archive, "doc_id", "paragraph_no"), "postings")
-    drafted = stored(postings(drafts, "draft_id", "draft_paragraph"), "postings")
+    archived = stored(postings(archive, inflection), "postings")
+    drafted = stored(postings(drafts, inflection, "draft_id", "draft_paragraph"), "postings")
     # Counted once and kept: the hot words and the rare words both come from it.
     df = stored(archived.groupBy("word").agg(F.count("*").alias("df")), "words")
+    return _echoes(drafted, archived, df, max_df, min_shared)
+
+
+def postings(side: DataFrame, inflection: str, doc: str = "doc_id", par: str = "paragraph_no") -> DataFrame:
+    """One row for each distinct stem of each paragraph."""
+    return side.select(
+        F.col("doc_id").alias(doc),
+        F.col("paragraph_no").alias(par),
+        F.explode(paragraph_words(F.col("paragraph"), inflection)).alias("word"),
+    )
+
+
+def _echoes(drafted: DataFrame, archived: DataFrame, df: DataFrame, max_df: int, min_shared: int) -> DataFrame:
     rare = df.where(F.col("df") <= max_df).select("word")
     frequent = df.where(F.col("df") > max(HOT_ROWS, max_df)).select("word")
     # Frequent words cannot be rare: they leave before the shuffle.
@@ -109,6 +114,51 @@ def echo(
     )
 
 
+INDEX_BUCKETS = 64
+
+
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+
+
+def append_archive(
+    archive: DataFrame, path: str, batch: str, rules: Rules, buckets: int = INDEX_BUCKETS
+) -> None:
+    """Add paragraphs to the archive index below ``path``.
+
+    The index keeps postings in folders by batch and by a hash of the word, sorted by word, and how
+    many paragraphs of the batch hold each word.  Earlier batches are neither read nor rewritten;
+    appending a batch again replaces it.  An index has one number of buckets.
+    """
+    rows = postings(archive, rules.language.inflection).withColumn("bucket", _bucket(F.col("word"), buckets))
+    target = f"{path}/postings/batch={batch}"
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(target)
+    written = archive.sparkSession.read.schema(rows.schema).parquet(target)
+    written.groupBy("bucket", "word").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/words/batch={batch}")
+
+
+def echo_indexed(
+    drafts: DataFrame, path: str, rules: Rules, max_df: int, min_shared: int = 2, buckets: int = INDEX_BUCKETS
+) -> DataFrame:
+    """As :func:`echo`, against the archive index below ``path``; no archive text is read.
+
+    Only postings of words that the drafts hold are joined: a batch's word counts are added up, and
+    words that are not asked for or not rare leave before the postings are looked at.
+    """
+    spark, key = drafts.sparkSession, dict(drafts.dtypes)
+    drafted = postings(drafts, rules.language.inflection, "draft_id", "draft_paragraph")
+    drafted = stored(drafted.withColumn("bucket", _bucket(F.col("word"), buckets)), "postings")
+    asked = stored(drafted.select("bucket", "word").distinct(), "asked-words")
+    counts = spark.read.schema("bucket int, word string, df bigint").parquet(f"{path}/words").select("bucket", "word", "df")
+    df = counts.join(asked, ["bucket", "word"], "left_semi").groupBy("bucket", "word").agg(F.sum("df").alias("df"))
+    df = stored(df, "words")
+    schema = f"doc_id {key['doc_id']}, paragraph_no {key['paragraph_no']}, word string, bucket int, batch string"
+    archived = spark.read.schema(schema).parquet(f"{path}/postings")
+    rare = sized_broadcast(df.where(F.col("df") <= max_df).select("bucket", "word"))
+    archived = archived.join(rare, ["bucket", "word"], "left_semi").select("doc_id", "paragraph_no", "word")
+    return _echoes(drafted.drop("bucket"), archived, df.drop("bucket"), max_df, min_shared)
+
+
 def precedent(docs: DataFrame, words: DataFrame, examples: int, message: str) -> DataFrame:
     """How often each word occurs, with up to ``examples`` sentences and sources.
 

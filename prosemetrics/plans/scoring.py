@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prosemetrics.functions.units import with_units
 from prosemetrics.operators import consistency, measures, structure
+from prosemetrics.operators.markers import hit_count
 from prosemetrics.operators.reporting import regression
 from prosemetrics.packs.base import Rules
 
@@ -46,9 +47,7 @@ def score_inputs(
         measures.voice(
             F.col("text"), F.col("sentences"), F.col("sentence_words"), F.col("words"), lang
         ).alias("voice"),
-        sum(
-            (F.regexp_count("text", F.lit(m.pattern)) for m in rules.markers), F.lit(0)
-        ).alias("markers"),
+        hit_count(F.col("text"), F.col("lines"), [m.pattern for m in rules.markers]).alias("markers"),
         F.size(
             F.filter(sections, lambda s: F.arrays_overlap(s["variants"], titles))
         ).alias("sections_found"),

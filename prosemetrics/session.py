@@ -92,12 +92,12 @@ def sized_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFra
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the scan has fewer splits than cores.
+    """Deal rows over all cores when they come from fewer files than there are cores.
 
-    Text work is bound by the processor, and a small file is one split.  A
-    corpus with many splits is left as it is: no shuffle is added there.
+    Text work is bound by the processor, and the splits of a small file are no help: its rows often
+    stand in one row group, which one task reads.  A corpus of many files is left as it is.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.isStreaming or docs.rdd.getNumPartitions() >= cores:
+    if docs.isStreaming or len(docs.inputFiles()) >= cores:
         return docs
     return docs.repartition(cores)

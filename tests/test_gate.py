@@ -167,3 +167,35 @@ def test_games_share_one_set_of_checks(spark):
     assert size(verdicts(many)) < 1.5 * size(verdicts(few))
     lost = {r.pair_id for r in verdicts(many).collect() if any(v.signal == "щит" for v in r.violations)}
     assert lost == {"g1"}
+
+
+def test_documents_that_share_an_id_or_have_none(spark):
+    """Each row comes out once, judged by its own text."""
+    docs = spark.createDataFrame([("a", LIVE), ("a", DRY), (None, LIVE), ("b", LIVE), ("b", LIVE), ("c", DRY)], "doc_id string, text string")
+    tries = spark.createDataFrame(
+        [("a", 1, DRY), ("a", 2, LIVE.replace("темп", "тэмп")), (None, 1, LIVE.replace("темп", "ритм")), ("b", 1, DRY)],
+        "doc_id string, n int, text string",
+    )
+    got = sorted(((r.doc_id or "", r.accepted_n, r.text, len(r.attempts)) for r in gate.select_attempt(docs, tries, RULES).collect()), key=str)
+    want = [
+        ("", 1, LIVE.replace("темп", "ритм").strip(), 1),
+        ("a", 1, DRY.strip(), 1),  # the dry document keeps its own words
+        ("a", 2, LIVE.replace("темп", "тэмп").strip(), 2),
+        ("b", None, LIVE, 1),
+        ("b", None, LIVE, 1),
+        ("c", None, DRY, 0),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_a_marker_over_a_line_break_is_none_anywhere(spark):
+    from prosemetrics.operators import markers
+    from prosemetrics.plans.scoring import score_inputs
+    from prosemetrics.operators.structure import with_profile
+
+    whole, broken = "Стоит отметить это.", "Стоит\nотметить это."
+    docs = spark.createDataFrame([("w", whole), ("b", broken)], "doc_id string, text string")
+    found = {r.doc_id for r in markers.markers(docs, RULES).collect()}
+    sides = {r.pair_id: (r.b_markers, r.a_markers) for r in gate.measured(pairs(spark, x=(whole, broken)), RULES).collect()}
+    scored = {r.doc_id: r.markers for r in score_inputs(with_profile(docs, RULES), RULES).collect()}
+    assert found == {"w"} and sides == {"x": (1, 0)} and scored == {"w": 1, "b": 0}

@@ -188,6 +188,41 @@ l AS (
   UNION ALL SELECT doc_id, regexp_replace(t, '(es|en|er|s|e)$', '') FROM w WHERE t NOT LIKE '%s')
 SELECT doc_id, lemma, count(*) AS n FROM l GROUP BY 1, 2
 """
+ORACLES["guessed_lemmas"] = r"""
+WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS form FROM documents),
+t AS (SELECT form, regexp_replace(form, '(es|en|er|s|e)$', '') AS lemma FROM f
+      UNION SELECT form, form FROM f WHERE form LIKE '%s'),
+sh AS (SELECT form, lemma, md5(form)[1] < '5' AS held_out,
+         (SELECT max(i) FROM range(0, length(form) + 1) r(i) WHERE form[:i] = lemma[:i] AND i <= length(lemma)) AS shared FROM t),
+e AS (SELECT form, length(form) - shared AS cut, lemma[shared + 1:] AS add, unnest(range(0, 6)) AS n FROM sh WHERE NOT held_out),
+rule AS (SELECT right(form, n) AS ending, n, cut, add FROM e WHERE n >= cut AND n <= length(form) - 2
+         GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT form) >= 2),
+h AS (SELECT DISTINCT form, unnest(range(0, 6)) AS n FROM sh WHERE held_out),
+m AS (SELECT h.form, rule.n, cut, add FROM h JOIN rule ON rule.n = h.n AND h.n <= length(form) - 2 AND ending = right(form, h.n)),
+g AS (SELECT DISTINCT form, form[:length(form) - cut] || add AS lemma FROM m
+      WHERE n = (SELECT max(n) FROM m x WHERE x.form = m.form))
+SELECT form, lemma, r.form IS NOT NULL AS "right"
+FROM g FULL JOIN (SELECT form, lemma FROM sh WHERE held_out) r USING (form, lemma)
+"""
+ORACLES["inflected_names"] = r"""
+WITH d AS (SELECT doc_id, text || coalesce(chr(10) || 'Use ' || split_part(p_name, ' ', 1) || 's ' || split_part(p_name, ' ', 2)
+        || 'es, or ' || split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || '.', '') AS text
+      FROM documents LEFT JOIN part ON doc_id = p_partkey),
+nm AS (SELECT DISTINCT p_name AS official, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+w AS (SELECT a AS w FROM nm UNION SELECT b FROM nm),
+lem AS (SELECT w AS form, w AS lemma FROM w UNION SELECT w || 's', w FROM w UNION SELECT w || 'es', w FROM w UNION SELECT w || 's', w || 's' FROM w),
+p AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[.!?…]+', ' . ', 'g'),
+        '[^\p{L}\p{N}\s.''’ʼ`\-–—−]+', ' , ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM d),
+q AS (SELECT doc_id, ws[i] AS x, ws[i + 1] AS y FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM p)
+      WHERE ws[i] NOT IN ('.', ',') AND ws[i + 1] NOT IN ('.', ',')),
+tk AS (SELECT x AS form FROM q UNION SELECT y FROM q),
+own AS (SELECT tk.form, coalesce(lem.lemma, regexp_replace(lower(tk.form), '(es|en|er|s|e)$', '')) AS lemma
+        FROM tk LEFT JOIN lem ON lem.form = lower(tk.form)),
+fits AS (SELECT DISTINCT own.form, w.w FROM own JOIN lem ON lem.lemma = own.lemma JOIN w ON w.w = lem.form)
+SELECT doc_id, official, x || ' ' || y AS was, count(*) AS n
+FROM q JOIN fits f ON f.form = x JOIN nm ON nm.a = f.w JOIN fits g ON g.form = y AND g.w = nm.b
+GROUP BY 1, 2, 3
+"""
 ORACLES["headings"] = f"WITH hd AS ({HEADED}), ln AS ({LINES}) {HEADS}"
 ORACLES["masked_text"] = f"""
 WITH hd AS (SELECT doc_id, regexp_replace(text, '(tion)( [a-z]+ )', '\\1 "\\2" ', 'g') AS text
@@ -317,18 +352,38 @@ SELECT doc_id, was, official, count(*) AS n
 FROM t JOIN k ON replace(k.official, '''', '') = lower(regexp_replace(was, '[''’ʼ`]', '', 'g'))
 WHERE lower(was) NOT IN (SELECT word FROM w) GROUP BY 1, 2, 3
 """
-ORACLES["name_dashes"] = """
-SELECT doc_id, replace(p_name, ' ', ' ' || unnest(['-', '—']) || ' ') AS was,
-       replace(p_name, ' ', ' – ') AS official, CAST(1 AS BIGINT) AS n
-FROM documents JOIN part ON doc_id = p_partkey
+def name_words(text: str) -> str:
+    """Words of a text with punctuation marks as words of their own."""
+    return (
+        rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({text}, '[.!?…]+', ' . ', 'g'), "
+        r"'[^\p{L}\p{N}\s.''’ʼ`\-–—−]+', ' , ', 'g'), '\s+'), lambda x: x <> '')"
+    )
+
+
+# every three words in a row without a mark between them, of the texts in d
+TRIPLES = f"""
+p AS (SELECT doc_id, {name_words('text')} AS ws FROM d),
+q AS (SELECT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS was
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM p)
+      WHERE ws[i] NOT IN ('.', ',') AND ws[i + 1] NOT IN ('.', ',') AND ws[i + 2] NOT IN ('.', ','))
 """
-ORACLES["name_case"] = """
-WITH p AS (SELECT doc_id, p_name || ' k' || p_partkey AS name, string_split(p_name, ' ') AS w, p_partkey
-           FROM documents JOIN part ON doc_id = p_partkey),
-q AS (SELECT doc_id, name, upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:] || ' K' || p_partkey
-        AS official, upper(name[1]) || name[2:] AS opening FROM p)
-SELECT doc_id, unnest([name, opening, upper(name)]) AS was, official, CAST(1 AS BIGINT) AS n
-FROM q
+ORACLES["name_dashes"] = f"""
+WITH d AS (SELECT doc_id, text || coalesce(chr(10) || 'Take ' || replace(p_name, ' ', ' - ') || ' or ' || replace(p_name, ' ', ' — ')
+        || ' or ' || replace(p_name, ' ', ' – ') || '; not ' || p_name || '.', '') AS text
+      FROM documents LEFT JOIN part ON doc_id = p_partkey),
+nm AS (SELECT DISTINCT replace(p_name, ' ', ' – ') AS official FROM part), {TRIPLES}
+SELECT doc_id, was, official, count(*) AS n
+FROM q JOIN nm ON lower(regexp_replace(official, '[-–—−]', '-', 'g')) = lower(regexp_replace(was, '[-–—−]', '-', 'g'))
+WHERE lower(was) NOT IN (SELECT lower(official) FROM nm) GROUP BY 1, 2, 3
+"""
+ORACLES["name_case"] = f"""
+WITH o AS (SELECT p_partkey, p_name || ' k' || p_partkey AS name, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' '
+        || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || ' K' || p_partkey AS official FROM part),
+d AS (SELECT doc_id, text || coalesce(chr(10) || 'We use ' || name || ' here. ' || upper(name[1]) || name[2:] || ' opens. '
+        || official || ' is right, ' || upper(name) || ' is loud.', '') AS text
+      FROM documents LEFT JOIN o ON doc_id = p_partkey), {TRIPLES}
+SELECT doc_id, was, official, count(*) AS n
+FROM q JOIN (SELECT DISTINCT official FROM o) ON lower(official) = lower(was) AND official <> was GROUP BY 1, 2, 3
 """
 ORACLES["name_typos"] = f"""
 WITH d AS (SELECT doc_id, text || coalesce(chr(10) || 'Use '
@@ -436,17 +491,35 @@ f AS (SELECT doc_id, regexp_replace(lower(x), '(es|en|er|s|e)$', '') || ' '
 SELECT doc_id, key, string_agg(form || '=' || n, ';' ORDER BY n DESC, form) AS forms
 FROM f GROUP BY 1, 2 HAVING count(*) > 1
 """
-ORACLES["advice_conflicts"] = """
-WITH m AS (
-  SELECT doc_id, p_name, length(p_name) > 9 AS later_drop, 'Keep the ' || p_name AS clause
-  FROM documents JOIN part ON doc_id = p_partkey)
-SELECT doc_id, p_name AS official, true AS kept, later_drop AS discarded, clause AS keep_clause
-FROM m
+ORACLES["advice_conflicts"] = f"""
+WITH d AS (SELECT doc_id, text || coalesce(chr(10) || '. Keep the ' || p_name || ', but drop ' || reverse(p_name) || '. Drop it all. '
+        || CASE WHEN length(p_name) > 9 THEN 'Later drop ' ELSE 'Later keep ' END || p_name || '.', '') AS text
+      FROM documents LEFT JOIN part ON doc_id = p_partkey),
+s AS ({unnested('d', sents('text'), 'sentence', 'sentence_no')}),
+c AS (SELECT doc_id, sentence_no, list_filter(list_transform(string_split(
+        regexp_replace(sentence, '(?i)[,;]?\\s+(but|aber|pero|mais)\\s+', chr(1), 'g'), chr(1)),
+        lambda x: trim(x)), lambda x: x <> '') AS a FROM s WHERE regexp_matches(sentence, '(?i)\\b(keep|drop)\\b')),
+g AS (SELECT doc_id, sentence_no, unnest(a) AS segment, unnest(range(1, len(a) + 1)) AS segment_no FROM c),
+p AS (SELECT *, regexp_matches(segment, '(?i)\\bkeep\\b') AS keep, regexp_matches(segment, '(?i)\\bdrop\\b') AS dropped,
+        list_transform({name_words('segment')}, lambda w: regexp_replace(lower(w), '(es|en|er|s|e)$', '')) AS ws FROM g),
+q AS (SELECT DISTINCT doc_id, sentence_no, segment_no, segment, keep, dropped, ws[i] || ' ' || ws[i + 1] AS key
+      FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM p WHERE keep OR dropped)),
+nm AS (SELECT DISTINCT p_name AS official, array_to_string(list_transform(string_split(p_name, ' '),
+        lambda w: regexp_replace(w, '(es|en|er|s|e)$', '')), ' ') AS key FROM part)
+SELECT doc_id, official, bool_or(keep) AS kept, bool_or(dropped) AS discarded,
+       arg_min(segment, (sentence_no, segment_no)) FILTER (WHERE keep) AS keep_clause
+FROM q JOIN nm USING (key) GROUP BY 1, 2
 """
 ORACLES["declared_counts"] = f"""
-WITH d AS (SELECT doc_id, CAST(len(string_split(text, {NL})) AS BIGINT) AS n FROM documents)
-SELECT doc_id, 'review' AS severity, 'заявлено карт: 5, перечислено: ' || n AS message,
-       CAST(1 AS BIGINT) AS line FROM d WHERE n <> 5
+WITH d AS (SELECT doc_id, 'Now 5 items:' || {NL} || '- ' || replace(text, {NL}, {NL} || '- ') || {NL} || 'Also 2 items:' || {NL}
+        || '1. one' || {NL} || '2) two' || {NL} || 'end' AS text FROM documents),
+ln AS ({unnested('d', f"string_split(text, {NL})", 'line', 'no')}),
+k AS (SELECT *, regexp_matches(line, '^\\s*([-*•–]|\\d+[.)])\\s+') AS item FROM ln),
+r AS (SELECT *, sum(CAST(NOT item AS INT)) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM k),
+n AS (SELECT doc_id, run, min(no) AS no, count(*) FILTER (WHERE item) AS listed,
+        max(CASE WHEN item THEN NULL ELSE regexp_extract(line, '(\\d+) items', 1) END) AS announced FROM r GROUP BY 1, 2)
+SELECT doc_id, 'review' AS severity, 'заявлено карт: ' || CAST(announced AS BIGINT) || ', перечислено: ' || listed AS message, no AS line FROM n
+WHERE announced <> '' AND listed > 0 AND CAST(announced AS BIGINT) <> listed
 """
 ORACLES["profiles_detected"] = f"""
 WITH hd AS ({HEADED}), sc AS ({HINT_SCORES}), pr AS ({PROFILED})
@@ -829,10 +902,10 @@ SELECT doc_id, profile, round(coalesce(c_voice, -1), 6) AS voice, round(coalesce
 FROM scored
 """
 ORACLES["score_calibration"] = f"""
-WITH {SCORED}, r AS (SELECT profile, {dec('score', 1)} AS score FROM scored WHERE score IS NOT NULL)
-SELECT profile, count(*) AS n, min(score) AS minimum, quantile_cont(score, 0.25) AS p25,
-       quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75
-FROM r GROUP BY 1
+WITH {SCORED}
+SELECT profile, count(*) AS n, round(min(score), 6) AS minimum, round(quantile_cont(score, 0.25), 6) AS p25,
+       round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.75), 6) AS p75
+FROM scored WHERE score IS NOT NULL GROUP BY 1
 """
 ORACLES["corpus_regression"] = f"""
 WITH {SCORED}, g AS (
@@ -906,6 +979,14 @@ SELECT 'error' AS fail_on, doc_id, CAST(0 AS BIGINT) AS exit_code FROM d
 UNION ALL SELECT 'likely', doc_id, CAST(likely > 0 AS BIGINT) FROM d
 UNION ALL SELECT 'review', doc_id, CAST(likely + review > 0 AS BIGINT) FROM d
 """
+ORACLES["observed_gate"] = f"""
+WITH {SMALL_AUDIT},
+c AS (SELECT 0 AS rank, 'error' AS severity, CAST(0 AS BIGINT) AS findings
+  UNION ALL SELECT 1, 'likely', CAST(coalesce(sum(likely), 0) AS BIGINT) FROM cx
+  UNION ALL SELECT 2, 'review', CAST(coalesce(sum(review), 0) AS BIGINT) FROM cx
+  UNION ALL SELECT 3, 'info', CAST(0 AS BIGINT))
+SELECT severity, findings, CAST((SELECT sum(findings) FROM c x WHERE x.rank <= c.rank) > 0 AS BIGINT) AS exit_code FROM c
+"""
 ORACLES["ordered_findings"] = f"""
 WITH {SMALL_AUDIT}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY
@@ -933,8 +1014,8 @@ x AS (SELECT part, unnest(['address', 'imperative', 'concession', 'short_sentenc
           concession * 1000.0::DOUBLE / words, short_sentence * 1000.0::DOUBLE / words,
           parenthesis * 1000.0::DOUBLE / words, per1k, ratio, mean]) AS value
       FROM v JOIN r USING (doc_id) JOIN sp USING (id)),
-y AS (SELECT part, measure, {dec('value', 3)} AS value FROM x WHERE value IS NOT NULL)
-SELECT part, measure, count(*) AS n, min(value) AS minimum,
+y AS (SELECT part, measure, value FROM x WHERE value IS NOT NULL)
+SELECT part, measure, count(*) AS n, round(min(value), 6) AS minimum,
        round(quantile_cont(value, 0.5), 6) AS p50 FROM y GROUP BY 1, 2
 """
 ORACLES["labelled_measures"] = f"""
@@ -1014,6 +1095,7 @@ ORACLES["echo"] = echo_sql(
     "SELECT -1 - conv_id * 1000 - turn AS doc_id, text FROM conversations",
     ", string_agg(word, ' ' ORDER BY word) AS words",
 )
+ORACLES["echo_indexed"] = ORACLES["echo"]
 ORACLES["echo_within"] = echo_sql("SELECT doc_id, text FROM documents", "")
 ORACLES["resolved_rules"] = """
 SELECT CASE lang WHEN 'en' THEN 'main' ELSE 'side' END AS game,

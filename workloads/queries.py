@@ -6,6 +6,7 @@ columns so that they can be compared with SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from prosemetrics.operators import (
     consistency,
     gate,
     integrity,
+    lemmas as L,
     markers,
     measures,
     names as N,
@@ -29,6 +31,7 @@ from prosemetrics.operators import (
 from prosemetrics.packs.base import SIGNALS
 from prosemetrics.plans import audit as A
 from prosemetrics.plans.corpus_checks import validate_corpus
+from prosemetrics.session import shared_folder, stored
 from prosemetrics.sources import corpus as C
 from workloads import tables as W
 
@@ -194,6 +197,38 @@ def lemmas(spark, sf):
     )
 
 
+@query
+def guessed_lemmas(spark, sf):
+    """Lemmas of a third of the word forms, guessed from the endings of the others."""
+    tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    forms = W.documents(spark, sf).select(tokens.alias("form")).distinct()
+    plain = F.regexp_replace("form", "(es|en|er|s|e)$", "")
+    both = F.when(F.col("form").endswith("s"), F.array("form", plain)).otherwise(F.array(plain))
+    table = forms.select("form", F.explode(both).alias("lemma"), (F.substring(F.md5("form"), 1, 1) < "5").alias("held_out"))
+    table = stored(table, "lemma-table")
+    endings = L.learn_endings(table.where("not held_out"))
+    held_out = table.where("held_out")
+    right = held_out.select("form", "lemma", F.lit(True).alias("right"))
+    guesses = L.guessed_lemmas(held_out, endings).join(right, ["form", "lemma"], "full")
+    return guesses.select("form", "lemma", F.coalesce("right", F.lit(False)).alias("right"))
+
+
+@query
+def inflected_names(spark, sf):
+    """Part names with each word in another form, found by lemmas; some forms have two."""
+    first, second = (F.element_at(F.split("p_name", " "), i) for i in (1, 2))
+    docs = W.mentions(
+        spark, sf, F.concat(F.lit("Use "), first, F.lit("s "), second, F.lit("es, or "), second, F.lit(" "), first, F.lit("."))
+    )
+    names = W.names(spark, sf, F.col("p_name"))
+    words = names.select(F.explode(F.split("official", " ")).alias("w")).distinct()
+    forms = [("w", "w"), ("s", "w"), ("es", "w"), ("s", "s")]
+    form = {"w": F.col("w"), "s": F.concat("w", F.lit("s")), "es": F.concat("w", F.lit("es"))}
+    pairs = F.array(*[F.struct(form[a].alias("form"), form[b].alias("lemma")) for a, b in forms])
+    table = words.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    return L.inflected_names(docs, names, LANG, table)
+
+
 @query
 def headings(spark, sf):
     return U.heading_rows(W.headed(spark, sf), LANG).select("doc_id", *_long("line"), "title")
@@ -769,7 +804,8 @@ def author_scores(spark, sf):
 def score_calibration(spark, sf):
     """Quartiles and minimum of the scores of each profile."""
     scored = _scores(spark, sf).select("profile", "score")
-    return reporting.rounded_percentiles(scored, "score", [0.25, 0.5, 0.75], 1, "profile")
+    out = reporting.percentiles(scored, "score", [0.25, 0.5, 0.75], "profile")
+    return out.select("profile", "n", *[F.round(c, 6).alias(c) for c in ("minimum", "p25", "p50", "p75")])
 
 
 @query
@@ -839,13 +875,19 @@ def worst_severity(spark, sf):
 def quality_gate(spark, sf):
     """Exit codes at three thresholds."""
     docs, found = W.documents(spark, sf), _small_audit(spark, sf)
-    out = None
-    for level in ("error", "likely", "review"):
-        part = reporting.quality_gate(found, docs, level).select(
-            F.lit(level).alias("fail_on"), "doc_id", *_long("exit_code")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = reporting.quality_gates(found, docs, ("error", "likely", "review"))
+    return out.select("fail_on", "doc_id", *_long("exit_code"))
+
+
+@query
+def observed_gate(spark, sf):
+    """The gate of a whole run at each level, from counts made while findings are written."""
+    from prosemetrics.sources import sinks
+
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    counts = sinks.write_findings(_small_audit(spark, sf), path)
+    rows = [(level, counts[level], sinks.exit_code(counts, level)) for level in FN.SEVERITIES]
+    return spark.createDataFrame(rows, "severity string, findings long, exit_code long")
 
 
 @query
@@ -883,7 +925,7 @@ def fitted_norms(spark, sf):
     split = integrity.split_corpus(docs.select("id"))
     measured = measures.measure(docs, LANG).join(split, "id")
     return reporting.fit_norms(measured, "part").select(
-        "part", "measure", "n", "minimum", F.round("p50", 6).alias("p50")
+        "part", "measure", "n", F.round("minimum", 6).alias("minimum"), F.round("p50", 6).alias("p50")
     )
 
 
@@ -950,6 +992,23 @@ def echo(spark, sf):
     )
 
 
+@query
+def echo_indexed(spark, sf):
+    """The same against an index that the archive was added to in two batches."""
+    turns = W.table(spark, sf, "conversations").select(
+        (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text"
+    )
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    archive = _lines_as_paragraphs(W.documents(spark, sf))
+    for part in (0, 1):
+        retrieval.append_archive(archive.where(F.abs("doc_id") % 2 == part), path, f"part{part}", RULES)
+    out = retrieval.echo_indexed(_lines_as_paragraphs(turns), path, RULES, max_df=3)
+    return out.select(
+        "draft_id", *_long("draft_paragraph", "paragraph_no"), "doc_id", "shared",
+        F.array_join("words", " ").alias("words"),
+    )
+
+
 @query
 def echo_within(spark, sf):
     """The archive against itself: paragraphs of other documents with rare words in common."""
