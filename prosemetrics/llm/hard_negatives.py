@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from prosemetrics.llm import segments
 from prosemetrics.llm.shared import stored
 
-CANDIDATES, ANCHORS = 4096, 256
+CANDIDATES, ANCHORS = 4096, 128
 BLOCK = "block long, dims int, ids binary, labels binary, vectors binary"
 
 
@@ -75,7 +75,7 @@ def _positives(row: dict, k: int) -> list[np.ndarray]:
     ids, labels, b = _read(row)
     allowed = (own[:, None] == labels) & (anchors[:, None] != ids)
     n = len(anchors)
-    query, place, score = segments.best_pairs(a, b, allowed, np.arange(n), np.full(n, -np.inf), np.full(n, np.inf), k)
+    query, place, score = segments.best_pairs(a, b, allowed, np.arange(n), [-np.inf] * n, [np.inf] * n, k)
     keep = _first(query, score, ids[place], k)
     return [anchors[query[keep]], own[query[keep]], ids[place[keep]], score[keep]]
 
@@ -86,11 +86,8 @@ def _negatives(row: dict, k: int, least: int, most: int) -> list[np.ndarray]:
     owner, positive, wanted = np.frombuffer(row["ranges"], dtype=np.int64).reshape(-1, 3).T
     allowed = (own[:, None] != labels) & (anchors[:, None] != ids)
     # The least and the greatest whole score of each range.
-    low = np.array([-((-least * s) // 100) for s in wanted.tolist()], dtype=object)
-    high = np.array([(most * s) // 100 for s in wanted.tolist()], dtype=object)
-    query, place, score = segments.best_pairs(a, b, allowed, owner, low.astype(np.float64) - 0.5, high.astype(np.float64) + 0.5, k)
-    fit = ((score >= low[query]) & (score <= high[query])).astype(bool)
-    query, place, score = query[fit], place[fit], score[fit]
+    low, high = [-((-least * s) // 100) for s in wanted.tolist()], [(most * s) // 100 for s in wanted.tolist()]
+    query, place, score = segments.best_pairs(a, b, allowed, owner, low, high, k)
     keep = _first(query, score, ids[place], k)
     query, place, score = query[keep], place[keep], score[keep]
     return [anchors[owner[query]], positive[query], ids[place], wanted[query], score]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 # Segments of a vector at the levels of the hierarchy, coarse to fine.
@@ -10,8 +12,8 @@ LEVELS = (1, 4, 16)
 DOUBLE_EXACT = 2.0**53
 # Bounds are widened by this share of the largest product that their terms can have.
 SLACK = 1e-9
-# Pairs that are refined or scored at once.
-PAIRS = 1 << 17
+# Pairs that are scored one by one at once, and the share of pairs from which all are, as one product.
+PAIRS, DENSE = 1 << 16, 0.2
 
 
 class Summaries:
@@ -37,76 +39,88 @@ class Summaries:
         self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
 
 
-def grid(a: Summaries, b: Summaries) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all scores of ``a`` with ``b``, by the coarsest level."""
-    (ma, da), (mb, db) = a.levels[0], b.levels[0]
-    middle, reach = ma @ mb.T, da @ db.T + SLACK * np.outer(a.norms, b.norms)
+def bounds(a: Summaries, b: Summaries, level: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all scores of ``a`` with the rows ``places`` of ``b``, by one level."""
+    (ma, da), (mb, db) = a.levels[level], b.levels[level]
+    middle = ma @ mb[places].T
+    reach = da @ db[places].T + SLACK * np.outer(a.norms, b.norms[places])
     return middle - reach, middle + reach
 
 
-def refined(a: Summaries, b: Summaries, i: np.ndarray, j: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the scores of pairs, by a finer level."""
-    (ma, da), (mb, db) = a.levels[level], b.levels[level]
-    low, high = np.empty(len(i)), np.empty(len(i))
-    for s in range(0, len(i), PAIRS):
-        p, q = i[s : s + PAIRS], j[s : s + PAIRS]
-        middle = np.einsum("ij,ij->i", ma[p], mb[q])
-        reach = np.einsum("ij,ij->i", da[p], db[q]) + SLACK * a.norms[p] * b.norms[q]
-        low[s : s + PAIRS], high[s : s + PAIRS] = middle - reach, middle + reach
-    return low, high
-
-
-def exact(a: Summaries, b: Summaries, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The scores of pairs; of any size, as long as they fit 64 bits."""
-    out = np.empty(len(i), dtype=np.int64)
-    for s in range(0, len(i), PAIRS):
-        p, q = i[s : s + PAIRS], j[s : s + PAIRS]
-        x, y = a.vectors[p], b.vectors[q]
-        safe = a.norms[p] * b.norms[q] < DOUBLE_EXACT / 2
-        part = np.einsum("ij,ij->i", x, y)
-        scores = np.where(safe, part, 0).astype(np.int64)
+def exact(a: Summaries, b: Summaries, places: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """The scores of ``a`` with the rows ``places`` of ``b`` where they are ``needed`` (elsewhere of no
+    meaning); of any size, as long as they fit 64 bits."""
+    largest = a.norms.max(initial=0) * b.norms[places].max(initial=0)
+    if needed.mean() >= DENSE and largest < DOUBLE_EXACT / 2:
+        return (a.vectors @ b.vectors[places].T).astype(np.int64)
+    out = np.zeros(needed.shape, dtype=np.int64)
+    rows, columns = np.nonzero(needed)
+    for s in range(0, len(rows), PAIRS):
+        i, j = rows[s : s + PAIRS], columns[s : s + PAIRS]
+        x, y = a.vectors[i], b.vectors[places[j]]
+        safe = a.norms[i] * b.norms[places[j]] < DOUBLE_EXACT / 2
+        scores = np.where(safe, np.einsum("ij,ij->i", x, y), 0).astype(np.int64)
         for n in np.flatnonzero(~safe).tolist():
             scores[n] = sum(int(u) * int(v) for u, v in zip(x[n].tolist(), y[n].tolist()))
-        out[s : s + PAIRS] = scores
+        out[i, j] = scores
     return out
 
 
+def _real(limits: Sequence) -> np.ndarray:
+    return np.array(limits, dtype=np.float64)[:, None]
+
+
+def _whole(limits: Sequence) -> np.ndarray:
+    ends = np.iinfo(np.int64)
+    return np.array([int(min(max(x, ends.min), ends.max)) for x in limits], dtype=np.int64)[:, None]
+
+
+def _kth(values: np.ndarray, k: int, none) -> np.ndarray:
+    """The k-th greatest value of each row, or ``none`` in rows of fewer."""
+    if values.shape[1] < k:
+        return np.full(len(values), none)
+    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+
+
 def best_pairs(
-    a: Summaries, b: Summaries, allowed: np.ndarray, owner: np.ndarray, low_limit: np.ndarray, high_limit: np.ndarray, k: int
+    a: Summaries, b: Summaries, allowed: np.ndarray, owner: np.ndarray, low_limit: Sequence, high_limit: Sequence, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that may be among the ``k`` best scores of a query within its limits, with exact scores.
+    """The ``k`` best scores of each query within its limits, with all ties of the k-th.
 
-    Query ``n`` scores row ``owner[n]`` of ``a`` with those rows of ``b`` that ``allowed[owner[n]]`` permits, from
-    ``low_limit[n]`` to ``high_limit[n]``.  All ties of the k-th best are kept.  Returned are numbers of queries,
-    places in ``b`` and scores.
+    Query ``n`` scores row ``owner[n]`` of ``a`` (owners ascend) with those rows of ``b`` that
+    ``allowed[owner[n]]`` permits, from ``low_limit[n]`` to ``high_limit[n]`` (whole numbers).
+    Returned are numbers of queries, places in ``b`` and scores.
 
     At each level a pair is given up when its bounds leave the query's limits, or when its upper
     bound is less than the k-th greatest lower bound of pairs that are surely within the limits.
+    Rows of ``b`` that no query needs any more are not refined; of the rest, only needed pairs are
+    scored.
     """
-    low, high = grid(a, b)
-    query, place = np.nonzero(allowed[owner] & (high[owner] >= low_limit[:, None]) & (low[owner] <= high_limit[:, None]))
-    low, high = low[owner[query], place], high[owner[query], place]
-    for level in range(1, len(LEVELS) + 1):
-        keep = high >= _cutoffs(query, low, high, low_limit, high_limit, k)[query]
-        query, place = query[keep], place[keep]
-        if level == len(LEVELS):
-            break
-        low, high = refined(a, b, owner[query], place, level)
-        keep = (high >= low_limit[query]) & (low <= high_limit[query])
-        query, place, low, high = query[keep], place[keep], low[keep], high[keep]
-    scores = exact(a, b, owner[query], place)
-    return query, place, scores
-
-
-def _cutoffs(query: np.ndarray, low: np.ndarray, high: np.ndarray, low_limit: np.ndarray, high_limit: np.ndarray, k: int) -> np.ndarray:
-    """For each query, the k-th greatest lower bound of pairs surely within the limits, or -inf."""
-    out = np.full(len(low_limit), -np.inf)
-    sure = (low >= low_limit[query]) & (high <= high_limit[query])
-    query, low = query[sure], low[sure]
-    order = np.lexsort((-low, query))
-    query, low = query[order], low[order]
-    first = np.searchsorted(query, np.arange(len(out)))
-    at = first + k - 1
-    enough = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == np.arange(len(out))) if len(query) else np.zeros(len(out), dtype=bool)
-    out[enough] = low[at[enough]]
-    return out
+    places = np.arange(len(b.vectors))
+    nothing = (np.zeros(0, dtype=np.int64),) * 3
+    # Bounds are not whole: half a unit keeps every whole score within the limits, and doubles of large
+    # limits may be off by a little, which counts against a pair only if it must be within them surely.
+    least, most = _real(low_limit) - 0.5, _real(high_limit) + 0.5
+    off = [np.where(np.isfinite(x), np.abs(x) * 2.0**-50, 0) for x in (least, most)]
+    low, high = np.full(allowed.shape, -np.inf), np.full(allowed.shape, np.inf)
+    may = allowed[owner]
+    for level in range(len(LEVELS)):
+        finer = bounds(a, b, level, places)
+        low, high = np.maximum(low, finer[0]), np.minimum(high, finer[1])
+        of_low, of_high = low[owner], high[owner]
+        may &= (of_high >= least - off[0]) & (of_low <= most + off[1])
+        sure = may & (of_low >= least + off[0]) & (of_high <= most - off[1])
+        may &= of_high >= _kth(np.where(sure, of_low, -np.inf), k, -np.inf)[:, None]
+        used = np.flatnonzero(may.any(axis=0))
+        places, may, low, high = places[used], may[:, used], low[:, used], high[:, used]
+        if not len(used):
+            return nothing
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    needed = np.zeros(low.shape, dtype=bool)
+    needed[owner[first]] = np.logical_or.reduceat(may, first, axis=0)
+    scores = exact(a, b, places, needed)[owner]
+    may &= (scores >= _whole(low_limit)) & (scores <= _whole(high_limit))
+    none = np.iinfo(np.int64).min
+    may &= scores >= _kth(np.where(may, scores, none), k, none)[:, None]
+    query, at = np.nonzero(may)
+    return query, places[at], scores[query, at]

@@ -77,19 +77,23 @@ def test_odd_rows(spark):
 
 def test_large_components_are_exact(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, i % 2, [float(np.float32(x)) for x in rng.uniform(0.4, 1, 6) * 2.0**20], i % 10 == 0) for i in range(40)]
-    assert mined(table(spark, rows)) == plain(rows)
+    for scale in (2.0**20, 2.0**22):  # scores below and beyond what doubles hold exactly
+        rows = [(i, i % 2, [float(np.float32(x)) for x in rng.uniform(0.4, 1, 6) * scale], i % 10 == 0) for i in range(40)]
+        assert mined(table(spark, rows)) == plain(rows)
 
 
 def test_bounds_hold_and_tighten():
     rng = np.random.default_rng(4)
     a, b = (segments.Summaries(np.floor(rng.normal(0, 300, (n, 64)).cumsum(axis=1))) for n in (30, 50))
-    i, j = np.divmod(np.arange(1500), 50)
-    scores = segments.exact(a, b, i, j)
-    assert (scores == (a.vectors[i] * b.vectors[j]).sum(axis=1)).all()
+    places = np.arange(50)
+    scores = segments.exact(a, b, places, np.ones((30, 50), dtype=bool))
+    assert (scores == a.vectors @ b.vectors.T).all()
+    one_by_one = np.zeros((30, 50), dtype=bool)
+    one_by_one[3, 4] = True
+    assert segments.exact(a, b, places, one_by_one)[3, 4] == scores[3, 4]
     width = np.inf
-    bounds = [tuple(x[i, j] for x in segments.grid(a, b))] + [segments.refined(a, b, i, j, n) for n in (1, 2)]
-    for low, high in bounds:
+    for level in range(len(segments.LEVELS)):
+        low, high = segments.bounds(a, b, level, places)
         assert (low <= scores).all() and (scores <= high).all()
         assert (high - low).mean() < width
         width = (high - low).mean()
@@ -101,7 +105,7 @@ def test_bounds_save_scores(monkeypatch):
     vectors = np.floor(np.repeat(rng.normal(0, 200, (400, 16)), 4, axis=1) + rng.normal(0, 5, (400, 64)))
     a, b, seen = segments.Summaries(vectors[:20]), segments.Summaries(vectors), []
     whole = segments.exact
-    monkeypatch.setattr(segments, "exact", lambda a, b, i, j: seen.append(len(i)) or whole(a, b, i, j))
+    monkeypatch.setattr(segments, "exact", lambda a, b, p, needed: seen.append(needed.sum()) or whole(a, b, p, needed))
     n = np.arange(20)
     segments.best_pairs(a, b, np.ones((20, 400), dtype=bool), n, np.full(20, -np.inf), np.full(20, np.inf), 5)
     assert sum(seen) < 20 * 400 / 10
