@@ -20,6 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemetrics.llm.marks import marked_rows, row_marks
 from prosemetrics.llm.shared import stored
 from prosemetrics.session import shared_folder
 
@@ -30,9 +31,9 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+    # Many small stores: no disk is taken before it is needed.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-# Bits of the map of hits, and of one of its rows (fixed by Spark's bitmap functions).
-MARKS, BUCKET = 1 << 26, 1 << 15
 LOCATOR = ("file", "row")
 PREFERRED = ("no_id", "id", *LOCATOR)
 
@@ -112,24 +113,6 @@ def state(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("first").alias("first"), F.max("rows").alias("rows"))
 
 
-def _bitmap(places: DataFrame) -> DataFrame:
-    """``bucket, bits``: a bitmap of ``MARKS`` bits with a mark at each row's hashed locator."""
-    at = F.pmod(F.xxhash64(*LOCATOR), F.lit(MARKS))
-    return places.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(BUCKET - 1)).alias("bits"))
-
-
-def _marked(places: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows of ``places`` whose mark is set: all that made the bitmap, and a few more.
-
-    The bitmap has at most ``MARKS / BUCKET`` rows of 4 kB, whatever the corpus, so it is broadcast.
-    """
-    at = F.pmod(F.xxhash64(*LOCATOR), F.lit(MARKS))
-    found = places.withColumns({"bucket": F.shiftright(at, 15), "bit": at.bitwiseAND(BUCKET - 1)}).join(F.broadcast(bitmap), "bucket")
-    byte = F.expr("conv(hex(substring(bits, cast(shiftright(bit, 3) + 1 as int), 1)), 16, 10)").cast("int")
-    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit & 7 as int))")) > 0
-    return found.filter(is_set).select(*places.columns)
-
-
 def outcomes(
     docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
@@ -147,7 +130,7 @@ def outcomes(
     # Full bytes of the hits against those of their entries.
     hits = marked.filter("rows > 1").select("digest", *LOCATOR, holder.alias("holds"))
     places = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(text_col).alias("text"))
-    texts = _marked(places, _bitmap(hits)).join(hits.hint("shuffle_hash"), [*LOCATOR])
+    texts = marked_rows(places, row_marks(hits, LOCATOR), LOCATOR).join(hits.hint("shuffle_hash"), [*LOCATOR])
     texts = stored(texts.select("digest", *LOCATOR, "holds", normalised(F.col("text")).alias("text")), "dedup-hits")
     held_texts = texts.filter("holds").select("digest", F.col("text").alias("held_text"))
     differ = texts.filter("not holds").join(held_texts, "digest").filter("text <> held_text").select("digest", *LOCATOR, "text")

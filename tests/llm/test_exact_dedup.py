@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosemetrics.llm import exact_dedup as dedup
+from prosemetrics.llm.marks import marked_rows, row_marks
 from prosemetrics.llm.queries import op11_exact_dedup
 
 from .conftest import SF
@@ -82,6 +83,9 @@ def test_settings_are_put_back(spark):
 def test_bitmap_keeps_every_mark(spark):
     places = spark.range(5000).select(F.concat(F.lit("f"), F.col("id") % 7).alias("file"), F.col("id").alias("row"))
     some = places.filter("row % 9 = 0")
-    kept = dedup._marked(places, dedup._bitmap(some))
+    marks = row_marks(some, ["file", "row"])
+    kept = marked_rows(places, marks, ["file", "row"])
     assert some.join(kept, ["file", "row"], "left_anti").count() == 0
     assert kept.count() < some.count() + 10
+    rest = marked_rows(places, marks, ["file", "row"], False)
+    assert rest.count() + kept.count() == places.count() and rest.join(some, ["file", "row"]).count() == 0
