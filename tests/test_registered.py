@@ -13,6 +13,8 @@ CHECKED = (
     "front_matter", "tokens", "masked_text", "marker_hits", "touched", "name_case", "name_typos",
     "spelling_variants_strict", "case_variants", "section_bodies", "duplicate_ids", "corpus_split",
     "author_scores", "fitted_norms", "selected_attempts", "audit",
+    "guessed_lemmas", "inflected_names", "observed_gate", "echo_indexed", "quality_gate", "name_dashes",
+    "advice_conflicts", "declared_counts", "score_calibration", "severity_windows",
 )
 
 

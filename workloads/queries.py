@@ -1220,10 +1220,7 @@ def analyze(spark, sf):
 @query
 def report_json(spark, sf):
     """Versioned JSON reports, written as text and read back."""
-    from prosemetrics.session import shared_folder
     from prosemetrics.sources.sinks import write_reports
-    import uuid
-
     path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
     docs, names = _audit_inputs(spark, sf)
     write_reports(A.audit(docs, RULES, names), path)
@@ -1242,10 +1239,7 @@ def report_json(spark, sf):
 @query
 def findings_table(spark, sf):
     """Flat findings, written by analyzer and read back."""
-    from prosemetrics.session import shared_folder
     from prosemetrics.sources.sinks import write_findings
-    import uuid
-
     path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
     docs, names = _audit_inputs(spark, sf)
     write_findings(A.findings_of(A.audit(docs, RULES, names)), path)
@@ -1264,10 +1258,7 @@ def _stream(spark, sf) -> DataFrame:
 
 def _drained(spark, rows: DataFrame) -> DataFrame:
     """Run a stream over everything that has arrived and read its sink."""
-    from prosemetrics.session import shared_folder
     from prosemetrics.streaming import jobs
-    import uuid
-
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run = jobs.start_append(rows, f"{path}/rows", f"{path}/state", available_now=True)
     run.awaitTermination()
@@ -1290,10 +1281,7 @@ def audit_stream(spark, sf):
 @query
 def audit_stream_names(spark, sf):
     """Documents arriving as files, with the dictionary: the whole batch audit."""
-    from prosemetrics.session import shared_folder
     from prosemetrics.streaming import jobs
-    import uuid
-
     text = F.replace(F.concat("text", F.lit("\n")), F.lit(".\n"), F.lit("\n"))
     docs, names = _audit_inputs(spark, sf, _stream(spark, sf).select("doc_id", text.alias("text")))
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -1330,15 +1318,18 @@ def verdict_stream(spark, sf):
 
 @query
 def severity_windows(spark, sf):
-    """Findings per hour of arrival: tumbling windows under a watermark."""
-    from prosemetrics.session import shared_folder
+    """Findings per hour of arrival: tumbling windows under a watermark.
+
+    A finished table is drained, in whatever order its files come: no row of it counts as late.
+    """
     from prosemetrics.streaming import jobs
-    import uuid
 
     docs = _stream(spark, sf).select(
         "doc_id", "text", F.timestamp_seconds(F.col("doc_id") * 60).alias("ts")
     )
-    counts = jobs.severity_windows(docs, RULES)
+    ids = W.table(spark, sf, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    span = (ids[1] or 0) - (ids[0] or 0)
+    counts = jobs.severity_windows(docs, RULES, lateness=f"{span + 60} minutes")
     path = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     jobs.start_summary(counts, f"{path}/rows", f"{path}/state", True).awaitTermination()
     latest = jobs.read_summary(counts, f"{path}/rows", "window_start", "severity")
