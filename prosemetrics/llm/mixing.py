@@ -102,15 +102,11 @@ def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     return given.select(*LEVELS, "supply", "budget")
 
 
-def _order(seed: int, epoch: Column, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), key))
-
-
 def select_prefixes(rows: DataFrame, mixture: Mixture) -> DataFrame:
     """Chosen rows of ``row, id, domain, lang, source, tokens, text_hash``, one for each epoch that
     reads them, with ``epoch`` and the leaf's ``supply`` and ``budget``.
 
-    An epoch orders a leaf's rows by a seeded hash of the id, then by the text's hash.  A leaf gives
+    An epoch orders a leaf's rows by a seeded hash of the id and the text, so rows of one id (or none) lie apart.  A leaf gives
     its rows in that order, epoch after epoch, until their tokens reach its budget: the last row may
     exceed it.  No leaf is sorted as a whole: sums by the hash's first digits say which parts of an
     order are taken whole, and only the part in which the budget ends is summed row by row.
@@ -118,7 +114,7 @@ def select_prefixes(rows: DataFrame, mixture: Mixture) -> DataFrame:
     leaf = list(LEVELS)
     plan = stored(budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), mixture), "budgets")
     epochs = F.explode(F.sequence(F.lit(1), F.lit(mixture.epochs))).alias("epoch")
-    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_hash"))
     ordered = rows.select("*", epochs).withColumn("place", _place(mixture.seed, F.col("epoch"), key))
     ordered = ordered.withColumn("part", F.substring("place", 1, PART_DIGITS))
     part = [*leaf, "epoch", "part"]
@@ -128,7 +124,7 @@ def select_prefixes(rows: DataFrame, mixture: Mixture) -> DataFrame:
     parts = parts.join(plan, leaf).filter("part_before < budget")
     wanted = ordered.join(parts, part)
     whole = F.col("part_before") + F.col("part_tokens") < F.col("budget")
-    inside = Window.partitionBy(*part).orderBy("place", "text_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part).orderBy("place", "row").rowsBetween(Window.unboundedPreceding, -1)
     sums = wanted.filter(~whole).withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     cut = sums.filter("part_before + inside < budget")
     columns = ["row", "id", *leaf, "tokens", "epoch", "supply", "budget"]

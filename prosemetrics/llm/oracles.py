@@ -95,10 +95,10 @@ WITH rows AS (
 leaves AS (SELECT {leaf}, sum(tokens) * {m.epochs} AS supply FROM rows GROUP BY {leaf}),
 b0 AS (SELECT coalesce(sum(tokens), 0) * {m.share_pct} // 100 AS budget FROM rows),{','.join(steps)},
 ordered AS (
-  SELECT rows.*, epoch, md5(concat('{m.seed}:', epoch, ':', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS place
+  SELECT rows.*, epoch, md5(concat('{m.seed}:', epoch, ':', coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', text_hash)) AS place
   FROM rows CROSS JOIN range(1, {m.epochs + 1}) t(epoch)),
 summed AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {leaf} ORDER BY epoch, place, text_hash
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {leaf} ORDER BY epoch, place
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM ordered)
 SELECT s.doc_id, s.domain, s.lang, s.source, CAST(s.tokens AS BIGINT) AS tokens, CAST(s.epoch AS INTEGER) AS epoch,

@@ -24,8 +24,9 @@ from prosemetrics.session import sized_broadcast
 CONCENTRATIONS = 4
 # The last estimates rest on documents within this quantile of the distance, taken so often.
 WITHIN, REWEIGHTS = 0.975, 2
-# Groups with fewer documents are pooled: sources within their language, then languages.
-GROUP_ROWS = 200
+# A group's estimate counts as many times as it has different vectors, that of its language (and
+# the language's, that of all documents) so many times.
+POOL_ROWS = 200
 # A typical document lies beyond the cutoff once in so many.
 CUTOFF_ODDS = 1000
 # The vector, and below what spread a component does not count as spread at all: a rate that is
@@ -80,24 +81,6 @@ def consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, DIMS), DIMS + 2) if share < 1 else 1.0
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` (``lang``, ``source``) with the group whose estimates they take part in.
-
-    ``group_lang`` and ``group_source`` name it; null stands for all others.
-    """
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("own", F.col("n") >= GROUP_ROWS)
-    rest = F.sum(F.when(~F.col("own"), F.col("n"))).over(Window.partitionBy("lang"))
-    known = F.col("own") | (rest >= GROUP_ROWS)
-    groups = sizes.select(
-        "lang",
-        "source",
-        F.when(known, F.col("lang")).alias("group_lang"),
-        F.when(F.col("own"), F.col("source")).alias("group_source"),
-    )
-    return rows.join(sized_broadcast(stored(groups, "groups")), ["lang", "source"])
-
-
 KEY = ("group_lang", "group_source")
 
 
@@ -216,6 +199,51 @@ def mcd_models(rows: DataFrame) -> DataFrame:
     return models
 
 
+def _blend(one, weight: float, other):
+    """Centre and covariance of a mixture of two groups."""
+    (a, x), (b, y) = one, other
+    off = a - b
+    return weight * a + (1 - weight) * b, weight * x + (1 - weight) * y + weight * (1 - weight) * np.outer(off, off)
+
+
+def _shrunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(centre, inverse):
+        return np.array(centre), np.linalg.inv(np.array(inverse).reshape(DIMS, DIMS))
+
+    for frame in batches:
+        out = []
+        for lang, source, *parts in frame.itertuples(index=False):
+            (n, *own), (n_lang, *of_lang), (_, *of_all) = parts[:3], parts[3:6], parts[6:]
+            pool = _blend(read(*of_lang), n_lang / (n_lang + POOL_ROWS), read(*of_all))
+            centre, covariance = _blend(read(*own), n / (n + POOL_ROWS), pool)
+            out.append((lang, source, centre.tolist(), np.linalg.inv(covariance).ravel().tolist()))
+        yield pd.DataFrame(out, columns=COLUMNS[:4])
+
+
+def shrunk_models(rows: DataFrame) -> DataFrame:
+    """``group_lang, group_source, centre, inverse`` for each language and source of ``rows`` (``lang``, ``source``, ``x``).
+
+    A group's robust estimate is blended with its language's, and that with the estimate of all, by the number of
+    different vectors each rests on.  So nothing jumps at any size, and a large group speaks for itself.
+    """
+    none = F.lit(None).cast("string")
+    levels = [("lang", "source"), ("lang", none), (none, none)]
+    keys = [F.struct(*[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in zip(KEY, level)]) for level in levels]
+    rows = stored(rows.select(F.explode(F.array(*keys)).alias("k"), "x").select("k.*", "x").distinct(), "levels")
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    models = mcd_models(rows).join(sizes.select(*[F.col(k).alias(f"s_{k}") for k in KEY], "n"), [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in KEY])
+    models = stored(models.select(*KEY, "n", "centre", "inverse"), "level-models")
+
+    def level(name: str, filled: int) -> DataFrame:
+        has = [F.col(k).isNotNull() == (i < filled) for i, k in enumerate(KEY)]
+        keys = [F.col(k).alias(k if name == "own" else f"{name}_{k}") for k in KEY[:filled]]
+        return models.filter(has[0] & has[1]).select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("n", "centre", "inverse")])
+
+    joined = level("own", 2).join(level("lang", 1), F.col("group_lang") == F.col("lang_group_lang")).drop("lang_group_lang")
+    joined = joined.join(F.broadcast(level("all", 0)))  # one row
+    return stored(joined.mapInPandas(_shrunk, MODEL.rsplit(",", 1)[0]), "shrunk")
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,11 +255,12 @@ def quality_rules(
 
     ``base_failed``: under 50 words, or over half of the words in repeated three-word windows.  Of
     the others those are kept whose squared distance from their group's robust centre is within the
-    cutoff.  Estimates rest on all documents that the base rules pass.
+    cutoff.  Estimates rest on all documents that the base rules pass; equal vectors, as copies
+    have, count once, and no component's spread counts as less than ``SPREAD`` says.
 
     Defined cases: a null text is an empty one (and fails); a null language or source is a group of
-    its own, as is the empty string; small groups are pooled (``GROUP_ROWS``), the last pool can be
-    of any size; ``distance`` is null where the base rules fail; null and repeated ids stay as they
+    its own, as is the empty string; a small group is judged mostly by its language's estimate
+    (:func:`shrunk_models`); ``distance`` is null where the base rules fail; null and repeated ids stay as they
     are; other columns are not read; an empty table gives no rows.
     """
     slim = docs.select(
@@ -242,10 +271,10 @@ def quality_rules(
     )
     counted = with_stats(slim, list(NAMES), drop_text=True).withColumn("x", vector()).withColumn("base_failed", base_failed())
     counted = stored(counted, "rules")
-    passed = stored(grouped(counted.filter("not base_failed").select("lang", "source", "x")).select(*KEY, "x"), "vectors")
-    models = mcd_models(passed)
+    passed = counted.filter("not base_failed")
+    models = shrunk_models(passed.select("lang", "source", "x"))
     failed = counted.filter("base_failed").withColumns({"d2": F.lit(None).cast("double")})
-    judged = _matched(grouped(counted.filter("not base_failed")), models).withColumn("d2", distance())
+    judged = _matched(passed.withColumns({"group_lang": F.col("lang"), "group_source": F.col("source")}), models).withColumn("d2", distance())
     columns = ["id", *NAMES[:5], "base_failed", "d2"]
     cutoff = chi2_quantile(1 - 1 / CUTOFF_ODDS, DIMS)
     return (

@@ -162,7 +162,9 @@ def top_k(
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
     candidates = stored(rows.select("id", "v").mapInArrow(_blocks(0, 1, scale, CANDIDATES), BLOCK), "topk")
-    asked = rows.filter("q").groupBy("id").agg(F.max("v").alias("v"))
+    # Rows that take no part must not stand for an id that has a valid vector too.
+    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    asked = rows.filter(F.col("q") & F.col("v").isNotNull() & finite).groupBy("id").agg(F.max("v").alias("v"))
     asked = asked.mapInArrow(_blocks(0, 1, scale, QUERIES), BLOCK)
     asked = stored(asked.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "topk-queries")
 

@@ -61,3 +61,52 @@ def test_much_junk_and_copies_do_not_move_estimates(spark, share, spread):
     d2 = np.einsum("ij,jk,ik->i", off, np.array(model.inverse).reshape(rules.DIMS, -1), off)
     cutoff = rules.chi2_quantile(1 - 1 / rules.CUTOFF_ODDS, rules.DIMS)
     assert (d2[-n:] > cutoff).all() and (d2[:-n] <= cutoff).mean() > 0.99
+
+
+def test_no_jump_at_any_group_size(spark):
+    """A row more changes an estimate by little, wherever the group's size stands."""
+    rng = np.random.default_rng(11)
+    other = rng.normal(0, 0.3, (900, rules.DIMS))
+    own = rng.normal(1, 0.2, (201, rules.DIMS))
+    centres = {}
+    for n in (1, 2, 199, 200, 201):
+        rows = [("en", "big", x.tolist()) for x in other] + [("en", "own", x.tolist()) for x in own[:n]]
+        frame = spark.createDataFrame(rows, "lang string, source string, x array<double>")
+        models = {r.group_source: r for r in rules.shrunk_models(frame).collect()}
+        centres[n] = np.array(models["own"].centre)
+        assert np.abs(np.array(models["big"].centre)).max() < 0.15
+    assert np.abs(centres[200] - centres[199]).max() < 0.02 and np.abs(centres[201] - centres[200]).max() < 0.02
+    assert np.abs(centres[1]).max() < 0.2 and 0.4 < centres[200].mean() < 0.9
+
+
+def test_invalid_rows_do_not_stand_for_an_id(spark):
+    from pyspark.sql import functions as F
+
+    from prosemetrics.llm import topk
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [nan, 0.0]), (0, [inf, 0.0]), (0, None), (0, [None, 9.0]), (1, [3.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(frame, F.col("vec_id") == 0, 10, scale=1.0).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 5)]
+    clash = frame.withColumns({c: F.lit("x") for c in ("id", "v", "q", "block", "lane", "score")})
+    assert topk.top_k(clash, F.col("vec_id") == 0, 10, scale=1.0).count() == 1
+
+
+def test_rows_of_one_id_lie_apart(spark):
+    """Ten thousand rows without an id, or of one, fall into many parts of their leaf's order."""
+    from pyspark.sql import functions as F
+
+    from prosemetrics.llm import mixing
+
+    mixture = mixing.Mixture(domains={}, domain_weights={}, lang_weights={}, source_weights={}, share_pct=50, epochs=1, seed=1)
+    rows = spark.range(10_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7).cast("long")).alias("doc_id"), F.concat(F.lit("w "), "id").alias("text"),
+        F.lit("en").alias("lang"), F.lit("s").alias("source"),
+    )
+    slim = mixing.described(rows, mixture, F.monotonically_increasing_id(), "doc_id", "text", "lang", "source")
+    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_hash"))
+    part = F.substring(mixing._place(1, F.lit(1), key), 1, mixing.PART_DIGITS)
+    largest = slim.groupBy(part).count().agg(F.max("count")).first()[0]
+    assert largest < 20
+    assert mixing.mixed_ids(rows, mixture).count() == 5000
