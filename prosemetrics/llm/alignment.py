@@ -7,7 +7,7 @@ end; shared ends cut both into groups.  Per text:
 2. An *anchor* is a shared end before tokens that both begin with a space.  Anchors cut the text into
    windows: mostly one word, as a tuple of ids of each tokenizer.
 3. The same windows come again and again, so what a window gives (its groups and links) is kept by
-   its tuples of ids; only windows that are new are aligned token by token.
+   its tuple of ids; only windows that are new are aligned token by token.
 
 A link joins the two tokens that end at a shared end.  How often a pair of ids is linked is counted
 over the corpus: documents are taken in chunks of bounded size, a chunk keeps its links as places in
@@ -32,11 +32,12 @@ from prosemetrics.llm.transducer import byte_letters
 
 # A chunk ends with the document that brings it to so many links or rows.
 CHUNK_LINKS, CHUNK_ROWS = 1 << 19, 4096
-# Windows of more tokens are aligned each time; so many alignments are kept at most.
-MEMO_TOKENS, MEMO_WINDOWS = 32, 1 << 18
+# Windows of more tokens are aligned each time; so many alignments are kept at most, and as many of
+# the time before.
+MEMO_TOKENS, MEMO_WINDOWS = 32, 1 << 17
 
 
-def byte_encoder(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+def byte_encoder(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     """A function from a text to its ids, special tokens' strings being plain text, and every id's bytes.
 
     The file is a byte-level BPE vocabulary whose ids are the ranks of its merges.  It is run by the
@@ -51,101 +52,156 @@ def byte_encoder(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
     fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks={w: i for i, w in vocabulary.items()}, special_tokens={})
     library = []
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         if len(text) <= LONG_WORD or max(map(len, text.split(" "))) <= LONG_WORD:
-            return fast.encode_ordinary(text)
+            return fast.encode_to_numpy(text)
         if not library:  # loaded when it is first needed: it takes memory in every worker
             from tokenizers import Tokenizer
 
             library.append(Tokenizer.from_file(path))
             library[0].encode_special_tokens = True
-        return library[0].encode(text, add_special_tokens=False).ids
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode, [vocabulary.get(i, b"") for i in range(max(vocabulary) + 1 + len(special))]
 
 
-class Window:
-    """What the alignment of a window gives."""
+class Spelling:
+    """The bytes of a vocabulary's tokens, for whole texts at once."""
 
-    __slots__ = ("groups", "pairs")
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.spaced = np.array([t[:1] == b" " for t in tokens])
 
-    def __init__(self, groups: str, pairs: tuple[int, ...]):
-        self.groups, self.pairs = groups, pairs
+    def ends(self, ids: np.ndarray, text: np.ndarray) -> np.ndarray | None:
+        """Where each token ends, or None if the tokens do not spell ``text``."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        if not len(ids) or ends[-1] != len(text):
+            return None
+        at = np.repeat(self.begins[ids] - (ends - lengths), lengths) + np.arange(len(text))
+        return ends if (self.bytes[at] == text).all() else None
+
+    def marked(self, ids: np.ndarray) -> np.ndarray:
+        """Tokens before a space-marked one, and the last token."""
+        return np.append(np.flatnonzero(self.spaced[ids[1:]]), len(ids) - 1)
+
+
+# Stands between the ids of A and of B in a window's key; no vocabulary has such an id.
+BETWEEN = b"\xff\xff\xff\xff"
 
 
 class Aligner:
-    """Both tokenizers, their tokens' bytes, and the alignments of windows met so far."""
+    """Both tokenizers, and the alignments of windows met so far.
+
+    A window's key is the tuple of its ids, packed as 32-bit numbers.  Its alignment is the text of
+    its groups, and the pairs of ids that its links join, packed as 64-bit numbers.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
 
         self.encode_a, bytes_a = byte_encoder(byte_path)
-        pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.encode_b = lambda text: pieces.encode(text)
-        names = pieces.id_to_piece(list(range(pieces.get_piece_size())))
-        bytes_b = [bytes([int(n[3:-1], 16)]) if pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.size_b = len(bytes_b)
-        self.bytes_a, self.bytes_b = bytes_a, bytes_b
-        self.lengths_a, self.lengths_b = (np.array([len(t) for t in table], dtype=np.int64) for table in (bytes_a, bytes_b))
-        self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in table]) for table in (bytes_a, bytes_b))
-        self.memo: dict[tuple[tuple[int, ...], tuple[int, ...]], Window] = {}
-
-    def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids of both tokenizers, or None where either does not spell a space and the text."""
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        names = self.pieces.id_to_piece(list(range(self.pieces.get_piece_size())))
+        bytes_b = [bytes([int(n[3:-1], 16)]) if self.pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.a, self.b = Spelling(bytes_a), Spelling(bytes_b)
+        # Ids as decimal text, each with room for a mark behind it.
+        self.names = Spelling([b"%d," % i for i in range(max(len(bytes_a), len(bytes_b)))])
+        self.names.lengths -= 1
+        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.before: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def aligned(self, text: str) -> tuple[int, int, bytes, np.ndarray] | None:
+        """Token counts, groups and linked pairs of a text; None where its tokens do not spell a space and the text."""
         if not text:
             return None
         whole = " " + text
         try:
-            spelled = whole.encode()
+            spelled = np.frombuffer(whole.encode(), dtype=np.uint8)
         except UnicodeEncodeError:
             return None
-        a, b = self.encode_a(whole), self.encode_b(text)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != spelled or b"".join(map(self.bytes_b.__getitem__, b)) != spelled:
+        b = np.array(self.pieces.encode(text), dtype="<u4")
+        ends_b = self.b.ends(b, spelled)
+        if ends_b is None:
             return None
-        return a, b
-
-    def windows(self, a: list[int], b: list[int]) -> Iterator[Window]:
-        """The windows of a text, aligned."""
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
-        # Ends before a space-marked token, and the end of the text.
-        marked_a = np.append(np.flatnonzero(self.spaced_a[ids_a[1:]]), len(a) - 1)
-        marked_b = np.append(np.flatnonzero(self.spaced_b[ids_b[1:]]), len(b) - 1)
-        _, at_a, at_b = np.intersect1d(ends_a[marked_a], ends_b[marked_b], assume_unique=True, return_indices=True)
-        memo, i, j = self.memo, 0, 0
-        for m, n in zip((marked_a[at_a] + 1).tolist(), (marked_b[at_b] + 1).tolist()):
-            key = (tuple(a[i:m]), tuple(b[j:n]))
-            found = memo.get(key)
-            if found is None:
-                found = self.aligned(*key)
-                if m - i + n - j <= MEMO_TOKENS:
-                    if len(memo) >= MEMO_WINDOWS:
-                        memo.clear()
-                    memo[key] = found
-            yield found
+        a = self.encode_a(whole).astype("<u4", copy=False)
+        ends_a = self.a.ends(a, spelled)
+        if ends_a is None:
+            return None
+        # Shared ends before space-marked tokens, and the end of the text.
+        marked_a, marked_b = self.a.marked(a), self.b.marked(b)
+        found = np.searchsorted(ends_b[marked_b], ends_a[marked_a])
+        shared = ends_b[marked_b[found]] == ends_a[marked_a]
+        stops_a, stops_b = (4 * (marked_a[shared] + 1)).tolist(), (4 * (marked_b[found[shared]] + 1)).tolist()
+        packed_a, packed_b = a.tobytes(), b.tobytes()
+        get, windows, new, i, j = self.memo.get, [], [], 0, 0
+        for m, n in zip(stops_a, stops_b):
+            key = packed_a[i:m] + BETWEEN + packed_b[j:n]
+            window = get(key)
+            if window is None and (window := self.met_before(key)) is None:
+                new.append((len(windows), i >> 2, m >> 2, j >> 2, n >> 2))
+            windows.append(window or key)
             i, j = m, n
-
-    def aligned(self, a: tuple[int, ...], b: tuple[int, ...]) -> Window:
-        """Cut a window into groups at all shared ends; both tuples spell the same bytes."""
-        lengths_a, lengths_b = self.lengths_a[list(a)].tolist(), self.lengths_b[list(b)].tolist()
-        groups, pairs = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = lengths_a[0], lengths_b[0]
-        while True:
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                pairs.append(a[i] * self.size_b + b[j])
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return Window(";".join(groups), tuple(pairs))
-                first_a, first_b = i, j
-                end_a, end_b = end_a + lengths_a[i], end_b + lengths_b[j]
-            elif end_a < end_b:
-                i += 1
-                end_a += lengths_a[i]
-            else:
-                j += 1
-                end_b += lengths_b[j]
+        if new:
+            at, *edges = np.array(new, dtype=np.int64).T
+            for n, window in zip(at.tolist(), self.cut(a, ends_a, b, ends_b, *edges)):
+                self.keep(windows[n], window)
+                windows[n] = window
+        groups, pairs = zip(*windows)
+        return len(a), len(b), b";".join(groups), np.frombuffer(b"".join(pairs), dtype="<i8")
+
+    def met_before(self, key: bytes) -> tuple[bytes, bytes] | None:
+        window = self.before.get(key)
+        if window is not None:
+            self.keep(key, window)
+        return window
+
+    def keep(self, key: bytes, window: tuple[bytes, bytes]) -> None:
+        if len(key) <= 4 * MEMO_TOKENS:
+            if len(self.memo) >= MEMO_WINDOWS:  # windows that are not met again until the next time go
+                self.before = dict(self.memo)
+                self.memo.clear()
+            self.memo[key] = window
+
+    def cut(self, a, ends_a, b, ends_b, i, m, j, n) -> Iterator[tuple[bytes, bytes]]:
+        """Cut windows of a text, tokens i to m of A and j to n of B, into groups at all shared ends."""
+        flat_a, flat_b = _ranges(i, m), _ranges(j, n)
+        a, ends_a, b, ends_b = a[flat_a], ends_a[flat_a], b[flat_b], ends_b[flat_b]
+        found = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[found] == ends_a
+        last_b = np.zeros(len(b), dtype=bool)
+        last_b[found[last_a]] = True
+        pairs = a[last_a].astype(np.int64) * len(self.b.lengths) + b[last_b]
+        # Tokens in the order of the text: a group's ids of A, then its ids of B.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        stops_a, stops_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        order_a = np.arange(len(a)) + np.append(0, stops_b)[group_a]
+        order_b = np.arange(len(b)) + stops_a[group_b]
+        ids = np.empty(len(a) + len(b), dtype=np.int64)
+        marks = np.empty(len(ids), dtype=np.uint8)
+        ids[order_a], ids[order_b] = a, b
+        marks[order_a], marks[order_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        lengths = self.names.lengths[ids] + 1
+        stops = np.cumsum(lengths)
+        text = self.names.bytes[np.repeat(self.names.begins[ids] - stops + lengths, lengths) + np.arange(stops[-1])]
+        text[stops - 1] = marks
+        # Where each window ends, in groups and in bytes.
+        of_groups = np.cumsum(last_a)[np.cumsum(m - i) - 1]
+        of_bytes = stops[np.cumsum(m - i) + np.cumsum(n - j) - 1].tolist()
+        packed, text = pairs.astype("<i8").tobytes(), text.tobytes()
+        begin = first = 0
+        for stop, last in zip(of_bytes, (8 * of_groups).tolist()):
+            yield text[begin : stop - 1], packed[first:last]
+            begin, first = stop, last
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers from each start to its stop, end to end."""
+    lengths = stop - start
+    ends = np.cumsum(lengths)
+    return np.repeat(start - ends + lengths, lengths) + np.arange(ends[-1])
 
 
 def _chunks(byte_tokenizer: str, piece_tokenizer: str, id_type: pa.DataType):
@@ -186,14 +242,12 @@ def _chunks(byte_tokenizer: str, piece_tokenizer: str, id_type: pa.DataType):
 
         for batch in batches:
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                made = aligner.tokens(text.as_py() or "")
+                made = aligner.aligned(text.as_py() or "")
                 if made is None:
                     rows.append((row_id, 0, 0, 0, ""))
                 else:
-                    windows = list(aligner.windows(*made))
-                    found = np.array([p for w in windows for p in w.pairs], dtype=np.int64)
-                    digest = hashlib.sha256(";".join([w.groups for w in windows]).encode()).hexdigest()
-                    rows.append((row_id, len(made[0]), len(made[1]), len(found), digest))
+                    n_a, n_b, groups, found = made
+                    rows.append((row_id, n_a, n_b, len(found), hashlib.sha256(groups).hexdigest()))
                     links.append(found)
                     held += len(found)
                 if held >= CHUNK_LINKS or len(rows) >= CHUNK_ROWS:
