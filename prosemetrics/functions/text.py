@@ -55,7 +55,8 @@ def segments(sentence: Column, adversatives: list[str]) -> Column:
     """Clauses of a sentence; the adversative that joined them is dropped."""
     joint = "|".join(re.escape(w) for w in adversatives)
     parts = F.split(sentence, rf"(?iuU)[,;]?\s+(?:{joint})\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    # a bare F.trim would get the position as the characters to trim
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:

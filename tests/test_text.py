@@ -49,6 +49,14 @@ def test_segments_split_on_adversatives_and_drop_them(spark):
     assert cut("Берите щит всегда") == ["Берите щит всегда"]
 
 
+def test_segments_keep_digits_at_their_ends(spark):
+    def cut(s):
+        return value(spark, T.segments(F.col("t"), list(LANG.adversatives)), t=s)
+
+    assert cut("0 щитов и 10") == ["0 щитов и 10"]
+    assert cut("0 щитов, но 1 меч из 11") == ["0 щитов", "1 меч из 11"]
+
+
 @pytest.mark.parametrize(
     "raw,clean",
     [
