@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosemetrics.functions import text as T
 from prosemetrics.functions.arrays import let
 from prosemetrics.functions.units import with_units
 from prosemetrics.packs.base import NORMS, SIGNALS, LanguagePack, Rules
@@ -255,13 +256,15 @@ def tighten_hints(docs: DataFrame, language: LanguagePack) -> DataFrame:
 
     Every hint has an address in the text; documents without one get nulls.
     """
+    # Each sentence is counted where it stands: a look into another array's expression from inside
+    # the lambda would work out that whole array for every sentence.
     units = with_units(docs, language).withColumn(
         "_longest",
         F.array_max(
             F.transform(
                 "sentences",
                 lambda s, i: F.struct(
-                    F.get("sentence_words", i).alias("words"),
+                    T.word_count(s).alias("words"),
                     (-i).alias("minus_no"),
                     s.alias("sentence"),
                 ),

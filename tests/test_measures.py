@@ -101,3 +101,16 @@ def test_alarm_lines(spark, docs):
     measured = measures.measure(docs(flat), LANG).withColumn("game", F.lit("hearthstone"))
     row = measures.alarms(measures.norm_compare(measured, russian.RULES)).first()
     assert row.rhythm_alarm and not row.voice_alarm
+
+
+def test_hints_count_each_sentence_once(spark):
+    """Looking each sentence's length up in an array made the work a square of a text's sentences."""
+    from prosemetrics.operators import measures
+    from prosemetrics.packs import russian
+
+    docs = spark.createDataFrame([(1, "Раз два. Три четыре пять. Шесть.")], "doc_id long, text string")
+    hints = measures.tighten_hints(docs, russian.LANGUAGE)
+    assert (hints.first()["longest_words"], hints.first()["longest_sentence_no"]) == (3, 2)
+    plan = hints._jdf.queryExecution().optimizedPlan().toString()
+    inside = plan[plan.index("lambdafunction(struct(words") :].split("minus_no")[0]
+    assert "transform(" not in inside
