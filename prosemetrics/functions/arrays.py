@@ -66,7 +66,12 @@ def numbered(items: Column) -> Column:
 
 def multiset_except(left: Column, right: Column) -> Column:
     """Distinct strings of ``left`` that occur there more often than in ``right``."""
-    lost = F.array_except(numbered(left), numbered(right))
+    return numbered_except(numbered(left), numbered(right))
+
+
+def numbered_except(left: Column, right: Column) -> Column:
+    """The same of arrays that are numbered already."""
+    lost = F.array_except(left, right)
     return F.sort_array(
         F.array_distinct(F.transform(lost, lambda t: F.regexp_replace(t, r"^\d+:", "")))
     )

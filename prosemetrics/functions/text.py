@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prosemetrics.functions.arrays import let, multiset_except
+from prosemetrics.functions.arrays import let, numbered
 
 WORD = r"[\p{L}\p{N}]+(?:['’ʼ\-][\p{L}\p{N}]+)*"
 
@@ -196,28 +196,19 @@ def touched_pct(before: Column, after: Column) -> Column:
 
     Words are compared as a multiset, so moving a word costs nothing.
     """
-    from prosemetrics.functions.arrays import numbered
-
-    return let(
-        F.struct(words(before).alias("a"), words(after).alias("b")),
-        lambda w: F.when(
-            F.greatest(F.size(w["a"]), F.size(w["b"])) > 0,
-            100.0
-            * (
-                1.0
-                - F.size(F.array_intersect(numbered(w["a"]), numbered(w["b"])))
-                / F.greatest(F.size(w["a"]), F.size(w["b"]))
-            ),
-        ).otherwise(0.0),
+    return F.when(before.eqNullSafe(after), 0.0).otherwise(
+        let(
+            F.struct(numbered(words(before)).alias("a"), numbered(words(after)).alias("b")),
+            lambda w: touched_tokens_pct(w["a"], w["b"]),
+        )
     )
 
 
-def lost_items(before: Column, after: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` that occur more often before than after."""
-    return multiset_except(
-        F.regexp_extract_all(before, F.lit(pattern), F.lit(0)),
-        F.regexp_extract_all(after, F.lit(pattern), F.lit(0)),
-    )
+def touched_tokens_pct(before: Column, after: Column) -> Column:
+    """The same from the numbered words of both sides."""
+    most = F.greatest(F.size(before), F.size(after))
+    share = F.size(F.array_intersect(before, after)) / most
+    return F.when(most > 0, 100.0 * (1.0 - share)).otherwise(0.0)
 
 
 def evidence_trim(text: Column, width: int = 90) -> Column:

@@ -199,3 +199,34 @@ def test_a_marker_over_a_line_break_is_none_anywhere(spark):
     sides = {r.pair_id: (r.b_markers, r.a_markers) for r in gate.measured(pairs(spark, x=(whole, broken)), RULES).collect()}
     scored = {r.doc_id: r.markers for r in score_inputs(with_profile(docs, RULES), RULES).collect()}
     assert found == {"w"} and sides == {"x": (1, 0)} and scored == {"w": 1, "b": 0}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_kind_measures_only_what_it_needs(spark):
+    given = pairs(spark, a=(LIVE * 8, LIVE * 4), b=(LIVE, LIVE))
+    shrunk = gate.validate_edits(given, RULES, ("text_shrunk",)).select("pair_id", "violations")
+    assert RULES.language.address not in plan_of(shrunk) and r"\S+" not in plan_of(shrunk)
+    whole = {r.pair_id: r.violations for r in gate.validate_edits(given, RULES).collect()}
+    for kind in gate.KINDS:
+        for row in gate.validate_edits(given, RULES, (kind,)).collect():
+            assert row.violations == [v for v in whole[row.pair_id] if v.kind == kind]
+
+
+def test_text_measured_before_it_is_multiplied_gives_the_same(spark):
+    from pyspark.sql import functions as F
+
+    given = pairs(spark, a=(LIVE * 8, LIVE * 4), b=(LIVE, LIVE), c=(DRY, ""), d=(None, LIVE), e=(None, None), f=(LIVE, None))
+    plain = gate.measured(given, RULES)
+    early = gate.measured(gate.measured_before(given, RULES), RULES)
+    assert early.columns == plain.columns
+    assert sorted(early.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    edits = gate.measured_before(given, RULES).withColumn("after", F.explode(F.array("after", F.upper("after"))))
+    # the before side's patterns stand below the explode, the after side's above: once each
+    plan = plan_of(gate.validate_edits(edits, RULES, ("voice_lost",)).select("pair_id", "violations"))
+    assert plan.count(RULES.language.address) == 2
+    verdicts = gate.validate_edits(gate.measured_before(given, RULES), RULES)
+    assert verdicts.columns == gate.validate_edits(given, RULES).columns
+    assert sorted(verdicts.collect(), key=repr) == sorted(gate.validate_edits(given, RULES).collect(), key=repr)

@@ -54,24 +54,29 @@ EDITS = {
 }
 
 
-def edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair_id, doc_id, edit, before, after): every document under every edit."""
-    text = F.col("text")
+def edit_pairs(spark: SparkSession, sf_dir: str, prepared=lambda texts: texts) -> DataFrame:
+    """(pair_id, doc_id, edit, before, after): every document under every edit.
+
+    ``prepared`` may add columns to the documents (doc_id, before) before they are multiplied.
+    """
+    text = F.col("before")
     edits = F.array(
         *[
             F.struct(F.lit(name).alias("edit"), edit(text).alias("after"))
             for name, edit in EDITS.items()
         ]
     )
+    texts = prepared(documents(spark, sf_dir).withColumnRenamed("text", "before"))
+    added = [c for c in texts.columns if c not in ("doc_id", "before")]
     return (
-        documents(spark, sf_dir)
-        .select("doc_id", F.col("text").alias("before"), F.explode(edits).alias("e"))
+        texts.select(*texts.columns, F.explode(edits).alias("e"))
         .select(
             F.concat_ws("-", "doc_id", "e.edit").alias("pair_id"),
             "doc_id",
             F.col("e.edit").alias("edit"),
             "before",
             F.col("e.after").alias("after"),
+            *added,
         )
     )
 
