@@ -11,7 +11,8 @@ So a fingerprint is ``WORDS`` words of 32 bits.
 * A pair that is found in a trie is a link when its whole fingerprints differ in at most
   ``max_bits`` bits, whose share of all bits stands for the similarity.
 * Bits are an estimate, so the closest pair of each linked text is then checked by its shingles
-  themselves.  A text in no pair that passes stays; the estimate alone drops nothing.
+  themselves.  For a text whose closest pair fails, the tries are searched again and every pair
+  that it is in is checked.  A text in no pair that passes stays; the estimate alone drops nothing.
 
 Within the budget two keys agree in one of ``BUDGET + 1`` runs of bits.  Each key is dealt to the
 tasks once for each run, by the run's bits; large groups are dealt out in parts, and every two
@@ -111,8 +112,9 @@ def with_fingerprint(docs: DataFrame, name: str, words: int, text_col: str) -> D
 class Keys:
     """Sorted keys with their fingerprints, and one label for each linked set of them."""
 
-    def __init__(self, keys: np.ndarray, prints: np.ndarray, max_bits: int):
-        self.keys, self.prints, self.max_bits = keys, prints, max_bits
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, max_bits: int, asked: np.ndarray | None = None):
+        self.keys, self.prints, self.max_bits, self.asked = keys, prints, max_bits, asked
+        self._asked_before = None if asked is None else np.concatenate([[0], np.cumsum(asked.astype(np.int64))])
         self.labels = np.arange(len(keys))
         # The closest other key that each key was compared with and linked to.
         self.partner, self.distance = np.full(len(keys), -1), np.full(len(keys), BITS + 1)
@@ -144,8 +146,11 @@ class Keys:
         order = np.argsort(-bits, kind="stable")  # the closest is written last
         self.partner[own[order]], self.distance[own[order]] = other[order], bits[order]
 
-    def _compare(self, pairs: np.ndarray) -> None:
-        """Link the close keys of node pairs; keys that are linked already are not compared."""
+    def _compare(self, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Link the close keys of node pairs; keys that are linked already are not compared.
+
+        Where keys are asked for, nothing is linked: all close pairs with one of them are given.
+        """
         a, b, c, d, _ = pairs
         width, size = d - c, (b - a) * (d - c)
         stops = np.cumsum(size)
@@ -154,24 +159,34 @@ class Keys:
             owner = np.searchsorted(stops, at, side="right")
             within = at - (stops[owner] - size[owner])
             left, right = a[owner] + within // width[owner], c[owner] + within % width[owner]
-            open_ = self.labels[left] != self.labels[right]
+            if self.asked is None:
+                open_ = self.labels[left] != self.labels[right]
+            else:
+                open_ = (left < right) & (self.asked[left] | self.asked[right])
             left, right = left[open_], right[open_]
             near = np.bitwise_count(self.keys[left] ^ self.keys[right]) <= BUDGET
             left, right = left[near], right[near]
             bits = np.bitwise_count(self.prints[left] ^ self.prints[right]).sum(axis=1, dtype=np.int64)
             close = bits <= self.max_bits
             left, right, bits = left[close], right[close], bits[close]
+            if self.asked is not None:
+                yield left, right, bits
+                continue
             self._meet(left, right, bits)
             self._meet(right, left, bits)
             self._link(left, right)
 
-    def join(self, pairs: np.ndarray, depth: int) -> None:
+    def join(self, pairs: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Follow node pairs (rows: low, high, low, high, differing bits) down from ``depth``."""
         while pairs.shape[1]:
             a, b, c, d, bits = pairs
+            if self.asked is not None:
+                n = self._asked_before
+                pairs = pairs[:, n[b] - n[a] + n[d] - n[c] > 0]
+                a, b, c, d, bits = pairs
             small = ((b - a) * (d - c) <= LEAF) | (depth == KEY_BITS)
             if small.any():
-                self._compare(pairs[:, small])
+                yield from self._compare(pairs[:, small])
                 pairs = pairs[:, ~small]
                 a, b, c, d, bits = pairs
             if not pairs.shape[1]:
@@ -190,10 +205,12 @@ class Keys:
             depth += 1
 
 
-def _solve(group: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, max_bits: int):
+def _solve(group: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, max_bits: int, every: bool):
     """Links within groups: of side 0 with itself, and of side 1 with side 2.
 
     For each linked key: its node, that of its set, that of its closest partner, and their distance.
+    With ``every``, odd nodes are asked for, and each close pair with one of them is given instead,
+    in bounded parts (its first node stands for the set).
     """
     order = np.lexsort((key, side, group))
     group, side, key, node, prints = group[order], side[order], key[order], node[order], prints[order]
@@ -206,14 +223,16 @@ def _solve(group: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarra
     first = first[first + 1 < len(low)]
     first = first[(side[low[first + 1]] == 2) & (group[low[first]] == group[low[first + 1]])]
     a, b = np.concatenate([twins, first]), np.concatenate([twins, first + 1])
-    keys = Keys(key, prints, max_bits)
+    keys = Keys(key, prints, max_bits, node % 2 == 1 if every else None)
     if len(a):
-        keys.join(np.stack([low[a], high[a], low[b], high[b], np.zeros(len(a), dtype=np.int64)]), RUN_BITS)
-    at = np.flatnonzero(keys.partner >= 0)
-    return node[at], node[keys.labels[at]], node[keys.partner[at]], keys.distance[at]
+        for left, right, bits in keys.join(np.stack([low[a], high[a], low[b], high[b], np.zeros(len(a), dtype=np.int64)]), RUN_BITS):
+            yield node[left], node[left], node[right], bits
+    if not every:
+        at = np.flatnonzero(keys.partner >= 0)
+        yield node[at], node[keys.labels[at]], node[keys.partner[at]], keys.distance[at]
 
 
-def _links_of_groups(max_bits: int):
+def _links_of_groups(max_bits: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by group; whole groups are gathered up to a bound.
         held: list[list[np.ndarray]] = []
@@ -222,8 +241,8 @@ def _links_of_groups(max_bits: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                found = _solve(*[np.concatenate(x) for x in zip(*held)], max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "partner", "distance"])
+                for found in _solve(*[np.concatenate(x) for x in zip(*held)], max_bits, every):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "partner", "distance"])
             held.clear()
 
         for batch in batches:
@@ -269,9 +288,10 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def links(prints: DataFrame, max_bits: int) -> DataFrame:
+def links(prints: DataFrame, max_bits: int, every: bool = False) -> DataFrame:
     """``a, b, partner, distance``: for nodes of ``prints`` (columns ``node`` and ``fp``), pairs a and b
-    that span linked sets, and a close partner of a."""
+    that span linked sets, and a close partner of a.  With ``every``, all pairs a and partner of which
+    one is odd, and may stand several times."""
     rows = prints.select("node", "fp").mapInArrow(_dealt, "group long, key long, node long, fp binary")
     # The number of groups is fixed, so their sizes are a small table.
     sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_KEYS).alias("parts"))
@@ -282,7 +302,7 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     tiles = sized.select("group", (small * F.col("parts") + large).alias("tile"), side.cast("long").alias("side"), "key", "node", "fp")
     dealt = tiles.repartition("group", "tile").sortWithinPartitions("group", "tile")
-    return dealt.mapInArrow(_links_of_groups(max_bits), "a long, b long, partner long, distance long")
+    return dealt.mapInArrow(_links_of_groups(max_bits, every), "a long, b long, partner long, distance long")
 
 
 def shingles(text: str | None, words: int) -> set[bytes]:
@@ -332,15 +352,27 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     # The closest pair of each linked node, by the texts of the nodes' first rows.
     closest = found.groupBy("a").agg(F.min_by("partner", F.struct("distance", "partner")).alias("b"))
     pairs = stored(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(distinct.join(ends, "node").select("node", "first.row.*"), "near-ends")
-    lines = marked.select(*row, F.col(text_col).alias("text_of_node"))
-    lines = marked_rows(lines, row_marks(wanted, row), row).join(wanted.hint("shuffle_hash"), row)
-    lines = stored(lines.select("node", F.col("text_of_node").alias("text")), "near-texts")
-    for end in ("a", "b"):
-        pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-    sure = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
-    sure = stored(sure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        """The nodes of the pairs whose texts are similar."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stored(distinct.join(ends, "node").select("node", "first.row.*"), "near-ends")
+        lines = marked.select(*row, F.col(text_col).alias("text_of_node"))
+        lines = marked_rows(lines, row_marks(wanted, row), row).join(wanted.hint("shuffle_hash"), row)
+        lines = stored(lines.select("node", F.col("text_of_node").alias("text")), "near-texts")
+        for end in ("a", "b"):
+            pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+        sure = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
+        return stored(sure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+
+    sure = passing(pairs)
+    unsure = stored(found.select(F.col("a").alias("node")).distinct().join(sure, "node", "left_anti"), "near-unsure")
+    if not unsure.isEmpty():
+        asked = distinct.join(unsure.withColumn("asked", F.lit(1)), "node", "left")
+        coded = asked.select((F.col("node") * 2 + F.coalesce("asked", F.lit(0))).alias("node"), "fp")
+        every = links(coded, bits_for(similarity), True).select(F.shiftright("a", 1).alias("a"), F.shiftright("partner", 1).alias("b"))
+        every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sure = sure.union(passing(stored(every.join(pairs, ["a", "b"], "left_anti"), "near-pairs"))).distinct()
 
     labels = labels.join(sure, "node", "left_semi")
     members = distinct.join(labels, "node", "left").select("fp", "first", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))

@@ -137,3 +137,27 @@ def test_null_ids_come_last(spark):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (5, "a b c d e f"), (None, "x"), (None, "x")]
     kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept, key=str) == [(5, "a b c d e f"), (None, "x")]
+
+
+def test_a_partner_behind_a_closer_false_one_is_found(spark):
+    """The pair a and b is similar; by their bits, each has a closer partner that is not."""
+    rng = random.Random(5)
+    a = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+
+    def bits(x: str, y: str) -> int:
+        return int(np.bitwise_count(near.fingerprint(x) ^ near.fingerprint(y)).sum())
+
+    def met(x: str, y: str) -> bool:
+        keys = (near.fingerprint(x) ^ near.fingerprint(y)) >> np.uint32(near.WORD_BITS - near.KEY_BITS)
+        return int(np.bitwise_count(keys).min()) <= near.BUDGET and bits(x, y) <= near.bits_for(0.8)
+
+    def copies(x: str, target: float) -> list[str]:
+        made = [altered(x, rng, target) for _ in range(60)]
+        return sorted((y for y in made if met(x, y)), key=lambda y: bits(x, y))
+
+    b = [y for y in copies(a, 0.81) if similarity(a, y) >= 0.8][-1]
+    c, d = ([y for y in copies(x, 0.795) if similarity(x, y) < 0.8][0] for x in (a, b))
+    assert bits(a, c) < bits(a, b) > bits(b, d)
+    rows = list(enumerate([a, b, c, d], 1))
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
