@@ -159,12 +159,19 @@ def echo_indexed(
     return _echoes(drafted.drop("bucket"), archived, df.drop("bucket"), max_df, min_shared)
 
 
+# Groups of documents for each example that is asked.
+EXAMPLE_GROUPS = 8
+
+
 def precedent(docs: DataFrame, words: DataFrame, examples: int, message: str) -> DataFrame:
     """How often each word occurs, with up to ``examples`` sentences and sources.
 
     Words that never occur stay, with a neutral note: absence from a corpus
-    says nothing about the author.  The examples are a top-k per word; the
-    limit is applied in every task before the rows are shuffled.
+    says nothing about the author.
+
+    The examples are the first by document and place.  Documents are dealt into groups, and the
+    least document of each word and group is known from the counts; the last wanted of these
+    bounds the documents that are looked at, so neither sorting nor shuffling meets the others.
     """
     asked = words.select(F.lower("word").alias("word")).distinct()
     rows = (
@@ -191,11 +198,24 @@ def precedent(docs: DataFrame, words: DataFrame, examples: int, message: str) ->
         )
         .join(sized_broadcast(asked), "word")
     )
-    counts = rows.groupBy("word").agg(
-        F.sum("n").alias("occurrences"), F.count("*").alias("sentences")
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(EXAMPLE_GROUPS * max(examples, 1)))
+    # Spilled rows would be whole sentences: only numbers are aggregated here.
+    parts = rows.groupBy("word", group.alias("_group")).agg(
+        F.sum("n").alias("_n"), F.count("*").alias("_sentences"), F.min("doc_id").alias("_least")
+    )
+    if examples > 0:
+        parts = stored(parts, "precedent-counts")
+    counts = parts.groupBy("word").agg(
+        F.sum("_n").alias("occurrences"), F.sum("_sentences").alias("sentences")
     )
     out = asked.join(counts, "word", "left")
     if examples > 0:
+        bounds = parts.groupBy("word").agg(
+            F.get(F.array_sort(F.collect_list("_least")), F.lit(examples - 1)).alias("_bound")
+        )
+        # a word in fewer groups has no bound, and null ids come first
+        early = F.col("_bound").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") <= F.col("_bound"))
+        rows = rows.join(sized_broadcast(bounds), "word").where(early)
         order = Window.partitionBy("word").orderBy("doc_id", "sentence_no")
         top = (
             rows.withColumn("_rank", F.row_number().over(order))

@@ -188,6 +188,19 @@ def test_precedent_is_neutral_about_absent_words(spark, docs):
     assert retrieval.precedent(texts, words, 0, "-").count() == 2
 
 
+def test_precedent_looks_only_at_the_first_documents_of_a_word(spark):
+    """Examples are the first by id and place, null ids before others; later documents are not sorted."""
+    texts = [(i, f"Wort {'selten ' if i % 90 == 7 else ''}hier. Und Wort da.") for i in range(400)] + [(3, "Auch Wort."), (None, "Ein Wort.")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    words = spark.createDataFrame([("wort",), ("selten",)], "word string")
+    out = retrieval.precedent(docs, words, 3, "-")
+    got = {r.word: r for r in out.collect()}
+    assert (got["wort"].occurrences, got["wort"].sentences, got["selten"].occurrences) == (802, 802, 5)
+    assert [(e.doc_id, e.sentence_no) for e in got["wort"].examples] == [(None, 1), (0, 1), (0, 2)]
+    assert [e.doc_id for e in got["selten"].examples] == [7, 97, 187]
+    assert "_bound" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_documents_with_one_id_keep_their_own_findings(spark, names):
     from prosemetrics.packs.russian import RULES as RUSSIAN
     from prosemetrics.plans.audit import audit
