@@ -11,8 +11,9 @@ So a fingerprint is ``WORDS`` words of 32 bits.
 * A pair that is found in a trie is a link when its whole fingerprints differ in at most
   ``max_bits`` bits, whose share of all bits stands for the similarity.
 * Bits are an estimate, so the closest pair of each linked text is then checked by its shingles
-  themselves.  For a text whose closest pair fails, the tries are searched again and every pair
-  that it is in is checked.  A text in no pair that passes stays; the estimate alone drops nothing.
+  themselves.  A text whose closest pair fails is compared with all texts of its linked set, inside
+  tasks that hold a bounded part of the set and give no pairs, only the texts that have a similar
+  one.  A text without one stays; the estimate alone drops nothing.
 
 Within the budget two keys agree in one of ``BUDGET + 1`` runs of bits.  Each key is dealt to the
 tasks once for each run, by the run's bits; large groups are dealt out in parts, and every two
@@ -45,6 +46,8 @@ SEED = 42
 GROUP_KEYS, GATHERED, COMPARED, LEAF = 2048, 1 << 15, 1 << 18, 16
 # Shingles whose bits are counted at once.
 SLICE = 1 << 14
+# Bytes of texts of a linked set that a task holds at once, and shared shingles counted at once.
+HELD_BYTES, COUNTED = 16 << 20, 1 << 20
 # Standard deviations of a fingerprint's distance that are allowed above its mean.
 MARGIN = 2.0
 
@@ -112,9 +115,8 @@ def with_fingerprint(docs: DataFrame, name: str, words: int, text_col: str) -> D
 class Keys:
     """Sorted keys with their fingerprints, and one label for each linked set of them."""
 
-    def __init__(self, keys: np.ndarray, prints: np.ndarray, max_bits: int, asked: np.ndarray | None = None):
-        self.keys, self.prints, self.max_bits, self.asked = keys, prints, max_bits, asked
-        self._asked_before = None if asked is None else np.concatenate([[0], np.cumsum(asked.astype(np.int64))])
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, max_bits: int):
+        self.keys, self.prints, self.max_bits = keys, prints, max_bits
         self.labels = np.arange(len(keys))
         # The closest other key that each key was compared with and linked to.
         self.partner, self.distance = np.full(len(keys), -1), np.full(len(keys), BITS + 1)
@@ -146,11 +148,8 @@ class Keys:
         order = np.argsort(-bits, kind="stable")  # the closest is written last
         self.partner[own[order]], self.distance[own[order]] = other[order], bits[order]
 
-    def _compare(self, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Link the close keys of node pairs; keys that are linked already are not compared.
-
-        Where keys are asked for, nothing is linked: all close pairs with one of them are given.
-        """
+    def _compare(self, pairs: np.ndarray) -> None:
+        """Link the close keys of node pairs; keys that are linked already are not compared."""
         a, b, c, d, _ = pairs
         width, size = d - c, (b - a) * (d - c)
         stops = np.cumsum(size)
@@ -159,34 +158,24 @@ class Keys:
             owner = np.searchsorted(stops, at, side="right")
             within = at - (stops[owner] - size[owner])
             left, right = a[owner] + within // width[owner], c[owner] + within % width[owner]
-            if self.asked is None:
-                open_ = self.labels[left] != self.labels[right]
-            else:
-                open_ = (left < right) & (self.asked[left] | self.asked[right])
+            open_ = self.labels[left] != self.labels[right]
             left, right = left[open_], right[open_]
             near = np.bitwise_count(self.keys[left] ^ self.keys[right]) <= BUDGET
             left, right = left[near], right[near]
             bits = np.bitwise_count(self.prints[left] ^ self.prints[right]).sum(axis=1, dtype=np.int64)
             close = bits <= self.max_bits
             left, right, bits = left[close], right[close], bits[close]
-            if self.asked is not None:
-                yield left, right, bits
-                continue
             self._meet(left, right, bits)
             self._meet(right, left, bits)
             self._link(left, right)
 
-    def join(self, pairs: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def join(self, pairs: np.ndarray, depth: int) -> None:
         """Follow node pairs (rows: low, high, low, high, differing bits) down from ``depth``."""
         while pairs.shape[1]:
             a, b, c, d, bits = pairs
-            if self.asked is not None:
-                n = self._asked_before
-                pairs = pairs[:, n[b] - n[a] + n[d] - n[c] > 0]
-                a, b, c, d, bits = pairs
             small = ((b - a) * (d - c) <= LEAF) | (depth == KEY_BITS)
             if small.any():
-                yield from self._compare(pairs[:, small])
+                self._compare(pairs[:, small])
                 pairs = pairs[:, ~small]
                 a, b, c, d, bits = pairs
             if not pairs.shape[1]:
@@ -205,12 +194,10 @@ class Keys:
             depth += 1
 
 
-def _solve(group: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, max_bits: int, every: bool):
+def _solve(group: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, max_bits: int):
     """Links within groups: of side 0 with itself, and of side 1 with side 2.
 
     For each linked key: its node, that of its set, that of its closest partner, and their distance.
-    With ``every``, odd nodes are asked for, and each close pair with one of them is given instead,
-    in bounded parts (its first node stands for the set).
     """
     order = np.lexsort((key, side, group))
     group, side, key, node, prints = group[order], side[order], key[order], node[order], prints[order]
@@ -223,16 +210,14 @@ def _solve(group: np.ndarray, side: np.ndarray, key: np.ndarray, node: np.ndarra
     first = first[first + 1 < len(low)]
     first = first[(side[low[first + 1]] == 2) & (group[low[first]] == group[low[first + 1]])]
     a, b = np.concatenate([twins, first]), np.concatenate([twins, first + 1])
-    keys = Keys(key, prints, max_bits, node % 2 == 1 if every else None)
+    keys = Keys(key, prints, max_bits)
     if len(a):
-        for left, right, bits in keys.join(np.stack([low[a], high[a], low[b], high[b], np.zeros(len(a), dtype=np.int64)]), RUN_BITS):
-            yield node[left], node[left], node[right], bits
-    if not every:
-        at = np.flatnonzero(keys.partner >= 0)
-        yield node[at], node[keys.labels[at]], node[keys.partner[at]], keys.distance[at]
+        keys.join(np.stack([low[a], high[a], low[b], high[b], np.zeros(len(a), dtype=np.int64)]), RUN_BITS)
+    at = np.flatnonzero(keys.partner >= 0)
+    return node[at], node[keys.labels[at]], node[keys.partner[at]], keys.distance[at]
 
 
-def _links_of_groups(max_bits: int, every: bool):
+def _links_of_groups(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by group; whole groups are gathered up to a bound.
         held: list[list[np.ndarray]] = []
@@ -241,8 +226,8 @@ def _links_of_groups(max_bits: int, every: bool):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                for found in _solve(*[np.concatenate(x) for x in zip(*held)], max_bits, every):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "partner", "distance"])
+                found = _solve(*[np.concatenate(x) for x in zip(*held)], max_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "partner", "distance"])
             held.clear()
 
         for batch in batches:
@@ -288,10 +273,9 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def links(prints: DataFrame, max_bits: int, every: bool = False) -> DataFrame:
+def links(prints: DataFrame, max_bits: int) -> DataFrame:
     """``a, b, partner, distance``: for nodes of ``prints`` (columns ``node`` and ``fp``), pairs a and b
-    that span linked sets, and a close partner of a.  With ``every``, all pairs a and partner of which
-    one is odd, and may stand several times."""
+    that span linked sets, and a close partner of a."""
     rows = prints.select("node", "fp").mapInArrow(_dealt, "group long, key long, node long, fp binary")
     # The number of groups is fixed, so their sizes are a small table.
     sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_KEYS).alias("parts"))
@@ -302,7 +286,7 @@ def links(prints: DataFrame, max_bits: int, every: bool = False) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     tiles = sized.select("group", (small * F.col("parts") + large).alias("tile"), side.cast("long").alias("side"), "key", "node", "fp")
     dealt = tiles.repartition("group", "tile").sortWithinPartitions("group", "tile")
-    return dealt.mapInArrow(_links_of_groups(max_bits, every), "a long, b long, partner long, distance long")
+    return dealt.mapInArrow(_links_of_groups(max_bits), "a long, b long, partner long, distance long")
 
 
 def shingles(text: str | None, words: int) -> set[bytes]:
@@ -326,6 +310,108 @@ def _similar(words: int, similarity: float):
     return run
 
 
+class Part:
+    """Texts of a linked set, found by the hashes of their shingles."""
+
+    def __init__(self, words: int, similarity: float):
+        self.words, self.similarity = words, similarity
+        self.nodes: list[int] = []
+        self.texts: list[str | None] = []
+        self._hashes: list[np.ndarray] = []
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        found = shingles(text, self.words)
+        return np.sort(np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found)))
+
+    def add(self, node: int, text: str | None) -> None:
+        self.nodes.append(node)
+        self.texts.append(text)
+        self._hashes.append(self.hashes(text))
+
+    def close(self) -> None:
+        self.sizes = np.array([len(h) for h in self._hashes], dtype=np.int64)
+        every = np.concatenate([*self._hashes, np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.sorted = every[order]
+        self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[order]
+        self._hashes = []
+
+    def similar(self, node: int, text: str | None) -> bool:
+        """Whether another text of the part is similar; a hash only says where to look."""
+        own = self.hashes(text)
+        low = np.searchsorted(self.sorted, own, side="left")
+        runs = np.searchsorted(self.sorted, own, side="right") - low
+        shared = np.zeros(len(self.sizes), dtype=np.int64)
+        stops = np.cumsum(runs)
+        begin = 0
+        while begin < len(own):
+            before = stops[begin] - runs[begin]
+            end = max(begin + 1, int(np.searchsorted(stops, before + COUNTED, side="right")))
+            n, starts = runs[begin:end], low[begin:end]
+            at = np.arange(int(n.sum())) + np.repeat(starts - (stops[begin:end] - n - before), n)
+            shared += np.bincount(self.owner[at], minlength=len(shared))
+            begin = end
+        near = np.flatnonzero(shared >= self.similarity * (len(own) + self.sizes - shared))
+        mine = shingles(text, self.words)
+        for i in near[np.argsort(-shared[near], kind="stable")].tolist():
+            if self.nodes[i] != node:
+                other = shingles(self.texts[i], self.words)
+                if len(mine & other) >= self.similarity * len(mine | other):
+                    return True
+        return False
+
+
+def _with_similar(words: int, similarity: float):
+    """Nodes that are asked for and have a similar text in a part of their set.
+
+    Rows (label, part, asked part, asked, node, text) come sorted, those to look among first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part, closed = None, Part(words, similarity), False
+        for batch in batches:
+            found = []
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for *tile, asked, node, text in zip(*columns, batch.column(5)):
+                if tile != last:
+                    last, part, closed = tile, Part(words, similarity), False
+                if not asked:
+                    part.add(node, text.as_py())
+                    continue
+                if not closed:
+                    part.close()
+                    closed = True
+                if part.similar(node, text.as_py()):
+                    found.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+
+    return run
+
+
+def with_similar(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``node`` of the rows that are ``asked`` for and have a similar text in their set, perhaps several times
+    (columns ``node``, ``label`` of the set, ``asked`` and ``text``).
+
+    A set is dealt to the tasks in parts of bounded size, and every part of those asked for meets
+    every part of the set.
+    """
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_KEYS, F.sum(F.octet_length(F.coalesce("text", F.lit("")))) / HELD_BYTES))
+    sizes = texts.groupBy("label").agg(F.greatest(parts, F.lit(1)).alias("parts"), F.ceil(F.count_if("asked") / GROUP_KEYS).alias("asked_parts"))
+    sized = texts.join(stored(sizes, "set-sizes"), "label").withColumn("own", F.xxhash64("node"))
+
+    def dealt(own: str, other: str, asked: bool) -> DataFrame:
+        rows = sized.filter("asked") if asked else sized
+        one = F.pmod("own", F.col(own)).alias(own)
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other)
+        return rows.select("label", one, each, F.lit(asked).alias("now"), "node", "text").select("label", "parts", "asked_parts", "now", "node", "text")
+
+    rows = dealt("parts", "asked_parts", False).unionByName(dealt("asked_parts", "parts", True))
+    tile = ["label", "parts", "asked_parts"]
+    return rows.repartition(*tile).sortWithinPartitions(*tile, "now").mapInArrow(_with_similar(words, similarity), "node long")
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, one for each set of near copies: that with the
     smallest id (of repeated ids, one of their rows).
@@ -353,26 +439,26 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     closest = found.groupBy("a").agg(F.min_by("partner", F.struct("distance", "partner")).alias("b"))
     pairs = stored(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
-    def passing(pairs: DataFrame) -> DataFrame:
-        """The nodes of the pairs whose texts are similar."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stored(distinct.join(ends, "node").select("node", "first.row.*"), "near-ends")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = stored(distinct.join(nodes, "node").select("node", "first.row.*"), "near-ends")
         lines = marked.select(*row, F.col(text_col).alias("text_of_node"))
         lines = marked_rows(lines, row_marks(wanted, row), row).join(wanted.hint("shuffle_hash"), row)
-        lines = stored(lines.select("node", F.col("text_of_node").alias("text")), "near-texts")
-        for end in ("a", "b"):
-            pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-        sure = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
-        return stored(sure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
-
-    sure = passing(pairs)
-    unsure = stored(found.select(F.col("a").alias("node")).distinct().join(sure, "node", "left_anti"), "near-unsure")
-    if not unsure.isEmpty():
-        asked = distinct.join(unsure.withColumn("asked", F.lit(1)), "node", "left")
-        coded = asked.select((F.col("node") * 2 + F.coalesce("asked", F.lit(0))).alias("node"), "fp")
-        every = links(coded, bits_for(similarity), True).select(F.shiftright("a", 1).alias("a"), F.shiftright("partner", 1).alias("b"))
-        every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sure = sure.union(passing(stored(every.join(pairs, ["a", "b"], "left_anti"), "near-pairs"))).distinct()
+        return stored(lines.select("node", F.col("text_of_node").alias("text")), "near-texts")
+
+    lines = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    for end in ("a", "b"):
+        pairs = pairs.join(lines.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+    sure = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), "a long, b long")
+    sure = stored(sure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+
+    # The others, and the sets that they are in.
+    passed = sure.withColumn("passed", F.lit(True))
+    asked = stored(labels.join(passed, "node", "left").select("node", "label", F.col("passed").isNull().alias("asked")), "near-asked")
+    open_sets = asked.filter("asked").select("label").distinct()
+    sets = stored(asked.join(open_sets, "label", "left_semi"), "near-sets")
+    if not sets.isEmpty():
+        lines = stored(texts_of(sets.select("node")).join(sets, "node"), "near-set-texts")
+        sure = stored(sure.unionByName(with_similar(lines, words, similarity)).distinct(), "near-nodes")
 
     labels = labels.join(sure, "node", "left_semi")
     members = distinct.join(labels, "node", "left").select("fp", "first", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))

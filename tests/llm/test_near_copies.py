@@ -161,3 +161,38 @@ def test_a_partner_behind_a_closer_false_one_is_found(spark):
     rows = list(enumerate([a, b, c, d], 1))
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_texts_with_similar_ones_equal_brute_force(spark, monkeypatch):
+    """Texts that are asked for, in sets that are dealt in many parts."""
+    monkeypatch.setattr(near, "GROUP_KEYS", 3)
+    rng = random.Random(11)
+    bases = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(3)]
+    rows = [(10 * k + i, k, i % 3 != 0, altered(b, rng, 0.86 + 0.01 * i)) for k, b in enumerate(bases) for i in range(10)]
+    rows += [(100, 5, True, "alone"), (101, 6, True, None), (102, 6, True, " \n")]
+    # similar to texts of another set
+    rows.append((103, 7, True, bases[0]))
+    frame = spark.createDataFrame(rows, "node long, label long, asked boolean, text string")
+    found = {r.node for r in near.with_similar(frame, 5, 0.8).collect()}
+    want = {n for n, k, asked, t in rows if asked and any(m != n and j == k and similarity(t or "", u or "") >= 0.8 for m, j, _, u in rows)}
+    assert found == want and want != {n for n, _, asked, _ in rows if asked}
+
+
+def test_pairs_of_a_crowd_are_never_rows(spark, monkeypatch):
+    """A crowd of texts that are near each other by their bits, and of which no two are similar."""
+    rng = random.Random(13)
+    base = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+    rows = [(i, altered(base, rng, 0.865)) for i in range(60)]
+    rows = [r for r in rows if all(similarity(r[1], t) < 0.8 for i, t in rows if i != r[0])]
+    counted = []
+    kept_step = near.stored
+
+    def stored(df, label):
+        step = kept_step(df, label)
+        if label in ("near-pairs", "near-asked", "near-sets", "near-set-texts"):
+            counted.append(step.count())
+        return step
+
+    monkeypatch.setattr(near, "stored", stored)
+    assert keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert len(rows) > 30 and len(counted) >= 2 and max(counted) <= len(rows)
