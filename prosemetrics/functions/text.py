@@ -25,6 +25,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
+def sentence_length(sentence: Column) -> Column:
+    """The same for a text with a word in it: every word becomes one letter, and no array is made."""
+    return F.length(F.regexp_replace(sentence, r"(?U)\s*+\S++\s*+", "x"))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
 
@@ -41,10 +46,12 @@ def lines(text: Column) -> Column:
 
 def sentences(text: Column, enders: str = ".!?…") -> Column:
     """Lines joined by a space, cut after a sentence ender plus whitespace."""
+    # the space is looked for first: it is a cheaper test than the one of what stands before it
     parts = F.split(
-        F.replace(text, F.lit("\n"), F.lit(" ")), rf"(?U)(?<=[{re.escape(enders)}])\s+"
+        F.replace(text, F.lit("\n"), F.lit(" ")), rf"(?U)\s(?<=[{re.escape(enders)}]\s)\s*+"
     )
-    return F.filter(parts, lambda s: s.rlike(r"(?U)\S"))
+    # only a text's first sentence can begin with a space, so one character mostly decides
+    return F.filter(parts, lambda s: F.substring(s, 1, 1).rlike(r"(?U)\S") | s.rlike(r"(?U)\S"))
 
 
 def paragraphs(text: Column) -> Column:
@@ -113,13 +120,22 @@ def heading_title(line: Column, max_words: int, opening: str = r"\p{Lu}") -> Col
     )
 
 
+def short_title(line: Column, max_words: int, opening: str = r"\p{Lu}") -> Column:
+    """The same as :func:`heading_title`; a line of too many words is not read to its end.
+
+    The marks that open a heading are one word of the line at most.
+    """
+    short = line.rlike(rf"(?U)\A\s*+(?:\S++\s*+){{0,{max_words + 1}}}+\z")
+    return F.when(short, heading_title(line, max_words, opening))
+
+
 def headings(line_array: Column, max_words: int, opening: str = r"\p{Lu}") -> Column:
     """``array<struct<line, title>>`` of the heading lines."""
     return F.filter(
         F.transform(
             line_array,
             lambda x, i: F.struct(
-                (i + 1).alias("line"), heading_title(x, max_words, opening).alias("title")
+                (i + 1).alias("line"), short_title(x, max_words, opening).alias("title")
             ),
         ),
         lambda h: h["title"].isNotNull(),
@@ -138,7 +154,7 @@ def mask_protected(
         F.transform(
             lines(text),
             lambda x: F.when(
-                heading_title(x, max_heading_words, opening).isNotNull(), _blank(x)
+                short_title(x, max_heading_words, opening).isNotNull(), _blank(x)
             ).otherwise(x),
         ),
         "\n",
@@ -211,6 +227,11 @@ def touched_tokens_pct(before: Column, after: Column) -> Column:
     return F.when(most > 0, 100.0 * (1.0 - share)).otherwise(0.0)
 
 
+def lacks(text: Column, needed: str) -> Column:
+    """Whether a text can't have a match of a pattern all of whose matches hold ``needed``."""
+    return ~text.contains(needed) if needed else F.lit(False)
+
+
 def evidence_trim(text: Column, width: int = 90) -> Column:
     return F.substring(text, 1, width)
 

@@ -17,8 +17,9 @@ def with_units(docs: DataFrame, language: LanguagePack, text: str = "text") -> D
     return (
         docs.withColumn("lines", T.lines(F.col(text)))
         .withColumn("sentences", T.sentences(F.col(text)))
-        .withColumn("words", T.word_count(F.col(text)))
-        .withColumn("sentence_words", F.transform("sentences", T.word_count))
+        .withColumn("sentence_words", F.transform("sentences", T.sentence_length))
+        # sentences end at spaces, so their words are those of the text
+        .withColumn("words", F.aggregate("sentence_words", F.lit(0), lambda n, x: n + x))
         .withColumn(
             "headings",
             T.headings(F.col("lines"), language.heading_words, language.heading_opening),

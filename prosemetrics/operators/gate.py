@@ -34,10 +34,20 @@ def _protected_words(rules: Rules) -> list[str]:
 
 def _protected_patterns(rules: Rules) -> list[tuple[str, str]]:
     """(kind, pattern) of the shapes and fixed words that some game protects."""
-    fixed = [(w, rf"(?iuU)(?<![\p{{L}}\p{{N}}]){re.escape(w)}(?![\p{{L}}\p{{N}}])") for w in _protected_words(rules)]
+    def whole(w: str) -> str:
+        # the word is looked for before what stands around it
+        return rf"(?iuU){w}(?<![\p{{L}}\p{{N}}]{w})(?![\p{{L}}\p{{N}}])"
+
+    fixed = [(w, whole(re.escape(w))) for w in _protected_words(rules)]
     return [*rules.language.protected_patterns, *fixed]
 
 
+def _items(text: Column, pattern: str, rules: Rules) -> Column:
+    found = numbered(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    none = T.lacks(text, rules.language.needed.get(pattern, ""))
+    return F.when(none, F.array().cast("array<string>")).otherwise(found)
+
+
 def _measured(pairs: DataFrame, side: str, column: str, rules: Rules, known: str | None = None) -> DataFrame:
     """Add the measures of one side; where ``_same`` is true they are those of the side ``known``."""
     text = F.col(column)
@@ -51,15 +61,15 @@ def _measured(pairs: DataFrame, side: str, column: str, rules: Rules, known: str
         return F.when(~F.col("_same"), value) if known else value
 
     sentences, lens, words = F.col("_sentences"), F.col("_lens"), F.col(f"{side}_words")
-    items = F.array(*[numbered(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for _, p in _protected_patterns(rules)])
+    items = F.array(*[_items(text, p, rules) for _, p in _protected_patterns(rules)])
     return (
         pairs.withColumn("_sentences", new(T.sentences(text)))
-        .withColumn("_lens", F.transform("_sentences", T.word_count))
+        .withColumn("_lens", F.transform("_sentences", T.sentence_length))
         # sentences end at spaces, so their words are those of the text
         .withColumns(measure("words", F.aggregate("_lens", F.lit(0), lambda n, x: n + x)))
         .withColumns(measure("rhythm", rhythm(lens)))
         .withColumns(measure("voice", voice(text, sentences, lens, words, rules.language)))
-        .withColumns(measure("markers", hit_count(text, T.lines(text), [m.pattern for m in rules.markers])))
+        .withColumns(measure("markers", hit_count(text, T.lines(text), [m.pattern for m in rules.markers], rules.language.needed)))
         .withColumns(measure("items", items))
         .withColumns(measure("tokens", numbered(T.words(text))))
         .drop("_sentences", "_lens")

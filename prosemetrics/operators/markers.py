@@ -30,10 +30,18 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def line_hits(text: Column, lines: Column, patterns: list[str]) -> Column:
+def _occurs(text: Column, pattern: str, needed: dict[str, str]) -> Column:
+    """Whether a pattern occurs in the text; one that needs a string is looked for behind it."""
+    if pattern not in needed:
+        return text.rlike(pattern)
+    return text.contains(needed[pattern]) & text.rlike(pattern)
+
+
+def line_hits(text: Column, lines: Column, patterns: list[str], needed: dict[str, str] = {}) -> Column:
     """``array<struct<rule, line, hit>>``: every match of every pattern.
 
-    Lines are searched only for the patterns that occur in the text at all.
+    Lines are searched only for the patterns that occur in the text at all; ``needed`` has, for
+    some patterns, a string that every match holds.
     Rules are referred to by position, so the expression stays small.
     """
 
@@ -47,19 +55,19 @@ def line_hits(text: Column, lines: Column, patterns: list[str]) -> Column:
                 ),
             ),
         )
-        return F.when(text.rlike(pattern), F.flatten(per_line)).otherwise(
+        return F.when(_occurs(text, pattern, needed), F.flatten(per_line)).otherwise(
             F.array().cast("array<struct<rule:int,line:int,hit:string>>")
         )
 
     return F.concat(*[one(i, p) for i, p in enumerate(patterns)])
 
 
-def hit_count(text: Column, lines: Column, patterns: list[str]) -> Column:
+def hit_count(text: Column, lines: Column, patterns: list[str], needed: dict[str, str] = {}) -> Column:
     """How many hits :func:`line_hits` finds; a match never runs over a line break."""
 
     def one(pattern: str) -> Column:
         per_line = F.aggregate(lines, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(pattern)))
-        return F.when(text.rlike(pattern), per_line).otherwise(F.lit(0))
+        return F.when(_occurs(text, pattern, needed), per_line).otherwise(F.lit(0))
 
     return sum((one(p) for p in patterns), F.lit(0))
 
@@ -76,7 +84,7 @@ def marker_findings(text: Column, lines: Column, rules: Rules) -> Column:
     severities = _strings([severity for severity, _ in levels])
     confidences = F.array(*[F.lit(confidence) for _, confidence in levels])
     return F.transform(
-        line_hits(text, lines, [m.pattern for m in rules.markers]),
+        line_hits(text, lines, [m.pattern for m in rules.markers], rules.language.needed),
         lambda h: finding(
             id=F.get(ids, h["rule"]),
             analyzer="markers",

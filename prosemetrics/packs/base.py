@@ -29,6 +29,8 @@ class LanguagePack:
     discard_stance: str = ""
     impersonal: str = ""
     protected_patterns: tuple[tuple[str, str], ...] = ()
+    # For some patterns, a string that every match holds: a text without it is not searched.
+    needed: dict[str, str] = field(default_factory=dict)
     announced_count: str = ""
     list_item: str = r"^\s*(?:[-*•–]|\d+[.)])\s+"
     entities: tuple[str, ...] = ()

@@ -20,14 +20,18 @@ from prosemetrics.packs.base import (
 
 # starts only where a run of address characters starts, so it is linear
 MAIL = r"(?<![A-Za-z0-9.])[A-Za-z0-9.]++@[A-Za-z0-9.]+"
+SECRET = r'token = "[0-9a-f]+"'
+SHOUTING = r"!!+"
+BAR = r"\|"
 
+# A word's first letters, or the word, are looked for before its boundaries, which are dearer tests.
 LANGUAGE = LanguagePack(
     id="latin",
-    address=r"(?iuU)\b(?:the|der|die|das|le|les|el|los)\b",
-    imperative=r"(?iuU)\b\w{2,}(?:tion|ment|lich|ing)\b",
+    address=r"(?iuU)(?=[tdle][heiaol])\b(?:the|der|die|das|le|les|el|los)\b",
+    imperative=r"(?iuU)\b\w{2,}+(?<=[nthg])(?<=\w\w(?:tion|ment|lich|ing))",
     imperative_stop=("thing",),
     concession_opening=r"(?U)^(?:And|Und|Et|De)\b",
-    concession_inside=r"(?iuU)\b(?:by|mit|pour|por)\b",
+    concession_inside=r"(?iuU)(?=[bmp][yio])\b(?:by|mit|pour|por)\b",
     signal_labels={
         "address": "address",
         "imperative": "imperative",
@@ -39,26 +43,27 @@ LANGUAGE = LanguagePack(
     heading_opening=r"\p{L}",
     inflection=r"(?:es|en|er|s|e)$",
     adversatives=("but", "aber", "pero", "mais"),
-    keep_stance=r"(?iuU)\bkeep\b",
-    discard_stance=r"(?iuU)\bdrop\b",
+    keep_stance=r"(?iuU)keep(?<=\bkeep)\b",
+    discard_stance=r"(?iuU)drop(?<=\bdrop)\b",
     impersonal=r"(?iuU)\b(?:is|are|est|es)\b",
     protected_patterns=(
-        ("numbers", r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])"),
-        ("codes", r"(?<![\p{L}\p{N}])[0-9a-f]{24,}(?![\p{L}\p{N}])"),
+        ("numbers", r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?![\p{L}\p{N}])"),
+        ("codes", r"(?=[0-9a-f]{24})(?<![\p{L}\p{N}])[0-9a-f]{24,}+(?![\p{L}\p{N}])"),
         ("mails", MAIL),
     ),
+    needed={MAIL: "@", SECRET: 'token = "', SHOUTING: "!!", BAR: "|"},
     announced_count=r"(\d+) items",
     entities=("of", "of the", "de", "de la", "und"),
     entity_section="opening",
 )
 
 MARKERS = (
-    Marker("shouting", "run of exclamation marks", "remove", r"!!+", "one mark"),
+    Marker("shouting", "run of exclamation marks", "remove", SHOUTING, "one mark"),
     Marker("licence-line", "licence line", "remove",
            r"(?i)(?:licensed under|all rights reserved|released under)", "drop the line"),
-    Marker("secret", "assigned token", "rewrite", r'token = "[0-9a-f]+"', "remove the secret"),
+    Marker("secret", "assigned token", "rewrite", SECRET, "remove the secret"),
     Marker("markup-noise", "run of markup signs", "rewrite", r"[*#%&$]{3,}", "clean the text"),
-    Marker("pipe", "table bar", "review", r"\|", ""),
+    Marker("pipe", "table bar", "review", BAR, ""),
     Marker("contact", "mail address", "review", MAIL, ""),
 )
 
@@ -97,10 +102,10 @@ PROFILES = {
 }
 
 HINTS = {
-    "en-report": (r"\bthe\b", r"\band\b"),
-    "de-report": (r"\bder\b", r"\bund\b"),
-    "fr-report": (r"\bles\b", r"\bdes\b", r"\bune\b"),
-    "brief": (r"!!", r"\blicen[cs]ed?\b"),
+    "en-report": (r"the(?<=\bthe)\b", r"and(?<=\band)\b"),
+    "de-report": (r"der(?<=\bder)\b", r"und(?<=\bund)\b"),
+    "fr-report": (r"les(?<=\bles)\b", r"des(?<=\bdes)\b", r"une(?<=\bune)\b"),
+    "brief": (r"!!", r"(?=[l])\blicen[cs]ed?\b"),
 }
 
 GAMES = {

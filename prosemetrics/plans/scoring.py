@@ -47,7 +47,7 @@ def score_inputs(
         measures.voice(
             F.col("text"), F.col("sentences"), F.col("sentence_words"), F.col("words"), lang
         ).alias("voice"),
-        hit_count(F.col("text"), F.col("lines"), [m.pattern for m in rules.markers]).alias("markers"),
+        hit_count(F.col("text"), F.col("lines"), [m.pattern for m in rules.markers], lang.needed).alias("markers"),
         F.size(
             F.filter(sections, lambda s: F.arrays_overlap(s["variants"], titles))
         ).alias("sections_found"),
