@@ -179,18 +179,18 @@ def name_hits(
             out = out.unionByName(build(names, kind))
         return out
 
-    candidates = F.concat(*[F.transform(found[kind], _tagged(kind)) for kind in kinds])
+    candidates = F.concat(*[F.transform(found[kind], _tagged(kind, fold[kind])) for kind in kinds])
     probe = docs.select("doc_id", F.posexplode(candidates).alias("_place", "c")).select(
         "doc_id",
         "_place",
         "c.kind",
+        "c._key",
         F.col("c.value").alias("_written"),
-        F.ltrim("c.value", F.lit(OPENING)).alias("was"),
     )
     written = F.when(F.col("kind") == "case", F.col("_written")).otherwise(F.col("was"))
     wrong = (
-        probe.withColumn("_key", of_kind(fold, F.col("was")))
-        .join(sized_broadcast(union(_owners)), ["kind", "_key"])
+        probe.join(sized_broadcast(union(_owners)), ["kind", "_key"])
+        .withColumn("was", F.ltrim("_written", F.lit(OPENING)))
         .withColumn("_form", of_kind(exact, written))
         .join(sized_broadcast(union(_right_forms)), ["kind", "_form"], "left_anti")
     )
@@ -199,9 +199,13 @@ def name_hits(
     return wrong.groupBy("doc_id", "kind", "was", "official").agg(F.count("*").alias("n"))
 
 
-def _tagged(kind: str):
+def _tagged(kind: str, fold):
+    """A candidate with its folded form, made here once: a filter that the join adds would make it again."""
+
     def tag(value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        # only sequences have the mark of an opening before them
+        bare = value if kind == "apostrophe" else F.ltrim(value, F.lit(OPENING))
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), fold(bare).alias("_key"))
 
     return tag
 
