@@ -39,7 +39,9 @@ def rhythm(sentence_words: Column, min_sentences: int = 2) -> Column:
 def voice_counts(
     text: Column, sentences: Column, sentence_words: Column, language: LanguagePack
 ) -> dict[str, Column]:
-    if language.imperative_stop:
+    if language.imperative_end:
+        imperative = F.regexp_count(text, F.lit(language.imperative_end))
+    elif language.imperative_stop:
         imperative = F.size(
             F.filter(
                 F.regexp_extract_all(text, F.lit(language.imperative), F.lit(0)),
@@ -48,6 +50,7 @@ def voice_counts(
         )
     else:
         imperative = F.regexp_count(text, F.lit(language.imperative))
+    bare = T.lacks(text, language.needed.get(language.parenthesis, ""))
     opening = F.size(F.filter(sentences, lambda s: s.rlike(language.concession_opening)))
     return {
         "address": F.regexp_count(text, F.lit(language.address)),
@@ -56,7 +59,7 @@ def voice_counts(
         "short_sentence": F.size(
             F.filter(sentence_words, lambda n: (n > 1) & (n < language.short_sentence))
         ),
-        "parenthesis": F.regexp_count(text, F.lit(language.parenthesis)),
+        "parenthesis": F.when(bare, 0).otherwise(F.regexp_count(text, F.lit(language.parenthesis))),
     }
 
 

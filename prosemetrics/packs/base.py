@@ -19,6 +19,8 @@ class LanguagePack:
     concession_inside: str
     parenthesis: str = r"\([^)]+\)"
     imperative_stop: tuple[str, ...] = ()
+    # One match for each match of ``imperative`` that is no stop word; if given, it is counted in its place.
+    imperative_end: str = ""
     short_sentence: int = 8
     signal_labels: dict[str, str] = field(default_factory=dict)
     heading_words: int = 6

@@ -30,6 +30,8 @@ LANGUAGE = LanguagePack(
     address=r"(?iuU)(?=[tdle][heiaol])\b(?:the|der|die|das|le|les|el|los)\b",
     imperative=r"(?iuU)\b\w{2,}+(?<=[nthg])(?<=\w\w(?:tion|ment|lich|ing))",
     imperative_stop=("thing",),
+    # stop words are compared in lower case, which knows no dotless i
+    imperative_end=r"(?iuU)[nthg](?!\w)(?<=\w\w(?:tion|ment|lich|ing))(?<!(?<!\w)(?-u:thing))",
     concession_opening=r"(?U)^(?:And|Und|Et|De)\b",
     concession_inside=r"(?iuU)(?=[bmp][yio])\b(?:by|mit|pour|por)\b",
     signal_labels={
@@ -51,7 +53,7 @@ LANGUAGE = LanguagePack(
         ("codes", r"(?=[0-9a-f]{24})(?<![\p{L}\p{N}])[0-9a-f]{24,}+(?![\p{L}\p{N}])"),
         ("mails", MAIL),
     ),
-    needed={MAIL: "@", SECRET: 'token = "', SHOUTING: "!!", BAR: "|"},
+    needed={MAIL: "@", SECRET: 'token = "', SHOUTING: "!!", BAR: "|", LanguagePack.parenthesis: "("},
     announced_count=r"(\d+) items",
     entities=("of", "of the", "de", "de la", "und"),
     entity_section="opening",

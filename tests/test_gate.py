@@ -230,3 +230,15 @@ def test_text_measured_before_it_is_multiplied_gives_the_same(spark):
     verdicts = gate.validate_edits(gate.measured_before(given, RULES), RULES)
     assert verdicts.columns == gate.validate_edits(given, RULES).columns
     assert sorted(verdicts.collect(), key=repr) == sorted(gate.validate_edits(given, RULES).collect(), key=repr)
+
+
+def test_stream_query_measures_a_document_once(spark, monkeypatch):
+    """The text before is measured ahead of its edits, not once for each of them."""
+    from prosemetrics.streaming import jobs
+    from workloads import queries
+
+    seen = []
+    monkeypatch.setattr(jobs, "verdict_stream", lambda pairs, rules: seen.append(pairs) or pairs)
+    monkeypatch.setattr(queries, "_drained", lambda spark, rows: spark.createDataFrame([], "edit string, accepted boolean"))
+    queries.verdict_stream(spark, "/root/testdata/sf0.001")
+    assert {f"b_{m}" for m in gate.MEASURES} <= set(seen[0].columns)

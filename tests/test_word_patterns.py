@@ -63,3 +63,14 @@ def test_a_text_without_the_needed_string_is_not_searched(spark):
     assert all(all(row) for row in docs.select(hits[0].eqNullSafe(hits[1]), *items).collect())
     plan = docs.select(hits[0])._jdf.queryExecution().optimizedPlan().toString()
     assert all(f"Contains(text" in plan and needed in plan for needed in rules.language.needed.values())
+
+
+def test_imperatives_counted_at_their_ends(spark):
+    """One match for each imperative that is no stop word, in any spelling of its letters."""
+    lang, t = latin.LANGUAGE, F.col("text")
+    odd = [*ODD, "Thing THING thıng thİng xthing a-thing thing-y thinging _thing éthing thing", "sing\ning ming_ment ment xxment lichlich tion tionnation"]
+    docs = spark.createDataFrame([(x,) for x in odd], "text string")
+    words = F.regexp_extract_all(t, F.lit(lang.imperative), F.lit(0))
+    kept = F.size(F.filter(words, lambda w: ~F.lower(w).isin(*lang.imperative_stop)))
+    rows = docs.select(kept.alias("kept"), F.regexp_count(t, F.lit(lang.imperative_end)).alias("n")).collect()
+    assert all(r.kept == r.n for r in rows) and sum(r.n or 0 for r in rows) > 10
