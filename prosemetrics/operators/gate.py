@@ -49,7 +49,10 @@ def _items(text: Column, pattern: str, rules: Rules) -> Column:
 
 
 def _measured(pairs: DataFrame, side: str, column: str, rules: Rules, known: str | None = None) -> DataFrame:
-    """Add the measures of one side; where ``_same`` is true they are those of the side ``known``."""
+    """Add the measures of one side; where ``_same`` is true they are those of the side ``known``.
+
+    Items of a kind that the side ``known`` has none of can't be lost and are not looked for.
+    """
     text = F.col(column)
 
     def measure(name: str, value: Column) -> dict[str, Column]:
@@ -61,7 +64,14 @@ def _measured(pairs: DataFrame, side: str, column: str, rules: Rules, known: str
         return F.when(~F.col("_same"), value) if known else value
 
     sentences, lens, words = F.col("_sentences"), F.col("_lens"), F.col(f"{side}_words")
-    items = F.array(*[_items(text, p, rules) for _, p in _protected_patterns(rules)])
+    def kind(i: int, pattern: str) -> Column:
+        found = _items(text, pattern, rules)
+        if known:
+            none = F.size(F.get(F.col(f"{known}_items"), F.lit(i))) == 0
+            found = F.when(none, F.array().cast("array<string>")).otherwise(found)
+        return found
+
+    items = F.array(*[kind(i, p) for i, (_, p) in enumerate(_protected_patterns(rules))])
     return (
         pairs.withColumn("_sentences", new(T.sentences(text)))
         .withColumn("_lens", F.transform("_sentences", T.sentence_length))

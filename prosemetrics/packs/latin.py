@@ -50,7 +50,7 @@ LANGUAGE = LanguagePack(
     impersonal=r"(?iuU)\b(?:is|are|est|es)\b",
     protected_patterns=(
         ("numbers", r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?![\p{L}\p{N}])"),
-        ("codes", r"(?=[0-9a-f]{24})(?<![\p{L}\p{N}])[0-9a-f]{24,}+(?![\p{L}\p{N}])"),
+        ("codes", r"[0-9a-f][0-9a-f][0-9a-f][0-9a-f](?<![\p{L}\p{N}]....)[0-9a-f]{20,}+(?![\p{L}\p{N}])"),
         ("mails", MAIL),
     ),
     needed={MAIL: "@", SECRET: 'token = "', SHOUTING: "!!", BAR: "|", LanguagePack.parenthesis: "("},

@@ -242,3 +242,15 @@ def test_stream_query_measures_a_document_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "_drained", lambda spark, rows: spark.createDataFrame([], "edit string, accepted boolean"))
     queries.verdict_stream(spark, "/root/testdata/sf0.001")
     assert {f"b_{m}" for m in gate.MEASURES} <= set(seen[0].columns)
+
+
+def test_items_that_were_not_there_are_not_looked_for(spark):
+    """Only a kind that the text before has can be lost; the other kinds cost no search in each edit."""
+    from prosemetrics.operators.gate import protected_losses
+    from pyspark.sql import functions as F
+
+    given = pairs(spark, gain=("Слова.", "Слова 12 и 3/4."), loss=("Слова 12 и ОТК.", "Слова 12."), d=(None, "12"), e=("12", None))
+    rows = gate.measured(given, RULES).withColumn("lost", protected_losses(F.col("b_items"), F.col("a_items"), RULES))
+    got = {r.pair_id: r for r in rows.collect()}
+    assert not any(got["gain"].a_items) and got["gain"].lost == []
+    assert got["loss"].a_items[0] == ["1:12"] and [(k.kind, list(k["items"])) for k in got["loss"].lost] == [("ОТК", ["ОТК"])]
