@@ -319,8 +319,11 @@ def select_attempt(
             )
         ).alias("_history"),
     )
+    # A range is no join key: both joins with the attempts are dealt by id alone, so the attempts
+    # are made and shuffled once.
+    chosen = F.col("n").between(F.col("_n"), F.col("_n"))
+    best = best.join(tries, F.col("_of").eqNullSafe(F.col("_id")) & chosen, "left")
     best = marked.join(best, F.col("doc_id").eqNullSafe(F.col("_of")) & F.col("_text").eqNullSafe(F.col("_of_text")))
-    best = best.join(tries, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("n")), "left")
     before, after = rules.messages["original_returned"].split("{}")
     return best.withColumn("accepted", F.col("_n").isNotNull()).select(
         "doc_id",

@@ -254,3 +254,22 @@ def test_items_that_were_not_there_are_not_looked_for(spark):
     got = {r.pair_id: r for r in rows.collect()}
     assert not any(got["gain"].a_items) and got["gain"].lost == []
     assert got["loss"].a_items[0] == ["1:12"] and [(k.kind, list(k["items"])) for k in got["loss"].lost] == [("ОТК", ["ОТК"])]
+
+
+def test_attempts_are_shuffled_once(spark):
+    """The text of the accepted attempt comes from the shuffle that its verdict was made from."""
+    docs = spark.createDataFrame([("a", LIVE), (None, DRY)], "doc_id string, text string").repartition(3)
+    tries = spark.createDataFrame([("a", 1, LIVE), ("a", -(2**31), DRY)], "doc_id string, n int, text string").repartition(3)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = gate.select_attempt(docs, tries, RULES)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: (r.accepted_n, r.text) for r in out.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert any("ReusedExchange [_id" in line for line in plan.split("\n"))
+    assert got == {"a": (1, LIVE.strip()), None: (None, DRY)}
