@@ -176,6 +176,21 @@ def test_percentiles_of_nothing(spark):
     assert reporting.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).count() == 0
 
 
+def test_percentiles_work_a_measure_out_once(spark):
+    """The filter of nulls must not be pushed below the measure's steps, which would run once more for it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measure(i):
+        calls.add(1)
+        return None if i % 4 == 3 else float(i)
+
+    rows = spark.range(0, 40, numPartitions=2).select((F.col("id") % 2).alias("g"), measure("id").alias("v"))
+    got = {r.g: r for r in reporting.percentiles(rows, "v", [0.5], "g").collect()}
+    assert calls.value == 40
+    assert [(got[g].n, got[g].minimum, got[g].p50) for g in (0, 1)] == [(20, 0.0, 19.0), (10, 1.0, 19.0)]
+
+
 def test_bits_keep_the_order(spark):
     values = [-math.inf, -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, math.inf, math.nan]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
