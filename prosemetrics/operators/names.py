@@ -8,6 +8,9 @@ dictionary is broadcast when its size allows and joined by shuffle otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from prosemetrics.functions import text as T
 from prosemetrics.functions.arrays import let, runs
 from prosemetrics.functions.findings import finding
 from prosemetrics.functions.units import lemma_rows
+from prosemetrics.operators.marks import probable
 from prosemetrics.packs.base import LanguagePack, Rules
 from prosemetrics.session import sized_broadcast, stored
 
@@ -68,32 +72,32 @@ OPENING = "^"
 
 
 def sequences(text: Column, arities: list[int], wanted: str | None = None) -> Column:
-    """``array<string>``: the word sequences of the given lengths.
+    """``array<string>``: the word sequences of the given lengths; with ``wanted``, those with a word that it matches.
 
     A sequence never runs over a punctuation mark.  One at a sentence start has
-    ``OPENING`` before it.
+    ``OPENING`` before it.  Words are taken one by one: a slice would copy the whole
+    text's words at each of them.
     """
 
-    def of(w: Column) -> Column:
+    def of(w: Column, wants: Column | None) -> Column:
         def at(x: Column, i: Column) -> Column:
             opens = (i == 0) | (F.get(w, F.greatest(i - 1, F.lit(0))) == ".")
             mark = F.when(opens, F.lit(OPENING)).otherwise(F.lit(""))
-            return F.array(
-                *[
-                    F.when(
-                        F.size(w) >= i + a,
-                        F.concat(mark, F.array_join(F.slice(w, i + 1, F.lit(a)), " ")),
-                    )
-                    for a in arities
-                ]
-            )
-
-        return F.filter(
-            F.flatten(F.transform(w, at)),
-            lambda v: v.isNotNull() & ~v.rlike(r"(?:^|[ ^])[.,](?: |$)") & (F.lit(True) if wanted is None else v.rlike(wanted)),
-        )
+            out = []
+            for a in arities:
+                places = [i + k for k in range(a)]
+                whole = F.size(w) >= i + a
+                if wants is not None:
+                    whole = whole & reduce(or_, [F.get(wants, p) for p in places])
+                whole = reduce(and_, [_is_word(F.get(w, p)) for p in places], whole)
+                out.append(F.when(whole, F.concat(mark, F.concat_ws(" ", *[F.get(w, p) for p in places]))))
+            return F.array(*out)
+
+        return F.filter(F.flatten(F.transform(w, at)), lambda v: v.isNotNull())
 
-    return let(name_words(text), of)
+    if wanted is None:
+        return let(name_words(text), lambda w: of(w, None))
+    return let(name_words(text), lambda w: let(F.transform(w, lambda x: x.rlike(wanted)), lambda wants: of(w, wants)))
 
 
 def _dictionary(names: DataFrame, fold, min_words: int = 1) -> DataFrame:
@@ -187,9 +191,15 @@ def name_hits(
         "c._key",
         F.col("c.value").alias("_written"),
     )
+    owners = union(_owners)
+    dictionary = sized_broadcast(owners)
+    if dictionary is owners:
+        # joined by shuffle: only words that are probably in the dictionary move, not the whole corpus
+        dictionary = stored(owners, "name-owners")
+        probe = probable(probe, dictionary, ["kind", "_key"])
     written = F.when(F.col("kind") == "case", F.col("_written")).otherwise(F.col("was"))
     wrong = (
-        probe.join(sized_broadcast(union(_owners)), ["kind", "_key"])
+        probe.join(dictionary, ["kind", "_key"])
         .withColumn("was", F.ltrim("_written", F.lit(OPENING)))
         .withColumn("_form", of_kind(exact, written))
         .join(sized_broadcast(union(_right_forms)), ["kind", "_form"], "left_anti")

@@ -124,6 +124,27 @@ def test_repeated_id_stays_on_one_side(spark):
     }
 
 
+def test_archive_audit_searches_once(spark):
+    """Pairs are listed and totalled from one search of the corpus."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def written(i):
+        calls.add(1)
+        return None if i == 0 else f"w{i % 3}"
+
+    hits = spark.range(0, 12, numPartitions=2).select(
+        F.lit("dash").alias("kind"), written("id").alias("was"), F.lit("o").alias("official"),
+        F.lit(2).cast("long").alias("n"), (F.col("id") == 11).alias("from_artifact"),
+    )
+    got = sorted(map(tuple, reporting.archive_audit(hits).select("from_artifact", "was", "official", "n", "pairs").collect()), key=repr)
+    assert calls.value == 12
+    assert got == sorted(
+        [(False, None, "o", 2, None), (False, "w0", "o", 6, None), (False, "w1", "o", 8, None), (False, "w2", "o", 6, None),
+         (True, "w2", "o", 2, None), (False, None, None, 22, 4)], key=repr,
+    )
+
+
 def test_percentiles_are_exact(spark):
     values = [0.1 * i for i in range(1, 12)]
     frame = spark.createDataFrame([(v,) for v in values], "score double")

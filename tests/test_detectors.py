@@ -95,6 +95,87 @@ def test_name_matching_without_broadcast(docs, names, monkeypatch):
     assert [r.official for r in N.dash_errors(text, names).collect()] == ["Кузнец – мастер клинков"]
 
 
+def shuffled_rows(df):
+    """How many rows the shuffles of a frame that was collected have written."""
+
+    def of(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return of(plan.executedPlan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        below = [plan.plan()] if kind.endswith("QueryStageExec") else []
+        children = plan.children()
+        return own + sum(map(of, below + [children.apply(i) for i in range(children.size())]))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_large_dictionary_moves_few_words(spark, docs, names, monkeypatch):
+    """Past the size bound only what the dictionary probably has is shuffled, not every word of the corpus."""
+    words = "Берём железный щит и старый меч, АлАкир и Кузнец - мастер клинков ждёт. "
+    text = docs(words + " ".join(f"слово{i} ещё{i}" for i in range(2000)))
+    kinds = ("apostrophe", "dash", "case")
+    expected = sorted(map(tuple, N.name_hits(text, names, kinds).collect()))
+    monkeypatch.setattr(N, "sized_broadcast", lambda dim, max_bytes=0: dim)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = N.name_hits(text, names, kinds)
+        assert sorted(map(tuple, found.collect())) == expected
+        assert [r[1:4] for r in expected] == [
+            ("apostrophe", "АлАкир", "Ал'Акир"),
+            ("case", "железный щит", "Железный щит"),
+            ("dash", "Кузнец - мастер клинков", "Кузнец – мастер клинков"),
+        ]
+        assert shuffled_rows(found) < 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_probable_keeps_every_key_of_the_table(spark):
+    from prosemetrics.operators.marks import probable
+
+    table = spark.range(0, 30000, 3).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("a").alias("kind"))
+    rows = spark.range(60000).select("id", F.concat(F.lit("k"), "id").alias("k"), F.lit("a").alias("kind"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None, "a")], "id long, k string, kind string"))
+    kept = {r.id for r in probable(rows, table, ["kind", "k"]).select("id").collect()}
+    assert set(range(0, 30000, 3)) <= kept and len(kept) < 10000 + 500
+    assert probable(rows, table.limit(0), ["kind", "k"]).count() == 0
+
+
+@pytest.mark.parametrize("wanted", [None, N.DASHES])
+def test_sequences_equal_plain_ones(spark, wanted):
+    text = "Один два-три. Четыре - пять, шесть! семь … восемь девять «десять» — да"
+    words = spark.createDataFrame([(text,)], "t string").select(N.name_words(F.col("t")).alias("w")).first().w
+    expected = []
+    for i in range(len(words)):
+        for a in (1, 3):
+            part = words[i : i + a]
+            if len(part) < a or {".", ","} & set(part) or (wanted and not any(c in w for w in part for c in "-–—−")):
+                continue
+            expected.append((N.OPENING if i == 0 or words[i - 1] == "." else "") + " ".join(part))
+    row = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(N.sequences(F.col("t"), [1, 3], wanted))
+    assert [r[0] for r in row.collect()] == [expected, [], None]
+
+
+def test_mentions_are_the_same_by_every_join(spark, tmp_path, monkeypatch):
+    from workloads import tables as W
+
+    docs = [(1, "one"), (2, "two"), (2, "two again"), (3, None), (None, "no id"), (9, "nine")]
+    part = [(1, "red bolt"), (2, "old gear"), (2, "hot ring"), (3, "big plate"), (None, "cold"), (7, "blue gear"), (9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(part, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    expected = [
+        (1, "one\nSee red bolt"), (2, "two again\nSee hot ring"), (2, "two again\nSee old gear"), (2, "two\nSee hot ring"),
+        (2, "two\nSee old gear"), (3, None), (9, "nine"), (None, "no id"),
+    ]
+    for answers in ([True], [False, True], [False, False]):
+        left = iter(answers)
+        monkeypatch.setattr(W, "fits_broadcast", lambda dim: next(left))  # noqa: B023
+        found = W.mentions(spark, str(tmp_path), F.concat(F.lit("See "), "p_name")).collect()
+        assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
 def test_declared_count(docs):
     text = "В колоде 3 карты:\n- Одна\n- Две\nконец\nЕщё 1 карта\n1. Три"
     row = consistency.declared_counts(docs(text), RULES).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemetrics.packs.latin import RULES
-from prosemetrics.session import configure, spread
+from prosemetrics.session import configure, fits_broadcast, spread, stored
 
 LANGUAGE = RULES.language
 
@@ -34,9 +34,22 @@ def hyphenated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str, sentence: Column) -> DataFrame:
-    """Documents closed by a line about the part with the same number, if there is one."""
+    """Documents closed by a line about the part with the same number, if there is one.
+
+    Texts stay where they are while the documents' parts can be broadcast.  Beyond that they are
+    shuffled, which deals them over all cores, and not sorted.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    joined = documents(spark, sf_dir).join(part, F.col("doc_id") == F.col("p_partkey"), "left")
+    numbered = F.col("doc_id") == F.col("p_partkey")
+    small = fits_broadcast(part)
+    if not small:
+        part = stored(part.join(docs.select("doc_id"), numbered, "left_semi"), "mentioned-parts")
+        small = fits_broadcast(part)
+    if small:
+        joined = spread(docs).join(F.broadcast(part), numbered, "left")
+    else:
+        joined = docs.join(part.hint("shuffle_hash"), numbered, "left")
     line = F.when(F.col("p_name").isNotNull(), F.concat(F.lit("\n"), sentence)).otherwise("")
     return joined.select("doc_id", F.concat("text", line).alias("text"))
 
